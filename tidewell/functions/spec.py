@@ -94,6 +94,10 @@ def validate(spec: list[dict]) -> None:
 
 def column_expr(c: dict, seed, key: Column) -> Column:
     """Value expression of one spec column, before null injection and cast."""
+    c = dict(c)
+    for a, b in (("min_value", "min"), ("max_value", "max")):
+        if a in c and b not in c:
+            c[b] = c[a]
     name = c["name"]
     dtype = _parse_type(c.get("type", "string"))
     tname = dtype.simpleString()

@@ -29,3 +29,9 @@ for _name, _fn in [
     ("g17_sum_across_statuses", FA.g17_sum_across_statuses),
 ]:
     register(_name, _fn)
+
+# §2.D: stream summaries keyed on events.event_id
+from . import stream_queries as SQ  # noqa: E402
+
+for _stream, _qname in SQ.QUERY_NAMES.items():
+    register(_qname, lambda t, _s=_stream: SQ.stream_summary(t, _s))

@@ -112,3 +112,69 @@ ORACLE["g17_sum_across_statuses"] = """
 SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS statuses
 FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus)
 """
+
+
+# --- §2.D streams: DuckDB rendering of the column-spec semantics --------------
+def dpad(x: str, width: int) -> str:
+    s = f"CAST({x} AS VARCHAR)"
+    return f"lpad({s}, greatest({width}, length({s})), '0')"
+
+
+def dspec(c: dict, key: str, seed=SEED) -> str:
+    """One spec column as DuckDB SQL (random picks, ranges, flags, id parts)."""
+    name, typ = c["name"], c.get("type", "string")
+    lo = c.get("min", c.get("min_value"))
+    hi = c.get("max", c.get("max_value"))
+    rnd = c.get("random") or c.get("weights") is not None
+    if c.get("probability") is not None:
+        return f"({du(name, key, seed)} < {float(c['probability'])!r})"
+    if c.get("parts") is not None:
+        out = []
+        for i, p in enumerate(c["parts"]):
+            if isinstance(p, dict):
+                v = dint(du(f"{name}#{i}", key, seed), p["min"], p["max"])
+                out.append(dpad(v, p["pad"]) if p.get("pad") else f"CAST({v} AS VARCHAR)")
+            else:
+                out.append("'" + str(p) + "'")
+        return "concat(" + ", ".join(out) + ")"
+    if c.get("values") is not None:
+        return dpick(du(name, key, seed), c["values"], c.get("weights"))
+    if lo is not None:
+        if not rnd:
+            return f"({int(lo)} + ({key}) % {int(hi) - int(lo) + 1})"
+        if typ.startswith("decimal"):
+            scale = int(typ.split(",")[1].rstrip(")"))
+            return ddec(du(name, key, seed), lo, hi, scale)
+        if typ in ("double", "float"):
+            return f"({float(lo)!r} + {du(name, key, seed)} * {float(hi) - float(lo)!r})"
+        return dint(du(name, key, seed), int(lo), int(hi))
+    raise ValueError(f"no oracle form for {c}")
+
+
+def _stream_oracle(stream: str) -> str:
+    from .stream_queries import PROFILES
+    from .streams import stream_spec
+    group, measures = PROFILES[stream]
+    cols = {c["name"]: c for c in stream_spec(stream)}
+    needed = list(dict.fromkeys(group + [m[1] for m in measures]))
+    sel = ", ".join(f"{dspec(cols[n], 'event_id')} AS {n}" for n in needed)
+    aggs = []
+    for kind, col in measures:
+        if kind == "sum":
+            aggs.append(f"CAST(CAST(sum({col}) AS DECIMAL(38,2)) AS DOUBLE) AS total_{col}")
+        elif kind == "avg":
+            aggs.append(f"round(avg(CAST({col} AS DOUBLE)), 4) AS avg_{col}")
+        else:
+            aggs.append(f"round(avg(CAST(CAST({col} AS INTEGER) AS DOUBLE)), 4) AS share_{col}")
+    g = ", ".join(group)
+    return (f"SELECT {g}, count(*) AS records, {', '.join(aggs)} FROM (SELECT {sel} FROM events) r "
+            f"GROUP BY {g} ORDER BY records DESC, {g}")
+
+
+def _add_stream_oracles():
+    from .stream_queries import QUERY_NAMES
+    for stream, qname in QUERY_NAMES.items():
+        ORACLE[qname] = _stream_oracle(stream)
+
+
+_add_stream_oracles()
