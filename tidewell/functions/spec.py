@@ -117,13 +117,22 @@ def column_expr(c: dict, seed, key: Column) -> Column:
         return F.expr(c["expr"])
     if c.get("uuid"):
         return uuid_text(seed, name, driver)
+    if c.get("person"):
+        from . import pools
+        return F.concat_ws(" ", weighted_pick(u("#first"), pools.FIRST_NAMES, None),
+                           weighted_pick(u("#last"), pools.LAST_NAMES, None))
     if c.get("probability") is not None:
         return u() < F.lit(float(c["probability"]))
     if c.get("parts") is not None:
         pieces = []
         for i, p in enumerate(c["parts"]):
             if isinstance(p, dict):
-                v = int_between(u(f"#{i}"), int(p["min"]), int(p["max"]))
+                if "col" in p:      # an existing key column (e.g. a fixture foreign key)
+                    v = F.col(p["col"]).cast("bigint") + F.lit(int(p.get("offset", 0)))
+                elif p.get("mod") is not None:    # uniform over a parent of ``mod`` rows (a Column, e.g. a scalar subquery)
+                    v = F.pmod(h32(seed, f"{name}#{i}", driver), p["mod"]) + F.lit(int(p.get("offset", 1)))
+                else:
+                    v = int_between(u(f"#{i}"), int(p["min"]), int(p["max"]))
                 pieces.append(padded("", v, int(p["pad"])) if p.get("pad") else v.cast("string"))
             else:
                 pieces.append(F.lit(str(p)))
