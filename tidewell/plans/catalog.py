@@ -45,3 +45,18 @@ for _name in ["g1_enrolments_per_semester", "g2_students_by_status_campus", "g3_
               "g10_benefits_by_program", "g11_client_demographics", "g12_totals_per_table",
               "g13_survey_scores", "g14_fleet_events", "g15_student_activity"]:
     register("sled_" + _name, getattr(SA, _name))
+
+# §2.H graph analytics over the generated graphs
+from . import graph_queries as GQ  # noqa: E402
+
+for _name in ["h1_department_enrolment", "h2_prerequisite_chains", "h3_program_distribution", "h4_funding_trace",
+              "h5_subcontract_pairs", "h6_requests_by_priority", "h7_at_risk_assets", "h8_at_risk_students",
+              "h9_school_risk_ranking", "h10_top_vendors", "h11_lobbyist_trail", "h12_multi_program_clients",
+              "h13_caseload", "h14_label_counts", "h14_type_counts", "h15_office_headcount",
+              "h16_reporting_chains", "h17_project_staffing", "h18_supply_chain", "h19_employee_export",
+              "h20_failed_then_retaken", "h21_low_attendance", "h22_any_pattern_sample",
+              "h23_export_enrolment", "h24_export_degree_pathways", "h25_export_fund_flows",
+              "h26_export_vendor_subcontracts", "h27_export_citizen_services", "h28_export_early_warning",
+              "h29_export_procurement", "h30_export_case_management", "h31_shared_courses",
+              "h32_subcontract_closure", "h33_caseworker_communities", "h34_avg_gpa_by_department"]:
+    register("graph_" + _name, getattr(GQ, _name))
