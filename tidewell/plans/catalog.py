@@ -60,3 +60,10 @@ for _name in ["h1_department_enrolment", "h2_prerequisite_chains", "h3_program_d
               "h29_export_procurement", "h30_export_case_management", "h31_shared_courses",
               "h32_subcontract_closure", "h33_caseworker_communities", "h34_avg_gpa_by_department"]:
     register("graph_" + _name, getattr(GQ, _name))
+
+# §2.H pattern shapes over the fixture tables as a graph
+from . import fixture_graph as FG  # noqa: E402
+
+for _name in ["t_h1_region_customers", "t_h4_region_supplier_trace", "t_h10_supplier_revenue",
+              "t_h12_multi_priority_customers", "t_h18_supplier_part_orders"]:
+    register("graph_" + _name, getattr(FG, _name))

@@ -351,3 +351,143 @@ def drule(rule: dict, name: str, key: str, seed) -> str:
 
 
 _add_sled_oracles()
+
+
+# --- §2.H graph queries over the generated graphs -------------------------------
+def dk_targets(src_sql: str, src_key: str, rel: str, T: str, kmin: int, kmax: int, seed=SEED) -> str:
+    """Edges of ``k_targets``: (src, j, dst_ord) with a per-source start and k consecutive ordinals."""
+    k = dint(du(f"{rel}#k", src_key, seed), kmin, kmax) if kmax > kmin else str(kmin)
+    start = f"({dhash(f'{rel}#start', src_key, seed)} % {T})"
+    return (f"(SELECT src, j, (start + j - 1) % tt AS dst_ord FROM "
+            f"(SELECT {src_key} AS src, {start} AS start, least({k}, {T}) AS kk, {T} AS tt FROM {src_sql}) s, "
+            f"generate_series(1, s.kk) g(j))")
+
+
+def dlist(values, idx: str) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + f"][{idx} + 1]"
+
+
+def _add_graph_oracles():
+    from . import graphs as GR
+    O = ORACLE
+    npart = "(SELECT count(*) FROM part)"
+    nnation = "(SELECT count(*) FROM nation)"
+    nsupp = "(SELECT count(*) FROM supplier)"
+    # H1: Student -ENROLLED_IN-> Course -OFFERED_BY-> Department
+    enr = dk_targets("customer", "c_custkey", "ENROLLED_IN", npart, 2, 5)
+    O["graph_h1_department_enrolment"] = (
+        f"SELECT {dlist(GR.DEPARTMENTS, 'dst_ord % 18')} AS department, count(DISTINCT src) AS students, "
+        f"count(*) AS enrollments FROM {enr} e GROUP BY 1 ORDER BY students DESC, department")
+    # Average GPA of the distinct students enrolled per department
+    gpa = dspec(GR._rng("gpa", "decimal(3,2)", 1.5, 4.0), "c_custkey", f"{SEED}/Student")
+    O["graph_h34_avg_gpa_by_department"] = (
+        f"SELECT department, count(*) AS students, round(avg(CAST(gpa AS DOUBLE)), 4) AS avg_gpa FROM "
+        f"(SELECT DISTINCT src, {dlist(GR.DEPARTMENTS, 'dst_ord % 18')} AS department FROM {enr} e) d "
+        f"JOIN (SELECT c_custkey, {gpa} AS gpa FROM customer) s ON s.c_custkey = d.src "
+        f"GROUP BY department ORDER BY department")
+    # Students sharing >= 3 courses with STU-000001 (ordinal 0)
+    O["graph_h31_shared_courses"] = (
+        f"WITH e AS (SELECT DISTINCT src, dst_ord FROM {enr} x) "
+        f"SELECT concat('STU-', lpad(CAST(e.src + 1 AS VARCHAR), 6, '0')) AS student_id, "
+        f"count(DISTINCT e.dst_ord) AS shared_courses FROM e JOIN (SELECT dst_ord FROM e WHERE src = 0) m "
+        f"USING (dst_ord) WHERE e.src <> 0 GROUP BY e.src HAVING count(DISTINCT e.dst_ord) >= 3")
+    # H3: Student -PURSUING-> DegreeProgram -OFFERED_BY-> Department
+    pur = dk_targets("customer", "c_custkey", "PURSUING", "45", 1, 1)
+    O["graph_h3_program_distribution"] = (
+        f"SELECT {dlist(GR.DEGREE_TYPES, 'dst_ord % 10')} AS degree, {dlist(GR.DEPARTMENTS, 'dst_ord % 18')} AS department, "
+        f"count(*) AS students, round(avg(CAST(gpa AS DOUBLE)), 2) AS avg_gpa "
+        f"FROM {pur} p JOIN (SELECT c_custkey, {gpa} AS gpa FROM customer) s ON s.c_custkey = p.src "
+        f"GROUP BY 1, 2 ORDER BY students DESC, degree, department, avg_gpa LIMIT 20")
+    # early-warning nodes
+    ks = f"{SEED}/K12Student"
+    risk = dspec(GR._rng("risk_score", "decimal(5,1)", 0, 100), "c_custkey", ks)
+    att = dspec(GR._rng("attendance_rate", "decimal(5,1)", 60, 100), "c_custkey", ks)
+    kgpa = dspec(GR._rng("gpa", "decimal(3,2)", 0.5, 4.0), "c_custkey", ks)
+    grade = dspec(GR._rng("grade_level", "int", 1, 12), "c_custkey", ks)
+    ss = f"{SEED}/School"
+    kind = dspec(GR._pick("_kind", ["Elementary", "Middle", "High"]), "n_nationkey", ss)
+    school = (f"(SELECT n_nationkey AS sord, concat({dlist(GR.SCHOOL_PREFIXES, f'n_nationkey % {len(GR.SCHOOL_PREFIXES)}')}, "
+              f"' ', {kind}, ' School') AS school, "
+              f"{dspec(GR._pick('type', ['elementary', 'middle', 'high'], [5, 3, 2]), 'n_nationkey', ss)} AS school_type, "
+              f"{dspec(GR._flag('title_i', 0.55), 'n_nationkey', ss)} AS title_i FROM nation)")
+    attends = dk_targets("customer", "c_custkey", "ATTENDS", nnation, 1, 1)
+    stu = (f"(SELECT c_custkey, {risk} AS risk_score, {att} AS attendance_rate, {kgpa} AS gpa, {grade} AS grade_level "
+           f"FROM customer)")
+    O["graph_h9_school_risk_ranking"] = (
+        f"SELECT school, school_type, title_i, round(avg(CAST(risk_score AS DOUBLE)), 1) AS avg_risk, "
+        f"round(avg(CAST(attendance_rate AS DOUBLE)), 1) AS avg_attendance, count(*) AS student_count "
+        f"FROM {stu} s JOIN {attends} a ON a.src = s.c_custkey JOIN {school} sc ON sc.sord = a.dst_ord "
+        f"GROUP BY school, school_type, title_i ORDER BY avg_risk DESC, school, school_type, title_i LIMIT 15")
+    itype = dspec(GR._pick("type", GR.INTERVENTION_TYPES), "p_partkey", f"{SEED}/Intervention")
+    received = dk_targets(f"(SELECT c_custkey FROM {stu} x WHERE risk_score > 40)", "c_custkey", "RECEIVED", npart, 1, 2)
+    O["graph_h8_at_risk_students"] = (
+        f"WITH iv AS (SELECT r.src, string_agg(i.itype, ',' ORDER BY i.itype) AS interventions FROM {received} r "
+        f"JOIN (SELECT p_partkey, {itype} AS itype FROM part) i ON i.p_partkey = r.dst_ord GROUP BY r.src) "
+        f"SELECT concat('K12-', lpad(CAST(s.c_custkey + 1 AS VARCHAR), 5, '0')) AS student, s.grade_level AS grade, "
+        f"CAST(s.risk_score AS DOUBLE) AS risk_score, CAST(s.attendance_rate AS DOUBLE) AS attendance, "
+        f"CAST(s.gpa AS DOUBLE) AS gpa, sc.school, coalesce(iv.interventions, '') AS interventions "
+        f"FROM {stu} s JOIN {attends} a ON a.src = s.c_custkey JOIN {school} sc ON sc.sord = a.dst_ord "
+        f"LEFT JOIN iv ON iv.src = s.c_custkey WHERE s.risk_score > 70 ORDER BY risk_score DESC, student LIMIT 25")
+    # H7: ServiceRequest -AFFECTS-> Asset (poor/critical) -IN_DISTRICT-> District
+    keep = f"(SELECT o_orderkey FROM orders WHERE {du('AFFECTS#keep', 'o_orderkey')} < 0.3)"
+    aff = dk_targets(keep, "o_orderkey", "AFFECTS", npart, 1, 1)
+    sa = f"{SEED}/Asset"
+    asset = (f"(SELECT p_partkey, concat('AST-', lpad(CAST(p_partkey + 1 AS VARCHAR), 5, '0')) AS asset, "
+             f"{dspec(GR._pick('type', GR.ASSET_TYPES), 'p_partkey', sa)} AS asset_type, "
+             f"{dspec(GR._pick('condition', ['good', 'fair', 'poor', 'critical'], [4, 3, 2, 1]), 'p_partkey', sa)} AS condition, "
+             f"concat('District ', {dspec(GR._rng('_dist', 'int', 1, 15), 'p_partkey', sa)}) AS district FROM part)")
+    O["graph_h7_at_risk_assets"] = (
+        f"SELECT asset, asset_type, condition, district, count(*) AS open_requests FROM {aff} e "
+        f"JOIN {asset} a ON a.p_partkey = e.dst_ord WHERE condition IN ('poor', 'critical') "
+        f"GROUP BY asset, asset_type, condition, district "
+        f"ORDER BY open_requests DESC, asset, asset_type, condition, district LIMIT 20")
+    # Case -MANAGED_BY-> Caseworker -WORKS_AT-> HHSAgency
+    mb = dk_targets("orders", "o_orderkey", "MANAGED_BY", nsupp, 1, 1)
+    cw = f"{SEED}/Caseworker"
+    worker = (f"(SELECT s_suppkey, {dspec(GR._person('name'), 's_suppkey', cw)} AS caseworker, "
+              f"{dspec(GR._pick('specialization', GR.SPECIALIZATIONS), 's_suppkey', cw)} AS specialization, "
+              f"{dhash('agency_id#1', 's_suppkey', cw)} % {nnation} AS ag FROM supplier)")
+    ha = f"{SEED}/HHSAgency"
+    agency = (f"(SELECT n_nationkey, concat({dspec(GR._pick('_city', __import__('tidewell.functions.pools', fromlist=['x']).CITIES), 'n_nationkey', ha)}, ' ', "
+              f"{dspec(GR._pick('_kind', GR.HHS_AGENCY_NAMES), 'n_nationkey', ha)}) AS agency FROM nation)")
+    case = (f"(SELECT o_orderkey, {dspec(GR._rng('benefit_amount', 'decimal(10,2)', 0, 15000), 'o_orderkey', f'{SEED}/Case')} "
+            f"AS benefit_amount FROM orders)")
+    O["graph_h13_caseload"] = (
+        f"SELECT caseworker, specialization, agency, count(*) AS active_cases, "
+        f"round(avg(CAST(benefit_amount AS DOUBLE)), 2) AS avg_benefit FROM {mb} m "
+        f"JOIN {case} c ON c.o_orderkey = m.src JOIN {worker} w ON w.s_suppkey = m.dst_ord "
+        f"JOIN {agency} a ON a.n_nationkey = w.ag GROUP BY caseworker, specialization, agency "
+        f"ORDER BY active_cases DESC, caseworker, specialization, agency LIMIT 20")
+
+
+_add_graph_oracles()
+
+ORACLE["graph_t_h1_region_customers"] = """
+SELECT r_name AS region, count(DISTINCT c_custkey) AS customers, count(*) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey GROUP BY r_name ORDER BY customers DESC, region
+"""
+ORACLE["graph_t_h4_region_supplier_trace"] = """
+SELECT r_name AS region, n_name AS nation, s_name AS supplier, l_orderkey AS o_orderkey, l_linenumber AS linenumber,
+       l_extendedprice AS price
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey
+ORDER BY price DESC, o_orderkey, linenumber, supplier, nation, region LIMIT 25
+"""
+ORACLE["graph_t_h10_supplier_revenue"] = """
+SELECT s_name AS supplier, n_name AS nation, count(*) AS lines, round(sum(l_extendedprice), 0) AS revenue
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+GROUP BY s_name, n_name ORDER BY revenue DESC, supplier, nation LIMIT 20
+"""
+ORACLE["graph_t_h12_multi_priority_customers"] = """
+SELECT c_custkey, c_mktsegment, count(*) AS orders, count(DISTINCT o_orderpriority) AS n_priorities,
+       string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities
+FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment
+HAVING count(DISTINCT o_orderpriority) > 1 ORDER BY n_priorities DESC, orders DESC, c_custkey LIMIT 20
+"""
+ORACLE["graph_t_h18_supplier_part_orders"] = """
+SELECT s_name AS supplier, p_name AS part, p_type AS part_type, l_orderkey AS order_key, l_linenumber AS line,
+       l_quantity AS quantity, l_extendedprice AS price
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+ORDER BY quantity DESC, price DESC, order_key, line, supplier, part LIMIT 25
+"""
