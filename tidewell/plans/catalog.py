@@ -67,3 +67,10 @@ from . import fixture_graph as FG  # noqa: E402
 for _name in ["t_h1_region_customers", "t_h4_region_supplier_trace", "t_h10_supplier_revenue",
               "t_h12_multi_priority_customers", "t_h18_supplier_part_orders"]:
     register("graph_" + _name, getattr(FG, _name))
+
+# §2.I table contracts
+from . import contract_queries as CQ  # noqa: E402
+
+for _name in ["i_documents", "i_pages", "i_events", "i_conversations_default_rules", "i_event_transitions",
+              "i_requirement_coverage", "i_text_search", "i_sample_rows"]:
+    register("contract_" + _name, getattr(CQ, _name))

@@ -491,3 +491,93 @@ SELECT s_name AS supplier, p_name AS part, p_type AS part_type, l_orderkey AS or
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
 ORDER BY quantity DESC, price DESC, order_key, line, supplier, part LIMIT 25
 """
+
+
+# --- §2.I contracts -----------------------------------------------------------------
+def _viol_sql(table: str, key: str, checks: list[tuple[str, str, str]]) -> str:
+    """UNION of (field, check, failed) counts; each check is (field, name, SQL condition for a FAILED row)."""
+    parts = [f"SELECT '{f}' AS field, '{n.replace(chr(39), chr(39) * 2)}' AS \"check\", count(*) AS failed "
+             f"FROM {table} WHERE {cond}" for f, n, cond in checks]
+    return (f"SELECT field, \"check\", failed FROM ({' UNION ALL '.join(parts)}) x WHERE failed > 0 "
+            f"ORDER BY field, \"check\"")
+
+
+def _dup(table: str, col: str) -> str:
+    return f"{col} IN (SELECT {col} FROM {table} GROUP BY {col} HAVING count(*) > 1)"
+
+
+def _add_contract_oracles():
+    from ..operators.contracts import URL_PATTERN
+    O = ORACLE
+    O["contract_i_documents"] = _viol_sql("documents", "doc_id", [
+        ("doc_id", "type primary_key", "doc_id = 0"),
+        ("doc_id", "unique", _dup("documents", "doc_id")),
+        ("text", "not empty", "regexp_matches(text, '^\\s*$')"),
+        ("text", "length < 1000", "NOT length(text) < 1000"),
+        ("text", "contains http", "NOT contains(text, 'http')"),
+        ("text", "matches [A-Z]", "NOT regexp_matches(text, '^(?:[A-Z])')"),
+        ("lang", "length = 2", "NOT length(lang) = 2"),
+        ("lang", "alphabetic", "NOT regexp_matches(lang, '^\\p{L}+$')"),
+        ("source", "starts with src", "NOT starts_with(source, 'src')"),
+        ("source", "alphanumeric", "NOT regexp_matches(source, '^[\\p{L}\\p{N}]+$')"),
+        ("n_chars", "positive", "NOT n_chars > 0"),
+        ("n_chars", "max 20000", "NOT CAST(n_chars AS DOUBLE) <= 20000"),
+        ("n_chars", "in range 1-5000", "NOT CAST(n_chars AS DOUBLE) BETWEEN 1 AND 5000"),
+    ])
+    O["contract_i_pages"] = _viol_sql("pages", "page_id", [
+        ("page_id", "type primary_key", "page_id = 0"),
+        ("url", "type url", f"NOT regexp_matches(url, '{URL_PATTERN}', 'i')"),
+        ("url", "starts with https", "NOT starts_with(url, 'https')"),
+        ("url", "ends with .com", "NOT ends_with(url, '.com')"),
+        ("html", "type html", "NOT (contains(lower(html), '<html>') OR ends_with(html, '.html'))"),
+        ("html", "contains <body", "NOT contains(html, '<body')"),
+        ("html", "length > 100", "NOT length(html) > 100"),
+    ])
+    O["contract_i_events"] = _viol_sql("events", "event_id", [
+        ("event_id", "type primary_key", "event_id = 0"),
+        ("event_id", "unique", _dup("events", "event_id")),
+        ("user_id", "positive", "NOT user_id > 0"),
+        ("event_type", "matches (click|view|purchase|signup)",
+         "NOT regexp_matches(event_type, '^(?:(click|view|purchase|signup))')"),
+        ("event_type", "numeric", "NOT regexp_matches(event_type, '^\\p{N}+$')"),
+        ("value", "type price", "NOT value >= 0"),
+        ("value", "max 100", "NOT value <= 100"),
+        ("value", "in range 0-50", "NOT value BETWEEN 0 AND 50"),
+        ("value", "in range -5-5", "NOT value BETWEEN -5 AND 5"),
+        ("props", "type json", "NOT coalesce(json_valid(props) AND json_type(props) IN ('OBJECT', 'ARRAY'), false)"),
+        ("props", "contains \"k\"", "NOT contains(props, '\"k\"')"),
+        ("props", "length > 9", "NOT length(props) > 9"),
+    ])
+    conv = []
+    for col in ("conv_id", "turn"):
+        conv += [(col, "positive", f"NOT CAST({col} AS INTEGER) > 0"),
+                 (col, "max 2147483647", f"NOT CAST({col} AS DOUBLE) <= 2147483647")]
+    for col in ("role", "text"):
+        conv += [(col, "not empty", f"regexp_matches({col}, '^\\s*$')"),
+                 (col, "length > 0", f"NOT length({col}) > 0"),
+                 (col, "length < 1000", f"NOT length({col}) < 1000")]
+    O["contract_i_conversations_default_rules"] = _viol_sql("conversations", "conv_id", conv)
+    from .contract_queries import EVENT_FLOW
+    allowed = ", ".join(f"('{a}', '{b}')" for a, bs in EVENT_FLOW.items() for b in bs)
+    O["contract_i_event_transitions"] = (
+        f"SELECT from_status, to_status, count(*) AS violations FROM "
+        f"(SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, "
+        f"event_type AS to_status FROM events) p WHERE from_status IS NOT NULL "
+        f"AND (from_status, to_status) NOT IN (SELECT * FROM (VALUES {allowed}) v(a, b)) "
+        f"GROUP BY from_status, to_status ORDER BY from_status, to_status")
+    O["contract_i_requirement_coverage"] = (
+        "SELECT p_partkey, coalesce(s.stories, 0) AS stories, coalesce(e.epics, 0) AS epics, "
+        "least(100.0, (coalesce(s.stories, 0) + coalesce(e.epics, 0)) * 25.0) AS coverage_percentage, "
+        "CASE WHEN least(100.0, (coalesce(s.stories, 0) + coalesce(e.epics, 0)) * 25.0) < 100.0 THEN "
+        "'Only ' || CAST(CAST(least(100.0, (coalesce(s.stories, 0) + coalesce(e.epics, 0)) * 25.0) AS DOUBLE) AS VARCHAR)"
+        " || '% covered' END AS gap FROM part "
+        "LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS stories FROM lineitem GROUP BY l_partkey) s "
+        "ON s.l_partkey = p_partkey "
+        "LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS epics FROM lineitem GROUP BY l_partkey) e "
+        "ON e.l_partkey = p_partkey")
+    O["contract_i_text_search"] = (
+        "SELECT doc_id, lang, n_chars FROM documents WHERE (contains(lower(text), 'ing') OR "
+        "contains(lower(source), 'ing')) AND lang = 'en'")
+
+
+_add_contract_oracles()
