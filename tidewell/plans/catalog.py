@@ -74,3 +74,11 @@ from . import contract_queries as CQ  # noqa: E402
 for _name in ["i_documents", "i_pages", "i_events", "i_conversations_default_rules", "i_event_transitions",
               "i_requirement_coverage", "i_text_search", "i_sample_rows"]:
     register("contract_" + _name, getattr(CQ, _name))
+
+# §2.J stream analytics (batch form over events, plus one streaming run)
+from . import stream_analytics_queries as JQ  # noqa: E402
+
+for _name in ["j2_error_rate", "j2_stream_error_rate", "j3_sliding_mean", "j3_zscore_outliers", "j4_sessions",
+              "j5_velocity", "j6_impossible_travel", "j7_low_battery", "j8_funnel", "j9_shares",
+              "j10_firmware_rollout", "j11_dedupe", "j12_enrich", "j13_dead_letters"]:
+    register("stream_" + _name, getattr(JQ, _name))

@@ -544,7 +544,7 @@ def _add_contract_oracles():
         ("value", "max 100", "NOT value <= 100"),
         ("value", "in range 0-50", "NOT value BETWEEN 0 AND 50"),
         ("value", "in range -5-5", "NOT value BETWEEN -5 AND 5"),
-        ("props", "type json", "NOT coalesce(json_valid(props) AND json_type(props) IN ('OBJECT', 'ARRAY'), false)"),
+        ("props", "type json", "NOT (CASE WHEN json_valid(props) THEN json_type(props) IN ('OBJECT', 'ARRAY') ELSE false END)"),
         ("props", "contains \"k\"", "NOT contains(props, '\"k\"')"),
         ("props", "length > 9", "NOT length(props) > 9"),
     ])
@@ -581,3 +581,92 @@ def _add_contract_oracles():
 
 
 _add_contract_oracles()
+
+
+# --- §2.J stream analytics (batch form over events) ------------------------------
+def _bucket_ts(us: int) -> str:
+    return f"make_timestamp(CAST(floor(epoch_us(ts) / {us}) * {us} AS BIGINT))"
+
+
+def _add_stream_analytics_oracles():
+    from .streams import stream_spec
+    O = ORACLE
+    j2 = (f"SELECT {_bucket_ts(300000000)} AS window_start, count(*) AS events, "
+          f"sum(CAST(event_type = 'error' AS INTEGER)) AS errors, "
+          f"round(sum(CAST(event_type = 'error' AS INTEGER)) / count(*), 4) AS error_rate FROM events GROUP BY 1")
+    O["stream_j2_error_rate"] = j2
+    O["stream_j2_stream_error_rate"] = j2
+    O["stream_j3_sliding_mean"] = (
+        "SELECT make_timestamp(CAST(s AS BIGINT)) AS window_start, event_type, count(*) AS events, "
+        "round(avg(value), 4) AS mean_value FROM ("
+        "SELECT floor(epoch_us(ts) / 300000000) * 300000000 AS s, event_type, value FROM events UNION ALL "
+        "SELECT floor(epoch_us(ts) / 300000000) * 300000000 - 300000000, event_type, value FROM events) "
+        "GROUP BY 1, 2")
+    O["stream_j3_zscore_outliers"] = (
+        "SELECT event_type, count(*) AS outliers FROM events JOIN (SELECT event_type, avg(value) AS mu, "
+        "stddev_samp(value) AS sd FROM events GROUP BY 1) s USING (event_type) "
+        "WHERE abs(value - mu) > 2.0 * sd GROUP BY 1")
+    O["stream_j4_sessions"] = (
+        "WITH x AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR "
+        "epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 THEN 1 ELSE 0 END AS new FROM events "
+        "WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+        "y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC "
+        "ROWS UNBOUNDED PRECEDING) AS sid FROM x), "
+        "s AS (SELECT user_id, sid, min(ts) AS st, max(ts) + INTERVAL 30 MINUTE AS en, count(*) AS n "
+        "FROM y GROUP BY 1, 2) "
+        "SELECT user_id, count(*) AS sessions, sum(n) AS events, "
+        "round(avg(floor(epoch(en)) - floor(epoch(st))), 2) AS avg_session_seconds FROM s GROUP BY 1")
+    O["stream_j5_velocity"] = (
+        "SELECT user_id, count(*) AS flagged_events FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id "
+        "ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events) "
+        "WHERE recent > 2 GROUP BY 1")
+    card = {c["name"]: c for c in stream_spec("fraud_detection")}
+    lat, lon = dspec(card["latitude"], "event_id"), dspec(card["longitude"], "event_id")
+    O["stream_j6_impossible_travel"] = (
+        f"WITH p AS (SELECT event_id, user_id AS card_holder, ts, CAST({lat} AS DOUBLE) AS lat, "
+        f"CAST({lon} AS DOUBLE) AS lon FROM events), "
+        f"q AS (SELECT card_holder, ts, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, "
+        f"lag(ts) OVER w AS pts FROM p WINDOW w AS (PARTITION BY card_holder ORDER BY ts, event_id)), "
+        f"r AS (SELECT card_holder, 2 * 6371.0 * asin(sqrt(pow(sin((lat - plat) * pi() / 180.0 / 2), 2) + "
+        f"cos(plat * pi() / 180.0) * cos(lat * pi() / 180.0) * pow(sin((lon - plon) * pi() / 180.0 / 2), 2))) AS km, "
+        f"(epoch_us(ts) - epoch_us(pts)) / 3.6e9 AS hours FROM q WHERE plat IS NOT NULL) "
+        f"SELECT card_holder, count(*) AS flagged_moves FROM r WHERE "
+        f"(hours > 0 AND round(km / hours, 3) > 900.0) OR (hours <= 0 AND round(km, 3) > 0) GROUP BY 1")
+    tel = {c["name"]: c for c in stream_spec("telemetry")}
+    bat = dspec(tel["battery_level"], "event_id")
+    O["stream_j7_low_battery"] = (
+        f"WITH p AS (SELECT event_id, user_id AS device, ts, CAST({bat} AS DOUBLE) AS level FROM events), "
+        f"q AS (SELECT device, level, lag(level) OVER (PARTITION BY device ORDER BY ts, event_id) AS prev FROM p) "
+        f"SELECT device, count(*) AS alerts FROM q WHERE level < 20.0 AND prev >= 20.0 GROUP BY 1")
+    O["stream_j8_funnel"] = (
+        "WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS t0, "
+        "min(CASE WHEN event_type = 'click' THEN ts END) AS t1, "
+        "min(CASE WHEN event_type = 'purchase' THEN ts END) AS t2 FROM events GROUP BY 1) "
+        "SELECT sum(CAST(t0 IS NOT NULL AS INTEGER)) AS step1_view, "
+        "sum(CAST(coalesce(t0 IS NOT NULL AND t1 IS NOT NULL AND t1 >= t0, false) AS INTEGER)) AS step2_click, "
+        "sum(CAST(coalesce(t0 IS NOT NULL AND t1 IS NOT NULL AND t1 >= t0 AND t2 IS NOT NULL AND t2 >= t1, false) "
+        "AS INTEGER)) AS step3_purchase FROM f")
+    O["stream_j9_shares"] = (
+        "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share "
+        "FROM events GROUP BY 1")
+    from .stream_analytics_queries import FIRMWARE
+    fw = dspec(tel["firmware_version"], "event_id")
+    cols = ", ".join(f"count(*) FILTER (WHERE fw = '{v}') AS \"{v}\"" for v in FIRMWARE)
+    O["stream_j10_firmware_rollout"] = (
+        f"SELECT {_bucket_ts(86400000000)} AS window_start, {cols} FROM "
+        f"(SELECT ts, {fw} AS fw FROM events) GROUP BY 1 ORDER BY 1")
+    O["stream_j11_dedupe"] = (
+        "SELECT event_type, count(*) AS unique_events FROM "
+        "(SELECT DISTINCT user_id, event_type, date_trunc('minute', ts) FROM events) GROUP BY 1")
+    O["stream_j12_enrich"] = (
+        "SELECT c_mktsegment, count(*) AS events, round(sum(value), 2) AS value FROM events "
+        "LEFT JOIN customer ON user_id = c_custkey GROUP BY 1")
+    recs = "(SELECT props AS v FROM events UNION ALL SELECT text AS v FROM conversations)"
+    ok = "(CASE WHEN json_valid(v) THEN json_type(v) = 'OBJECT' ELSE false END)"
+    O["stream_j13_dead_letters"] = (
+        f"SELECT 'decoded' AS kind, count(*) AS n, sum(CASE WHEN json_valid(v) THEN CAST(json_extract(v, '$.k') AS BIGINT) END) AS k_sum "
+        f"FROM {recs} r WHERE {ok} UNION ALL "
+        f"SELECT 'dead_letter' AS kind, count(*) AS n, CAST(NULL AS BIGINT) AS k_sum FROM {recs} r WHERE NOT {ok}")
+
+
+_add_stream_analytics_oracles()
