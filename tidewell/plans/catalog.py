@@ -82,3 +82,10 @@ for _name in ["j2_error_rate", "j2_stream_error_rate", "j3_sliding_mean", "j3_zs
               "j5_velocity", "j6_impossible_travel", "j7_low_battery", "j8_funnel", "j9_shares",
               "j10_firmware_rollout", "j11_dedupe", "j12_enrich", "j13_dead_letters"]:
     register("stream_" + _name, getattr(JQ, _name))
+
+# §2.A sources, sinks and table operations
+from . import source_queries as AQ  # noqa: E402
+
+for _name in ["a8_upsert_customers", "a11_table_copy", "a14_inventory", "a20_describe_orders", "a21_sample_rows",
+              "a24_audit_query", "a25_bounded_consume", "a26_latest_value_per_key", "a27_federated_sql"]:
+    register("source_" + _name, getattr(AQ, _name))

@@ -670,3 +670,34 @@ def _add_stream_analytics_oracles():
 
 
 _add_stream_analytics_oracles()
+
+
+# --- §2.A sources and table operations ---------------------------------------------
+def _add_source_oracles():
+    from ..sources.fixtures import TABLES
+    from .source_queries import FEDERATED_SQL
+    O = ORACLE
+    O["source_a8_upsert_customers"] = (
+        "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1998) "
+        "THEN 'ACTIVE_1998' ELSE c_mktsegment END AS c_mktsegment, count(*) AS customers FROM customer GROUP BY 1")
+    O["source_a11_table_copy"] = (
+        "SELECT l_linestatus, count(*) AS rows, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS copied "
+        "FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+    O["source_a14_inventory"] = " UNION ALL ".join(
+        [f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, 'ok' AS status" for n in TABLES]
+        + ["SELECT 'missing_table' AS table_name, CAST(NULL AS BIGINT) AS row_count, 'not found' AS status"])
+    O["source_a24_audit_query"] = (
+        "SELECT *, count(*) OVER () AS total FROM (SELECT event_id AS id, event_type, CAST(user_id AS VARCHAR) AS user_id, "
+        "'topic-' || CAST(user_id % 3 AS VARCHAR) AS topic_name, props AS topic_message, ts AS created_at FROM events) "
+        "WHERE topic_name = 'topic-1' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40")
+    O["source_a25_bounded_consume"] = (
+        "SELECT 'events' AS topic, user_id % 4 AS partition, event_id AS \"offset\", props AS value FROM events "
+        "ORDER BY partition, \"offset\" LIMIT 25")
+    O["source_a26_latest_value_per_key"] = (
+        "SELECT key, value, updated_at FROM (SELECT 'user:' || CAST(user_id AS VARCHAR) AS key, props AS value, "
+        "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, "
+        "max(ts) OVER (PARTITION BY user_id) AS updated_at FROM events) WHERE rn = 1")
+    O["source_a27_federated_sql"] = FEDERATED_SQL
+
+
+_add_source_oracles()
