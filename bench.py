@@ -19,10 +19,20 @@ from tidewell.plans.catalog import QUERIES  # noqa: E402
 from tidewell.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "g3_lineitem_by_status_year",
-    "g15_customer_activity",
-    "g7_big_orders_by_segment",
-    "g1_orders_per_priority",
+    "g3_lineitem_by_status_year",        # G3  filter + two-key aggregate + mixed sort
+    "g15_customer_activity",             # G15 pre-aggregate, join, top-k
+    "sled_g7_high_risk_by_school",       # G7  generated tables, filter, join, aggregate
+    "sled_g15_student_activity",         # G15 generated events x students, top-k
+    "d1_card_transactions",              # D1  stream records from the spec, summary
+    "graph_h1_department_enrolment",     # H1  k-targets edges, 2 hops, distinct count
+    "graph_h4_funding_trace",            # H4  Bernoulli edges, 3 hops, top-k
+    "graph_h10_top_vendors",             # H10 distinct-pair edges, 2 hops, aggregate
+    "graph_h31_shared_courses",          # H31 flagged-student overlap
+    "graph_t_h4_region_supplier_trace",  # H4 (fixture graph) 3 hops over lineitem
+    "contract_i_events",                 # I17 one-pass contract check + uniqueness
+    "stream_j4_sessions",                # J4  session windows
+    "stream_j6_impossible_travel",       # J6  skew-safe per-entity lag
+    "source_a26_latest_value_per_key",   # A26 latest value per key
 ]
 
 

@@ -70,10 +70,23 @@ def decimal_between(u: Column, lo, hi, precision: int, scale: int) -> Column:
     return (units * F.lit(step)).cast(DecimalType(precision, scale))
 
 
+def sql_literal(v) -> str:
+    """A Python scalar as Spark SQL literal text."""
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def array_literal(values: Sequence) -> Column:
+    """A literal array built from one SQL expression (one call to the JVM, not one per element)."""
+    return F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
+
+
 def pick(u: Column, values: Sequence) -> Column:
     """Uniform choice from a literal list."""
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.element_at(arr, (F.floor(u * F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(array_literal(values), (F.floor(u * F.lit(len(values))) + 1).cast("int"))
 
 
 def weighted_pick(u: Column, values: Sequence, weights: Sequence[float] | None) -> Column:
@@ -112,3 +125,72 @@ def uuid_text(seed, name: str, *keys) -> Column:
                  F.substring(m, 18, 3)),
         F.substring(m, 21, 12),
     )
+
+
+# --- the same recipe as Spark SQL text ------------------------------------------------
+# Building a column from one SQL expression costs one JVM call instead of one per
+# operator, which keeps plan construction cheap for wide generated tables. The
+# semantics are identical to the Column functions above (double literals carry D).
+def _q(s: str) -> str:
+    return sql_literal(str(s))
+
+
+def h32_sql(seed, name: str, *key_sql: str) -> str:
+    keys = ", ".join(f"CAST({k} AS STRING)" for k in key_sql)
+    return f"CAST(conv(substring(md5(concat_ws(':', {_q(seed)}, {_q(name)}, {keys})), 1, 8), 16, 10) AS BIGINT)"
+
+
+def unif_sql(seed, name: str, *key_sql: str) -> str:
+    return f"({h32_sql(seed, name, *key_sql)} / 4294967296.0D)"
+
+
+def int_between_sql(u: str, lo: int, hi: int) -> str:
+    return f"CAST({int(lo)} + FLOOR({u} * {int(hi) - int(lo) + 1}) AS BIGINT)"
+
+
+def float_between_sql(u: str, lo: float, hi: float) -> str:
+    return f"({float(lo)!r}D + {u} * {float(hi) - float(lo)!r}D)"
+
+
+def decimal_between_sql(u: str, lo, hi, precision: int, scale: int) -> str:
+    step = Decimal(1).scaleb(-scale)
+    lo_u = int((Decimal(str(lo)) / step).to_integral_value())
+    hi_u = int((Decimal(str(hi)) / step).to_integral_value())
+    return (f"CAST(CAST({int_between_sql(u, lo_u, hi_u)} AS DECIMAL(38,0)) * CAST({step} AS DECIMAL({max(scale, 1)},{scale})) "
+            f"AS DECIMAL({precision},{scale}))")
+
+
+def pick_sql(u: str, values: Sequence) -> str:
+    arr = "array(" + ", ".join(sql_literal(v) for v in values) + ")"
+    return f"element_at({arr}, CAST(FLOOR({u} * {len(values)}) + 1 AS INT))"
+
+
+def weighted_pick_sql(u: str, values: Sequence, weights: Sequence[float] | None) -> str:
+    if not values:
+        return "NULL"
+    if not weights:
+        return pick_sql(u, values)
+    if len(weights) != len(values):
+        raise ValueError("weights and values must have the same length")
+    total = float(sum(weights))
+    x = f"({u} * {total!r}D)"
+    acc, arms = 0.0, []
+    for v, w in zip(values[:-1], weights[:-1]):
+        acc += float(w)
+        arms.append(f"WHEN {x} < {acc!r}D THEN {sql_literal(v)}")
+    if not arms:
+        return sql_literal(values[-1])
+    return f"CASE {' '.join(arms)} ELSE {sql_literal(values[-1])} END"
+
+
+def padded_sql(prefix: str, n_sql: str, width: int) -> str:
+    s = f"CAST({n_sql} AS STRING)"
+    return f"concat({_q(prefix)}, lpad({s}, greatest({int(width)}, length({s})), '0'))"
+
+
+def uuid_sql(seed, name: str, *key_sql: str) -> str:
+    keys = ", ".join(f"CAST({k} AS STRING)" for k in key_sql)
+    m = f"md5(concat_ws(':', {_q(seed)}, {_q(name)}, {keys}))"
+    return (f"concat_ws('-', substring({m}, 1, 8), substring({m}, 9, 4), concat('4', substring({m}, 14, 3)), "
+            f"concat(substring('89ab', (CAST(conv(substring({m}, 17, 1), 16, 10) AS INT) % 4) + 1, 1), "
+            f"substring({m}, 18, 3)), substring({m}, 21, 12))")

@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, _parse_datatype_string
 
-from .hashing import (decimal_between, float_between, h32, int_between, padded,
-                      unif, uuid_text, weighted_pick)
+from .hashing import (decimal_between_sql, float_between_sql, h32, h32_sql, int_between_sql, padded,
+                      padded_sql, pick_sql, sql_literal, unif, unif_sql, uuid_sql, weighted_pick_sql)
 
 _NON_DETERMINISTIC = re.compile(r"\b(rand|randn|random|uuid|shuffle|uniform|randstr|now|current_timestamp)\s*\(", re.I)
 _INTERVAL = re.compile(r"^\s*(days|hours|minutes|seconds|weeks)\s*=\s*(\d+)\s*$")
@@ -92,8 +92,17 @@ def validate(spec: list[dict]) -> None:
             raise SpecError(f"{n}: base_column {c['base_column']!r} must be an earlier column")
 
 
-def column_expr(c: dict, seed, key: Column) -> Column:
-    """Value expression of one spec column, before null injection and cast."""
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column_expr(c: dict, seed, key: Column | str) -> Column:
+    """Value expression of one spec column, before null injection and cast.
+
+    Built as one Spark SQL expression (one JVM call) when the key is a column
+    name; foreign-key parts over a parent's row count keep a Column for the
+    scalar subquery.
+    """
     c = dict(c)
     for a, b in (("min_value", "min"), ("max_value", "max")):
         if a in c and b not in c:
@@ -101,102 +110,125 @@ def column_expr(c: dict, seed, key: Column) -> Column:
     name = c["name"]
     dtype = _parse_type(c.get("type", "string"))
     tname = dtype.simpleString()
-    driver = F.col(c["base_column"]) if c.get("base_column") else key
+    key_sql = _ident(key) if isinstance(key, str) else None
+    if key_sql is None:
+        raise SpecError("column_expr needs the key as a column name")
+    driver = _ident(c["base_column"]) if c.get("base_column") else key_sql
     rnd = bool(c.get("random")) or c.get("weights") is not None
-
-    def u(tag: str = "") -> Column:
-        return unif(seed, name + tag, driver)
-
     k = c.get("unique_values")
 
-    def draw(tag: str = "") -> Column:
+    def u(tag: str = "") -> str:
+        return unif_sql(seed, name + tag, driver)
+
+    def draw(tag: str = "") -> str:
         x = u(tag)
-        return F.floor(x * F.lit(int(k))) / F.lit(float(k)) if k else x
+        return f"(FLOOR({x} * {int(k)}) / {float(k)!r}D)" if k else x
 
     if c.get("expr"):
         return F.expr(c["expr"])
     if c.get("uuid"):
-        return uuid_text(seed, name, driver)
+        return F.expr(uuid_sql(seed, name, driver))
     if c.get("person"):
         from . import pools
-        return F.concat_ws(" ", weighted_pick(u("#first"), pools.FIRST_NAMES, None),
-                           weighted_pick(u("#last"), pools.LAST_NAMES, None))
+        return F.expr(f"concat_ws(' ', {pick_sql(u('#first'), pools.FIRST_NAMES)}, "
+                      f"{pick_sql(u('#last'), pools.LAST_NAMES)})")
     if c.get("probability") is not None:
-        return u() < F.lit(float(c["probability"]))
+        return F.expr(f"({u()} < {float(c['probability'])!r}D)")
     if c.get("parts") is not None:
-        pieces = []
+        pieces: list[Column] = []
+        sql_run: list[str] = []
         for i, p in enumerate(c["parts"]):
+            if isinstance(p, dict) and p.get("mod") is not None:
+                if sql_run:
+                    pieces.append(F.expr("concat(" + ", ".join(sql_run) + ")"))
+                    sql_run = []
+                v = F.pmod(h32(seed, f"{name}#{i}", F.expr(driver)), p["mod"]) + F.lit(int(p.get("offset", 1)))
+                pieces.append(padded("", v, int(p["pad"])) if p.get("pad") else v.cast("string"))
+                continue
             if isinstance(p, dict):
                 if "col" in p:      # an existing key column (e.g. a fixture foreign key)
-                    v = F.col(p["col"]).cast("bigint") + F.lit(int(p.get("offset", 0)))
-                elif p.get("mod") is not None:    # uniform over a parent of ``mod`` rows (a Column, e.g. a scalar subquery)
-                    v = F.pmod(h32(seed, f"{name}#{i}", driver), p["mod"]) + F.lit(int(p.get("offset", 1)))
+                    v = f"(CAST({_ident(p['col'])} AS BIGINT) + {int(p.get('offset', 0))})"
                 else:
-                    v = int_between(u(f"#{i}"), int(p["min"]), int(p["max"]))
-                pieces.append(padded("", v, int(p["pad"])) if p.get("pad") else v.cast("string"))
+                    v = int_between_sql(u(f"#{i}"), int(p["min"]), int(p["max"]))
+                sql_run.append(padded_sql("", v, int(p["pad"])) if p.get("pad") else f"CAST({v} AS STRING)")
             else:
-                pieces.append(F.lit(str(p)))
-        return F.concat(*pieces)
+                sql_run.append(sql_literal(str(p)))
+        if sql_run:
+            pieces.append(F.expr("concat(" + ", ".join(sql_run) + ")"))
+        return pieces[0] if len(pieces) == 1 else F.concat(*pieces)
     if c.get("values") is not None:
         vals = c["values"]
         if rnd:
-            return weighted_pick(draw(), vals, c.get("weights"))
-        idx = F.pmod(driver.cast("bigint") if not c.get("base_column") else h32(seed, name, driver),
-                     F.lit(len(vals)))
+            return F.expr(weighted_pick_sql(draw(), vals, c.get("weights")))
+        base = f"CAST({driver} AS BIGINT)" if not c.get("base_column") else h32_sql(seed, name, driver)
+        idx = f"pmod({base}, {len(vals)})"
         if k:
-            idx = F.pmod(idx, F.lit(min(int(k), len(vals))))
-        return F.element_at(F.array(*[F.lit(v) for v in vals]), (idx + 1).cast("int"))
+            idx = f"pmod({idx}, {min(int(k), len(vals))})"
+        arr = "array(" + ", ".join(sql_literal(v) for v in vals) + ")"
+        return F.expr(f"element_at({arr}, CAST({idx} + 1 AS INT))")
     if c.get("begin") is not None:
         lo, hi = _epoch(c["begin"]), _epoch(c.get("end") or c["begin"])
         step = _interval_seconds(c.get("interval", "days=1"))
         steps = max(0, (hi - lo) // step)
-        if rnd:
-            idx = int_between(draw(), 0, steps)
-        else:
-            idx = F.pmod(driver.cast("bigint"), F.lit(steps + 1))
-        ts = F.timestamp_seconds(F.lit(lo) + idx * F.lit(step))
-        return ts.cast("date") if tname == "date" else ts
+        idx = int_between_sql(draw(), 0, steps) if rnd else f"pmod(CAST({driver} AS BIGINT), {steps + 1})"
+        ts = f"timestamp_seconds({lo} + {idx} * {step})"
+        return F.expr(f"CAST({ts} AS DATE)" if tname == "date" else ts)
     if c.get("min") is not None or c.get("max") is not None:
         lo = c.get("min", 0)
         hi = c.get("max", lo)
         if not rnd:
             span = int(hi) - int(lo) + 1
-            base = F.pmod(driver.cast("bigint"), F.lit(span))
+            base = f"pmod(CAST({driver} AS BIGINT), {span})"
             if k:
-                base = F.pmod(base, F.lit(int(k)))
-            return F.lit(int(lo)) + base
+                base = f"pmod({base}, {int(k)})"
+            return F.expr(f"({int(lo)} + {base})")
         if isinstance(dtype, DecimalType):
-            return decimal_between(draw(), lo, hi, dtype.precision, dtype.scale)
+            return F.expr(decimal_between_sql(draw(), lo, hi, dtype.precision, dtype.scale))
         if tname in _FLOAT_TYPES:
-            return float_between(draw(), float(lo), float(hi))
-        return int_between(draw(), int(lo), int(hi))
+            return F.expr(float_between_sql(draw(), float(lo), float(hi)))
+        return F.expr(int_between_sql(draw(), int(lo), int(hi)))
     # no value source: the row id itself (or k distinct hashed values)
     if k:
-        return F.floor(u() * F.lit(int(k))).cast("bigint")
-    return driver
+        return F.expr(f"CAST(FLOOR({u()} * {int(k)}) AS BIGINT)")
+    return F.expr(driver)
 
 
 def apply_spec(df: DataFrame, spec: list[dict], key: str = "id", seed=42,
                keep: list[str] | None = None) -> DataFrame:
-    """Add the spec's columns to ``df`` (one ``select`` per column, fused by Catalyst).
+    """Add the spec's columns to ``df``.
 
+    Columns are added in as few ``select``s as dependencies allow: every
+    column that only reads the key and input columns goes into one projection;
+    an ``expr`` or ``base_column`` column that may read columns of the pending
+    projection starts the next one. Few, wide projections keep the analysed
+    plan shallow (chained ``withColumn`` re-analyses the plan per column).
     ``keep`` lists input columns to carry through (default: none but the spec's).
     """
     validate(spec)
-    keyc = F.col(key)
     out = df
-    omitted = []
+    omitted = [c["name"] for c in spec if c.get("omit")]
+    pending: list[tuple[str, Column]] = []
+
+    def flush(frame: DataFrame) -> DataFrame:
+        if not pending:
+            return frame
+        names = {n for n, _ in pending}
+        kept = [F.col(c) for c in frame.columns if c not in names]
+        frame = frame.select(*kept, *[v.alias(n) for n, v in pending])
+        pending.clear()
+        return frame
+
     for c in spec:
-        v = column_expr(c, seed, keyc)
+        if (c.get("expr") or c.get("base_column")) and pending:
+            out = flush(out)
+        v = column_expr(c, seed, key)
         if c.get("template") is not None:
             v = F.replace(F.lit(c["template"]), F.lit("\\0"), v.cast("string"))
         pn = c.get("percent_nulls")
         if pn:
-            v = F.when(unif(seed, c["name"] + "#null", keyc) >= F.lit(pn / 100.0), v)
-        v = v.cast(c.get("type", "string"))
-        out = out.withColumn(c["name"], v)
-        if c.get("omit"):
-            omitted.append(c["name"])
+            v = F.when(F.expr(f"{unif_sql(seed, c['name'] + '#null', _ident(key))} >= {pn / 100.0!r}D"), v)
+        pending.append((c["name"], v.cast(c.get("type", "string"))))
+    out = flush(out)
     names = [c["name"] for c in spec if c["name"] not in omitted]
     return out.select(*(keep or []), *names)
 

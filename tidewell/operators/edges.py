@@ -77,35 +77,49 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
     base = sources.select(F.col(src_key).alias("src"), T.cast("bigint").alias(tcol),
                           *([F.col(block)] if block else []),
                           *([F.col(exclude_self_ordinal).alias("_self")] if exclude_self_ordinal else []))
-    # chunk size from the expected degree (a bound on the largest T, via a scalar aggregate would need
-    # a job; use a per-source size instead: array length = mean + 8 sigma + 16, computed per row)
+    # draws per chunk: expected degree + 8 sigma + 16, computed per source row
     mean = F.col(tcol) * F.lit(p)
     size = (mean + F.lit(8.0) * F.sqrt(mean * F.lit(1.0 - p)) + F.lit(16.0)).cast("int")
     if max_per_source:
         size = F.least(size, F.lit(int(max_per_source)))
-    out_parts = []
+    size = F.greatest(size, F.lit(1))
+    # running sums per source: the window's clustering on ``src`` is met by hash-partitioning the
+    # (small) source rows before the explode, so the draws are only sorted locally, never shuffled
+    w = Window.partitionBy("src").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+
+    def chunk(frontier: DataFrame) -> DataFrame:
+        draws = (frontier.repartition("src").withColumn("_n", size)
+                 .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))))
+        gap = _geometric_gaps(unif(seed, f"{rel}#gap", F.col("src"), F.col("_chunk"), F.col("_i"), fast=True), p)
+        return draws.withColumn("_pos", F.col("_start") + F.sum(gap).over(w))
+
+    def next_frontier(pos: DataFrame) -> DataFrame:
+        # sources whose chunk ended before the last target continue where it stopped
+        last = pos.filter(F.col("_i") == F.col("_n")).filter(F.col("_pos") < F.col(tcol) - 1)
+        return last.select(*base.columns, F.col("_pos").alias("_start"), (F.col("_chunk") + 1).alias("_chunk"))
+
     frontier = base.withColumn("_start", F.lit(-1).cast("bigint")).withColumn("_chunk", F.lit(0))
-    for chunk in range(64):  # 64 chunks of mean+8 sigma cannot all fall short in practice; loop ends early
-        draws = frontier.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)))))
-        gap = _geometric_gaps(unif(seed, f"{rel}#gap", F.col("src"), F.col("_chunk"), F.col("_i")), p)
-        w = Window.partitionBy("src", "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-        pos = draws.withColumn("_pos", F.col("_start") + F.sum(gap).over(w))
-        out_parts.append(pos.filter(F.col("_pos") < F.col(tcol)))
-        last = pos.filter(F.col("_i") == F.greatest(size, F.lit(1)))
-        frontier = (last.filter(F.col("_pos") < F.col(tcol) - 1)
-                    .select(*[c for c in base.columns], F.col("_pos").alias("_start"),
-                            (F.col("_chunk") + 1).alias("_chunk")))
-        if max_per_source or frontier.isEmpty():
-            break
-    edges = out_parts[0]
-    for part in out_parts[1:]:
+    c0 = chunk(frontier)
+    parts = [c0.filter(F.col("_pos") < F.col(tcol))]
+    if not max_per_source:
+        # a second chunk is planned lazily and is empty unless a source outran mean + 8 sigma; a third
+        # would be needed with probability ~1e-15 per source: that case fails the job instead of truncating
+        c1 = chunk(next_frontier(c0))
+        parts.append(c1.filter(F.col("_pos") < F.col(tcol)))
+        # the error text reads the window output, so no pushed-down predicate can evaluate it on other rows
+        overflow = next_frontier(c1).select(F.raise_error(F.concat(
+            F.lit(f"bernoulli_edges({rel}): degree beyond two chunks at position "),
+            F.col("_start").cast("string"))).alias("_err"))
+        parts.append(overflow.select(*[(F.col("_err") if n == "_pos" else F.lit(None)).cast(t).alias(n)
+                                       for n, t in parts[0].dtypes]))
+    edges = parts[0]
+    for part in parts[1:]:
         edges = edges.unionByName(part)
     if exclude_self_ordinal:
         edges = edges.filter(F.col("_pos") != F.col("_self"))
     if max_per_source:
         rot = F.pmod(h32(seed, f"{rel}#rot", F.col("src")), F.col(tcol))
         edges = edges.withColumn("_pos", F.pmod(F.col("_pos") + rot, F.col(tcol)))
-        edges = edges.filter(F.col("_i") <= max_per_source)
     return edges.select("src", F.col("_pos").alias("dst_ord"), *([F.col(block)] if block else []))
 
 

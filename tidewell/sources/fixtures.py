@@ -32,14 +32,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return read(self.spark, self.sf_dir, name)
+        return self[name]
 
     def __getitem__(self, name: str) -> DataFrame:
-        return read(self.spark, self.sf_dir, name)
+        # one lazy DataFrame per table (a plan, not data): repeated use shares the listing and footer read
+        if name not in self._frames:
+            self._frames[name] = read(self.spark, self.sf_dir, name)
+        return self._frames[name]
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
