@@ -178,3 +178,27 @@ def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
         if changed == 0:
             break
     return labels
+
+
+def reachable(starts: DataFrame, start_key: str, edges: DataFrame, max_depth: int = 10) -> DataFrame:
+    """Breadth-first reachability: ``start, node, depth`` (shortest hop count, 1..max_depth).
+
+    Each level joins the frontier (distinct (start, node) pairs) with the edges
+    and removes pairs already visited with a left-anti join, so the work is
+    O(edges x levels) however many paths exist. The loop stops early when a
+    level is empty (one scalar per level on the driver); the edges and every
+    level are written with reliable checkpoints, so each is computed once and
+    a lost executor only recomputes one level.
+    """
+    e = edges.select("src", "dst").distinct().checkpoint()  # read many times below: materialise once
+    frontier = starts.select(F.col(start_key).alias("start"), F.col(start_key).alias("node")).checkpoint()
+    visited = frontier.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        nxt = (frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
+               .join(visited.select("start", "node"), ["start", "node"], "left_anti"))
+        nxt = nxt.checkpoint()  # each level is computed once; lineage stays one level deep
+        if nxt.isEmpty():
+            break
+        visited = visited.unionByName(nxt.withColumn("depth", F.lit(depth)))
+        frontier = nxt
+    return visited.filter(F.col("depth") > 0)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph, connected_components, hop, var_length_paths
+from ..operators.graph import Graph, connected_components, hop, reachable, var_length_paths
 from ..operators.topk import top_k
 from ..sources.fixtures import Tables
 from . import graphs as G
@@ -150,7 +150,7 @@ def h5_subcontract_pairs(t: Tables, k: int = 25) -> DataFrame:
     return top_k(out, k, [F.desc("subcontract_pct"), "prime_vendor", "subcontractor", "prime_state", "sub_state"])
 
 
-def h32_subcontract_closure(t: Tables, prime: str | None = None, max_depth: int = 4) -> DataFrame:
+def h32_subcontract_closure(t: Tables, prime: str | None = None, max_depth: int = 10) -> DataFrame:
     """Every vendor reachable from one prime vendor over SUBCONTRACTS, with its shortest depth.
 
     Without ``prime`` the vendor with the most subcontracts (lowest id on ties) is traced.
@@ -162,9 +162,8 @@ def h32_subcontract_closure(t: Tables, prime: str | None = None, max_depth: int
                  .orderBy(F.desc("_n"), "vendor_id").limit(1).select("vendor_id"))
     else:
         start = g.node("Vendor").filter(F.col("vendor_id") == prime).select("vendor_id")
-    p = var_length_paths(start, "vendor_id", e, 1, max_depth, checkpoint_every=2)
-    return (p.filter(F.col("end") != F.col("start")).groupBy("start", F.col("end").alias("vendor_id"))
-            .agg(F.min("depth").alias("depth")).withColumnRenamed("start", "prime_vendor"))
+    r = reachable(start, "vendor_id", e, max_depth)
+    return r.select(F.col("start").alias("prime_vendor"), F.col("node").alias("vendor_id"), "depth")
 
 
 # ------------------------------------------------------------ citizen services
