@@ -1,8 +1,9 @@
 """Bench: run the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS].
 
-Each query is executed in full through the ``noop`` sink (no rows are sent
-to the driver); the time of one warm run per query is reported. Prints one
-JSON line.
+Each query is built and executed in full through the ``noop`` sink (no rows
+are sent to the driver), twice; the faster run is reported (the first run of
+a query also pays JIT compilation of its generated code). Plan construction
+is included in the time. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -47,9 +48,13 @@ def main() -> None:
     QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for n in names:
-        t0 = time.perf_counter()
-        QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[n] = round(time.perf_counter() - t0, 3)
+        best = None
+        for _ in range(2):
+            t0 = time.perf_counter()
+            QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = time.perf_counter() - t0
+            best = dt if best is None else min(best, dt)
+        times[n] = round(best, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))

@@ -27,21 +27,32 @@ class Graph:
     keys: dict[str, str] = field(default_factory=dict)
     edges: dict[tuple[str, str, str], DataFrame] = field(default_factory=dict)
 
-    def add_nodes(self, label: str, df: DataFrame, key: str) -> "Graph":
+    # Node and edge tables may be given as DataFrames or as zero-argument builders; a builder runs
+    # on first use only, so a pattern plans just the tables it touches.
+    def add_nodes(self, label: str, df, key: str) -> "Graph":
         self.nodes[label] = df
         self.keys[label] = key
         return self
 
-    def add_edges(self, etype: str, src_label: str, dst_label: str, df: DataFrame) -> "Graph":
+    def add_edges(self, etype: str, src_label: str, dst_label: str, df) -> "Graph":
         self.edges[(etype, src_label, dst_label)] = df
         return self
 
     def node(self, label: str) -> DataFrame:
-        return self.nodes[label]
+        v = self.nodes[label]
+        if callable(v):
+            v = self.nodes[label] = v()
+        return v
+
+    def edge_table(self, key: tuple[str, str, str]) -> DataFrame:
+        v = self.edges[key]
+        if callable(v):
+            v = self.edges[key] = v()
+        return v
 
     def rel(self, etype: str, src_label: str | None = None, dst_label: str | None = None) -> DataFrame:
         """Edges of one type (optionally restricted by end labels); union if several match."""
-        found = [df for (t, s, d), df in self.edges.items()
+        found = [self.edge_table((t, s, d)) for (t, s, d) in list(self.edges)
                  if t == etype and (src_label in (None, s)) and (dst_label in (None, d))]
         if not found:
             raise KeyError(etype)
@@ -53,23 +64,23 @@ class Graph:
     # --- A6 / A7 / A22 / F21 -------------------------------------------------
     def label_counts(self) -> DataFrame:
         """Node count per label (H14, F21), descending."""
-        parts = [df.agg(F.count("*").alias("count")).select(F.lit(lbl).alias("label"), "count")
-                 for lbl, df in self.nodes.items()]
+        parts = [self.node(lbl).agg(F.count("*").alias("count")).select(F.lit(lbl).alias("label"), "count")
+                 for lbl in list(self.nodes)]
         return _union_all(parts).orderBy(F.desc("count"), "label")
 
     def type_counts(self) -> DataFrame:
         """Relationship count per type (H14, F21), descending; types split by end labels are summed."""
-        parts = [df.agg(F.count("*").alias("count")).select(F.lit(t).alias("relationship_type"), "count")
-                 for (t, _s, _d), df in self.edges.items()]
+        parts = [self.edge_table(k).agg(F.count("*").alias("count"))
+                 .select(F.lit(k[0]).alias("relationship_type"), "count") for k in list(self.edges)]
         return (_union_all(parts).groupBy("relationship_type").agg(F.sum("count").alias("count"))
                 .orderBy(F.desc("count"), "relationship_type"))
 
     def pattern_sample(self, limit: int = 100) -> DataFrame:
         """``MATCH (n)-[r]->(m) RETURN n, type(r), m LIMIT n`` over all typed edges."""
-        parts = [df.select(F.lit(s).alias("src_label"), F.col("src").cast("string").alias("src"),
-                           F.lit(t).alias("type"), F.lit(d).alias("dst_label"),
-                           F.col("dst").cast("string").alias("dst"))
-                 for (t, s, d), df in self.edges.items()]
+        parts = [self.edge_table((t, s, d)).select(
+                     F.lit(s).alias("src_label"), F.col("src").cast("string").alias("src"), F.lit(t).alias("type"),
+                     F.lit(d).alias("dst_label"), F.col("dst").cast("string").alias("dst"))
+                 for (t, s, d) in list(self.edges)]
         return _union_all(parts).limit(limit)
 
     def without_label(self, label: str) -> "Graph":

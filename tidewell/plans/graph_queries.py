@@ -121,9 +121,8 @@ def h4_funding_trace(t: Tables, k: int = 25) -> DataFrame:
     cont = (g.rel("MANAGES").select(F.col("src").alias("agency_id"), F.col("dst").alias("program_id"))
             .join(awards_per_program, "program_id").groupBy("agency_id").agg(F.sum("_nv").alias("_cont")))
     funds = g.rel("FUNDS").select(F.col("src").alias("fund_id"), F.col("dst").alias("agency_id"), "amount")
-    live = funds.join(cont, "agency_id")
-    # FUNDS edges are dimension-sized (funding sources x agencies x p): one ordered pass finds the
-    # fewest top edges whose continuations already reach k paths
+    # FUNDS edges with continuations: dimension-sized (funding sources x agencies x p); written once
+    live = funds.join(cont, "agency_id").checkpoint()
     w = Window.orderBy(F.desc("amount"), "fund_id", "agency_id").rowsBetween(Window.unboundedPreceding, -1)
     ranked = live.withColumn("_before", F.coalesce(F.sum("_cont").over(w), F.lit(0)))
     bound = ranked.filter(F.col("_before") < k).agg(F.min("amount")).scalar()
@@ -132,7 +131,9 @@ def h4_funding_trace(t: Tables, k: int = 25) -> DataFrame:
     x = f.join(top_funds, "fund_id")
     x = x.join(g.node("Agency").select("agency_id", F.col("name").alias("agency")), "agency_id")
     x = hop(x, "agency_id", g.rel("MANAGES"), g.node("Program"), "program_id", target_cols={"name": "program"})
-    x = hop(x, "program_id", g.rel("AWARDS"), g.node("Vendor"), "vendor_id", target_cols={"name": "vendor"})
+    # regenerate AWARDS only for the programs on the kept paths (edges are a function of the program)
+    progs = x.select(F.expr("CAST(substring(program_id, 5) AS BIGINT) - 1").alias("_ord")).distinct()
+    x = hop(x, "program_id", G.awards_edges(t, progs), g.node("Vendor"), "vendor_id", target_cols={"name": "vendor"})
     out = x.select("fund_source", "category", "agency", "program", "vendor", "amount")
     return top_k(out, k, [F.desc("amount"), "fund_source", "category", "agency", "program", "vendor"])
 

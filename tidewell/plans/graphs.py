@@ -169,13 +169,13 @@ HOUSEHOLD_WEIGHTS = [15, 25, 20, 20, 10, 5, 3, 2]
 def enrolment_graph(t: Tables, seed=SEED) -> Graph:
     spark = t.spark
     g = Graph()
-    dept = range_nodes(spark, len(DEPARTMENTS), [
+    g.add_nodes("Department", lambda: range_nodes(spark, len(DEPARTMENTS), [
         _id("department_id", "DEPT-", 3),
         _by_index("name", DEPARTMENTS, "_ord"),
         _by_index("college", COLLEGES, "_ord"),
         _rng("faculty_count", "int", 15, 80),
-    ], "Department", seed)
-    prog = range_nodes(spark, 45, [
+    ], "Department", seed), "department_id")
+    g.add_nodes("DegreeProgram", lambda: range_nodes(spark, 45, [
         _id("program_id", "PGM-", 3),
         {"name": "name", "type": "string",
          "expr": f"concat(element_at({_arr(DEPARTMENTS)}, cast(pmod(_ord, 18) + 1 as int)), ' ', "
@@ -184,8 +184,8 @@ def enrolment_graph(t: Tables, seed=SEED) -> Graph:
         {"name": "dept_id", "type": "string", "expr": "concat('DEPT-', lpad(cast(pmod(_ord, 18) + 1 as string), 3, '0'))"},
         _pick("total_credits", [30, 36, 42, 60, 120, 128, 132], type_="int"),
         _flag("accredited", 0.9),
-    ], "DegreeProgram", seed)
-    course = node_table(t.part, "p_partkey", [
+    ], "DegreeProgram", seed), "program_id")
+    g.add_nodes("Course", lambda: node_table(t.part, "p_partkey", [
         _id("course_id", "CRS-", 4),
         {**_pick("_prefix", COURSE_PREFIXES), "omit": True},
         {**_pick("_lvl", COURSE_LEVELS, type_="int"), "omit": True},
@@ -198,8 +198,8 @@ def enrolment_graph(t: Tables, seed=SEED) -> Graph:
         _pick("max_enrollment", [25, 30, 35, 40, 50, 100, 150, 200], type_="int"),
         _pick("semester", SEMESTERS),
         {"name": "dept_id", "type": "string", "expr": "concat('DEPT-', lpad(cast(pmod(_ord, 18) + 1 as string), 3, '0'))"},
-    ], "Course", seed)
-    student = node_table(t.customer, "c_custkey", [
+    ], "Course", seed), "course_id")
+    g.add_nodes("Student", lambda: node_table(t.customer, "c_custkey", [
         _id("student_id", "STU-", 6),
         _person("name"),
         {"name": "email", "type": "string", "parts": ["student", {"col": "_ord", "offset": 1}, "@university.edu"]},
@@ -208,35 +208,41 @@ def enrolment_graph(t: Tables, seed=SEED) -> Graph:
         _rng("gpa", "decimal(3,2)", 1.5, 4.0),
         _rng("total_credits", "int", 0, 132),
         _pick("status", ["active", "graduated", "on_leave", "suspended", "withdrawn"], [60, 15, 10, 5, 10]),
-    ], "Student", seed)
-    g.add_nodes("Department", dept, "department_id").add_nodes("DegreeProgram", prog, "program_id")
-    g.add_nodes("Course", course, "course_id").add_nodes("Student", student, "student_id")
-    g.add_edges("OFFERED_BY", "DegreeProgram", "Department",
-                E.fk_edges(prog, "program_id", "dept_id", dept, "department_id"))
-    g.add_edges("OFFERED_BY", "Course", "Department", E.fk_edges(course, "course_id", "dept_id", dept, "department_id"))
-    g.add_edges("REQUIRES", "Course", "Course",
-                E.lower_parent(course.select("course_id", "level"), "course_id", "level", 0.6, 200, seed, "REQUIRES"))
-    rel = "PURSUING"
-    pur = E.k_targets(student.select("_ord"), "_ord", 45, 1, 1, seed, rel)
-    g.add_edges(rel, "Student", "DegreeProgram", pur.select(
+    ], "Student", seed), "student_id")
+    def _offered_by_degreeprogram() -> DataFrame:
+        return E.fk_edges(g.node("DegreeProgram"), "program_id", "dept_id", g.node("Department"), "department_id")
+    g.add_edges("OFFERED_BY", "DegreeProgram", "Department", _offered_by_degreeprogram)
+    def _offered_by_course() -> DataFrame:
+        return E.fk_edges(g.node("Course"), "course_id", "dept_id", g.node("Department"), "department_id")
+    g.add_edges("OFFERED_BY", "Course", "Department", _offered_by_course)
+    def _requires_course() -> DataFrame:
+        return E.lower_parent(g.node("Course").select("course_id", "level"), "course_id", "level", 0.6, 200, seed, "REQUIRES")
+    g.add_edges("REQUIRES", "Course", "Course", _requires_course)
+    def _pursuing_student() -> DataFrame:
+        rel = "PURSUING"
+        pur = E.k_targets(g.node("Student").select("_ord"), "_ord", 45, 1, 1, seed, rel)
+        return pur.select(
         _ids(pur, "src", "STU-", 6).alias("src"), _ids(pur, "dst_ord", "PGM-", 3).alias("dst"),
         pick(_u(seed, rel, "start", F.col("src")), START_SEMESTERS).alias("start_semester"),
         pick(_u(seed, rel, "grad", F.col("src")), GRADUATIONS).alias("expected_graduation"),
-        (_u(seed, rel, "adv", F.col("src")) > 0.2).alias("advisor_assigned")))
-    rel = "ENROLLED_IN"
-    enr = E.k_targets(student.select("_ord"), "_ord", rows(t.part), 2, 5, seed, rel)
-    enr = enr.join(course.select(F.col("_ord").alias("dst_ord"), F.col("semester")), "dst_ord")
-    g.add_edges(rel, "Student", "Course", enr.select(
+        (_u(seed, rel, "adv", F.col("src")) > 0.2).alias("advisor_assigned"))
+    g.add_edges("PURSUING", "Student", "DegreeProgram", _pursuing_student)
+    def _enrolled_in_student() -> DataFrame:
+        rel = "ENROLLED_IN"
+        enr = E.k_targets(g.node("Student").select("_ord"), "_ord", rows(t.part), 2, 5, seed, rel)
+        enr = enr.join(g.node("Course").select(F.col("_ord").alias("dst_ord"), F.col("semester")), "dst_ord")
+        return enr.select(
         _ids(enr, "src", "STU-", 6).alias("src"), _ids(enr, "dst_ord", "CRS-", 4).alias("dst"), "semester",
         pick(_u(seed, rel, "grade", F.col("src"), F.col("j")), GRADES12).alias("grade"),
-        pick(_u(seed, rel, "status", F.col("src"), F.col("j")), ENROLL_STATUS).alias("status")))
+        pick(_u(seed, rel, "status", F.col("src"), F.col("j")), ENROLL_STATUS).alias("status"))
+    g.add_edges("ENROLLED_IN", "Student", "Course", _enrolled_in_student)
     return g
 
 
 # ------------------------------------------------------------------ F2 grants
 def grants_graph(t: Tables, seed=SEED) -> Graph:
     g = Graph()
-    fund = node_table(t.nation, "n_nationkey", [
+    g.add_nodes("FundingSource", lambda: node_table(t.nation, "n_nationkey", [
         _id("fund_id", "FUND-", 3),
         {**_pick("_prog", FEDERAL_PROGRAMS), "omit": True},
         {**_pick("_fy", [2023, 2024, 2025, 2026], type_="int"), "omit": True},
@@ -244,22 +250,22 @@ def grants_graph(t: Tables, seed=SEED) -> Graph:
         _pick("category", FUND_CATEGORIES),
         _rng("total_budget", "decimal(14,2)", 50000, 50000000),
         _pick("fiscal_year", [2023, 2024, 2025, 2026], type_="int"),
-    ], "FundingSource", seed)
-    agency = node_table(t.nation, "n_nationkey", [
+    ], "FundingSource", seed), "fund_id")
+    g.add_nodes("Agency", lambda: node_table(t.nation, "n_nationkey", [
         _id("agency_id", "AGY-", 3),
         {**_pick("_city", pools.CITIES), "omit": True},
         {**_pick("_kind", GRANT_AGENCY_TYPES), "omit": True},
         {"name": "name", "type": "string", "expr": "concat(_city, ' ', _kind)"},
         _pick("type", GRANT_AGENCY_TYPES),
-    ], "Agency", seed)
-    program = node_table(t.part, "p_partkey", [
+    ], "Agency", seed), "agency_id")
+    g.add_nodes("Program", lambda: node_table(t.part, "p_partkey", [
         _id("program_id", "PGM-", 4),
         {**_pick("_pname", PROGRAM_NAMES), "omit": True},
         {**_rng("_phase", "int", 1, 5), "omit": True},
         {"name": "name", "type": "string", "expr": "concat(_pname, ' Phase ', _phase)"},
         _pick("status", ["active", "completed", "pending", "suspended"], [5, 2, 2, 1]),
-    ], "Program", seed)
-    vendor = node_table(t.supplier, "s_suppkey", [
+    ], "Program", seed), "program_id")
+    g.add_nodes("Vendor", lambda: node_table(t.supplier, "s_suppkey", [
         _id("vendor_id", "VND-", 4),
         {**_pick("_last", pools.LAST_NAMES), "omit": True},
         {**_pick("_kind", VENDOR_TYPES), "omit": True},
@@ -269,97 +275,116 @@ def grants_graph(t: Tables, seed=SEED) -> Graph:
         _pick("state", pools.STATES),
         _flag("minority_owned", 0.18),
         _flag("small_business", 0.35),
-    ], "Vendor", seed)
-    item = node_table(t.orders, "o_orderkey", [
+    ], "Vendor", seed), "vendor_id")
+    g.add_nodes("LineItem", lambda: node_table(t.orders, "o_orderkey", [
         _id("line_item_id", "LI-", 6),
         _rng("amount", "decimal(12,2)", 100, 500000),
         _pick("type", ["expenditure", "encumbrance", "allocation", "transfer"], [5, 2, 2, 1]),
-    ], "LineItem", seed)
-    for lbl, df, k in [("FundingSource", fund, "fund_id"), ("Agency", agency, "agency_id"),
-                       ("Program", program, "program_id"), ("Vendor", vendor, "vendor_id"),
-                       ("LineItem", item, "line_item_id")]:
-        g.add_nodes(lbl, df, k)
-    rel = "FUNDS"
-    fe = E.bernoulli_edges(fund.select("_ord", "fiscal_year"), "_ord", rows(t.nation), 0.3, seed, rel)
-    fe = fe.join(fund.select(F.col("_ord").alias("src"), "fiscal_year"), "src")
-    g.add_edges(rel, "FundingSource", "Agency", fe.select(
+    ], "LineItem", seed), "line_item_id")
+    def _funds_fundingsource() -> DataFrame:
+        rel = "FUNDS"
+        fe = E.bernoulli_edges(g.node("FundingSource").select("_ord", "fiscal_year"), "_ord", rows(t.nation), 0.3, seed, rel)
+        fe = fe.join(g.node("FundingSource").select(F.col("_ord").alias("src"), "fiscal_year"), "src")
+        return fe.select(
         _ids(fe, "src", "FUND-", 3).alias("src"), _ids(fe, "dst_ord", "AGY-", 3).alias("dst"),
         int_between(_u(seed, rel, "amount", F.col("src"), F.col("dst_ord")), 0, 4999999).alias("amount"),
-        "fiscal_year"))
-    rel = "MANAGES"
-    me = E.bernoulli_edges(agency.select("_ord"), "_ord", rows(t.part), 0.15, seed, rel)
-    g.add_edges(rel, "Agency", "Program", me.select(
+        "fiscal_year")
+    g.add_edges("FUNDS", "FundingSource", "Agency", _funds_fundingsource)
+    def _manages_agency() -> DataFrame:
+        rel = "MANAGES"
+        me = E.bernoulli_edges(g.node("Agency").select("_ord"), "_ord", rows(t.part), 0.15, seed, rel)
+        return me.select(
         _ids(me, "src", "AGY-", 3).alias("src"), _ids(me, "dst_ord", "PGM-", 4).alias("dst"),
-        pick(_u(seed, rel, "role", F.col("src"), F.col("dst_ord")), MANAGE_ROLES).alias("role")))
-    rel = "AWARDS"
-    ae = E.bernoulli_edges(program.select("_ord"), "_ord", rows(t.supplier), 0.05, seed, rel)
-    g.add_edges(rel, "Program", "Vendor", ae.select(
-        _ids(ae, "src", "PGM-", 4).alias("src"), _ids(ae, "dst_ord", "VND-", 4).alias("dst"),
-        int_between(_u(seed, rel, "amount", F.col("src"), F.col("dst_ord")), 0, 1999999).alias("contract_amount")))
-    rel = "SUBCONTRACTS"
-    se = E.bernoulli_edges(vendor.select("_ord", F.col("_ord").alias("_me")), "_ord", rows(t.supplier), 0.008, seed,
-                           rel, exclude_self_ordinal="_me")
-    g.add_edges(rel, "Vendor", "Vendor", se.select(
+        pick(_u(seed, rel, "role", F.col("src"), F.col("dst_ord")), MANAGE_ROLES).alias("role"))
+    g.add_edges("MANAGES", "Agency", "Program", _manages_agency)
+    def _awards_program() -> DataFrame:
+        return awards_edges(t, g.node("Program").select("_ord"), seed)
+    g.add_edges("AWARDS", "Program", "Vendor", _awards_program)
+    def _subcontracts_vendor() -> DataFrame:
+        rel = "SUBCONTRACTS"
+        se = E.bernoulli_edges(g.node("Vendor").select("_ord", F.col("_ord").alias("_me")), "_ord", rows(t.supplier), 0.008, seed,
+                               rel, exclude_self_ordinal="_me")
+        return se.select(
         _ids(se, "src", "VND-", 4).alias("src"), _ids(se, "dst_ord", "VND-", 4).alias("dst"),
-        int_between(_u(seed, rel, "pct", F.col("src"), F.col("dst_ord")), 5, 44).alias("percentage")))
-    rel = "HAS_LINE_ITEM"
-    n_items = t.orders.count()
-    n_prog = t.part.count()
-    hp = E.distinct_pairs(t.spark, n_items, n_prog, n_items, seed, rel)
-    g.add_edges(rel, "Program", "LineItem", hp.select(
-        _ids(hp, "a_ord", "PGM-", 4).alias("src"), _ids(hp, "b_ord", "LI-", 6).alias("dst")))
+        int_between(_u(seed, rel, "pct", F.col("src"), F.col("dst_ord")), 5, 44).alias("percentage"))
+    g.add_edges("SUBCONTRACTS", "Vendor", "Vendor", _subcontracts_vendor)
+    def _has_line_item_program() -> DataFrame:
+        rel = "HAS_LINE_ITEM"
+        n_items = t.orders.count()
+        n_prog = t.part.count()
+        hp = E.distinct_pairs(t.spark, n_items, n_prog, n_items, seed, rel)
+        return hp.select(
+        _ids(hp, "a_ord", "PGM-", 4).alias("src"), _ids(hp, "b_ord", "LI-", 6).alias("dst"))
+    g.add_edges("HAS_LINE_ITEM", "Program", "LineItem", _has_line_item_program)
     return g
 
 
+def awards_edges(t: Tables, program_ords: DataFrame, seed=SEED) -> DataFrame:
+    """AWARDS (Program -> Vendor, p = 0.05) for the given program ordinals.
+
+    Edges are a pure function of (seed, program), so the edges of any subset
+    of programs are exactly the subset of the full relationship: a query that
+    needs only a few programs regenerates only their edges.
+    """
+    rel = "AWARDS"
+    ae = E.bernoulli_edges(program_ords.select("_ord"), "_ord", rows(t.supplier), 0.05, seed, rel)
+    return ae.select(
+        _ids(ae, "src", "PGM-", 4).alias("src"), _ids(ae, "dst_ord", "VND-", 4).alias("dst"),
+        int_between(_u(seed, rel, "amount", F.col("src"), F.col("dst_ord")), 0, 1999999).alias("contract_amount"))
+
+
 # ------------------------------------------------------------ F3 citizen services
 def citizen_graph(t: Tables, seed=SEED) -> Graph:
     spark = t.spark
     g = Graph()
-    district = range_nodes(spark, 15, [
+    g.add_nodes("District", lambda: range_nodes(spark, 15, [
         _id("district_id", "DIST-", 2),
         {"name": "name", "type": "string", "expr": "concat('District ', _ord + 1)"},
-    ], "District", seed)
-    sdept = range_nodes(spark, len(SERVICE_DEPARTMENTS), [
+    ], "District", seed), "district_id")
+    g.add_nodes("ServiceDepartment", lambda: range_nodes(spark, len(SERVICE_DEPARTMENTS), [
         _id("dept_id", "SDEPT-", 2),
         _by_index("name", SERVICE_DEPARTMENTS, "_ord"),
-    ], "ServiceDepartment", seed)
-    asset = node_table(t.part, "p_partkey", [
+    ], "ServiceDepartment", seed), "dept_id")
+    g.add_nodes("Asset", lambda: node_table(t.part, "p_partkey", [
         _id("asset_id", "AST-", 5),
         _pick("type", ASSET_TYPES),
         _pick("condition", ["good", "fair", "poor", "critical"], [4, 3, 2, 1]),
         _rng("install_year", "int", 1970, 2024),
         _rng("_dist", "int", 1, 15),
-    ], "Asset", seed)
-    asset = asset.withColumn("district_id", padded("DIST-", F.col("_dist"), 2)).drop("_dist")
-    citizen = node_table(t.customer, "c_custkey", [
+    ], "Asset", seed).withColumn("district_id", padded("DIST-", F.col("_dist"), 2)).drop("_dist"), "asset_id")
+    g.add_nodes("Citizen", lambda: node_table(t.customer, "c_custkey", [
         _id("citizen_id", "CIT-", 5),
         _person("name"),
         _rng("district", "int", 1, 15),
-    ], "Citizen", seed)
-    request = _requests(t, seed)
-    for lbl, df, k in [("District", district, "district_id"), ("ServiceDepartment", sdept, "dept_id"),
-                       ("Asset", asset, "asset_id"), ("Citizen", citizen, "citizen_id"),
-                       ("ServiceRequest", request, "request_id")]:
-        g.add_nodes(lbl, df, k)
-    g.add_edges("IN_DISTRICT", "Asset", "District", E.fk_edges(asset, "asset_id", "district_id", district,
-                                                              "district_id"))
-    rel = "SUBMITTED"
-    n_cit, n_req = t.customer.count(), t.orders.count()
-    sp = E.distinct_pairs(spark, n_req, n_cit, n_req, seed, rel)
-    g.add_edges(rel, "Citizen", "ServiceRequest", sp.select(
-        _ids(sp, "a_ord", "CIT-", 5).alias("src"), _ids(sp, "b_ord", "SR-", 6).alias("dst")))
-    rel = "ASSIGNED_TO"
-    asg = E.k_targets(request.select("_ord", "created_date"), "_ord", len(SERVICE_DEPARTMENTS), 1, 1, seed, rel)
-    asg = asg.join(request.select(F.col("_ord").alias("src"), "created_date"), "src")
-    g.add_edges(rel, "ServiceRequest", "ServiceDepartment", asg.select(
+    ], "Citizen", seed), "citizen_id")
+    g.add_nodes("ServiceRequest", lambda: _requests(t, seed), "request_id")
+    def _in_district_asset() -> DataFrame:
+        return E.fk_edges(g.node("Asset"), "asset_id", "district_id", g.node("District"),
+                                                              "district_id")
+    g.add_edges("IN_DISTRICT", "Asset", "District", _in_district_asset)
+    def _submitted_citizen() -> DataFrame:
+        rel = "SUBMITTED"
+        n_cit, n_req = t.customer.count(), t.orders.count()
+        sp = E.distinct_pairs(spark, n_req, n_cit, n_req, seed, rel)
+        return sp.select(
+        _ids(sp, "a_ord", "CIT-", 5).alias("src"), _ids(sp, "b_ord", "SR-", 6).alias("dst"))
+    g.add_edges("SUBMITTED", "Citizen", "ServiceRequest", _submitted_citizen)
+    def _assigned_to_servicerequest() -> DataFrame:
+        rel = "ASSIGNED_TO"
+        asg = E.k_targets(g.node("ServiceRequest").select("_ord", "created_date"), "_ord", len(SERVICE_DEPARTMENTS), 1, 1, seed, rel)
+        asg = asg.join(g.node("ServiceRequest").select(F.col("_ord").alias("src"), "created_date"), "src")
+        return asg.select(
         _ids(asg, "src", "SR-", 6).alias("src"), _ids(asg, "dst_ord", "SDEPT-", 2).alias("dst"),
-        F.col("created_date").alias("assigned_date")))
-    rel = "AFFECTS"
-    # the source keeps ~30% of requests and gives each one asset
-    src = request.filter(_u(seed, rel, "keep", F.col("_ord")) < 0.3).select("_ord")
-    af = E.k_targets(src, "_ord", rows(t.part), 1, 1, seed, rel)
-    g.add_edges(rel, "ServiceRequest", "Asset", af.select(
-        _ids(af, "src", "SR-", 6).alias("src"), _ids(af, "dst_ord", "AST-", 5).alias("dst")))
+        F.col("created_date").alias("assigned_date"))
+    g.add_edges("ASSIGNED_TO", "ServiceRequest", "ServiceDepartment", _assigned_to_servicerequest)
+    def _affects_servicerequest() -> DataFrame:
+        rel = "AFFECTS"
+        # the source keeps ~30% of requests and gives each one asset
+        src = g.node("ServiceRequest").filter(_u(seed, rel, "keep", F.col("_ord")) < 0.3).select("_ord")
+        af = E.k_targets(src, "_ord", rows(t.part), 1, 1, seed, rel)
+        return af.select(
+        _ids(af, "src", "SR-", 6).alias("src"), _ids(af, "dst_ord", "AST-", 5).alias("dst"))
+    g.add_edges("AFFECTS", "ServiceRequest", "Asset", _affects_servicerequest)
     return g
 
 
@@ -380,7 +405,7 @@ def _requests(t: Tables, seed) -> DataFrame:
 def early_warning_graph(t: Tables, seed=SEED) -> Graph:
     spark = t.spark
     g = Graph()
-    school = node_table(t.nation, "n_nationkey", [
+    g.add_nodes("School", lambda: node_table(t.nation, "n_nationkey", [
         _id("school_id", "SCH-", 3),
         {**_pick("_kind", ["Elementary", "Middle", "High"]), "omit": True},
         {"name": "name", "type": "string",
@@ -388,20 +413,20 @@ def early_warning_graph(t: Tables, seed=SEED) -> Graph:
         _pick("type", ["elementary", "middle", "high"], [5, 3, 2]),
         _rng("enrollment", "int", 200, 2500),
         _flag("title_i", 0.55),
-    ], "School", seed)
+    ], "School", seed), "school_id")
     n_school = rows(t.nation)
-    teacher = node_table(t.supplier, "s_suppkey", [
+    g.add_nodes("Teacher", lambda: node_table(t.supplier, "s_suppkey", [
         _id("teacher_id", "TCH-", 4),
         _person("name"),
         _pick("subject", SUBJECTS),
         {"name": "school_id", "type": "string", "parts": ["SCH-", {"mod": n_school, "offset": 1, "pad": 3}]},
-    ], "Teacher", seed)
-    risk = range_nodes(spark, len(RISK_INDICATORS), [
+    ], "Teacher", seed), "teacher_id")
+    g.add_nodes("RiskIndicator", lambda: range_nodes(spark, len(RISK_INDICATORS), [
         _id("indicator_id", "RI-", 2),
         _by_index("name", RISK_INDICATORS, "_ord"),
         _pick("category", ["academic", "behavioral", "social_emotional", "environmental"]),
-    ], "RiskIndicator", seed)
-    student = node_table(t.customer, "c_custkey", [
+    ], "RiskIndicator", seed), "indicator_id")
+    g.add_nodes("K12Student", lambda: node_table(t.customer, "c_custkey", [
         _id("student_id", "K12-", 5),
         _person("name"),
         _rng("grade_level", "int", 1, 12),
@@ -410,54 +435,62 @@ def early_warning_graph(t: Tables, seed=SEED) -> Graph:
         _rng("risk_score", "decimal(5,1)", 0, 100),
         _pick("behavior_incidents_ytd", list(range(15)), [50, 10, 8, 6, 5, 4, 3, 2, 2, 2, 1, 1, 1, 1, 1], "int"),
         _flag("gifted", 0.08),
-    ], "K12Student", seed)
-    interv = node_table(t.part, "p_partkey", [
+    ], "K12Student", seed), "student_id")
+    g.add_nodes("Intervention", lambda: node_table(t.part, "p_partkey", [
         _id("intervention_id", "INT-", 5),
         _pick("type", INTERVENTION_TYPES),
         _pick("status", ["active", "completed", "discontinued", "pending"], [4, 3, 2, 1]),
-    ], "Intervention", seed)
-    for lbl, df, k in [("School", school, "school_id"), ("Teacher", teacher, "teacher_id"),
-                       ("RiskIndicator", risk, "indicator_id"), ("K12Student", student, "student_id"),
-                       ("Intervention", interv, "intervention_id")]:
-        g.add_nodes(lbl, df, k)
-    g.add_edges("WORKS_AT", "Teacher", "School", E.fk_edges(teacher, "teacher_id", "school_id", school, "school_id"))
-    rel = "ATTENDS"
-    at = E.k_targets(student.select("_ord"), "_ord", n_school, 1, 1, seed, rel)
-    at = at.withColumn("school_id", _ids(at, "dst_ord", "SCH-", 3))
-    g.add_edges(rel, "K12Student", "School", at.select(_ids(at, "src", "K12-", 5).alias("src"),
-                                                        F.col("school_id").alias("dst")))
-    rel = "TAUGHT_BY"
-    st = at.select(F.col("src").alias("_s"), "school_id")
-    tb = E.two_hop_targets(st, "_s", "school_id", teacher, "teacher_id", "school_id", 3, seed, rel)
-    # 3..7 teachers per student in the source; k is drawn per student below the school's size
-    g.add_edges(rel, "K12Student", "Teacher", tb.select(
-        _ids(tb, "src", "K12-", 5).alias("src"), F.col("dst"),
-        int_between(_u(seed, rel, "period", F.col("src"), F.col("dst")), 1, 8).alias("period")))
-    rel = "TARGETS"
-    te = E.bernoulli_edges(interv.select("_ord"), "_ord", len(RISK_INDICATORS), 0.15, seed, rel)
-    g.add_edges(rel, "Intervention", "RiskIndicator", te.select(
-        _ids(te, "src", "INT-", 5).alias("src"), _ids(te, "dst_ord", "RI-", 2).alias("dst")))
-    rel = "RECEIVED"
-    risky = student.filter(F.col("risk_score") > 40).select("_ord")
-    re_ = E.k_targets(risky, "_ord", rows(t.part), 1, 2, seed, rel)
-    g.add_edges(rel, "K12Student", "Intervention", re_.select(
+    ], "Intervention", seed), "intervention_id")
+    def _works_at_teacher() -> DataFrame:
+        return E.fk_edges(g.node("Teacher"), "teacher_id", "school_id", g.node("School"), "school_id")
+    g.add_edges("WORKS_AT", "Teacher", "School", _works_at_teacher)
+    def _attends_raw() -> DataFrame:
+        at = E.k_targets(g.node("K12Student").select("_ord"), "_ord", n_school, 1, 1, seed, "ATTENDS")
+        return at.withColumn("school_id", _ids(at, "dst_ord", "SCH-", 3))
+
+    def _attends_k12student() -> DataFrame:
+        at = _attends_raw()
+        return at.select(_ids(at, "src", "K12-", 5).alias("src"), F.col("school_id").alias("dst"))
+    g.add_edges("ATTENDS", "K12Student", "School", _attends_k12student)
+
+    def _taught_by_k12student() -> DataFrame:
+        rel = "TAUGHT_BY"
+        st = _attends_raw().select(F.col("src").alias("_s"), "school_id")
+        tb = E.two_hop_targets(st, "_s", "school_id", g.node("Teacher"), "teacher_id", "school_id", 3, seed, rel)
+        # teachers of the student's own school, drawn inside the school (no student x teacher pairs)
+        return tb.select(
+            _ids(tb, "src", "K12-", 5).alias("src"), F.col("dst"),
+            int_between(_u(seed, rel, "period", F.col("src"), F.col("dst")), 1, 8).alias("period"))
+    g.add_edges("TAUGHT_BY", "K12Student", "Teacher", _taught_by_k12student)
+    def _targets_intervention() -> DataFrame:
+        rel = "TARGETS"
+        te = E.bernoulli_edges(g.node("Intervention").select("_ord"), "_ord", len(RISK_INDICATORS), 0.15, seed, rel)
+        return te.select(
+        _ids(te, "src", "INT-", 5).alias("src"), _ids(te, "dst_ord", "RI-", 2).alias("dst"))
+    g.add_edges("TARGETS", "Intervention", "RiskIndicator", _targets_intervention)
+    def _received_k12student() -> DataFrame:
+        rel = "RECEIVED"
+        risky = g.node("K12Student").filter(F.col("risk_score") > 40).select("_ord")
+        re_ = E.k_targets(risky, "_ord", rows(t.part), 1, 2, seed, rel)
+        return re_.select(
         _ids(re_, "src", "K12-", 5).alias("src"), _ids(re_, "dst_ord", "INT-", 5).alias("dst"),
-        pick(_u(seed, rel, "ref", F.col("src"), F.col("j")), REFERRERS).alias("referred_by")))
+        pick(_u(seed, rel, "ref", F.col("src"), F.col("j")), REFERRERS).alias("referred_by"))
+    g.add_edges("RECEIVED", "K12Student", "Intervention", _received_k12student)
     return g
 
 
 # ----------------------------------------------------------------- F5 procurement
 def procurement_graph(t: Tables, seed=SEED) -> Graph:
     g = Graph()
-    agency = node_table(t.nation, "n_nationkey", [
+    g.add_nodes("ProcAgency", lambda: node_table(t.nation, "n_nationkey", [
         _id("agency_id", "PAGY-", 3),
         {**_pick("_city", pools.CITIES), "omit": True},
         {"name": "name", "type": "string",
          "expr": f"concat(_city, ' ', element_at({_arr(PROC_AGENCY_NAMES)}, "
                  f"cast(pmod(_ord, {len(PROC_AGENCY_NAMES)}) + 1 as int)))"},
         _pick("state", pools.STATES),
-    ], "ProcAgency", seed)
-    vendor = node_table(t.supplier, "s_suppkey", [
+    ], "ProcAgency", seed), "agency_id")
+    g.add_nodes("ProcVendor", lambda: node_table(t.supplier, "s_suppkey", [
         _id("vendor_id", "PVND-", 4),
         {**_pick("_last", pools.LAST_NAMES), "omit": True},
         {**_pick("_kind", PROC_VENDOR_KINDS), "omit": True},
@@ -466,44 +499,49 @@ def procurement_graph(t: Tables, seed=SEED) -> Graph:
         _pick("state", pools.STATES),
         _flag("minority_owned", 0.18),
         _flag("small_business", 0.35),
-    ], "ProcVendor", seed)
-    contract = node_table(t.part, "p_partkey", [
+    ], "ProcVendor", seed), "vendor_id")
+    g.add_nodes("Contract", lambda: node_table(t.part, "p_partkey", [
         _id("contract_id", "CTR-", 5),
         _rng("amount", "decimal(14,2)", 5000, 25000000),
         _pick("method", METHODS, METHOD_WEIGHTS),
         _pick("category", COMMODITY_CATEGORIES),
         _pick("status", ["active", "completed", "pending", "terminated", "expired"], [4, 3, 1, 1, 1]),
-    ], "Contract", seed)
-    lobby = node_table(t.supplier, "s_suppkey", [
+    ], "Contract", seed), "contract_id")
+    g.add_nodes("Lobbyist", lambda: node_table(t.supplier, "s_suppkey", [
         _id("lobbyist_id", "LOB-", 4),
         _person("name"),
         {**_pick("_l1", pools.LAST_NAMES), "omit": True},
         {**_pick("_l2", pools.LAST_NAMES), "omit": True},
         {**_pick("_fk", FIRM_KINDS), "omit": True},
         {"name": "firm", "type": "string", "expr": "concat(_l1, ' & ', _l2, ' ', _fk)"},
-    ], "Lobbyist", seed)
-    for lbl, df, k in [("ProcAgency", agency, "agency_id"), ("ProcVendor", vendor, "vendor_id"),
-                       ("Contract", contract, "contract_id"), ("Lobbyist", lobby, "lobbyist_id")]:
-        g.add_nodes(lbl, df, k)
-    rel = "ISSUED"
-    n_ag, n_ct = t.nation.count(), t.part.count()
-    iss = E.distinct_pairs(t.spark, n_ct, n_ag, n_ct, seed, rel)
-    g.add_edges(rel, "ProcAgency", "Contract", iss.select(
-        _ids(iss, "a_ord", "PAGY-", 3).alias("src"), _ids(iss, "b_ord", "CTR-", 5).alias("dst")))
-    rel = "AWARDED_TO"
-    aw = E.k_targets(contract.select("_ord"), "_ord", rows(t.supplier), 1, 1, seed, rel)
-    g.add_edges(rel, "Contract", "ProcVendor", aw.select(
-        _ids(aw, "src", "CTR-", 5).alias("src"), _ids(aw, "dst_ord", "PVND-", 4).alias("dst")))
-    rel = "SUBCONTRACTS_TO"
-    sc = E.bernoulli_edges(vendor.select("_ord", F.col("_ord").alias("_me")), "_ord", rows(t.supplier), 0.005, seed,
-                           rel, exclude_self_ordinal="_me")
-    g.add_edges(rel, "ProcVendor", "ProcVendor", sc.select(
+    ], "Lobbyist", seed), "lobbyist_id")
+    def _issued_procagency() -> DataFrame:
+        rel = "ISSUED"
+        n_ag, n_ct = t.nation.count(), t.part.count()
+        iss = E.distinct_pairs(t.spark, n_ct, n_ag, n_ct, seed, rel)
+        return iss.select(
+        _ids(iss, "a_ord", "PAGY-", 3).alias("src"), _ids(iss, "b_ord", "CTR-", 5).alias("dst"))
+    g.add_edges("ISSUED", "ProcAgency", "Contract", _issued_procagency)
+    def _awarded_to_contract() -> DataFrame:
+        rel = "AWARDED_TO"
+        aw = E.k_targets(g.node("Contract").select("_ord"), "_ord", rows(t.supplier), 1, 1, seed, rel)
+        return aw.select(
+        _ids(aw, "src", "CTR-", 5).alias("src"), _ids(aw, "dst_ord", "PVND-", 4).alias("dst"))
+    g.add_edges("AWARDED_TO", "Contract", "ProcVendor", _awarded_to_contract)
+    def _subcontracts_to_procvendor() -> DataFrame:
+        rel = "SUBCONTRACTS_TO"
+        sc = E.bernoulli_edges(g.node("ProcVendor").select("_ord", F.col("_ord").alias("_me")), "_ord", rows(t.supplier), 0.005, seed,
+                               rel, exclude_self_ordinal="_me")
+        return sc.select(
         _ids(sc, "src", "PVND-", 4).alias("src"), _ids(sc, "dst_ord", "PVND-", 4).alias("dst"),
-        int_between(_u(seed, rel, "pct", F.col("src"), F.col("dst_ord")), 5, 44).alias("percentage")))
-    rel = "REPRESENTS"
-    rp = E.bernoulli_edges(lobby.select("_ord"), "_ord", rows(t.supplier), 0.02, seed, rel)
-    g.add_edges(rel, "Lobbyist", "ProcVendor", rp.select(
-        _ids(rp, "src", "LOB-", 4).alias("src"), _ids(rp, "dst_ord", "PVND-", 4).alias("dst")))
+        int_between(_u(seed, rel, "pct", F.col("src"), F.col("dst_ord")), 5, 44).alias("percentage"))
+    g.add_edges("SUBCONTRACTS_TO", "ProcVendor", "ProcVendor", _subcontracts_to_procvendor)
+    def _represents_lobbyist() -> DataFrame:
+        rel = "REPRESENTS"
+        rp = E.bernoulli_edges(g.node("Lobbyist").select("_ord"), "_ord", rows(t.supplier), 0.02, seed, rel)
+        return rp.select(
+        _ids(rp, "src", "LOB-", 4).alias("src"), _ids(rp, "dst_ord", "PVND-", 4).alias("dst"))
+    g.add_edges("REPRESENTS", "Lobbyist", "ProcVendor", _represents_lobbyist)
     return g
 
 
@@ -511,75 +549,83 @@ def procurement_graph(t: Tables, seed=SEED) -> Graph:
 def benefits_graph(t: Tables, seed=SEED) -> Graph:
     spark = t.spark
     g = Graph()
-    agency = node_table(t.nation, "n_nationkey", [
+    g.add_nodes("HHSAgency", lambda: node_table(t.nation, "n_nationkey", [
         _id("agency_id", "HHS-", 3),
         {**_pick("_city", pools.CITIES), "omit": True},
         {**_pick("_kind", HHS_AGENCY_NAMES), "omit": True},
         {"name": "name", "type": "string", "expr": "concat(_city, ' ', _kind)"},
         _pick("type", HHS_AGENCY_NAMES),
-    ], "HHSAgency", seed)
-    program = range_nodes(spark, len(HHS_PROGRAMS), [
+    ], "HHSAgency", seed), "agency_id")
+    g.add_nodes("HHSProgram", lambda: range_nodes(spark, len(HHS_PROGRAMS), [
         _id("program_id", "HHSP-", 2),
         _by_index("name", HHS_PROGRAMS, "_ord"),
         _pick("category", ["nutrition", "healthcare", "cash_assistance", "housing", "employment", "disability",
                            "child_welfare"]),
-    ], "HHSProgram", seed)
+    ], "HHSProgram", seed), "program_id")
     n_ag = rows(t.nation)
-    worker = node_table(t.supplier, "s_suppkey", [
+    g.add_nodes("Caseworker", lambda: node_table(t.supplier, "s_suppkey", [
         _id("caseworker_id", "CW-", 4),
         _person("name"),
         _pick("specialization", SPECIALIZATIONS),
         {"name": "agency_id", "type": "string", "parts": ["HHS-", {"mod": n_ag, "offset": 1, "pad": 3}]},
-    ], "Caseworker", seed)
-    client = node_table(t.customer, "c_custkey", [
+    ], "Caseworker", seed), "caseworker_id")
+    g.add_nodes("Client", lambda: node_table(t.customer, "c_custkey", [
         _id("client_id", "CLT-", 5),
         _person("name"),
         _pick("household_size", HOUSEHOLD, HOUSEHOLD_WEIGHTS, "int"),
         _pick("income_bracket", INCOME, INCOME_WEIGHTS),
         {**_pick("_city", pools.CITIES), "omit": True},
         {"name": "county", "type": "string", "expr": "concat(_city, ' County')"},
-    ], "Client", seed)
-    case = node_table(t.orders, "o_orderkey", [
+    ], "Client", seed), "client_id")
+    g.add_nodes("Case", lambda: node_table(t.orders, "o_orderkey", [
         _id("case_id", "CASE-", 6),
         _pick("status", ["open", "under_review", "approved", "denied", "closed", "appealed"], [3, 2, 4, 2, 3, 1]),
         _pick("priority", ["emergency", "urgent", "standard", "low"], [1, 2, 5, 2]),
         _pick("determination", ["approved", "denied", "pending", "deferred", "conditional"], [5, 2, 2, 1, 1]),
         _rng("benefit_amount", "decimal(10,2)", 0, 15000),
-    ], "Case", seed)
-    for lbl, df, k in [("HHSAgency", agency, "agency_id"), ("HHSProgram", program, "program_id"),
-                       ("Caseworker", worker, "caseworker_id"), ("Client", client, "client_id"),
-                       ("Case", case, "case_id")]:
-        g.add_nodes(lbl, df, k)
-    g.add_edges("WORKS_AT", "Caseworker", "HHSAgency", E.fk_edges(worker, "caseworker_id", "agency_id", agency,
-                                                                  "agency_id"))
-    rel = "ADMINISTERS"
-    ad = E.bernoulli_edges(agency.select("_ord"), "_ord", len(HHS_PROGRAMS), 0.25, seed, rel)
-    g.add_edges(rel, "HHSAgency", "HHSProgram", ad.select(
-        _ids(ad, "src", "HHS-", 3).alias("src"), _ids(ad, "dst_ord", "HHSP-", 2).alias("dst")))
-    rel = "HAS_CASE"
-    n_cl, n_cs = t.customer.count(), t.orders.count()
-    hc = E.distinct_pairs(spark, n_cs, n_cl, n_cs, seed, rel)
-    g.add_edges(rel, "Client", "Case", hc.select(
-        _ids(hc, "a_ord", "CLT-", 5).alias("src"), _ids(hc, "b_ord", "CASE-", 6).alias("dst")))
-    rel = "MANAGED_BY"
-    mb = E.k_targets(case.select("_ord"), "_ord", rows(t.supplier), 1, 1, seed, rel)
-    g.add_edges(rel, "Case", "Caseworker", mb.select(
-        _ids(mb, "src", "CASE-", 6).alias("src"), _ids(mb, "dst_ord", "CW-", 4).alias("dst")))
-    rel = "ENROLLED_IN"
-    appr = case.filter(F.col("determination") == "approved").select("_ord")
-    en = E.k_targets(appr, "_ord", len(HHS_PROGRAMS), 1, 2, seed, rel)
-    g.add_edges(rel, "Case", "HHSProgram", en.select(
-        _ids(en, "src", "CASE-", 6).alias("src"), _ids(en, "dst_ord", "HHSP-", 2).alias("dst")))
-    rel = "REFERRED"
-    # Bernoulli 0.003 inside each county, no self pairs: ordinals inside the county block
-    cl = E.ordinals(client.select("_ord", "county"), "_ord", ["county"], "_bo")
-    sizes = cl.groupBy("county").agg(F.count("*").alias("_bn"))
-    src = cl.join(sizes, "county")
-    rf = E.bernoulli_edges(src.select("_ord", "county", "_bn", F.col("_bo").alias("_me")), "_ord", F.col("_bn"),
-                           0.003, seed, rel, block="county", exclude_self_ordinal="_me")
-    rf = rf.join(cl.select(F.col("_ord").alias("_dst"), "county", F.col("_bo").alias("dst_ord")), ["county", "dst_ord"])
-    g.add_edges(rel, "Client", "Client", rf.select(
-        _ids(rf, "src", "CLT-", 5).alias("src"), _ids(rf, "_dst", "CLT-", 5).alias("dst")))
+    ], "Case", seed), "case_id")
+    def _works_at_caseworker() -> DataFrame:
+        return E.fk_edges(g.node("Caseworker"), "caseworker_id", "agency_id", g.node("HHSAgency"),
+                                                                  "agency_id")
+    g.add_edges("WORKS_AT", "Caseworker", "HHSAgency", _works_at_caseworker)
+    def _administers_hhsagency() -> DataFrame:
+        rel = "ADMINISTERS"
+        ad = E.bernoulli_edges(g.node("HHSAgency").select("_ord"), "_ord", len(HHS_PROGRAMS), 0.25, seed, rel)
+        return ad.select(
+        _ids(ad, "src", "HHS-", 3).alias("src"), _ids(ad, "dst_ord", "HHSP-", 2).alias("dst"))
+    g.add_edges("ADMINISTERS", "HHSAgency", "HHSProgram", _administers_hhsagency)
+    def _has_case_client() -> DataFrame:
+        rel = "HAS_CASE"
+        n_cl, n_cs = t.customer.count(), t.orders.count()
+        hc = E.distinct_pairs(spark, n_cs, n_cl, n_cs, seed, rel)
+        return hc.select(
+        _ids(hc, "a_ord", "CLT-", 5).alias("src"), _ids(hc, "b_ord", "CASE-", 6).alias("dst"))
+    g.add_edges("HAS_CASE", "Client", "Case", _has_case_client)
+    def _managed_by_case() -> DataFrame:
+        rel = "MANAGED_BY"
+        mb = E.k_targets(g.node("Case").select("_ord"), "_ord", rows(t.supplier), 1, 1, seed, rel)
+        return mb.select(
+        _ids(mb, "src", "CASE-", 6).alias("src"), _ids(mb, "dst_ord", "CW-", 4).alias("dst"))
+    g.add_edges("MANAGED_BY", "Case", "Caseworker", _managed_by_case)
+    def _enrolled_in_case() -> DataFrame:
+        rel = "ENROLLED_IN"
+        appr = g.node("Case").filter(F.col("determination") == "approved").select("_ord")
+        en = E.k_targets(appr, "_ord", len(HHS_PROGRAMS), 1, 2, seed, rel)
+        return en.select(
+        _ids(en, "src", "CASE-", 6).alias("src"), _ids(en, "dst_ord", "HHSP-", 2).alias("dst"))
+    g.add_edges("ENROLLED_IN", "Case", "HHSProgram", _enrolled_in_case)
+    def _referred_client() -> DataFrame:
+        rel = "REFERRED"
+        # Bernoulli 0.003 inside each county, no self pairs: ordinals inside the county block
+        cl = E.ordinals(g.node("Client").select("_ord", "county"), "_ord", ["county"], "_bo")
+        sizes = cl.groupBy("county").agg(F.count("*").alias("_bn"))
+        src = cl.join(sizes, "county")
+        rf = E.bernoulli_edges(src.select("_ord", "county", "_bn", F.col("_bo").alias("_me")), "_ord", F.col("_bn"),
+                               0.003, seed, rel, block="county", exclude_self_ordinal="_me")
+        rf = rf.join(cl.select(F.col("_ord").alias("_dst"), "county", F.col("_bo").alias("dst_ord")), ["county", "dst_ord"])
+        return rf.select(
+        _ids(rf, "src", "CLT-", 5).alias("src"), _ids(rf, "_dst", "CLT-", 5).alias("dst"))
+    g.add_edges("REFERRED", "Client", "Client", _referred_client)
     return g
 
 
