@@ -223,7 +223,7 @@ def enrolment_graph(t: Tables, seed=SEED) -> Graph:
         pur = E.k_targets(g.node("Student").select("_ord"), "_ord", 45, 1, 1, seed, rel)
         return pur.select(
         _ids(pur, "src", "STU-", 6).alias("src"), _ids(pur, "dst_ord", "PGM-", 3).alias("dst"),
-        pick(_u(seed, rel, "start", F.col("src")), START_SEMESTERS).alias("start_semester"),
+        pick(_u(seed, rel, "start_semester", F.col("src")), START_SEMESTERS).alias("start_semester"),
         pick(_u(seed, rel, "grad", F.col("src")), GRADUATIONS).alias("expected_graduation"),
         (_u(seed, rel, "adv", F.col("src")) > 0.2).alias("advisor_assigned"))
     g.add_edges("PURSUING", "Student", "DegreeProgram", _pursuing_student)

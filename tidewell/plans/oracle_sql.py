@@ -701,3 +701,73 @@ def _add_source_oracles():
 
 
 _add_source_oracles()
+
+
+def _add_graph_export_oracles():
+    from . import graphs as GR
+    O = ORACLE
+    npart, nnation = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM nation)"
+    sj = "CAST(src AS VARCHAR) || ':' || CAST(j AS VARCHAR)"
+    st, cs = f"{SEED}/Student", f"{SEED}/Course"
+    student = (f"(SELECT c_custkey, concat('STU-', lpad(CAST(c_custkey + 1 AS VARCHAR), 6, '0')) AS student_id, "
+               f"{dspec(GR._person('name'), 'c_custkey', st)} AS student_name, "
+               f"{dspec(GR._pick('campus', GR.CAMPUSES), 'c_custkey', st)} AS campus, "
+               f"{dspec(GR._rng('gpa', 'decimal(3,2)', 1.5, 4.0), 'c_custkey', st)} AS gpa FROM customer)")
+    lvl_off = (f"CAST({dspec(GR._pick('_lvl', GR.COURSE_LEVELS, type_='int'), 'p_partkey', cs)} + "
+               f"{dspec(GR._rng('_off', 'int', 0, 9), 'p_partkey', cs)} AS VARCHAR)")
+    course = (f"(SELECT p_partkey, concat('CRS-', lpad(CAST(p_partkey + 1 AS VARCHAR), 4, '0')) AS course_id, "
+              f"concat({dspec(GR._pick('_prefix', GR.COURSE_PREFIXES), 'p_partkey', cs)}, ' ', "
+              f"{dlist(GR.DEPARTMENTS, 'p_partkey % 18')}, ' ', lpad({lvl_off}, 3, '0')) AS course_name, "
+              f"CAST({dspec(GR._pick('level', GR.COURSE_LEVELS, type_='int'), 'p_partkey', cs)} AS INTEGER) AS level, "
+              f"{dspec(GR._pick('semester', GR.SEMESTERS), 'p_partkey', cs)} AS semester, "
+              f"concat('DEPT-', lpad(CAST(p_partkey % 18 + 1 AS VARCHAR), 3, '0')) AS department_id, "
+              f"{dlist(GR.DEPARTMENTS, 'p_partkey % 18')} AS department FROM part)")
+    enr = dk_targets("customer", "c_custkey", "ENROLLED_IN", npart, 2, 5)
+    O["graph_h23_export_enrolment"] = (
+        f"SELECT s.student_id, s.student_name, s.campus, c.course_id, "
+        f"{dpick(du('ENROLLED_IN#grade', sj), GR.GRADES12)} AS grade, c.semester, "
+        f"{dpick(du('ENROLLED_IN#status', sj), GR.ENROLL_STATUS)} AS status, c.course_name, c.level, "
+        f"c.department_id, c.department FROM {enr} e JOIN {student} s ON s.c_custkey = e.src "
+        f"JOIN {course} c ON c.p_partkey = e.dst_ord")
+    pur = dk_targets("customer", "c_custkey", "PURSUING", "45", 1, 1)
+    O["graph_h24_export_degree_pathways"] = (
+        f"SELECT s.student_id, s.student_name, s.gpa, concat('PGM-', lpad(CAST(p.dst_ord + 1 AS VARCHAR), 3, '0')) "
+        f"AS program_id, {dpick(du('PURSUING#start_semester', 'p.src'), GR.START_SEMESTERS)} AS start_semester, "
+        f"{dpick(du('PURSUING#grad', 'p.src'), GR.GRADUATIONS)} AS expected_graduation, "
+        f"({du('PURSUING#adv', 'p.src')} > 0.2) AS advisor_assigned, "
+        f"concat({dlist(GR.DEPARTMENTS, 'p.dst_ord % 18')}, ' ', {dlist(GR.DEGREE_TYPES, 'p.dst_ord % 10')}) "
+        f"AS program_name, {dlist(GR.DEGREE_TYPES, 'p.dst_ord % 10')} AS degree_type "
+        f"FROM {pur} p JOIN {student} s ON s.c_custkey = p.src")
+    ks, ss, iv = f"{SEED}/K12Student", f"{SEED}/School", f"{SEED}/Intervention"
+    k12 = (f"(SELECT c_custkey, concat('K12-', lpad(CAST(c_custkey + 1 AS VARCHAR), 5, '0')) AS student_id, "
+           f"{dspec(GR._person('name'), 'c_custkey', ks)} AS name, "
+           f"{dspec(GR._rng('risk_score', 'decimal(5,1)', 0, 100), 'c_custkey', ks)} AS risk_score, "
+           f"{dspec(GR._rng('attendance_rate', 'decimal(5,1)', 60, 100), 'c_custkey', ks)} AS attendance_rate, "
+           f"{dspec(GR._rng('gpa', 'decimal(3,2)', 0.5, 4.0), 'c_custkey', ks)} AS gpa, "
+           f"{dspec(GR._pick('behavior_incidents_ytd', list(range(15)), [50, 10, 8, 6, 5, 4, 3, 2, 2, 2, 1, 1, 1, 1, 1], 'int'), 'c_custkey', ks)} AS incidents "
+           f"FROM customer)")
+    kind = dspec(GR._pick("_kind", ["Elementary", "Middle", "High"]), "n_nationkey", ss)
+    school = (f"(SELECT n_nationkey AS sord, concat('SCH-', lpad(CAST(n_nationkey + 1 AS VARCHAR), 3, '0')) AS school_id, "
+              f"concat({dlist(GR.SCHOOL_PREFIXES, f'n_nationkey % {len(GR.SCHOOL_PREFIXES)}')}, ' ', {kind}, "
+              f"' School') AS school FROM nation)")
+    attends = dk_targets("customer", "c_custkey", "ATTENDS", nnation, 1, 1)
+    risky = f"(SELECT c_custkey FROM {k12} x WHERE risk_score > 40)"
+    received = dk_targets(risky, "c_custkey", "RECEIVED", npart, 1, 2)
+    interv = (f"(SELECT p_partkey, concat('INT-', lpad(CAST(p_partkey + 1 AS VARCHAR), 5, '0')) AS intervention_id, "
+              f"{dspec(GR._pick('type', GR.INTERVENTION_TYPES), 'p_partkey', iv)} AS intervention FROM part)")
+    rec = (f"(SELECT r.src, i.intervention_id, {dpick(du('RECEIVED#ref', sj.replace('src', 'r.src').replace('j AS', 'r.j AS')), GR.REFERRERS)} "
+           f"AS referred_by, i.intervention FROM {received} r JOIN {interv} i ON i.p_partkey = r.dst_ord)")
+    O["graph_h28_export_early_warning"] = (
+        f"SELECT k.student_id, k.name, k.risk_score, k.attendance_rate, sc.school_id, sc.school, "
+        f"rec.intervention_id, rec.referred_by, rec.intervention FROM {k12} k "
+        f"JOIN {attends} a ON a.src = k.c_custkey JOIN {school} sc ON sc.sord = a.dst_ord "
+        f"LEFT JOIN {rec} rec ON rec.src = k.c_custkey")
+    O["graph_h21_low_attendance"] = (
+        f"SELECT k.student_id, k.name, CAST(k.attendance_rate AS DOUBLE) AS attendance_rate, "
+        f"CAST(k.gpa AS DOUBLE) AS gpa, sc.school, coalesce((SELECT string_agg(rec.intervention, ',' "
+        f"ORDER BY rec.intervention) FROM {rec} rec WHERE rec.src = k.c_custkey), '') AS interventions "
+        f"FROM {k12} k JOIN {attends} a ON a.src = k.c_custkey JOIN {school} sc ON sc.sord = a.dst_ord "
+        f"WHERE k.attendance_rate < 80 AND k.incidents > 5 ORDER BY attendance_rate, student_id")
+
+
+_add_graph_export_oracles()
