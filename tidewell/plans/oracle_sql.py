@@ -771,3 +771,58 @@ def _add_graph_export_oracles():
 
 
 _add_graph_export_oracles()
+
+
+def _add_prerequisite_oracle():
+    from . import graphs as GR
+    cs = f"{SEED}/Course"
+    lvl_off = (f"CAST({dspec(GR._pick('_lvl', GR.COURSE_LEVELS, type_='int'), 'p_partkey', cs)} + "
+               f"{dspec(GR._rng('_off', 'int', 0, 9), 'p_partkey', cs)} AS VARCHAR)")
+    course = (f"SELECT concat('CRS-', lpad(CAST(p_partkey + 1 AS VARCHAR), 4, '0')) AS course_id, "
+              f"concat({dspec(GR._pick('_prefix', GR.COURSE_PREFIXES), 'p_partkey', cs)}, ' ', "
+              f"{dlist(GR.DEPARTMENTS, 'p_partkey % 18')}, ' ', lpad({lvl_off}, 3, '0')) AS name, "
+              f"CAST({dspec(GR._pick('level', GR.COURSE_LEVELS, type_='int'), 'p_partkey', cs)} AS INTEGER) AS level "
+              f"FROM part")
+    ORACLE["graph_h2_prerequisite_chains"] = (
+        f"WITH RECURSIVE c AS ({course}), "
+        f"o AS (SELECT course_id, level, row_number() OVER (ORDER BY level, course_id) - 1 AS ord FROM c), "
+        f"lo AS (SELECT level, min(ord) AS lower_n FROM o GROUP BY level), "
+        f"req AS (SELECT o.course_id AS src, t.course_id AS dst FROM o JOIN lo USING (level) "
+        f"JOIN o t ON t.ord = {dhash('REQUIRES#target', 'o.course_id')} % lo.lower_n "
+        f"WHERE o.level >= 200 AND lo.lower_n > 0 AND {du('REQUIRES#pick', 'o.course_id')} < 0.6), "
+        f"p(start, cur, depth, chain) AS ("
+        f"SELECT r.src, r.dst, 1, a.name || ' > ' || b.name FROM req r JOIN c a ON a.course_id = r.src "
+        f"JOIN c b ON b.course_id = r.dst "
+        f"UNION ALL SELECT p.start, r.dst, p.depth + 1, p.chain || ' > ' || b.name FROM p "
+        f"JOIN req r ON r.src = p.cur JOIN c b ON b.course_id = r.dst WHERE p.depth < 5) "
+        f"SELECT c.name AS course, c.level, p.depth AS prereq_depth, p.chain FROM p JOIN c ON c.course_id = p.start "
+        f"ORDER BY prereq_depth DESC, course, chain, level LIMIT 20")
+
+
+_add_prerequisite_oracle()
+
+
+def _add_label_count_oracle():
+    src = {
+        "student_enrollment": [("Department", "18"), ("DegreeProgram", "45"), ("Course", "part"),
+                               ("Student", "customer")],
+        "grant_budget": [("FundingSource", "nation"), ("Agency", "nation"), ("Program", "part"),
+                         ("Vendor", "supplier"), ("LineItem", "orders")],
+        "citizen_services": [("District", "15"), ("ServiceDepartment", "10"), ("Asset", "part"),
+                             ("Citizen", "customer"), ("ServiceRequest", "orders")],
+        "k12_early_warning": [("School", "nation"), ("Teacher", "supplier"), ("RiskIndicator", "12"),
+                              ("K12Student", "customer"), ("Intervention", "part")],
+        "procurement": [("ProcAgency", "nation"), ("ProcVendor", "supplier"), ("Contract", "part"),
+                        ("Lobbyist", "supplier")],
+        "case_management": [("HHSAgency", "nation"), ("HHSProgram", "20"), ("Caseworker", "supplier"),
+                            ("Client", "customer"), ("Case", "orders")],
+    }
+    parts = []
+    for graph, labels in src.items():
+        for label, s in labels:
+            n = f"CAST({s} AS BIGINT)" if s.isdigit() else f"(SELECT count(*) FROM {s})"
+            parts.append(f"SELECT '{label}' AS label, {n} AS count, '{graph}' AS graph")
+    ORACLE["graph_h14_label_counts"] = " UNION ALL ".join(parts)
+
+
+_add_label_count_oracle()
