@@ -106,31 +106,34 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
     return edges.select("src", F.col("_pos").alias("dst_ord"), *([F.col(block)] if block else []))
 
 
-def distinct_pairs(spark, n: int, a_count: int, b_count: int, seed, rel: str) -> DataFrame:
-    """``n`` distinct uniform pairs (a_ord, b_ord) from an affine permutation of [0, A*B).
+# FIXED multipliers of the pair permutation: primes, so coprime to any A*B they do not divide
+PAIR_PRIME = 2147483647
+PAIR_PRIME_2 = 1000000007
 
-    ``i -> (m*i + c) mod (A*B)`` with ``m`` coprime to A*B is a bijection, so the
-    first n images are distinct; one ``spark.range`` with no shuffle.
+
+def distinct_pairs(index: DataFrame, index_col: str, a_count: Column | int, b_count: Column | int, seed,
+                   rel: str) -> DataFrame:
+    """one distinct uniform pair (a_ord, b_ord) per row of ``index`` (``index_col`` = 0..n-1).
+
+    ``x = (i * m + c) mod (A*B)`` with a prime ``m`` that does not divide A*B is
+    a bijection of [0, A*B), so distinct indexes give distinct pairs; no
+    shuffle, no driver-side count: A and B may be scalar-subquery Columns.
+    The index is a dense key of the table whose rows the pairs belong to
+    (e.g. one pair per line item). ``c`` comes from md5("seed:rel").
+    Exact 128-bit arithmetic (``decimal(38,0)``) keeps ``i * m`` from overflowing.
     """
-    total = a_count * b_count
-    n = min(n, total)
-    if total == 0 or n == 0:
-        return spark.range(0).select(F.lit(0).cast("bigint").alias("a_ord"), F.lit(0).cast("bigint").alias("b_ord"))
-    m, c = affine_params(seed, rel, total)
-    d = "decimal(38,0)"  # exact 128-bit arithmetic: i * m may exceed 64 bits for large A*B
-    x = F.pmod(F.col("id").cast(d) * F.lit(m).cast(d) + F.lit(c).cast(d), F.lit(total).cast(d)).cast("bigint")
-    return spark.range(0, n).select(F.floor(x / F.lit(b_count)).cast("bigint").alias("a_ord"),
-                                    F.pmod(x, F.lit(b_count)).alias("b_ord"))
-
-
-def affine_params(seed, rel: str, total: int) -> tuple[int, int]:
-    """The (multiplier, offset) used by ``distinct_pairs`` (exposed for oracle checks)."""
-    import hashlib
-    hv = int(hashlib.md5(f"{seed}:{rel}".encode()).hexdigest(), 16)
-    m = (hv % total) | 1
-    while math.gcd(m, total) != 1:
-        m = (m + 2) % total or 1
-    return m, (hv >> 64) % total
+    d = "decimal(38,0)"
+    A = a_count if isinstance(a_count, Column) else F.lit(int(a_count))
+    B = b_count if isinstance(b_count, Column) else F.lit(int(b_count))
+    total = A.cast(d) * B.cast(d)
+    m = F.when(F.pmod(total, F.lit(PAIR_PRIME).cast(d)) != 0, F.lit(PAIR_PRIME).cast(d)).otherwise(
+        F.when(F.pmod(total, F.lit(PAIR_PRIME_2).cast(d)) != 0, F.lit(PAIR_PRIME_2).cast(d)).otherwise(
+            F.raise_error(F.lit(f"distinct_pairs({rel}): no coprime multiplier")).cast(d)))
+    c = F.pmod(F.conv(F.substring(F.md5(F.lit(f"{seed}:{rel}")), 1, 15), 16, 10).cast(d), total)
+    i = F.col(index_col).cast(d)
+    x = F.pmod(i * m + c, total)
+    return index.filter(F.col(index_col) < total).select(
+        F.floor(x / B.cast(d)).cast("bigint").alias("a_ord"), F.pmod(x, B.cast(d)).cast("bigint").alias("b_ord"))
 
 
 def k_targets(sources: DataFrame, src_key: str, n_targets: Column | int, k_min: int, k_max: int, seed,

@@ -310,9 +310,8 @@ def grants_graph(t: Tables, seed=SEED) -> Graph:
     g.add_edges("SUBCONTRACTS", "Vendor", "Vendor", _subcontracts_vendor)
     def _has_line_item_program() -> DataFrame:
         rel = "HAS_LINE_ITEM"
-        n_items = t.orders.count()
-        n_prog = t.part.count()
-        hp = E.distinct_pairs(t.spark, n_items, n_prog, n_items, seed, rel)
+        # one (program, line item) pair per line item
+        hp = E.distinct_pairs(t.orders, "o_orderkey", rows(t.part), rows(t.orders), seed, rel)
         return hp.select(
         _ids(hp, "a_ord", "PGM-", 4).alias("src"), _ids(hp, "b_ord", "LI-", 6).alias("dst"))
     g.add_edges("HAS_LINE_ITEM", "Program", "LineItem", _has_line_item_program)
@@ -364,8 +363,7 @@ def citizen_graph(t: Tables, seed=SEED) -> Graph:
     g.add_edges("IN_DISTRICT", "Asset", "District", _in_district_asset)
     def _submitted_citizen() -> DataFrame:
         rel = "SUBMITTED"
-        n_cit, n_req = t.customer.count(), t.orders.count()
-        sp = E.distinct_pairs(spark, n_req, n_cit, n_req, seed, rel)
+        sp = E.distinct_pairs(t.orders, "o_orderkey", rows(t.customer), rows(t.orders), seed, rel)
         return sp.select(
         _ids(sp, "a_ord", "CIT-", 5).alias("src"), _ids(sp, "b_ord", "SR-", 6).alias("dst"))
     g.add_edges("SUBMITTED", "Citizen", "ServiceRequest", _submitted_citizen)
@@ -517,8 +515,7 @@ def procurement_graph(t: Tables, seed=SEED) -> Graph:
     ], "Lobbyist", seed), "lobbyist_id")
     def _issued_procagency() -> DataFrame:
         rel = "ISSUED"
-        n_ag, n_ct = t.nation.count(), t.part.count()
-        iss = E.distinct_pairs(t.spark, n_ct, n_ag, n_ct, seed, rel)
+        iss = E.distinct_pairs(t.part, "p_partkey", rows(t.nation), rows(t.part), seed, rel)
         return iss.select(
         _ids(iss, "a_ord", "PAGY-", 3).alias("src"), _ids(iss, "b_ord", "CTR-", 5).alias("dst"))
     g.add_edges("ISSUED", "ProcAgency", "Contract", _issued_procagency)
@@ -596,8 +593,7 @@ def benefits_graph(t: Tables, seed=SEED) -> Graph:
     g.add_edges("ADMINISTERS", "HHSAgency", "HHSProgram", _administers_hhsagency)
     def _has_case_client() -> DataFrame:
         rel = "HAS_CASE"
-        n_cl, n_cs = t.customer.count(), t.orders.count()
-        hc = E.distinct_pairs(spark, n_cs, n_cl, n_cs, seed, rel)
+        hc = E.distinct_pairs(t.orders, "o_orderkey", rows(t.customer), rows(t.orders), seed, rel)
         return hc.select(
         _ids(hc, "a_ord", "CLT-", 5).alias("src"), _ids(hc, "b_ord", "CASE-", 6).alias("dst"))
     g.add_edges("HAS_CASE", "Client", "Case", _has_case_client)

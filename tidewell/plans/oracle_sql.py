@@ -826,3 +826,71 @@ def _add_label_count_oracle():
 
 
 _add_label_count_oracle()
+
+
+# --- graph queries over distinct-pair relationships -----------------------------------
+def dpairs(index_table: str, index_col: str, a_sql: str, b_sql: str, rel: str, seed=SEED) -> str:
+    """(i, a_ord, b_ord) of ``distinct_pairs``: x = (i*m + c) mod A*B with a prime m, in 128-bit integers."""
+    from ..operators.edges import PAIR_PRIME, PAIR_PRIME_2
+    tot = f"(CAST({a_sql} AS HUGEINT) * CAST({b_sql} AS HUGEINT))"
+    m = f"(CASE WHEN {tot} % {PAIR_PRIME} <> 0 THEN {PAIR_PRIME} ELSE {PAIR_PRIME_2} END)"
+    c = f"(('0x' || substr(md5('{seed}:{rel}'), 1, 15))::BIGINT % {tot})"
+    x = f"((CAST({index_col} AS HUGEINT) * {m} + {c}) % {tot})"
+    return (f"(SELECT {index_col} AS i, CAST({x} // CAST({b_sql} AS HUGEINT) AS BIGINT) AS a_ord, "
+            f"CAST({x} % CAST({b_sql} AS HUGEINT) AS BIGINT) AS b_ord FROM {index_table} WHERE {index_col} < {tot})")
+
+
+def _add_pair_graph_oracles():
+    from ..functions import pools
+    from . import graphs as GR
+    O = ORACLE
+    ncust, nord, npart = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)", "(SELECT count(*) FROM part)"
+    nnation, nsupp = "(SELECT count(*) FROM nation)", "(SELECT count(*) FROM supplier)"
+    # H6: ServiceRequest <-SUBMITTED- Citizen, by priority with five sorted sample types
+    sr = f"{SEED}/ServiceRequest"
+    req = (f"(SELECT o_orderkey AS ord, {dspec(GR._pick('type', GR.REQUEST_TYPES), 'o_orderkey', sr)} AS type, "
+           f"{dspec(GR._pick('priority', ['critical', 'high', 'medium', 'low'], [1, 2, 4, 3]), 'o_orderkey', sr)} "
+           f"AS priority FROM orders)")
+    sub = dpairs("orders", "o_orderkey", ncust, nord, "SUBMITTED")
+    O["graph_h6_requests_by_priority"] = (
+        f"SELECT priority, count(*) AS requests, "
+        f"array_to_string(list_slice(list_sort(list_distinct(list(type))), 1, 5), ',') AS sample_types "
+        f"FROM {sub} p JOIN {req} r ON r.ord = p.b_ord GROUP BY priority")
+    # ProcAgency -ISSUED-> Contract -AWARDED_TO-> ProcVendor
+    ct, pv = f"{SEED}/Contract", f"{SEED}/ProcVendor"
+    contract = (f"(SELECT p_partkey AS ord, CAST({dspec(GR._rng('amount', 'decimal(14,2)', 5000, 25000000), 'p_partkey', ct)} "
+                f"AS DOUBLE) AS amount FROM part)")
+    vendor = (f"(SELECT s_suppkey AS ord, concat_ws(' ', {dspec(GR._pick('_last', pools.LAST_NAMES), 's_suppkey', pv)}, "
+              f"{dspec(GR._pick('_kind', GR.PROC_VENDOR_KINDS), 's_suppkey', pv)}, "
+              f"{dspec(GR._pick('_suffix', GR.PROC_VENDOR_SUFFIXES), 's_suppkey', pv)}) AS vendor, "
+              f"{dspec(GR._flag('minority_owned', 0.18), 's_suppkey', pv)} AS mbe, "
+              f"{dspec(GR._flag('small_business', 0.35), 's_suppkey', pv)} AS sbe FROM supplier)")
+    iss = dpairs("part", "p_partkey", nnation, npart, "ISSUED")
+    aw = dk_targets("part", "p_partkey", "AWARDED_TO", nsupp, 1, 1)
+    O["graph_h10_top_vendors"] = (
+        f"SELECT v.vendor, v.mbe, v.sbe, count(*) AS contracts, round(sum(c.amount), 0) AS total_value "
+        f"FROM {iss} i JOIN {contract} c ON c.ord = i.b_ord JOIN {aw} a ON a.src = i.b_ord "
+        f"JOIN {vendor} v ON v.ord = a.dst_ord GROUP BY v.vendor, v.mbe, v.sbe "
+        f"ORDER BY total_value DESC, vendor, mbe, sbe LIMIT 20")
+    # Client -HAS_CASE-> Case -ENROLLED_IN-> HHSProgram, clients in more than one program
+    cs, cl = f"{SEED}/Case", f"{SEED}/Client"
+    det = dspec(GR._pick("determination", ["approved", "denied", "pending", "deferred", "conditional"],
+                         [5, 2, 2, 1, 1]), "o_orderkey", cs)
+    approved = f"(SELECT o_orderkey FROM orders WHERE {det} = 'approved')"
+    enr = dk_targets(approved, "o_orderkey", "ENROLLED_IN", str(len(GR.HHS_PROGRAMS)), 1, 2)
+    hc = dpairs("orders", "o_orderkey", ncust, nord, "HAS_CASE")
+    client = (f"(SELECT c_custkey AS ord, {dspec(GR._pick('income_bracket', GR.INCOME, GR.INCOME_WEIGHTS), 'c_custkey', cl)} "
+              f"AS income, {dspec(GR._pick('household_size', GR.HOUSEHOLD, GR.HOUSEHOLD_WEIGHTS, 'int'), 'c_custkey', cl)} "
+              f"AS household_size FROM customer)")
+    O["graph_h12_multi_program_clients"] = (
+        f"WITH x AS (SELECT h.a_ord AS client, h.b_ord AS case_ord, {dlist(GR.HHS_PROGRAMS, 'e.dst_ord')} AS program "
+        f"FROM {hc} h JOIN {enr} e ON e.src = h.b_ord), "
+        f"per AS (SELECT client, list_sort(list_distinct(list(program))) AS programs, count(DISTINCT case_ord) AS cases "
+        f"FROM x GROUP BY client HAVING len(list_distinct(list(program))) > 1) "
+        f"SELECT concat('CLT-', lpad(CAST(per.client + 1 AS VARCHAR), 5, '0')) AS client, c.income, "
+        f"CAST(c.household_size AS INTEGER) AS household_size, per.cases, len(per.programs) AS n_programs, "
+        f"array_to_string(per.programs, ',') AS programs FROM per JOIN {client} c ON c.ord = per.client "
+        f"ORDER BY n_programs DESC, client LIMIT 20")
+
+
+_add_pair_graph_oracles()
