@@ -88,7 +88,7 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
     w = Window.partitionBy("src").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     draws = (base.repartition("src").withColumn("_n", size)
              .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))))
-    gap = _geometric_gaps(unif(seed, f"{rel}#gap", F.col("src"), F.lit(0), F.col("_i"), fast=True), p)
+    gap = _geometric_gaps(unif(seed, f"{rel}#gap", F.col("src"), F.lit(0), F.col("_i")), p)
     pos = draws.withColumn("_pos", F.lit(-1).cast("bigint") + F.sum(gap).over(w))
     if not max_per_source:
         # never truncate silently: a source whose last draw is still inside the target range fails the

@@ -894,3 +894,76 @@ def _add_pair_graph_oracles():
 
 
 _add_pair_graph_oracles()
+
+
+# --- graph queries over Bernoulli relationships ---------------------------------------
+def dbern(src_sql: str, src_key: str, T: str, p: float, rel: str, seed=SEED, no_self: bool = False,
+          max_per_source: int | None = None) -> str:
+    """(src, dst_ord) of ``bernoulli_edges``: geometric gaps from the hash, running sums per source."""
+    import math
+    mean = f"(CAST({T} AS DOUBLE) * {p!r})"
+    size = f"CAST(trunc({mean} + 10.0 * sqrt({mean} * {1.0 - p!r}) + 32.0) AS INTEGER)"
+    if max_per_source:
+        size = f"least({size}, {int(max_per_source)})"
+    size = f"greatest({size}, 1)"
+    u = du(f"{rel}#gap", "CAST(src AS VARCHAR) || ':0:' || CAST(i AS VARCHAR)", seed)
+    gap = "1" if p >= 1.0 else f"(floor(ln(1.0 - {u}) / {math.log(1.0 - p)!r}) + 1)"
+    pos = (f"(SELECT src, tt, -1 + sum({gap}) OVER (PARTITION BY src ORDER BY i) AS pos FROM "
+           f"(SELECT {src_key} AS src, {T} AS tt FROM {src_sql}) s, generate_series(1, {size.replace(T, 's.tt')}) g(i))")
+    cond = "pos < tt" + (" AND pos <> src" if no_self else "")
+    dst = "pos"
+    if max_per_source:
+        dst = f"(pos + {dhash(f'{rel}#rot', 'src', seed)} % tt) % tt"
+    return f"(SELECT src, CAST({dst} AS BIGINT) AS dst_ord FROM {pos} x WHERE {cond})"
+
+
+def _add_bernoulli_graph_oracles():
+    from ..functions import pools
+    from . import graphs as GR
+    O = ORACLE
+    npart, nnation, nsupp = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM nation)", "(SELECT count(*) FROM supplier)"
+    vd = f"{SEED}/Vendor"
+    vendor = (f"(SELECT s_suppkey AS ord, concat_ws(' ', {dspec(GR._pick('_last', pools.LAST_NAMES), 's_suppkey', vd)}, "
+              f"{dspec(GR._pick('_kind', GR.VENDOR_TYPES), 's_suppkey', vd)}, "
+              f"{dspec(GR._pick('_suffix', GR.VENDOR_SUFFIXES), 's_suppkey', vd)}) AS name, "
+              f"{dspec(GR._pick('state', pools.STATES), 's_suppkey', vd)} AS state FROM supplier)")
+    sub = dbern("supplier", "s_suppkey", nsupp, 0.008, "SUBCONTRACTS", no_self=True)
+    pct = dint(du("SUBCONTRACTS#pct", "CAST(e.src AS VARCHAR) || ':' || CAST(e.dst_ord AS VARCHAR)"), 5, 44)
+    O["graph_h5_subcontract_pairs"] = (
+        f"SELECT a.name AS prime_vendor, b.name AS subcontractor, {pct} AS subcontract_pct, a.state AS prime_state, "
+        f"b.state AS sub_state FROM {sub} e JOIN {vendor} a ON a.ord = e.src JOIN {vendor} b ON b.ord = e.dst_ord "
+        f"ORDER BY subcontract_pct DESC, prime_vendor, subcontractor, prime_state, sub_state LIMIT 25")
+    O["graph_h26_export_vendor_subcontracts"] = (
+        f"SELECT concat('VND-', lpad(CAST(e.src + 1 AS VARCHAR), 4, '0')) AS src, "
+        f"concat('VND-', lpad(CAST(e.dst_ord + 1 AS VARCHAR), 4, '0')) AS dst, {pct} AS percentage, "
+        f"a.name AS prime_vendor, b.name AS subcontractor FROM {sub} e JOIN {vendor} a ON a.ord = e.src "
+        f"JOIN {vendor} b ON b.ord = e.dst_ord")
+    fs, ag, pg = f"{SEED}/FundingSource", f"{SEED}/Agency", f"{SEED}/Program"
+    fund = (f"(SELECT n_nationkey AS ord, concat({dspec(GR._pick('_prog', GR.FEDERAL_PROGRAMS), 'n_nationkey', fs)}, "
+            f"' - FY', CAST({dspec(GR._pick('_fy', [2023, 2024, 2025, 2026], type_='int'), 'n_nationkey', fs)} AS VARCHAR)) "
+            f"AS fund_source, {dspec(GR._pick('category', GR.FUND_CATEGORIES), 'n_nationkey', fs)} AS category FROM nation)")
+    agency = (f"(SELECT n_nationkey AS ord, concat({dspec(GR._pick('_city', pools.CITIES), 'n_nationkey', ag)}, ' ', "
+              f"{dspec(GR._pick('_kind', GR.GRANT_AGENCY_TYPES), 'n_nationkey', ag)}) AS agency FROM nation)")
+    program = (f"(SELECT p_partkey AS ord, concat({dspec(GR._pick('_pname', GR.PROGRAM_NAMES), 'p_partkey', pg)}, "
+               f"' Phase ', CAST({dspec(GR._rng('_phase', 'int', 1, 5), 'p_partkey', pg)} AS VARCHAR)) AS program "
+               f"FROM part)")
+    funds = dbern("nation", "n_nationkey", nnation, 0.3, "FUNDS")
+    famount = dint(du("FUNDS#amount", "CAST(f.src AS VARCHAR) || ':' || CAST(f.dst_ord AS VARCHAR)"), 0, 4999999)
+    manages = dbern("nation", "n_nationkey", npart, 0.15, "MANAGES")
+    role = dpick(du("MANAGES#role", "CAST(m.src AS VARCHAR) || ':' || CAST(m.dst_ord AS VARCHAR)"), GR.MANAGE_ROLES)
+    awards = dbern("part", "p_partkey", nsupp, 0.05, "AWARDS")
+    O["graph_h4_funding_trace"] = (
+        f"SELECT fs.fund_source, fs.category, a.agency, p.program, v.name AS vendor, {famount} AS amount "
+        f"FROM {funds} f JOIN {fund} fs ON fs.ord = f.src JOIN {agency} a ON a.ord = f.dst_ord "
+        f"JOIN {manages} m ON m.src = f.dst_ord JOIN {program} p ON p.ord = m.dst_ord "
+        f"JOIN {awards} w ON w.src = m.dst_ord JOIN {vendor} v ON v.ord = w.dst_ord "
+        f"ORDER BY amount DESC, fund_source, category, agency, program, vendor LIMIT 25")
+    O["graph_h25_export_fund_flows"] = (
+        f"SELECT concat('FUND-', lpad(CAST(f.src + 1 AS VARCHAR), 3, '0')) AS fund_id, fs.fund_source, fs.category, "
+        f"concat('AGY-', lpad(CAST(f.dst_ord + 1 AS VARCHAR), 3, '0')) AS agency_id, {famount} AS fund_amount, "
+        f"a.agency, concat('PGM-', lpad(CAST(m.dst_ord + 1 AS VARCHAR), 4, '0')) AS program_id, {role} AS role, "
+        f"p.program FROM {funds} f JOIN {fund} fs ON fs.ord = f.src JOIN {agency} a ON a.ord = f.dst_ord "
+        f"JOIN {manages} m ON m.src = f.dst_ord JOIN {program} p ON p.ord = m.dst_ord")
+
+
+_add_bernoulli_graph_oracles()
