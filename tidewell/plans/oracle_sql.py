@@ -901,7 +901,7 @@ def dbern(src_sql: str, src_key: str, T: str, p: float, rel: str, seed=SEED, no_
           max_per_source: int | None = None) -> str:
     """(src, dst_ord) of ``bernoulli_edges``: geometric gaps from the hash, running sums per source."""
     import math
-    mean = f"(CAST({T} AS DOUBLE) * {p!r})"
+    mean = f"(CAST(s.tt AS DOUBLE) * {p!r})"
     size = f"CAST(trunc({mean} + 10.0 * sqrt({mean} * {1.0 - p!r}) + 32.0) AS INTEGER)"
     if max_per_source:
         size = f"least({size}, {int(max_per_source)})"
@@ -909,7 +909,7 @@ def dbern(src_sql: str, src_key: str, T: str, p: float, rel: str, seed=SEED, no_
     u = du(f"{rel}#gap", "CAST(src AS VARCHAR) || ':0:' || CAST(i AS VARCHAR)", seed)
     gap = "1" if p >= 1.0 else f"(floor(ln(1.0 - {u}) / {math.log(1.0 - p)!r}) + 1)"
     pos = (f"(SELECT src, tt, -1 + sum({gap}) OVER (PARTITION BY src ORDER BY i) AS pos FROM "
-           f"(SELECT {src_key} AS src, {T} AS tt FROM {src_sql}) s, generate_series(1, {size.replace(T, 's.tt')}) g(i))")
+           f"(SELECT {src_key} AS src, {T} AS tt FROM {src_sql}) s, generate_series(1, {size}) g(i))")
     cond = "pos < tt" + (" AND pos <> src" if no_self else "")
     dst = "pos"
     if max_per_source:
@@ -967,3 +967,84 @@ def _add_bernoulli_graph_oracles():
 
 
 _add_bernoulli_graph_oracles()
+
+
+def drule_full(rule: dict, name: str, key: str, seq: str, seed) -> str:
+    """JSON rules as DuckDB SQL, including name, sequence, email, date and bool."""
+    from datetime import datetime, timezone
+
+    from ..functions import pools
+    g = rule.get("generator")
+    if g == "name":
+        return (f"concat_ws(' ', {dpick(du(name + '#first', key, seed), pools.RULE_FIRST_NAMES)}, "
+                f"{dpick(du(name + '#last', key, seed), pools.RULE_LAST_NAMES)})")
+    if g == "sequence":
+        return f"concat('{rule.get('prefix', '')}', {dpad(seq, int(rule.get('width', 6)))})"
+    if g == "email":
+        return f"concat('user', CAST({seq} AS VARCHAR), '@{rule.get('domain', 'example.com')}')"
+    if g == "date":
+        def ep(s):
+            return int(datetime.fromisoformat(s).replace(tzinfo=timezone.utc).timestamp())
+        lo, hi = ep(rule.get("start", "2023-01-01")), ep(rule.get("end", "2025-12-31"))
+        return f"strftime(make_timestamp(CAST({dint(du(name, key, seed), lo, hi)} AS BIGINT) * 1000000), '%Y-%m-%d')"
+    return drule(rule, name, key, seed)
+
+
+def _add_user_graph_oracles():
+    from .user_graphs import ORG_CHART, SUPPLY_CHAIN
+    O = ORACLE
+    gs = f"{SEED}/org_chart"
+
+    def props(spec_nodes, label, table, key, gseed):
+        ns = next(n for n in spec_nodes if n["label"] == label)
+        cols = ", ".join(f"{drule_full(p['generator_rule'], p['name'], key, f'({key} + 1)', f'{gseed}/{label}')} "
+                         f"AS {p['name']}" for p in ns["properties"])
+        return f"(SELECT {key} AS ord, {cols} FROM {table})"
+
+    emp = props(ORG_CHART["nodes"], "Employee", "customer", "c_custkey", gs)
+    office = props(ORG_CHART["nodes"], "Office", "range(8) t(r)", "r", gs)
+    project = props(ORG_CHART["nodes"], "Project", "range(30) t(r)", "r", gs)
+    ncust = "(SELECT count(*) FROM customer)"
+    works = dbern("customer", "c_custkey", "8", 0.2, "WORKS_IN", gs, max_per_source=1)
+    O["graph_h15_office_headcount"] = (
+        f"SELECT o.city AS office, count(*) AS employees, "
+        f"array_to_string(list_sort(list_distinct(list(e.department))), ',') AS departments "
+        f"FROM {works} w JOIN {emp} e ON e.ord = w.src JOIN {office} o ON o.ord = w.dst_ord GROUP BY o.city")
+    O["graph_h19_employee_export"] = (
+        f"SELECT e.emp_id, e.name, e.department, e.title, e.salary, e.hire_date, e.remote, o.city AS office_city "
+        f"FROM {emp} e LEFT JOIN {works} w ON w.src = e.ord LEFT JOIN {office} o ON o.ord = w.dst_ord")
+    assigned = dbern("customer", "c_custkey", "30", 0.02, "ASSIGNED_TO", gs)
+    role = drule_full({"generator": "choice", "values": ["lead", "contributor", "reviewer"]}, "role",
+                      "CAST(a.src AS VARCHAR) || '>' || CAST(a.dst_ord AS VARCHAR)", "1", f"{gs}/ASSIGNED_TO")
+    O["graph_h17_project_staffing"] = (
+        f"SELECT p.name AS project, p.status, p.budget, count(*) AS team_size, "
+        f"array_to_string(list_sort(list_distinct(list({role}))), ',') AS roles "
+        f"FROM {assigned} a JOIN {project} p ON p.ord = a.dst_ord GROUP BY a.dst_ord, p.name, p.status, p.budget")
+    reports = dbern("customer", "c_custkey", ncust, 0.004, "REPORTS_TO", gs, no_self=True, max_per_source=1)
+    O["graph_h16_reporting_chains"] = (
+        f"WITH RECURSIVE r AS {reports}, "
+        f"p(start, cur, depth, used) AS (SELECT src, dst_ord, 1, [src || '>' || dst_ord] FROM r "
+        f"UNION ALL SELECT p.start, r.dst_ord, p.depth + 1, list_append(p.used, r.src || '>' || r.dst_ord) "
+        f"FROM p JOIN r ON r.src = p.cur WHERE p.depth < 4 AND NOT list_contains(p.used, r.src || '>' || r.dst_ord)) "
+        f"SELECT a.name AS employee, a.title, p.depth AS chain_depth, b.name AS reports_to, b.title AS manager_title "
+        f"FROM p JOIN {emp} a ON a.ord = p.start JOIN {emp} b ON b.ord = p.cur "
+        f"ORDER BY chain_depth DESC, p.start, reports_to LIMIT 20")
+    ss = f"{SEED}/supply_chain"
+    supp = props(SUPPLY_CHAIN["nodes"], "Supplier", "supplier", "s_suppkey", ss)
+    wh = props(SUPPLY_CHAIN["nodes"], "Warehouse", "range(20) t(r)", "r", ss)
+    prod = props(SUPPLY_CHAIN["nodes"], "Product", "part", "p_partkey", ss)
+    supplies = dbern("supplier", "s_suppkey", "(SELECT count(*) FROM part)", 0.02, "SUPPLIES", ss)
+    stored = dbern("part", "p_partkey", "20", 0.05, "STORED_IN", ss)
+    price = drule_full({"generator": "range_float", "min": 1.0, "max": 5000.0}, "contract_price",
+                       "CAST(s.src AS VARCHAR) || '>' || CAST(s.dst_ord AS VARCHAR)", "1", f"{ss}/SUPPLIES")
+    qty = drule_full({"generator": "range_int", "min": 10, "max": 10000}, "quantity",
+                     "CAST(st.src AS VARCHAR) || '>' || CAST(st.dst_ord AS VARCHAR)", "1", f"{ss}/STORED_IN")
+    O["graph_h18_supply_chain"] = (
+        f"SELECT su.name AS supplier, su.country, su.reliability_score AS reliability, pr.sku, pr.category, "
+        f"{price} AS price, w.location AS warehouse, {qty} AS stock FROM {supplies} s "
+        f"JOIN {supp} su ON su.ord = s.src JOIN {prod} pr ON pr.ord = s.dst_ord "
+        f"JOIN {stored} st ON st.src = s.dst_ord JOIN {wh} w ON w.ord = st.dst_ord "
+        f"ORDER BY stock DESC, sku, supplier, warehouse, price LIMIT 25")
+
+
+_add_user_graph_oracles()
