@@ -1048,3 +1048,92 @@ def _add_user_graph_oracles():
 
 
 _add_user_graph_oracles()
+
+
+def _add_more_graph_export_oracles():
+    from ..functions import pools
+    from . import graphs as GR
+    O = ORACLE
+    npart, nnation, nsupp = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM nation)", "(SELECT count(*) FROM supplier)"
+    ncust, nord = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)"
+    # procurement nodes
+    pa, pv, ct, lb = f"{SEED}/ProcAgency", f"{SEED}/ProcVendor", f"{SEED}/Contract", f"{SEED}/Lobbyist"
+    agency = (f"(SELECT n_nationkey AS ord, concat({dspec(GR._pick('_city', pools.CITIES), 'n_nationkey', pa)}, ' ', "
+              f"{dlist(GR.PROC_AGENCY_NAMES, f'n_nationkey % {len(GR.PROC_AGENCY_NAMES)}')}) AS agency FROM nation)")
+    vendor = (f"(SELECT s_suppkey AS ord, concat('PVND-', lpad(CAST(s_suppkey + 1 AS VARCHAR), 4, '0')) AS vendor_id, "
+              f"concat_ws(' ', {dspec(GR._pick('_last', pools.LAST_NAMES), 's_suppkey', pv)}, "
+              f"{dspec(GR._pick('_kind', GR.PROC_VENDOR_KINDS), 's_suppkey', pv)}, "
+              f"{dspec(GR._pick('_suffix', GR.PROC_VENDOR_SUFFIXES), 's_suppkey', pv)}) AS vendor FROM supplier)")
+    contract = (f"(SELECT p_partkey AS ord, concat('CTR-', lpad(CAST(p_partkey + 1 AS VARCHAR), 5, '0')) AS contract_id, "
+                f"{dspec(GR._rng('amount', 'decimal(14,2)', 5000, 25000000), 'p_partkey', ct)} AS amount, "
+                f"{dspec(GR._pick('method', GR.METHODS, GR.METHOD_WEIGHTS), 'p_partkey', ct)} AS method, "
+                f"{dspec(GR._pick('category', GR.COMMODITY_CATEGORIES), 'p_partkey', ct)} AS category FROM part)")
+    lobby = (f"(SELECT s_suppkey AS ord, concat('LOB-', lpad(CAST(s_suppkey + 1 AS VARCHAR), 4, '0')) AS lobbyist_id, "
+             f"{dspec(GR._person('name'), 's_suppkey', lb)} AS lobbyist, "
+             f"concat({dspec(GR._pick('_l1', pools.LAST_NAMES), 's_suppkey', lb)}, ' & ', "
+             f"{dspec(GR._pick('_l2', pools.LAST_NAMES), 's_suppkey', lb)}, ' ', "
+             f"{dspec(GR._pick('_fk', GR.FIRM_KINDS), 's_suppkey', lb)}) AS firm FROM supplier)")
+    aw = dk_targets("part", "p_partkey", "AWARDED_TO", nsupp, 1, 1)
+    rep = dbern("supplier", "s_suppkey", nsupp, 0.02, "REPRESENTS")
+    iss = dpairs("part", "p_partkey", nnation, npart, "ISSUED")
+    O["graph_h11_lobbyist_trail"] = (
+        f"SELECT l.lobbyist, l.firm, v.vendor, ag.agency, CAST(c.amount AS DOUBLE) AS contract_value, "
+        f"c.method AS procurement_method FROM {rep} r JOIN {lobby} l ON l.ord = r.src "
+        f"JOIN {vendor} v ON v.ord = r.dst_ord JOIN {aw} a ON a.dst_ord = r.dst_ord "
+        f"JOIN {contract} c ON c.ord = a.src JOIN {iss} i ON i.b_ord = a.src JOIN {agency} ag ON ag.ord = i.a_ord "
+        f"ORDER BY contract_value DESC, lobbyist, firm, vendor, agency, procurement_method LIMIT 20")
+    O["graph_h29_export_procurement"] = (
+        f"SELECT c.contract_id, c.amount, c.method, c.category, v.vendor_id, v.vendor, l.lobbyist_id, l.lobbyist "
+        f"FROM {aw} a JOIN {contract} c ON c.ord = a.src JOIN {vendor} v ON v.ord = a.dst_ord "
+        f"LEFT JOIN ({rep} r JOIN {lobby} l ON l.ord = r.src) ON r.dst_ord = a.dst_ord")
+    # case management export
+    cs, cw, ha, cl = f"{SEED}/Case", f"{SEED}/Caseworker", f"{SEED}/HHSAgency", f"{SEED}/Client"
+    hc = dpairs("orders", "o_orderkey", ncust, nord, "HAS_CASE")
+    det = dspec(GR._pick("determination", ["approved", "denied", "pending", "deferred", "conditional"],
+                         [5, 2, 2, 1, 1]), "o_orderkey", cs)
+    case = (f"(SELECT o_orderkey AS ord, concat('CASE-', lpad(CAST(o_orderkey + 1 AS VARCHAR), 6, '0')) AS case_id, "
+            f"{dspec(GR._pick('status', ['open', 'under_review', 'approved', 'denied', 'closed', 'appealed'], [3, 2, 4, 2, 3, 1]), 'o_orderkey', cs)} AS status, "
+            f"{dspec(GR._rng('benefit_amount', 'decimal(10,2)', 0, 15000), 'o_orderkey', cs)} AS benefit_amount, "
+            f"{det} AS determination FROM orders)")
+    client = (f"(SELECT c_custkey AS ord, concat('CLT-', lpad(CAST(c_custkey + 1 AS VARCHAR), 5, '0')) AS client_id, "
+              f"{dspec(GR._person('name'), 'c_custkey', cl)} AS client_name FROM customer)")
+    worker = (f"(SELECT s_suppkey AS ord, concat('CW-', lpad(CAST(s_suppkey + 1 AS VARCHAR), 4, '0')) AS caseworker_id, "
+              f"{dspec(GR._person('name'), 's_suppkey', cw)} AS caseworker, "
+              f"{dhash('agency_id#1', 's_suppkey', cw)} % {nnation} AS ag FROM supplier)")
+    hagency = (f"(SELECT n_nationkey AS ord, concat('HHS-', lpad(CAST(n_nationkey + 1 AS VARCHAR), 3, '0')) AS agency_id, "
+               f"concat({dspec(GR._pick('_city', pools.CITIES), 'n_nationkey', ha)}, ' ', "
+               f"{dspec(GR._pick('_kind', GR.HHS_AGENCY_NAMES), 'n_nationkey', ha)}) AS agency FROM nation)")
+    mb = dk_targets("orders", "o_orderkey", "MANAGED_BY", nsupp, 1, 1)
+    approved = f"(SELECT o_orderkey FROM orders WHERE {det} = 'approved')"
+    enr = dk_targets(approved, "o_orderkey", "ENROLLED_IN", str(len(GR.HHS_PROGRAMS)), 1, 2)
+    O["graph_h30_export_case_management"] = (
+        f"SELECT c.case_id, cl.client_id, cl.client_name, c.status, c.benefit_amount, w.caseworker_id, w.caseworker, "
+        f"ag.agency_id, ag.agency, 'HHSP-' || lpad(CAST(e.dst_ord + 1 AS VARCHAR), 2, '0') AS program_id, "
+        f"{dlist(GR.HHS_PROGRAMS, 'e.dst_ord')} AS program "
+        f"FROM {hc} h JOIN {client} cl ON cl.ord = h.a_ord JOIN {case} c ON c.ord = h.b_ord "
+        f"JOIN {mb} m ON m.src = h.b_ord JOIN {worker} w ON w.ord = m.dst_ord JOIN {hagency} ag ON ag.ord = w.ag "
+        f"LEFT JOIN {enr} e ON e.src = h.b_ord")
+    # citizen services export: request x department? x (asset, district)?
+    sr, asr = f"{SEED}/ServiceRequest", f"{SEED}/Asset"
+    req = (f"(SELECT o_orderkey AS ord, concat('SR-', lpad(CAST(o_orderkey + 1 AS VARCHAR), 6, '0')) AS request_id, "
+           f"{dspec(GR._pick('type', GR.REQUEST_TYPES), 'o_orderkey', sr)} AS type, "
+           f"{dspec(GR._pick('status', ['opened', 'assigned', 'in_progress', 'pending_review', 'resolved', 'closed', 'reopened'], [2, 2, 3, 1, 4, 5, 1]), 'o_orderkey', sr)} AS status, "
+           f"{dspec(GR._pick('priority', ['critical', 'high', 'medium', 'low'], [1, 2, 4, 3]), 'o_orderkey', sr)} AS priority FROM orders)")
+    asg = dk_targets("orders", "o_orderkey", "ASSIGNED_TO", str(len(GR.SERVICE_DEPARTMENTS)), 1, 1)
+    keep = f"(SELECT o_orderkey FROM orders WHERE {du('AFFECTS#keep', 'o_orderkey')} < 0.3)"
+    aff = dk_targets(keep, "o_orderkey", "AFFECTS", npart, 1, 1)
+    asset = (f"(SELECT p_partkey AS ord, concat('AST-', lpad(CAST(p_partkey + 1 AS VARCHAR), 5, '0')) AS asset_id, "
+             f"{dspec(GR._pick('type', GR.ASSET_TYPES), 'p_partkey', asr)} AS asset_type, "
+             f"{dspec(GR._rng('_dist', 'int', 1, 15), 'p_partkey', asr)} AS dist FROM part)")
+    O["graph_h27_export_citizen_services"] = (
+        f"SELECT r.request_id, r.type, r.status, r.priority, "
+        f"concat('SDEPT-', lpad(CAST(a.dst_ord + 1 AS VARCHAR), 2, '0')) AS dept_id, "
+        f"{dlist(GR.SERVICE_DEPARTMENTS, 'a.dst_ord')} AS department, x.asset_id, "
+        f"'DIST-' || lpad(CAST(x.dist AS VARCHAR), 2, '0') AS district_id, "
+        f"CASE WHEN x.asset_id IS NOT NULL THEN concat('District ', CAST(x.dist AS VARCHAR)) END AS district, "
+        f"x.asset_type FROM {req} r LEFT JOIN {asg} a ON a.src = r.ord "
+        f"LEFT JOIN (SELECT f.src AS req_ord, s.* FROM {aff} f JOIN {asset} s ON s.ord = f.dst_ord) x "
+        f"ON x.req_ord = r.ord")
+
+
+_add_more_graph_export_oracles()
