@@ -353,18 +353,23 @@ def transition_violations(df: DataFrame, entity: str, ts: str, status: str, allo
                           order_tiebreak: str | None = None) -> DataFrame:
     """Consecutive status pairs per entity that are not allowed.
 
-    ``lag`` over (entity, ts) pairs each row with its predecessor (one shuffle
-    on the entity key); the allowed pairs are a small literal table joined by
-    broadcast; a ``left_anti`` join keeps the illegal ones.
+    Each row is paired with the entity's previous row by (ts, tiebreak) using
+    the skew-safe bucketed lag (a hot entity is split by time bucket, not sorted
+    in one task); the allowed pairs are a small literal table (size bounded by
+    the transition list) joined by broadcast; a ``left_anti`` join keeps the
+    illegal pairs.
     """
-    from pyspark.sql import Window
-    order = [F.col(ts)] + ([F.col(order_tiebreak)] if order_tiebreak else [])
-    w = Window.partitionBy(entity).orderBy(*order)
-    pairs = (df.select(entity, ts, *([order_tiebreak] if order_tiebreak else []), status)
-             .withColumn("from_status", F.lag(status).over(w))
-             .filter(F.col("from_status").isNotNull())
-             .select(entity, ts, *([order_tiebreak] if order_tiebreak else []), "from_status",
-                     F.col(status).alias("to_status")))
+    from .timeseries import bucketed_lag
+    cols = [entity, ts, *([order_tiebreak] if order_tiebreak else []), status]
+    d = df.select(*cols)
+    if isinstance(d.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType)):
+        lagged = bucketed_lag(d, entity, ts, [status], tiebreak=order_tiebreak)
+    else:  # non-temporal order key: one bucket per entity
+        from pyspark.sql import Window
+        w = Window.partitionBy(entity).orderBy(*[c for c in cols[1:-1]])
+        lagged = d.withColumn("prev_" + status, F.lag(status).over(w))
+    pairs = (lagged.filter(F.col("prev_" + status).isNotNull())
+             .select(*cols[:-1], F.col("prev_" + status).alias("from_status"), F.col(status).alias("to_status")))
     spark = df.sparkSession
     ok = spark.createDataFrame([(a, b) for a, bs in allowed.items() for b in bs],
                                "from_status string, to_status string")

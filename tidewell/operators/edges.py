@@ -28,14 +28,41 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h32, int_between, unif
 
 
+def dense_ordinals(df: DataFrame, order_cols: list[str], name: str = "_o",
+                   partitions: int | None = None) -> DataFrame:
+    """0-based ordinal of every row in ``order_cols`` order, without a single-task sort.
+
+    Rows are range-partitioned on the order columns (each task holds one
+    contiguous range), numbered inside their task, and shifted by the row
+    counts of the preceding tasks (a per-task count table, one row per task,
+    broadcast). The numbered rows are written with a reliable checkpoint first,
+    so the counts and the numbers come from the same partitioning.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    r = r.withColumn("_local", (F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
+                     .cast("bigint")).checkpoint()
+    counts = r.groupBy("_pid").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (r.join(F.broadcast(offs), "_pid").withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_pid", "_local", "_off"))
+
+
 def ordinals(df: DataFrame, key: str, partition: list[str] | None = None, name: str = "_ord") -> DataFrame:
-    """Dense 0-based ordinal of ``key`` (within ``partition`` if given).
+    """Dense 0-based ordinal of ``key`` (within each ``partition`` group if given).
 
-    Dimension-sized inputs only (node tables): the window sorts each partition
-    group in one task. Fixture keys that are already dense can skip this.
+    Built on ``dense_ordinals`` over (group, key): a group's ordinals are the
+    global ones minus the group's first, so a hot group is spread over many
+    tasks instead of being sorted in one.
     """
-    w = Window.partitionBy(*(partition or [])).orderBy(key)
-    return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    groups = partition or []
+    d = dense_ordinals(df, [*groups, key], "_g_o")
+    if not groups:
+        return d.withColumnRenamed("_g_o", name)
+    first = d.groupBy(*groups).agg(F.min("_g_o").alias("_g_first"))
+    return d.join(first, groups).withColumn(name, F.col("_g_o") - F.col("_g_first")).drop("_g_o", "_g_first")
 
 
 def fk_edges(child: DataFrame, child_key: str, fk: str, parent: DataFrame, parent_key: str,
@@ -159,15 +186,13 @@ def k_targets(sources: DataFrame, src_key: str, n_targets: Column | int, k_min:
 def lower_parent(nodes: DataFrame, key: str, rank: str, share: float, min_rank, seed, rel: str) -> DataFrame:
     """a ``share`` of nodes with rank >= ``min_rank`` get one parent of strictly lower rank.
 
-    Nodes are ordered by (rank, key) into dense ordinals; the nodes of lower rank
-    are exactly the ordinals below the first ordinal of the node's rank, so the
-    parent is ordinal ``h mod count_lower`` (acyclic by construction). Counts
-    per rank are a small aggregate; the ordinal needs one global sort of a
-    dimension-sized node table.
+    Nodes are ordered by (rank, key) into dense ordinals (range-partitioned,
+    no single-task sort); the nodes of lower rank are exactly the ordinals
+    below the first ordinal of the node's rank, so the parent is ordinal
+    ``h mod count_lower`` (acyclic by construction).
     Output: ``src, dst``.
     """
-    w = Window.orderBy(rank, key)
-    ordn = nodes.select(key, rank).withColumn("_o", (F.row_number().over(w) - 1).cast("bigint"))
+    ordn = dense_ordinals(nodes.select(key, rank), [rank, key], "_o")
     lower = ordn.groupBy(rank).agg(F.min("_o").alias("_lower"))
     pick = (ordn.join(lower, rank)
             .filter((F.col(rank) >= F.lit(min_rank)) & (F.col("_lower") > 0)

@@ -44,11 +44,11 @@ def sliding_mean(df: DataFrame, ts: str = "ts", value: str = "value", group: str
 def zscore_outliers(df: DataFrame, value: str = "value", group: str = "event_type", z: float = 3.0) -> DataFrame:
     """J3 (batch): rows more than ``z`` standard deviations from their group's mean.
 
-    Group statistics are one small aggregate joined back (broadcast-sized: one
-    row per group).
+    Group statistics are one aggregate joined back; with few groups AQE
+    broadcasts it (measured size), with many it stays a shuffle join.
     """
     stats = df.groupBy(group).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
-    j = df.join(F.broadcast(stats), group)
+    j = df.join(stats, group)
     return j.filter(F.abs(F.col(value) - F.col("_mu")) > F.lit(z) * F.col("_sd")).drop("_mu", "_sd")
 
 
