@@ -1137,3 +1137,35 @@ def _add_more_graph_export_oracles():
 
 
 _add_more_graph_export_oracles()
+
+
+def _add_traversal_oracles():
+    from . import graphs as GR
+    O = ORACLE
+    nsupp = "(SELECT count(*) FROM supplier)"
+    sub = dbern("supplier", "s_suppkey", nsupp, 0.008, "SUBCONTRACTS", no_self=True)
+    ids = ("(SELECT DISTINCT 'VND-' || lpad(CAST(src + 1 AS VARCHAR), 4, '0') AS src, "
+           f"'VND-' || lpad(CAST(dst_ord + 1 AS VARCHAR), 4, '0') AS dst FROM {sub} x)")
+    O["graph_h32_subcontract_closure"] = (
+        f"WITH RECURSIVE e AS {ids}, "
+        f"s AS (SELECT src FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), "
+        f"r(node, depth) AS (SELECT src, 0 FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node "
+        f"WHERE r.depth < 10) "
+        f"SELECT (SELECT src FROM s) AS prime_vendor, node AS vendor_id, min(depth) AS depth FROM r "
+        f"WHERE node <> (SELECT src FROM s) GROUP BY node")
+    sj = "CAST(src AS VARCHAR) || ':' || CAST(j AS VARCHAR)"
+    enr = dk_targets("customer", "c_custkey", "ENROLLED_IN", "(SELECT count(*) FROM part)", 2, 5)
+    cs = f"{SEED}/Course"
+    edges = (f"(SELECT e.src, e.dst_ord, {dpick(du('ENROLLED_IN#grade', sj), GR.GRADES12)} AS grade, "
+             f"{dspec(GR._pick('semester', GR.SEMESTERS), 'p.p_partkey', cs)} AS semester "
+             f"FROM {enr} e JOIN part p ON p.p_partkey = e.dst_ord)")
+    key = ("(CAST(regexp_extract({s}, '(\\d{{4}})', 1) AS INTEGER) * 10 + CASE WHEN starts_with({s}, 'Spring') THEN 1 "
+           "WHEN starts_with({s}, 'Summer') THEN 2 ELSE 3 END)")
+    O["graph_h20_failed_then_retaken"] = (
+        f"SELECT CAST(NULL AS VARCHAR) AS student, CAST(NULL AS VARCHAR) AS course, a.semester AS failed_semester, "
+        f"b.semester AS retake_semester, b.grade AS retake_grade FROM {edges} a JOIN {edges} b "
+        f"ON a.src = b.src AND a.dst_ord = b.dst_ord WHERE a.grade = 'F' AND "
+        f"{key.format(s='b.semester')} > {key.format(s='a.semester')}")
+
+
+_add_traversal_oracles()
