@@ -107,33 +107,54 @@ def h34_avg_gpa_by_department(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- grants
+def _ords(col: str, prefix_len: int):
+    """Ordinal back from a padded text id such as ``AGY-007`` (id = prefix + ordinal + 1)."""
+    return F.expr(f"CAST(substring({col}, {prefix_len + 1}) AS BIGINT) - 1").alias("_ord")
+
+
 def h4_funding_trace(t: Tables, k: int = 25) -> DataFrame:
     """Top k paths FundingSource-FUNDS->Agency-MANAGES->Program-AWARDS->Vendor by FUNDS.amount.
 
     The ranking key sits on the first edge, so the plan prunes before it
-    widens: continuation counts per agency are aggregated first (no paths
-    built), FUNDS edges are taken by amount until their continuations reach
-    k paths, and only edges at or above the last amount taken (ties included)
-    are expanded. The result is exact: every other path ranks below k others.
+    widens. FUNDS edges are taken by amount, m at a time (1, 4, 16, ...): for
+    those edges only, the continuations (programs managed by their agencies
+    times vendors awarded by those programs) are counted, regenerating just
+    the MANAGES and AWARDS edges of the agencies and programs involved (edges
+    are functions of their source). Once the counted continuations reach k
+    paths, the last amount needed is the bound; every FUNDS edge at or above it
+    (ties included) is expanded and the top k paths are taken. Exact: every
+    other path ranks below k others. One scalar per round reaches the driver.
     """
     g = G.grants_graph(t)
-    awards_per_program = g.rel("AWARDS").groupBy(F.col("src").alias("program_id")).agg(F.count("*").alias("_nv"))
-    cont = (g.rel("MANAGES").select(F.col("src").alias("agency_id"), F.col("dst").alias("program_id"))
-            .join(awards_per_program, "program_id").groupBy("agency_id").agg(F.sum("_nv").alias("_cont")))
     funds = g.rel("FUNDS").select(F.col("src").alias("fund_id"), F.col("dst").alias("agency_id"), "amount")
-    # FUNDS edges with continuations: dimension-sized (funding sources x agencies x p); written once
-    live = funds.join(cont, "agency_id").checkpoint()
-    w = Window.orderBy(F.desc("amount"), "fund_id", "agency_id").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = live.withColumn("_before", F.coalesce(F.sum("_cont").over(w), F.lit(0)))
-    bound = ranked.filter(F.col("_before") < k).agg(F.min("amount")).scalar()
-    top_funds = live.filter(F.col("amount") >= bound).select("fund_id", "agency_id", "amount")
+    order = [F.desc("amount"), "fund_id", "agency_id"]
+    m, total_edges = 1, None
+    while True:
+        top = funds.orderBy(*order).limit(m).checkpoint()
+        manages = G.manages_edges(t, top.select(_ords("agency_id", 4)).distinct())
+        awards = G.awards_edges(t, manages.select(_ords("dst", 4)).distinct())
+        per_program = awards.groupBy(F.col("src").alias("program_id")).agg(F.count("*").alias("_nv"))
+        cont = (manages.select(F.col("src").alias("agency_id"), F.col("dst").alias("program_id"))
+                .join(per_program, "program_id").groupBy("agency_id").agg(F.sum("_nv").alias("_cont")))
+        ranked = top.join(cont, "agency_id", "left").fillna(0, ["_cont"]).checkpoint()
+        covered = ranked.agg(F.sum("_cont")).first()[0] or 0
+        if covered >= k:
+            break
+        total_edges = total_edges if total_edges is not None else funds.count()
+        if m >= total_edges:
+            break
+        m *= 4
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # at most m rows
+    needed = ranked.withColumn("_before", F.coalesce(F.sum("_cont").over(w), F.lit(0))).filter(F.col("_before") < k)
+    bound = needed.agg(F.min("amount")).scalar()
+    top_funds = funds.filter(F.col("amount") >= bound)
     f = g.node("FundingSource").select("fund_id", F.col("name").alias("fund_source"), "category")
     x = f.join(top_funds, "fund_id")
     x = x.join(g.node("Agency").select("agency_id", F.col("name").alias("agency")), "agency_id")
-    x = hop(x, "agency_id", g.rel("MANAGES"), g.node("Program"), "program_id", target_cols={"name": "program"})
-    # regenerate AWARDS only for the programs on the kept paths (edges are a function of the program)
-    progs = x.select(F.expr("CAST(substring(program_id, 5) AS BIGINT) - 1").alias("_ord")).distinct()
-    x = hop(x, "program_id", G.awards_edges(t, progs), g.node("Vendor"), "vendor_id", target_cols={"name": "vendor"})
+    manages = G.manages_edges(t, top_funds.select(_ords("agency_id", 4)).distinct())
+    x = hop(x, "agency_id", manages, g.node("Program"), "program_id", target_cols={"name": "program"})
+    awards = G.awards_edges(t, x.select(_ords("program_id", 4)).distinct())
+    x = hop(x, "program_id", awards, g.node("Vendor"), "vendor_id", target_cols={"name": "vendor"})
     out = x.select("fund_source", "category", "agency", "program", "vendor", "amount")
     return top_k(out, k, [F.desc("amount"), "fund_source", "category", "agency", "program", "vendor"])
 

@@ -291,11 +291,7 @@ def grants_graph(t: Tables, seed=SEED) -> Graph:
         "fiscal_year")
     g.add_edges("FUNDS", "FundingSource", "Agency", _funds_fundingsource)
     def _manages_agency() -> DataFrame:
-        rel = "MANAGES"
-        me = E.bernoulli_edges(g.node("Agency").select("_ord"), "_ord", rows(t.part), 0.15, seed, rel)
-        return me.select(
-        _ids(me, "src", "AGY-", 3).alias("src"), _ids(me, "dst_ord", "PGM-", 4).alias("dst"),
-        pick(_u(seed, rel, "role", F.col("src"), F.col("dst_ord")), MANAGE_ROLES).alias("role"))
+        return manages_edges(t, g.node("Agency").select("_ord"), seed)
     g.add_edges("MANAGES", "Agency", "Program", _manages_agency)
     def _awards_program() -> DataFrame:
         return awards_edges(t, g.node("Program").select("_ord"), seed)
@@ -318,6 +314,15 @@ def grants_graph(t: Tables, seed=SEED) -> Graph:
     return g
 
 
+def manages_edges(t: Tables, agency_ords: DataFrame, seed=SEED) -> DataFrame:
+    """MANAGES (Agency -> Program, p = 0.15) for the given agency ordinals (a subset gives the subset)."""
+    rel = "MANAGES"
+    me = E.bernoulli_edges(agency_ords.select("_ord"), "_ord", rows(t.part), 0.15, seed, rel)
+    return me.select(
+        _ids(me, "src", "AGY-", 3).alias("src"), _ids(me, "dst_ord", "PGM-", 4).alias("dst"),
+        pick(_u(seed, rel, "role", F.col("src"), F.col("dst_ord")), MANAGE_ROLES).alias("role"))
+
+
 def awards_edges(t: Tables, program_ords: DataFrame, seed=SEED) -> DataFrame:
     """AWARDS (Program -> Vendor, p = 0.05) for the given program ordinals.
 
