@@ -135,13 +135,16 @@ def _q(s: str) -> str:
     return sql_literal(str(s))
 
 
-def h32_sql(seed, name: str, *key_sql: str) -> str:
+def h32_sql(seed, name: str, *key_sql: str, fast: bool = False) -> str:
+    if fast:  # Spark-only: xxhash64 of the same parts, reduced to 32 bits
+        keys = ", ".join(key_sql)
+        return f"pmod(xxhash64({_q(seed)}, {_q(name)}, {keys}), 4294967296)"
     keys = ", ".join(f"CAST({k} AS STRING)" for k in key_sql)
     return f"CAST(conv(substring(md5(concat_ws(':', {_q(seed)}, {_q(name)}, {keys})), 1, 8), 16, 10) AS BIGINT)"
 
 
-def unif_sql(seed, name: str, *key_sql: str) -> str:
-    return f"({h32_sql(seed, name, *key_sql)} / 4294967296.0D)"
+def unif_sql(seed, name: str, *key_sql: str, fast: bool = False) -> str:
+    return f"({h32_sql(seed, name, *key_sql, fast=fast)} / 4294967296.0D)"
 
 
 def int_between_sql(u: str, lo: int, hi: int) -> str:

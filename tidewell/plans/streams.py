@@ -267,9 +267,9 @@ def stream_spec(name: str) -> list[dict]:
 
 
 def batch(spark: SparkSession, name: str, rows: int, partitions: int | None = None, seed=42,
-          offset: int = 0) -> DataFrame:
+          offset: int = 0, fast: bool = False) -> DataFrame:
     """``rows`` records of a stream with global ids from ``offset`` (batch form)."""
-    return generate(spark, stream_spec(name), rows, partitions, seed, offset)
+    return generate(spark, stream_spec(name), rows, partitions, seed, offset, fast=fast)
 
 
 def over_keys(df: DataFrame, key: str, name: str, ts: Column | None = None, seed=42) -> DataFrame:

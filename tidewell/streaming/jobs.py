@@ -70,7 +70,7 @@ def decode(df: DataFrame, schema: str) -> DataFrame:
 
 def generator(spark: SparkSession, spec: list[dict], sink_folder: str, rows_per_batch: int = 100,
               interval_seconds: float = 1.0, partitions: int = 2, seed=42, checkpoint: str | None = None,
-              start_timestamp_ms: int = 0, fmt: str = "text") -> StreamingQuery:
+              start_timestamp_ms: int = 0, fmt: str = "text", fast: bool = False) -> StreamingQuery:
     """Start a stream generator writing JSON records (one per line) to ``sink_folder``.
 
     Row ids continue across micro-batches (``rate-micro-batch``), so every
@@ -81,7 +81,8 @@ def generator(spark: SparkSession, spec: list[dict], sink_folder: str, rows_per_
     src = (spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch)
            .option("numPartitions", partitions).option("startTimestamp", start_timestamp_ms)
            .option("advanceMillisPerBatch", int(interval_seconds * 1000)).load())
-    rows = apply_spec(src.withColumnRenamed("value", "_id"), spec, key="_id", seed=seed, keep=["_id", "timestamp"])
+    rows = apply_spec(src.withColumnRenamed("value", "_id"), spec, key="_id", seed=seed, keep=["_id", "timestamp"],
+                      fast=fast)
     rows = rows.withColumn("event_timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
     body = [c for c in rows.columns if c not in ("_id", "timestamp")]
     out = rows.select(F.to_json(F.struct(*body)).alias("value"))
