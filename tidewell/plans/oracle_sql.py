@@ -898,7 +898,7 @@ _add_pair_graph_oracles()
 
 # --- graph queries over Bernoulli relationships ---------------------------------------
 def dbern(src_sql: str, src_key: str, T: str, p: float, rel: str, seed=SEED, no_self: bool = False,
-          max_per_source: int | None = None) -> str:
+          max_per_source: int | None = None, self_col: str | None = None) -> str:
     """(src, dst_ord) of ``bernoulli_edges``: geometric gaps from the hash, running sums per source."""
     import math
     mean = f"(CAST(s.tt AS DOUBLE) * {p!r})"
@@ -908,9 +908,10 @@ def dbern(src_sql: str, src_key: str, T: str, p: float, rel: str, seed=SEED, no_
     size = f"greatest({size}, 1)"
     u = du(f"{rel}#gap", "CAST(src AS VARCHAR) || ':0:' || CAST(i AS VARCHAR)", seed)
     gap = "1" if p >= 1.0 else f"(floor(ln(1.0 - {u}) / {math.log(1.0 - p)!r}) + 1)"
-    pos = (f"(SELECT src, tt, -1 + sum({gap}) OVER (PARTITION BY src ORDER BY i) AS pos FROM "
-           f"(SELECT {src_key} AS src, {T} AS tt FROM {src_sql}) s, generate_series(1, {size}) g(i))")
-    cond = "pos < tt" + (" AND pos <> src" if no_self else "")
+    pos = (f"(SELECT src, tt, self_o, -1 + sum({gap}) OVER (PARTITION BY src ORDER BY i) AS pos FROM "
+           f"(SELECT {src_key} AS src, {T} AS tt, {self_col or 'NULL'} AS self_o FROM {src_sql}) s, "
+           f"generate_series(1, {size}) g(i))")
+    cond = "pos < tt" + (" AND pos <> src" if no_self else "") + (" AND pos <> self_o" if self_col else "")
     dst = "pos"
     if max_per_source:
         dst = f"(pos + {dhash(f'{rel}#rot', 'src', seed)} % tt) % tt"
@@ -1169,3 +1170,74 @@ def _add_traversal_oracles():
 
 
 _add_traversal_oracles()
+
+
+def _add_type_count_oracle():
+    from ..functions import pools
+    from . import graphs as GR
+    npart, nnation, nsupp = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM nation)", "(SELECT count(*) FROM supplier)"
+    ncust, nord = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)"
+
+    def cnt(sub: str) -> str:
+        return f"(SELECT count(*) FROM {sub} x)"
+
+    # REQUIRES: courses of level >= 200 with a lower level present, kept with probability 0.6
+    cs = f"{SEED}/Course"
+    lvl = f"CAST({dspec(GR._pick('level', GR.COURSE_LEVELS, type_='int'), 'p_partkey', cs)} AS INTEGER)"
+    cid = "concat('CRS-', lpad(CAST(p_partkey + 1 AS VARCHAR), 4, '0'))"
+    requires = (f"(SELECT count(*) FROM (SELECT {cid} AS course_id, {lvl} AS level FROM part) c "
+                f"WHERE level >= 200 AND {du('REQUIRES#pick', 'course_id')} < 0.6 "
+                f"AND EXISTS (SELECT 1 FROM part p2 WHERE {lvl.replace('p_partkey', 'p2.p_partkey')} < c.level))")
+    # TAUGHT_BY: min(3, teachers of the student's school) per student whose school has teachers
+    tseed = f"{SEED}/Teacher"
+    tschool = f"({dhash('school_id#1', 's_suppkey', tseed)} % {nnation})"
+    per_school = f"(SELECT {tschool} AS sch, count(*) AS n FROM supplier GROUP BY 1)"
+    attends = dk_targets("customer", "c_custkey", "ATTENDS", nnation, 1, 1)
+    taught = f"(SELECT sum(least(3, ps.n)) FROM {attends} a JOIN {per_school} ps ON ps.sch = a.dst_ord)"
+    # RECEIVED: risky students, 1..2 interventions each
+    ks = f"{SEED}/K12Student"
+    risk = dspec(GR._rng("risk_score", "decimal(5,1)", 0, 100), "c_custkey", ks)
+    received = dk_targets(f"(SELECT c_custkey FROM customer WHERE {risk} > 40)", "c_custkey", "RECEIVED", npart, 1, 2)
+    # ENROLLED_IN (benefits): approved cases, 1..2 programs
+    det = dspec(GR._pick("determination", ["approved", "denied", "pending", "deferred", "conditional"],
+                         [5, 2, 2, 1, 1]), "o_orderkey", f"{SEED}/Case")
+    case_enr = dk_targets(f"(SELECT o_orderkey FROM orders WHERE {det} = 'approved')", "o_orderkey", "ENROLLED_IN",
+                          str(len(GR.HHS_PROGRAMS)), 1, 2)
+    # REFERRED: Bernoulli 0.003 inside each county block, no self pairs (block ordinals)
+    cl = f"{SEED}/Client"
+    county = f"concat({dspec(GR._pick('_city', pools.CITIES), 'c_custkey', cl)}, ' County')"
+    blocks = (f"(SELECT c_custkey, row_number() OVER (PARTITION BY county ORDER BY c_custkey) - 1 AS bo, "
+              f"count(*) OVER (PARTITION BY county) AS bn FROM (SELECT c_custkey, {county} AS county FROM customer) z)")
+    referred = dbern(blocks, "c_custkey", "bn", 0.003, "REFERRED", self_col="bo")
+    keep = f"(SELECT o_orderkey FROM orders WHERE {du('AFFECTS#keep', 'o_orderkey')} < 0.3)"
+    rows = {
+        "student_enrollment": [("OFFERED_BY", f"(45 + {npart})"), ("REQUIRES", requires), ("PURSUING", ncust),
+                               ("ENROLLED_IN", cnt(dk_targets("customer", "c_custkey", "ENROLLED_IN", npart, 2, 5)))],
+        "grant_budget": [("FUNDS", cnt(dbern("nation", "n_nationkey", nnation, 0.3, "FUNDS"))),
+                         ("MANAGES", cnt(dbern("nation", "n_nationkey", npart, 0.15, "MANAGES"))),
+                         ("AWARDS", cnt(dbern("part", "p_partkey", nsupp, 0.05, "AWARDS"))),
+                         ("SUBCONTRACTS", cnt(dbern("supplier", "s_suppkey", nsupp, 0.008, "SUBCONTRACTS",
+                                                    no_self=True))),
+                         ("HAS_LINE_ITEM", nord)],
+        "citizen_services": [("IN_DISTRICT", npart), ("SUBMITTED", nord), ("ASSIGNED_TO", nord),
+                             ("AFFECTS", cnt(keep))],
+        "k12_early_warning": [("WORKS_AT", nsupp), ("ATTENDS", ncust), ("TAUGHT_BY", taught),
+                              ("TARGETS", cnt(dbern("part", "p_partkey", str(len(GR.RISK_INDICATORS)), 0.15,
+                                                    "TARGETS"))),
+                              ("RECEIVED", cnt(received))],
+        "procurement": [("ISSUED", npart), ("AWARDED_TO", npart),
+                        ("SUBCONTRACTS_TO", cnt(dbern("supplier", "s_suppkey", nsupp, 0.005, "SUBCONTRACTS_TO",
+                                                      no_self=True))),
+                        ("REPRESENTS", cnt(dbern("supplier", "s_suppkey", nsupp, 0.02, "REPRESENTS")))],
+        "case_management": [("WORKS_AT", nsupp),
+                            ("ADMINISTERS", cnt(dbern("nation", "n_nationkey", str(len(GR.HHS_PROGRAMS)), 0.25,
+                                                      "ADMINISTERS"))),
+                            ("HAS_CASE", nord), ("MANAGED_BY", nord), ("ENROLLED_IN", cnt(case_enr)),
+                            ("REFERRED", cnt(referred))],
+    }
+    parts = [f"SELECT '{t}' AS relationship_type, CAST({n} AS BIGINT) AS count, '{g}' AS graph"
+             for g, items in rows.items() for t, n in items]
+    ORACLE["graph_h14_type_counts"] = " UNION ALL ".join(parts)
+
+
+_add_type_count_oracle()
