@@ -1241,3 +1241,20 @@ def _add_type_count_oracle():
 
 
 _add_type_count_oracle()
+
+
+def _add_components_oracle():
+    ncust, nord, nsupp = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)", "(SELECT count(*) FROM supplier)"
+    hc = dpairs("orders", "o_orderkey", ncust, nord, "HAS_CASE")
+    mb = dk_targets("orders", "o_orderkey", "MANAGED_BY", nsupp, 1, 1)
+    ORACLE["graph_h33_caseworker_communities"] = (
+        f"WITH RECURSIVE links AS (SELECT DISTINCT h.a_ord AS client, m.dst_ord AS cw FROM {hc} h "
+        f"JOIN {mb} m ON m.src = h.b_ord), "
+        f"cc AS (SELECT DISTINCT a.cw AS x, b.cw AS y FROM links a JOIN links b USING (client)), "
+        f"r(start, node) AS (SELECT x, y FROM cc UNION SELECT r.start, cc.y FROM r JOIN cc ON cc.x = r.node), "
+        f"comp AS (SELECT start, min(node) AS component FROM r GROUP BY start) "
+        f"SELECT caseworkers, count(*) AS communities FROM "
+        f"(SELECT component, count(*) AS caseworkers FROM comp GROUP BY component) GROUP BY caseworkers")
+
+
+_add_components_oracle()
