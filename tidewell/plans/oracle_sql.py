@@ -1258,3 +1258,38 @@ def _add_components_oracle():
 
 
 _add_components_oracle()
+
+
+def _add_sample_rows_oracle():
+    from datetime import datetime, timezone
+
+    from ..functions import pools
+
+    def ep(s):
+        return int(datetime.fromisoformat(s).replace(tzinfo=timezone.utc).timestamp())
+
+    seed, k = f"{SEED}/sample", "doc_id"
+    m = f"md5(concat_ws(':', '{seed}', 'uuid', CAST(doc_id AS VARCHAR)))"
+    uuid = (f"concat_ws('-', substr({m}, 1, 8), substr({m}, 9, 4), '4' || substr({m}, 14, 3), "
+            f"substr('89ab', CAST(('0x' || substr({m}, 17, 1))::INTEGER % 4 + 1 AS INTEGER), 1) || substr({m}, 18, 3), "
+            f"substr({m}, 21, 12))")
+    phone = (f"'(' || CAST({dint(du('phone_number#a', k, seed), 200, 999)} AS VARCHAR) || ') ' || "
+             f"CAST({dint(du('phone_number#b', k, seed), 200, 999)} AS VARCHAR) || '-' || "
+             f"CAST({dint(du('phone_number#c', k, seed), 1000, 9999)} AS VARCHAR)")
+    address = (f"concat_ws(' ', CAST({dint(du('address#no', k, seed), 100, 9999)} AS VARCHAR), "
+               f"{dpick(du('address#street', k, seed), pools.RULE_STREETS)})")
+    d_lo, d_hi = ep("2023-01-01"), ep("2025-12-31")
+    t_lo, t_hi = ep("2023-01-01T00:00:00"), ep("2025-12-31T23:59:59")
+    date = f"strftime(make_timestamp({dint(du('date', k, seed), d_lo, d_hi)} * 1000000), '%Y-%m-%d')"
+    ts = f"strftime(make_timestamp({dint(du('date_time', k, seed), t_lo, t_hi)} * 1000000), '%Y-%m-%dT%H:%M:%S')"
+    name = (f"concat_ws(' ', {dpick(du('string#first', k, seed), pools.RULE_FIRST_NAMES)}, "
+            f"{dpick(du('string#last', k, seed), pools.RULE_LAST_NAMES)})")
+    ORACLE["contract_i_sample_rows"] = (
+        f"SELECT doc_id, {uuid} AS uuid, 'user' || CAST(doc_id + 1 AS VARCHAR) || '@example.com' AS email, "
+        f"{phone} AS phone_number, {address} AS address, {date} AS date, {ts} AS date_time, "
+        f"CAST({du('boolean', k, seed)} < 0.5 AS VARCHAR) AS boolean, "
+        f"CAST({dint(du('integer', k, seed), 0, 100)} AS VARCHAR) AS integer, "
+        f"CAST(round({du('float', k, seed)} * 100.0, 2) AS VARCHAR) AS float, {name} AS string FROM documents")
+
+
+_add_sample_rows_oracle()
