@@ -1293,3 +1293,13 @@ def _add_sample_rows_oracle():
 
 
 _add_sample_rows_oracle()
+
+
+ORACLE["source_a20_describe_orders"] = """
+SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name,
+       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+                        WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date'
+                        ELSE lower(column_type) END AS data_type,
+       "null" = 'YES' AS is_nullable, (SELECT count(*) FROM orders) AS row_count
+FROM (DESCRIBE orders)
+"""
