@@ -91,3 +91,37 @@ def test_late_rows_dropped_by_watermark(spark):
     q.awaitTermination()
     dropped = sum((p.get("stateOperators") or [{}])[0].get("numRowsDroppedByWatermark", 0) for p in q.recentProgress)
     assert dropped >= 1
+
+
+def _events_folder(spark):
+    d = os.path.join(_tmp(), "ev")
+    spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).write.mode("overwrite").parquet(d)
+    return d
+
+
+def test_stream_to_table_and_preview(spark):
+    src_dir = _events_folder(spark)
+    schema = spark.read.parquet(src_dir).schema
+    out, ckpt = os.path.join(_tmp(), "t"), os.path.join(_tmp(), "c")
+    J.to_table(J.file_stream(spark, src_dir, schema), out, ckpt).awaitTermination()
+    assert spark.read.parquet(out).count() == spark.read.parquet(src_dir).count()
+    q = J.preview(J.file_stream(spark, src_dir, schema).select("event_id"), "tw_preview")
+    q.processAllAvailable()
+    n = spark.table("tw_preview").count()
+    q.stop()
+    assert n == spark.read.parquet(src_dir).count()
+
+
+def test_stream_dedupe_and_enrichment(spark):
+    src_dir = _events_folder(spark)
+    ev = spark.read.parquet(src_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    doubled = os.path.join(_tmp(), "dup")
+    ev.unionByName(ev).write.mode("overwrite").parquet(doubled)
+    stream = J.file_stream(spark, doubled, ev.schema)
+    dedup = A.dedupe(stream, ["event_id"], ts="ts", watermark="1 day")
+    cust = spark.read.parquet(os.path.join(SF_SMALL, "customer.parquet"))
+    enriched = A.enrich(dedup, cust, "user_id", "c_custkey").select("event_id", "c_mktsegment")
+    out, ckpt = os.path.join(_tmp(), "o"), os.path.join(_tmp(), "c")
+    J.to_table(enriched, out, ckpt).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == ev.count() == got.select("event_id").distinct().count()
