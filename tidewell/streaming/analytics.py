@@ -116,10 +116,14 @@ def funnel(df: DataFrame, entity: str, ts: str, step_col: str, steps: list[str])
 
 
 def shares(df: DataFrame, col: str) -> DataFrame:
-    """Count per value and its share of all rows (count / sum(count) over ())."""
-    from pyspark.sql import Window
+    """Count per value and its share of all rows.
+
+    The total is a scalar subquery (one aggregate), not ``sum(count) over ()``,
+    which would move every group row into one task when the column has many values.
+    """
     c = df.groupBy(col).agg(F.count("*").alias("n"))
-    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    total = df.select(F.count(F.lit(1))).scalar()
+    return c.withColumn("share", F.round(F.col("n") / total, 4))
 
 
 def rollout(df: DataFrame, ts: str, version: str, versions: list[str], width: str = "1 day") -> DataFrame:
