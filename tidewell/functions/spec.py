@@ -27,6 +27,7 @@ in any partitioning, and a stream continues ids across micro-batches.
 
 from __future__ import annotations
 
+import functools
 import re
 from datetime import datetime, timezone
 
@@ -47,6 +48,7 @@ class SpecError(ValueError):
     pass
 
 
+@functools.lru_cache(maxsize=256)
 def _parse_type(t: str):
     try:
         return _parse_datatype_string(t)
