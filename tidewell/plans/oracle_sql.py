@@ -688,8 +688,8 @@ def _add_source_oracles():
         + ["SELECT 'missing_table' AS table_name, CAST(NULL AS BIGINT) AS row_count, 'not found' AS status"])
     O["source_a24_audit_query"] = (
         "SELECT *, count(*) OVER () AS total FROM (SELECT event_id AS id, event_type, CAST(user_id AS VARCHAR) AS user_id, "
-        "'topic-' || CAST(user_id % 3 AS VARCHAR) AS topic_name, props AS topic_message, ts AS created_at FROM events) "
-        "WHERE topic_name = 'topic-1' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40")
+        "'events.' || event_type AS topic_name, props AS topic_message, ts AS created_at FROM events) "
+        "WHERE topic_name = 'events.click' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40")
     O["source_a25_bounded_consume"] = (
         "SELECT 'events' AS topic, user_id % 4 AS partition, event_id AS \"offset\", props AS value FROM events "
         "ORDER BY partition, \"offset\" LIMIT 25")

@@ -50,12 +50,12 @@ def a21_sample_rows(t: Tables) -> DataFrame:
 def _audit_log(t: Tables) -> DataFrame:
     e = t.events
     return e.select(F.col("event_id").alias("id"), "event_type", F.col("user_id").cast("string").alias("user_id"),
-                    F.concat(F.lit("topic-"), F.pmod(F.col("user_id"), F.lit(3)).cast("string")).alias("topic_name"),
+                    F.concat(F.lit("events."), F.col("event_type")).alias("topic_name"),
                     F.col("props").alias("topic_message"), F.col("ts").alias("created_at"))
 
 
 def a24_audit_query(t: Tables) -> DataFrame:
-    return AU.audit_query(_audit_log(t), topic="topic-1", offset=40, limit=20)
+    return AU.audit_query(_audit_log(t), topic="events.click", offset=40, limit=20)
 
 
 def a25_bounded_consume(t: Tables) -> DataFrame:
