@@ -89,3 +89,9 @@ from . import source_queries as AQ  # noqa: E402
 for _name in ["a8_upsert_customers", "a11_table_copy", "a14_inventory", "a20_describe_orders", "a21_sample_rows",
               "a24_audit_query", "a25_bounded_consume", "a26_latest_value_per_key", "a27_federated_sql"]:
     register("source_" + _name, getattr(AQ, _name))
+
+# F19 user graph job counts and B15/B17 JSON records
+from . import user_graphs as UG  # noqa: E402
+
+register("graph_f19_org_chart_counts", lambda t: UG.graph_counts(UG.build_graph(t, UG.ORG_CHART)))
+register("d1_record_json", lambda t: SQ.record_json(t, "fraud_detection"))

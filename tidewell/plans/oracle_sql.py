@@ -1303,3 +1303,44 @@ SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name,
        "null" = 'YES' AS is_nullable, (SELECT count(*) FROM orders) AS row_count
 FROM (DESCRIBE orders)
 """
+
+
+def _add_user_graph_count_oracle():
+    gs = f"{SEED}/org_chart"
+    ncust = "(SELECT count(*) FROM customer)"
+    rows = [
+        ("node", "Employee", ncust), ("node", "Office", "8"), ("node", "Project", "30"),
+        ("relationship", "WORKS_IN", f"(SELECT count(*) FROM {dbern('customer', 'c_custkey', '8', 0.2, 'WORKS_IN', gs, max_per_source=1)} x)"),
+        ("relationship", "REPORTS_TO", f"(SELECT count(*) FROM {dbern('customer', 'c_custkey', ncust, 0.004, 'REPORTS_TO', gs, no_self=True, max_per_source=1)} x)"),
+        ("relationship", "ASSIGNED_TO", f"(SELECT count(*) FROM {dbern('customer', 'c_custkey', '30', 0.02, 'ASSIGNED_TO', gs)} x)"),
+    ]
+    ORACLE["graph_f19_org_chart_counts"] = " UNION ALL ".join(
+        f"SELECT '{k}' AS kind, '{n}' AS name, CAST({c} AS BIGINT) AS count" for k, n, c in rows)
+
+
+_add_user_graph_count_oracle()
+
+
+def _add_record_json_oracle():
+    from .streams import stream_spec
+    spec = stream_spec("fraud_detection")
+    parts = []
+    for c in spec:
+        n, typ = c["name"], c.get("type", "string")
+        if c.get("uuid"):
+            m = f"md5(concat_ws(':', '{SEED}', '{n}', CAST(event_id AS VARCHAR)))"
+            v = (f"concat_ws('-', substr({m}, 1, 8), substr({m}, 9, 4), '4' || substr({m}, 14, 3), "
+                 f"substr('89ab', CAST(('0x' || substr({m}, 17, 1))::INTEGER % 4 + 1 AS INTEGER), 1) || "
+                 f"substr({m}, 18, 3), substr({m}, 21, 12))")
+        else:
+            v = dspec(c, "event_id")
+        if typ == "string":
+            parts.append(f"'\"{n}\":\"' || {v} || '\"'")
+        else:
+            parts.append(f"'\"{n}\":' || CAST({v} AS VARCHAR)")
+    parts.append("'\"event_timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00\"'")
+    body = " || ',' || ".join(parts)
+    ORACLE["d1_record_json"] = f"SELECT event_id AS row_id, '{{' || {body} || '}}' AS value FROM events"
+
+
+_add_record_json_oracle()
