@@ -104,3 +104,31 @@ def i_sample_rows(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     return t.documents.select("doc_id", *[rule_column(r, "42/sample", n, k, k + 1).cast("string").alias(n)
                                          for n, r in by_type.items()])
+
+
+EMBEDDING_CONTRACT = [
+    {"name": "vec_id", "type": "primary_key", "rules": ["unique"]},
+    {"name": "embedding", "type": "array", "rules": ["not empty", "unique"]},
+    {"name": "label", "type": "integer", "rules": ["in range 0-9", "non-negative", "max 5"]},
+]
+
+CONVERSATION_TEXT_CONTRACT = [
+    {"name": "role", "type": "string", "rules": ["matches (user|assistant)", "alphabetic"]},
+    {"name": "text", "type": "message", "rules": ["length > 200"]},
+    {"name": "text_as_csv", "type": "csv"},
+    {"name": "text_as_markdown", "type": "markdown"},
+    {"name": "text_as_json", "type": "json"},
+]
+
+
+def i_embeddings(t: Tables) -> DataFrame:
+    """I5 (collections) and integer rules on the embeddings table."""
+    return _counts(C.violations(t.embeddings, EMBEDDING_CONTRACT, "vec_id"))
+
+
+def i_conversation_text(t: Tables) -> DataFrame:
+    """I4 (structured-text types) and I12 (message) on conversation turns."""
+    df = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "role", "text",
+                                F.col("text").alias("text_as_csv"), F.col("text").alias("text_as_markdown"),
+                                F.col("text").alias("text_as_json"))
+    return _counts(C.violations(df, CONVERSATION_TEXT_CONTRACT, "turn_key"))

@@ -1344,3 +1344,29 @@ def _add_record_json_oracle():
 
 
 _add_record_json_oracle()
+
+
+def _add_more_contract_oracles():
+    O = ORACLE
+    O["contract_i_embeddings"] = _viol_sql("embeddings", "vec_id", [
+        ("vec_id", "type primary_key", "vec_id = 0"),
+        ("vec_id", "unique", _dup("embeddings", "vec_id")),
+        ("embedding", "not empty", "len(embedding) = 0"),
+        ("embedding", "unique", "len(list_distinct(embedding)) <> len(embedding)"),
+        ("label", "in range 0-9", "NOT CAST(label AS DOUBLE) BETWEEN 0 AND 9"),
+        ("label", "non-negative", "NOT label >= 0"),
+        ("label", "max 5", "NOT CAST(label AS DOUBLE) <= 5"),
+    ])
+    O["contract_i_conversation_text"] = _viol_sql("conversations", "conv_id", [
+        ("role", "matches (user|assistant)", "NOT regexp_matches(role, '^(?:(user|assistant))')"),
+        ("role", "alphabetic", "NOT regexp_matches(role, '^\\p{L}+$')"),
+        ("text", "type message", "regexp_matches(text, '^\\s*$')"),
+        ("text", "length > 200", "NOT length(text) > 200"),
+        ("text_as_csv", "type csv", "NOT (contains(text, chr(10)) AND contains(text, ','))"),
+        ("text_as_markdown", "type markdown", "NOT (ends_with(text, '.md') OR contains(text, '#') OR contains(text, '*'))"),
+        ("text_as_json", "type json",
+         "NOT (CASE WHEN json_valid(text) THEN json_type(text) IN ('OBJECT', 'ARRAY') ELSE false END)"),
+    ])
+
+
+_add_more_contract_oracles()
