@@ -149,7 +149,7 @@ def _dspec_value(c: dict, key: str, seed=SEED) -> str:
         from .datasets import _epoch_of
         lo_s, hi_s = _epoch_of(c["begin"]), _epoch_of(c.get("end") or c["begin"])
         steps = (hi_s - lo_s) // 86400
-        ts = f"to_timestamp({lo_s} + {dint(du(name, key, seed), 0, steps)} * 86400)"
+        ts = f"make_timestamp(CAST({lo_s} + {dint(du(name, key, seed), 0, steps)} * 86400 AS BIGINT) * 1000000)"
         return f"CAST({ts} AS DATE)" if typ == "date" else ts
     if c.get("parts") is not None:
         out = []
