@@ -76,12 +76,15 @@ class Graph:
                 .orderBy(F.desc("count"), "relationship_type"))
 
     def pattern_sample(self, limit: int = 100) -> DataFrame:
-        """``MATCH (n)-[r]->(m) RETURN n, type(r), m LIMIT n`` over all typed edges."""
+        """``MATCH (n)-[r]->(m) RETURN n, type(r), m LIMIT n`` over all typed edges.
+
+        The first ``limit`` by (type, src, dst) are returned, so the sample is
+        reproducible (a per-task top-k, not a scan of everything)."""
         parts = [self.edge_table((t, s, d)).select(
                      F.lit(s).alias("src_label"), F.col("src").cast("string").alias("src"), F.lit(t).alias("type"),
                      F.lit(d).alias("dst_label"), F.col("dst").cast("string").alias("dst"))
                  for (t, s, d) in list(self.edges)]
-        return _union_all(parts).limit(limit)
+        return _union_all(parts).orderBy("type", "src", "dst", "src_label", "dst_label").limit(limit)
 
     def without_label(self, label: str) -> "Graph":
         """Drop a label and every relationship touching it (returns a new graph)."""

@@ -1370,3 +1370,28 @@ def _add_more_contract_oracles():
 
 
 _add_more_contract_oracles()
+
+
+def _add_pattern_sample_oracle():
+    npart, nnation, nsupp = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM nation)", "(SELECT count(*) FROM supplier)"
+
+    def ids(prefix, width, col):
+        return f"'{prefix}' || lpad(CAST({col} + 1 AS VARCHAR), {width}, '0')"
+
+    iss = dpairs("part", "p_partkey", nnation, npart, "ISSUED")
+    aw = dk_targets("part", "p_partkey", "AWARDED_TO", nsupp, 1, 1)
+    sc = dbern("supplier", "s_suppkey", nsupp, 0.005, "SUBCONTRACTS_TO", no_self=True)
+    rp = dbern("supplier", "s_suppkey", nsupp, 0.02, "REPRESENTS")
+    parts = [
+        f"SELECT 'ProcAgency' AS src_label, {ids('PAGY-', 3, 'a_ord')} AS src, 'ISSUED' AS type, "
+        f"'Contract' AS dst_label, {ids('CTR-', 5, 'b_ord')} AS dst FROM {iss} x",
+        f"SELECT 'Contract', {ids('CTR-', 5, 'src')}, 'AWARDED_TO', 'ProcVendor', {ids('PVND-', 4, 'dst_ord')} FROM {aw} x",
+        f"SELECT 'ProcVendor', {ids('PVND-', 4, 'src')}, 'SUBCONTRACTS_TO', 'ProcVendor', {ids('PVND-', 4, 'dst_ord')} "
+        f"FROM {sc} x",
+        f"SELECT 'Lobbyist', {ids('LOB-', 4, 'src')}, 'REPRESENTS', 'ProcVendor', {ids('PVND-', 4, 'dst_ord')} FROM {rp} x",
+    ]
+    ORACLE["graph_h22_any_pattern_sample"] = (
+        f"SELECT * FROM ({' UNION ALL '.join(parts)}) u ORDER BY type, src, dst, src_label, dst_label LIMIT 100")
+
+
+_add_pattern_sample_oracle()
