@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, _parse_datatype_string
 
 from .hashing import (decimal_between_sql, float_between_sql, h32, h32_sql, int_between_sql, padded,
-                      padded_sql, pick_sql, sql_literal, unif, unif_sql, uuid_sql, weighted_pick_sql)
+                      padded_sql, pick_sql, sql_literal, unif_sql, uuid_sql, weighted_pick_sql)
 
 _NON_DETERMINISTIC = re.compile(r"\b(rand|randn|random|uuid|shuffle|uniform|randstr|now|current_timestamp)\s*\(", re.I)
 _INTERVAL = re.compile(r"^\s*(days|hours|minutes|seconds|weeks)\s*=\s*(\d+)\s*$")

@@ -77,10 +77,6 @@ def _ids(df: DataFrame, ord_col: str, prefix: str, width: int) -> Column:
     return padded(prefix, F.col(ord_col) + 1, width)
 
 
-def _edge_props(df: DataFrame, seed, rel: str, props: list[tuple[str, Column]]) -> DataFrame:
-    return df.select("*", *[c.alias(n) for n, c in props])
-
-
 def _u(seed, rel, tag, *cols):
     return unif(seed, f"{rel}#{tag}", *cols)
 
