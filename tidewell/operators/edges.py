@@ -38,9 +38,10 @@ def dense_ordinals(df: DataFrame, order_cols: list[str], name: str = "_o",
     broadcast). The numbered rows are written with a reliable checkpoint first,
     so the counts and the numbers come from the same partitioning.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # without an explicit count AQE coalesces the range partitions by size; merged partitions are
+    # still contiguous key ranges in order, which is all the offsets below rely on
+    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    r = ranged.withColumn("_pid", F.spark_partition_id())
     r = r.withColumn("_local", (F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
                      .cast("bigint")).checkpoint()
     counts = r.groupBy("_pid").agg(F.count("*").alias("_c"))

@@ -137,18 +137,29 @@ def dual_write(df: DataFrame, topic_folder: str, audit_path: str, checkpoint: st
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def upsert_run(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+def upsert_run(df: DataFrame, keys: list[str], path: str, checkpoint: str,
+               state_partitions: int | None = None) -> DataFrame:
     """Run an aggregating stream in ``update`` mode to completion (available-now) and
     return the latest row per key. Each batch's updates are written under
     ``batch_id=<id>`` (replays overwrite), the final view is ``max_by`` over batch id.
+
+    Streaming state is partitioned by ``spark.sql.shuffle.partitions`` when the
+    query first starts (AQE does not resize it), so the state partition count
+    is set explicitly for the start of a new query: ``state_partitions`` or the
+    cluster's default parallelism; the session value is restored afterwards.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
-    q = (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
     spark = df.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    q.awaitTermination()
     out = spark.read.parquet(path)
     cols = [c for c in out.columns if c not in keys and c != "batch_id"]
     latest = out.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
