@@ -1395,3 +1395,9 @@ def _add_pattern_sample_oracle():
 
 
 _add_pattern_sample_oracle()
+
+ORACLE["source_a21_sample_rows"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,
+       o_orderpriority
+FROM orders ORDER BY o_orderkey LIMIT 5
+"""

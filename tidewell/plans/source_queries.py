@@ -44,7 +44,7 @@ def a20_describe_orders(t: Tables) -> DataFrame:
 
 
 def a21_sample_rows(t: Tables) -> DataFrame:
-    return TB.sample_rows(t.orders, 5)
+    return TB.sample_rows(t.orders, 5, order_by=["o_orderkey"])
 
 
 def _audit_log(t: Tables) -> DataFrame:

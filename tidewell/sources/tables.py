@@ -114,8 +114,11 @@ def describe(df: DataFrame) -> DataFrame:
     return cols.withColumn("row_count", df.select(F.count(F.lit(1))).scalar())
 
 
-def sample_rows(df: DataFrame, limit: int = 5) -> DataFrame:
-    """First ``limit`` rows with dates/timestamps as ISO text and decimals as doubles."""
+def sample_rows(df: DataFrame, limit: int = 5, order_by: list[str] | None = None) -> DataFrame:
+    """First ``limit`` rows with dates/timestamps as ISO text and decimals as doubles.
+
+    With ``order_by`` the rows are the first by that key (reproducible); without it, any rows.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -124,6 +127,8 @@ def sample_rows(df: DataFrame, limit: int = 5) -> DataFrame:
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         out.append(c.alias(f.name))
+    if order_by:
+        return df.orderBy(*order_by).limit(limit).select(*out)
     return df.select(*out).limit(limit)
 
 
