@@ -22,8 +22,8 @@ from tidewell.session import build_session  # noqa: E402
 HEADLINE = [
     "g3_lineitem_by_status_year",        # G3  filter + two-key aggregate + mixed sort
     "g15_customer_activity",             # G15 pre-aggregate, join, top-k
-    "sled_g7_high_risk_by_school",       # G7  generated tables, filter, join, aggregate
-    "sled_g15_student_activity",         # G15 generated events x students, top-k
+    "gen_g7_high_risk_by_school",       # G7  generated tables, filter, join, aggregate
+    "gen_g15_student_activity",         # G15 generated events x students, top-k
     "d1_card_transactions",              # D1  stream records from the spec, summary
     "graph_h1_department_enrolment",     # H1  k-targets edges, 2 hops, distinct count
     "graph_h4_funding_trace",            # H4  Bernoulli edges, 3 hops, top-k

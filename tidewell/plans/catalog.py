@@ -37,14 +37,14 @@ for _stream, _qname in SQ.QUERY_NAMES.items():
     register(_qname, lambda t, _s=_stream: SQ.stream_summary(t, _s))
 
 # §2.G over the generated public-sector tables (hash recipe, whole fixture keys)
-from . import sled_analytics as SA  # noqa: E402
+from . import generated_analytics as SA  # noqa: E402
 
 for _name in ["g1_enrolments_per_semester", "g2_students_by_status_campus", "g3_expenditure_by_fund_year",
               "g4_vendor_diversity", "g5_request_resolution", "g6_asset_condition_by_district",
               "g7_high_risk_by_school", "g8_risk_by_grade", "g9_contracts_by_category_method",
               "g10_benefits_by_program", "g11_client_demographics", "g12_totals_per_table",
               "g13_survey_scores", "g14_fleet_events", "g15_student_activity"]:
-    register("sled_" + _name, getattr(SA, _name))
+    register("gen_" + _name, getattr(SA, _name))
 
 # §2.H graph analytics over the generated graphs
 from . import graph_queries as GQ  # noqa: E402

@@ -246,59 +246,59 @@ def _share(c):
     return f"round(avg(CAST(CAST({c} AS INTEGER) AS DOUBLE)), 4)"
 
 
-def _add_sled_oracles():
+def _add_generated_table_oracles():
     O = ORACLE
-    O["sled_g1_enrolments_per_semester"] = (
+    O["gen_g1_enrolments_per_semester"] = (
         f"SELECT semester, count(*) AS enrollments, count(DISTINCT student_id) AS unique_students "
         f"FROM {dtable('enrollment_events', ['semester', 'student_id', 'action'])} e "
         f"WHERE action = 'enroll' GROUP BY semester ORDER BY semester")
-    O["sled_g2_students_by_status_campus"] = (
+    O["gen_g2_students_by_status_campus"] = (
         f"SELECT status, campus, count(*) AS students, {_avg('gpa')} AS avg_gpa, {_avg('total_credits')} AS avg_credits "
         f"FROM {dtable('students', ['status', 'campus', 'gpa', 'total_credits'])} s GROUP BY status, campus "
         f"ORDER BY students DESC, status, campus")
-    O["sled_g3_expenditure_by_fund_year"] = (
+    O["gen_g3_expenditure_by_fund_year"] = (
         f"SELECT fund_category, fiscal_year, count(*) AS transactions, {_sum2('amount')} AS total_spent "
         f"FROM {dtable('budget_transactions', ['fund_category', 'fiscal_year', 'amount', 'transaction_type'])} b "
         f"WHERE transaction_type = 'expenditure' GROUP BY fund_category, fiscal_year "
         f"ORDER BY fiscal_year, total_spent DESC, fund_category")
-    O["sled_g4_vendor_diversity"] = (
+    O["gen_g4_vendor_diversity"] = (
         f"SELECT type, count(*) AS vendors, {_share('minority_owned')} AS pct_minority, "
         f"{_share('small_business')} AS pct_small_biz, {_share('woman_owned')} AS pct_woman_owned, "
         f"{_avg('annual_revenue', 2)} AS avg_revenue "
         f"FROM {dtable('vendors', ['type', 'minority_owned', 'small_business', 'woman_owned', 'annual_revenue'])} v "
         f"GROUP BY type ORDER BY vendors DESC, type")
-    O["sled_g5_request_resolution"] = (
+    O["gen_g5_request_resolution"] = (
         f"SELECT request_type, priority, count(*) AS requests, {_avg('response_time_hours')} AS avg_response_hours, "
         f"{_avg('satisfaction_rating')} AS avg_satisfaction "
         f"FROM {dtable('service_requests', ['request_type', 'priority', 'response_time_hours', 'satisfaction_rating'])} r "
         f"GROUP BY request_type, priority ORDER BY requests DESC, request_type, priority")
-    O["sled_g6_asset_condition_by_district"] = (
+    O["gen_g6_asset_condition_by_district"] = (
         f"SELECT district, condition, count(*) AS assets, {_avg('replacement_cost', 2)} AS avg_replacement_cost "
         f"FROM {dtable('assets', ['district', 'condition', 'replacement_cost'])} a "
         f"GROUP BY district, condition ORDER BY district, condition")
-    O["sled_g7_high_risk_by_school"] = (
+    O["gen_g7_high_risk_by_school"] = (
         f"SELECT name, type, count(*) AS high_risk_students, {_avg('risk_score')} AS avg_risk_score, "
         f"{_avg('attendance_rate')} AS avg_attendance "
         f"FROM {dtable('k12_students', ['school_id', 'risk_score', 'attendance_rate'])} k "
         f"JOIN {dtable('schools', ['school_id', 'name', 'type'])} s USING (school_id) "
         f"WHERE risk_score > 70 GROUP BY name, type ORDER BY high_risk_students DESC, name, type")
-    O["sled_g8_risk_by_grade"] = (
+    O["gen_g8_risk_by_grade"] = (
         f"SELECT grade_level, count(*) AS students, {_avg('risk_score')} AS avg_risk, {_avg('gpa')} AS avg_gpa, "
         f"{_share('free_reduced_lunch')} AS pct_frl, {_share('english_learner')} AS pct_ell, "
         f"{_share('special_education')} AS pct_sped "
         f"FROM {dtable('k12_students', ['grade_level', 'risk_score', 'gpa', 'free_reduced_lunch', 'english_learner', 'special_education'])} k "
         f"GROUP BY grade_level ORDER BY grade_level")
-    O["sled_g9_contracts_by_category_method"] = (
+    O["gen_g9_contracts_by_category_method"] = (
         f"SELECT category, method, count(*) AS contracts, {_sum2('amount')} AS total_value, "
         f"{_avg('amount', 2)} AS avg_value, {_avg('duration_months')} AS avg_duration "
         f"FROM {dtable('contracts', ['category', 'method', 'amount', 'duration_months'])} c "
         f"GROUP BY category, method ORDER BY total_value DESC, category, method")
-    O["sled_g10_benefits_by_program"] = (
+    O["gen_g10_benefits_by_program"] = (
         f"SELECT program, determination, count(*) AS cases, {_avg('benefit_amount', 2)} AS avg_benefit, "
         f"{_sum2('benefit_amount')} AS total_benefits "
         f"FROM {dtable('cases', ['program', 'determination', 'benefit_amount'])} c "
         f"GROUP BY program, determination ORDER BY total_benefits DESC, program, determination")
-    O["sled_g11_client_demographics"] = (
+    O["gen_g11_client_demographics"] = (
         f"SELECT income_bracket, primary_language, count(*) AS clients, {_avg('household_size')} AS avg_household, "
         f"{_share('veteran')} AS pct_veteran, {_share('disabled')} AS pct_disabled "
         f"FROM {dtable('clients', ['income_bracket', 'primary_language', 'household_size', 'veteran', 'disabled'])} c "
@@ -306,8 +306,8 @@ def _add_sled_oracles():
     from .datasets import DATASETS, SPECS
     parts = [f"SELECT '{uc}' AS use_case, '{tn}' AS table_name, (SELECT count(*) FROM {SPECS[tn][0]}) AS row_count"
              for uc, tabs in DATASETS.items() for tn in tabs]
-    O["sled_g12_totals_per_table"] = " UNION ALL ".join(parts)
-    O["sled_g15_student_activity"] = (
+    O["gen_g12_totals_per_table"] = " UNION ALL ".join(parts)
+    O["gen_g15_student_activity"] = (
         f"SELECT name, CAST(gpa AS DOUBLE) AS gpa, campus, sum(n) AS events, round(sum(s) / sum(n), 4) AS avg_gpa_impact "
         f"FROM (SELECT student_id, count(*) AS n, sum(CAST(gpa_impact AS DOUBLE)) AS s "
         f"      FROM {dtable('enrollment_events', ['student_id', 'gpa_impact'])} e GROUP BY student_id) a "
@@ -319,13 +319,13 @@ def _add_sled_oracles():
     sv = {c["name"]: c["generator_rule"] for c in SURVEY_COLUMNS}
     fl = {c["name"]: c["generator_rule"] for c in FLEET_COLUMNS}
     sseed, fseed = f"{SEED}/survey_responses", f"{SEED}/vehicle_events"
-    O["sled_g13_survey_scores"] = (
+    O["gen_g13_survey_scores"] = (
         f"SELECT product, category, count(*) AS responses, {_avg('overall_score')} AS avg_score, "
         f"{_avg('nps_score')} AS avg_nps FROM (SELECT "
         + ", ".join(f"{drule(sv[n], n, 'event_id', sseed)} AS {n}" for n in
                     ["product", "category", "overall_score", "nps_score"])
         + " FROM events) GROUP BY product, category ORDER BY responses DESC, product, category")
-    O["sled_g14_fleet_events"] = (
+    O["gen_g14_fleet_events"] = (
         f"SELECT vehicle_type, event_type, count(*) AS events, {_avg('speed_mph')} AS avg_speed, "
         f"{_avg('fuel_pct')} AS avg_fuel FROM (SELECT "
         + ", ".join(f"{drule(fl[n], n, 'o_orderkey', fseed)} AS {n}" for n in
@@ -350,7 +350,7 @@ def drule(rule: dict, name: str, key: str, seed) -> str:
     raise ValueError(g)
 
 
-_add_sled_oracles()
+_add_generated_table_oracles()
 
 
 # --- §2.H graph queries over the generated graphs -------------------------------
