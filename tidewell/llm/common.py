@@ -20,9 +20,15 @@ CHUNK = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return read(spark, sf_dir, "documents")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand rows at a time, which bounds a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"

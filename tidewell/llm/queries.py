@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, syncmers, token_index
+from . import lsh_forest, packing, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,5 +23,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_token_index, op5_best_fit_packing)}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and links (other documents with a shingle Jaccard of 0.8 or more)."""
+    return lsh_forest.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "links")
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_token_index, op5_best_fit_packing, op7_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
