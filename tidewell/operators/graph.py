@@ -166,40 +166,44 @@ def var_length_paths(starts: DataFrame, start_key: str, edges: DataFrame, min_de
     return _union_all(results)
 
 
-def connected_components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
-    """Min-label propagation on an undirected edge list ``(src, dst)``.
-
-    Returns ``node, component`` where ``component`` is the smallest node key of
-    the component. Each round is one join and two hash aggregates (no pair
-    expansion inside a group); it stops when no label changes (one scalar on
-    the driver per round) and every round's labels are written with a reliable
-    checkpoint, so lineage stays one round deep and lost executors only
-    recompute the last round.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Components of an undirected edge list ``(src, dst)``: ``node, component`` (the smallest node key).
+
+    Alternating star contraction: a large-star round hangs every larger neighbour of a node on the smallest node it
+    knows, a small-star round does so with the smaller neighbours. The number of rounds grows with the logarithm of
+    the longest chain, and the loop ends only when a round changes nothing, so no chain is cut short. A round is
+    joins and hash aggregates (no neighbour list is gathered); one scalar per round reaches the driver, and each
+    round's edges are written with a reliable checkpoint.
     """
-    und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    und = und.filter(F.col("src") != F.col("dst")).distinct().checkpoint()
-    labels = und.groupBy(F.col("src").alias("node")).agg(
-        F.least(F.min("dst"), F.min("src")).alias("component")).checkpoint()
-    for _ in range(max_iter):
-        prop = (und.join(labels.withColumnRenamed("node", "src"), "src")
-                .groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("cand")))
-        new = (labels.join(prop, "node", "left")
-               .select("node", F.least("component", F.coalesce("cand", "component")).alias("component"))
-               .checkpoint())
-        changed = (new.join(labels.withColumnRenamed("component", "old"), "node")
-                   .filter(F.col("component") != F.col("old")).limit(1).count())
-        labels = new
-        if changed == 0:
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    e = (edges.filter(F.col("src") != F.col("dst"))
+         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint())
+    mark = None
+    while True:
+        now = e.agg(F.count("u").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now == mark or now["n"] == 0:
             break
-    return labels
-
-
-def reachable(starts: DataFrame, start_key: str, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Breadth-first reachability: ``start, node, depth`` (shortest hop count, 1..max_depth).
+        mark = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        e = (both.filter(F.col("v") > F.col("u")).join(least, "u")
+             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        joined = e.join(least, "u")
+        e = (joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+             .unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint())
+    star = e.groupBy("u").agg(F.min("v").alias("component"))
+    return (nodes.join(star, nodes["node"] == star["u"], "left")
+            .select("node", F.coalesce("component", "node").alias("component")))
+
+
+def reachable(starts: DataFrame, start_key: str, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Breadth-first reachability: ``start, node, depth`` (shortest hop count), to any depth unless the caller sets
+    ``max_depth``.
 
     Each level joins the frontier (distinct (start, node) pairs) with the edges
     and removes pairs already visited with a left-anti join, so the work is
-    O(edges x levels) however many paths exist. The loop stops early when a
+    O(edges x levels) however many paths exist. The loop stops when a
     level is empty (one scalar per level on the driver); the edges and every
     level are written with reliable checkpoints, so each is computed once and
     a lost executor only recomputes one level.
@@ -207,7 +211,9 @@ def reachable(starts: DataFrame, start_key: str, edges: DataFrame, max_depth: in
     e = edges.select("src", "dst").distinct().checkpoint()  # read many times below: materialise once
     frontier = starts.select(F.col(start_key).alias("start"), F.col(start_key).alias("node")).checkpoint()
     visited = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = (frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
                .join(visited.select("start", "node"), ["start", "node"], "left_anti"))
         nxt = nxt.checkpoint()  # each level is computed once; lineage stays one level deep

@@ -172,8 +172,8 @@ def h5_subcontract_pairs(t: Tables, k: int = 25) -> DataFrame:
     return top_k(out, k, [F.desc("subcontract_pct"), "prime_vendor", "subcontractor", "prime_state", "sub_state"])
 
 
-def h32_subcontract_closure(t: Tables, prime: str | None = None, max_depth: int = 10) -> DataFrame:
-    """Every vendor reachable from one prime vendor over SUBCONTRACTS, with its shortest depth.
+def h32_subcontract_closure(t: Tables, prime: str | None = None, max_depth: int | None = None) -> DataFrame:
+    """Every vendor reachable from one prime vendor over SUBCONTRACTS, with its shortest depth (any, unless limited).
 
     Without ``prime`` the vendor with the most subcontracts (lowest id on ties) is traced.
     """
