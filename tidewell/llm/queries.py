@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lsh_forest, packing, syncmers, token_index
+from . import line_dedup, lsh_forest, packing, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,11 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edited(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of five words or more that an earlier document or line has."""
+    return line_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "text", "removed_starts", "removed_lengths")
+
+
 def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.index_documents(spark, documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -28,5 +33,21 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "links")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_token_index, op5_best_fit_packing, op7_ngram_jaccard_join)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op5_best_fit_packing, op7_ngram_jaccard_join)}
+
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit,
+                          generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text <> ''),
+        n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(unit), '[\p{P}\p{S}]+', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS n,
+                     sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) - 1 AS start,
+                     sum(length(unit) + 1) OVER (PARTITION BY doc_id) - 1 AS total FROM u),
+        r AS (SELECT *, n <> '' AND len(string_split(n, ' ')) >= 5
+                        AND row_number() OVER (PARTITION BY n ORDER BY doc_id, place) > 1 AS gone FROM n),
+        d AS (SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
+                     coalesce(list(CAST(start AS BIGINT) ORDER BY place) FILTER (gone), []) AS removed_starts,
+                     coalesce(list(CAST(least(length(unit) + 1, total - start) AS BIGINT) ORDER BY place) FILTER (gone), []) AS removed_lengths
+              FROM r GROUP BY doc_id)
+        SELECT doc_id, text, removed_starts, removed_lengths FROM d
+        UNION ALL SELECT doc_id, text, [], [] FROM documents WHERE text IS NULL OR text = ''""",
+}
