@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, lsh_forest, packing, syncmers, token_index
+from . import line_dedup, lsh_forest, mixing, packing, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,7 +33,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "links")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op5_best_fit_packing, op7_ngram_jaccard_join)}
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op5_best_fit_packing, op7_ngram_jaccard_join, op9_source_mixing)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -50,4 +54,18 @@ ORACLE: dict[str, str] = {
               FROM r GROUP BY doc_id)
         SELECT doc_id, text, removed_starts, removed_lengths FROM d
         UNION ALL SELECT doc_id, text, [], [] FROM documents WHERE text IS NULL OR text = ''""",
+    "op9_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, md5('17:' || doc_id) AS h,
+                          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+        s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+        w AS (SELECT *, CAST((n - 1) % 3 + 1 AS DOUBLE) AS w, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
+        l AS (SELECT a.n, a.cap / a.w AS own, ((SELECT sum(source_size) FROM s) - coalesce(sum(b.cap) FILTER (b.cap / b.w < a.cap / a.w), 0))
+                     / sum(b.w) FILTER (b.cap / b.w >= a.cap / a.w) AS level FROM w a, w b GROUP BY a.n, a.cap, a.w),
+        t AS (SELECT *, least(cap, coalesce((SELECT max(level) FROM l WHERE level <= own) * w, cap)) AS target FROM w),
+        p AS (SELECT d.*, source_size, target, floor(target + 1e-6) AS goal,
+                     sum(size) OVER (PARTITION BY n ORDER BY h, doc_id) - size AS pos
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+               CAST((SELECT sum(greatest(0, least(pos + size + k * source_size, goal) - (pos + k * source_size))) FROM range(3) r(k)) AS BIGINT) AS taken
+        FROM p""",
 }
