@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, lsh_forest, mixing, packing, syncmers, token_index
+from . import line_dedup, lsh_forest, mixing, packing, surrogates, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
+#: The key of the surrogates; a deployment gives its own.
+SECRET = "tidewell surrogate key"
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,11 @@ def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.index_documents(spark, documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced, and the types of what was replaced."""
+    return surrogates.replace_entities(documents(spark, sf_dir), SECRET).select("doc_id", "text", "kinds")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -37,7 +44,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op5_best_fit_packing, op7_ngram_jaccard_join, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op7_ngram_jaccard_join, op9_source_mixing)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
