@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, lsh_forest, mixing, packing, surrogates, syncmers, token_index
+from tidewell.sources.fixtures import read
+
+from . import line_dedup, lsh_forest, mixing, nbsvm, packing, surrogates, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,11 +42,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "links")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.scores(documents(spark, sf_dir), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op7_ngram_jaccard_join, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op7_ngram_jaccard_join, op8_quality_classifier, op9_source_mixing)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
