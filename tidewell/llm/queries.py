@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.sources.fixtures import read
 
-from . import line_dedup, lsh_forest, mixing, nbsvm, packing, surrogates, syncmers, token_index
+from . import line_dedup, lsh_forest, mixing, mtree, nbsvm, packing, surrogates, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search_every(read(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and links (other documents with a shingle Jaccard of 0.8 or more)."""
     return lsh_forest.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "links")
@@ -50,7 +54,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op7_ngram_jaccard_join, op8_quality_classifier, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op6_exact_top_k, op7_ngram_jaccard_join, op8_quality_classifier, op9_source_mixing)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -67,6 +71,13 @@ ORACLE: dict[str, str] = {
               FROM r GROUP BY doc_id)
         SELECT doc_id, text, removed_starts, removed_lengths FROM d
         UNION ALL SELECT doc_id, text, [], [] FROM documents WHERE text IS NULL OR text = ''""",
+    "op6_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20""",
     "op9_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, md5('17:' || doc_id) AS h,
                           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
