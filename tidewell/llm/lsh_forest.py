@@ -205,7 +205,7 @@ def candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:
     """(src, dst) from ``nodes`` (node, prefixes, sketch)."""
     spread = nodes.select("node", F.explode("prefixes").alias("prefix"))
     met = scratch(spread.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_meetings, "prefix long, node long"), "met")
-    with_sketch = met.join(nodes.select("node", "sketch"), "node").select("prefix", "node", "sketch")
+    with_sketch = met.join(nodes.select("node", "sketch").hint("merge"), "node").select("prefix", "node", "sketch")
     return (with_sketch.repartition("prefix").sortWithinPartitions("prefix", "node")
             .mapInArrow(_edges(sketch_least(threshold)), "src long, dst long").distinct())
 
@@ -287,11 +287,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     nodes = scratch(sig.groupBy("d1", "d2").agg(
         F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")), "nodes")
-    own = sig.join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "prefixes", "sketch")
+    # merge hints: the plan is the same at every size, and no side that grows with the data is broadcast
+    own = sig.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row").select(F.col("row").alias("node"), "prefixes", "sketch")
     candidates = connected_components(scratch(candidate_edges(own, threshold), "candidates"))
     sized = candidates.join(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
-    member = scratch(sized.join(nodes.select("node", "copies"), "node")
-                     .join(sig.select(F.col("row").alias("node"), F.col("doc_id").alias("id"), F.col("th").alias("h")), "node"), "members")
+    member = scratch(sized.join(nodes.select("node", "copies").hint("merge"), "node")
+                     .join(sig.select(F.col("row").alias("node"), F.col("doc_id").alias("id"), F.col("th").alias("h")).hint("merge"), "node"), "members")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int")
     spread = (member.withColumn("blocks", blocks).withColumn("b", mine)
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
               .select("id", "h", "node", "copies", F.when(F.col("b") == F.col("o"), -1).when(F.col("b") < F.col("o"), 0).otherwise(1).cast("long").alias("side"),
                       F.xxhash64("component", F.least("b", "o"), F.greatest("b", "o")).alias("block")))
     texts = docs.withColumn("h", F.xxhash64("text")).withColumnRenamed("doc_id", "id")
-    together = (texts.join(spread, texts["id"].eqNullSafe(spread["id"]) & (texts["h"] == spread["h"]))
+    together = (texts.join(spread.hint("merge"), texts["id"].eqNullSafe(spread["id"]) & (texts["h"] == spread["h"]))
                 .select("block", "side", "node", "copies", "text"))
     found = scratch(together.repartition("block").sortWithinPartitions("block", "side", "node")
                     .mapInArrow(_verify(threshold), "node long, links long, root long"), "verified")
@@ -310,7 +311,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
                            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "least"), "classes")
     first = tied.groupBy("class").agg(F.min("least").alias("first"))
     tied = tied.join(first, "class").select("d1", "d2", "links", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first"))
-    return sig.select("doc_id", "th", "row", "d1", "d2").join(tied, ["d1", "d2"]).select(
+    return sig.select("doc_id", "th", "row", "d1", "d2").join(tied.hint("merge"), ["d1", "d2"]).select(
         "doc_id", "th", "class_id", "links", (F.col("row") == F.col("first")).alias("kept"))
 
 
