@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,21 +110,28 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype("<u8").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u8")
+
+
 def add_tables(partials: DataFrame, fan: int = 64) -> list[tuple[int, bytes]]:
-    """The sums of count tables: ``partials`` has (slab, part, data) with the counts of one slab seen by one task as
-    little-endian uint64. Tables are added in two rounds, first by slab and a ``fan``-th of the tasks, and streamed, so a
+    """The sums of count tables: ``partials`` has (slab, part, data) with the `packed` counts of one slab in one task. Tables are added in two rounds, first by slab and a ``fan``-th of the tasks, and streamed, so a
     task holds one table for each key it meets. What comes back is one row for each slab, of fixed size."""
     def add(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for slab, part, data in zip(b.column("slab").to_pylist(), b.column("part").to_pylist(), b.column("data").to_pylist()):
-                a = np.frombuffer(data, "<u8")
+                a = unpacked(data)
                 if (slab, part) in sums:
                     sums[slab, part] += a
                 else:
                     sums[slab, part] = a.copy()
         for (slab, part), a in sums.items():
-            yield pa.RecordBatch.from_pydict({"slab": pa.array([slab], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([a.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slab": pa.array([slab], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([packed(a)], pa.binary())})
 
     for keep in (fan, 1):
         partials = (partials.withColumn("part", F.pmod(F.col("part"), F.lit(keep)).cast("int")).repartition("slab", "part")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, add_tables, scratch, span_hashes, word_spans
+from .common import U64, add_tables, packed, scratch, span_hashes, unpacked, word_spans
 
 BITS = 18
 SIZE = 1 << BITS
@@ -133,12 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             yield _rows([k for k, _ in out], part, [v for _, v in out])
         if totals.any():
             for q in (0, 1):
-                yield _rows([q], part, [np.append(counts[q], totals[q]).astype("<u8").tobytes()])
+                yield _rows([q], part, [packed(np.append(counts[q], totals[q]))])
 
     done = scratch(rows.join(known, "doc_id").select("text", "quality", "sampled").mapInArrow(count, "slab int, part int, data binary"), "counts")
     counts, totals = np.zeros((2, SIZE)), np.zeros(2)
     for q, data in add_tables(done.where("slab >= 0")):
-        a = np.frombuffer(data, "<u8")
+        a = unpacked(data)
         counts[q], totals[q] = a[:-1], a[-1]
     if not totals.all():
         return np.zeros(SIZE), np.zeros(SIZE), 0.0

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.sources.fixtures import read
 
-from . import line_dedup, lsh_forest, mixing, mtree, nbsvm, packing, surrogates, syncmers, token_index
+from . import context_mixing, line_dedup, lsh_forest, mixing, mtree, nbsvm, packing, surrogates, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,7 +54,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op6_exact_top_k, op7_ngram_jaccard_join, op8_quality_classifier, op9_source_mixing)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scores(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op6_exact_top_k, op7_ngram_jaccard_join, op8_quality_classifier, op9_source_mixing, op10_lm_scoring)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
