@@ -72,7 +72,7 @@ def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = 5) -> D
 
     gone = repeats(docs, unit, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), F.col("places").alias("_places"))
     d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    met = d.join(gone, d["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (d["_th"] == gone["_h"]), "left")
+    met = d.join(gone.hint("merge"), d["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (d["_th"] == gone["_h"]), "left")
     # only the texts that lose a unit go to Python
     done = met.withColumn("_new", shorten(F.when(F.col("_places").isNotNull(), F.col("text")), F.col("_places")))
     none = F.array().cast("array<long>")

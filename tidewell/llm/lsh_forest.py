@@ -319,5 +319,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class, the one of the smallest doc_id (null last); all columns stay."""
     kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"))
     d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    one = d.join(kept, d["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (d["_th"] == kept["_h"])).drop("_id", "_h")
+    one = d.join(kept.hint("merge"), d["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (d["_th"] == kept["_h"])).drop("_id", "_h")
     return one.dropDuplicates(["doc_id", "_th"]).drop("_th")

@@ -135,6 +135,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     times = (takes(docs, **options).groupBy(key).agg(F.sum(F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("_n"))
              .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), "_n").where("_n > 0"))
     d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    met = d.join(times, d["doc_id"].cast("long").eqNullSafe(times["_d"]) & d["source"].cast("string").eqNullSafe(times["_s"]) & (d["_th"] == times["_t"]))
+    met = d.join(times.hint("merge"), d["doc_id"].cast("long").eqNullSafe(times["_d"]) & d["source"].cast("string").eqNullSafe(times["_s"]) & (d["_th"] == times["_t"]))
     one = met.dropDuplicates(["doc_id", "source", "_th"])
     return one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_th", "_d", "_s", "_t", "_n", "_i")

@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             for q in (0, 1):
                 yield _rows([q], part, [packed(np.append(counts[q], totals[q]))])
 
-    done = scratch(rows.join(known, "doc_id").select("text", "quality", "sampled").mapInArrow(count, "slab int, part int, data binary"), "counts")
+    done = scratch(rows.join(known.hint("merge"), "doc_id").select("text", "quality", "sampled").mapInArrow(count, "slab int, part int, data binary"), "counts")
     counts, totals = np.zeros((2, SIZE)), np.zeros(2)
     for q, data in add_tables(done.where("slab >= 0")):
         a = unpacked(data)
@@ -177,4 +177,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """``docs`` without those predicted to have the label 0; all columns stay."""
     low = scores(docs, labels, sample).where("predicted = 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    return d.join(low, d["doc_id"].cast("long").eqNullSafe(low["_d"]) & (d["_th"] == low["_t"]), "left_anti").drop("_th")
+    # a merge hint: the plan is the same at every size
+    return d.join(low.hint("merge"), d["doc_id"].cast("long").eqNullSafe(low["_d"]) & (d["_th"] == low["_t"]), "left_anti").drop("_th")
