@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.session import checkpoint_dir
@@ -72,6 +72,39 @@ def by_size(texts: Iterable[str], most: int = CHUNK) -> Iterator[tuple[int, list
         yield first, group
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_found(docs: DataFrame, found: DataFrame, how: str, payload: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """``docs`` joined to ``found`` (doc_id, th, ``keys``, ``payload``) by doc_id, the hash th of the text and the
+    ``keys``, nulls equal; and the names of the text hash and the payload there, which clash with no column of docs. A
+    sort-merge join at every size: what grows with the data is not broadcast."""
+    wide = docs
+    names: list[str] = []
+    for c in ("th", *payload, "k_id", "k_th", *(f"k_{k}" for k in keys)):
+        names.append(fresh(wide, f"_{c}"))
+        wide = wide.withColumn(names[-1], F.lit(None))
+    th, inner = names[0], names[1:]
+    right = found.select(*(F.col(c).alias(n) for c, n in zip((*payload, "doc_id", "th", *keys), inner)))
+    d = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    k = len(payload)
+    same = d["doc_id"].cast("long").eqNullSafe(right[inner[k]]) & (d[th] == right[inner[k + 1]])
+    for key, n in zip(keys, inner[k + 2:]):
+        same &= d[key].cast("string").eqNullSafe(right[n])
+    return d.join(right.hint("merge"), same, how), names[: 1 + k]
+
+
+def columns_of(df: DataFrame, docs: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` from ``df``, in order, those in ``added`` replaced, and the rest of ``added`` behind."""
+    own = [added[c].alias(c) if c in added else F.col(f"`{c}`") for c in docs.columns]
+    return df.select(*own, *(v.alias(c) for c, v in added.items() if c not in docs.columns))
+
+
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import columns_of, fresh, scratch, with_found
 
 #: What normalisation drops, and the white space it folds, as Java character classes.
 DROPPED, SPACE = r"[\p{P}\p{S}]+", r"[\s\p{Z}]+"
@@ -70,12 +70,11 @@ def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = 5) -> D
                         np.minimum(sizes[gone], len(text) - starts[gone])))
         return pd.DataFrame(out, columns=["text", "starts", "lengths"])
 
-    gone = repeats(docs, unit, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), F.col("places").alias("_places"))
-    d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    met = d.join(gone.hint("merge"), d["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (d["_th"] == gone["_h"]), "left")
+    met, (_, places) = with_found(docs, repeats(docs, unit, min_words), "left", ("places",))
+    new = fresh(met, "_new")
     # only the texts that lose a unit go to Python
-    done = met.withColumn("_new", shorten(F.when(F.col("_places").isNotNull(), F.col("text")), F.col("_places")))
+    done = met.withColumn(new, shorten(F.when(F.col(places).isNotNull(), F.col("text").cast("string")), F.col(places)))
     none = F.array().cast("array<long>")
-    return (done.withColumn("removed_starts", F.coalesce("_new.starts", none)).withColumn("removed_lengths", F.coalesce("_new.lengths", none))
-            .withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.col("_new.text")))
-            .drop("_id", "_h", "_places", "_th", "_new"))
+    added = {"text": F.when(F.col(places).isNull(), F.col("text")).otherwise(F.col(new)["text"]),
+             "removed_starts": F.coalesce(F.col(new)["starts"], none), "removed_lengths": F.coalesce(F.col(new)["lengths"], none)}
+    return columns_of(done, docs, added)

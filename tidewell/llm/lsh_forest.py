@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.graph import connected_components
 
-from .common import U64, mix64, scratch, span_hashes, word_spans
+from .common import U64, mix64, scratch, span_hashes, with_found, word_spans
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -317,7 +317,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class, the one of the smallest doc_id (null last); all columns stay."""
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"))
-    d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    one = d.join(kept.hint("merge"), d["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (d["_th"] == kept["_h"])).drop("_id", "_h")
-    return one.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    one, (th,) = with_found(docs, near_duplicates(docs, threshold).where("kept"), "inner")
+    return one.dropDuplicates(["doc_id", th]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import fresh, scratch, with_found
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -131,10 +131,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each document as many times as its taken words go into its size (rounded), so
     those of a source above its target stay out, and those of a source below repeat. Rows with equal doc_id, source and
     text count together, with the other columns of one of them."""
-    key = ["doc_id", "source", "th"]
-    times = (takes(docs, **options).groupBy(key).agg(F.sum(F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("_n"))
-             .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), "_n").where("_n > 0"))
-    d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    met = d.join(times.hint("merge"), d["doc_id"].cast("long").eqNullSafe(times["_d"]) & d["source"].cast("string").eqNullSafe(times["_s"]) & (d["_th"] == times["_t"]))
-    one = met.dropDuplicates(["doc_id", "source", "_th"])
-    return one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_th", "_d", "_s", "_t", "_n", "_i")
+    times = (takes(docs, **options).groupBy("doc_id", "source", "th")
+             .agg(F.sum(F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("n")).where("n > 0"))
+    met, (th, n) = with_found(docs, times, "inner", ("n",), ("source",))
+    one = met.dropDuplicates(["doc_id", "source", th])
+    each = fresh(one, "_each")
+    return one.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in docs.columns))

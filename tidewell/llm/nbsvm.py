@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, add_tables, packed, scratch, span_hashes, unpacked, word_spans
+from .common import U64, add_tables, packed, scratch, span_hashes, unpacked, with_found, word_spans
 
 BITS = 18
 SIZE = 1 << BITS
@@ -175,7 +175,6 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those predicted to have the label 0; all columns stay."""
-    low = scores(docs, labels, sample).where("predicted = 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    d = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    # a merge hint: the plan is the same at every size
-    return d.join(low.hint("merge"), d["doc_id"].cast("long").eqNullSafe(low["_d"]) & (d["_th"] == low["_t"]), "left_anti").drop("_th")
+    low = scores(docs, labels, sample).where("predicted = 0").select("doc_id", "th").distinct()
+    good, _ = with_found(docs, low, "left_anti")
+    return good.select(*(F.col(f"`{c}`") for c in docs.columns))

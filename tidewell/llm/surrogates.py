@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import columns_of, scratch, with_found
 
 # Titles by gender, and the keywords that announce a secret.
 TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
@@ -195,12 +195,9 @@ def replace_entities(docs: DataFrame, secret: str) -> DataFrame:
     entities = scratch(each.select("kind", "norm").distinct(), "entities")
     # the mentions of an entity meet its surrogate by a join that Spark splits when the entity is hot
     met = each.join(assign(entities, secret), ["kind", "norm"]).select("doc_id", "th", "place", "kind", written(m, F.col("kind"), F.col("surrogate")).alias("new"))
-    new = met.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("place", "kind", "new"))).alias("_new"))
-    # a merge hint: the plan is the same at every size, and what grows with the data is not broadcast
-    new = new.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_h")
-    d = docs.withColumn("_th", F.xxhash64(text))
-    joined = d.join(new.hint("merge"), d["doc_id"].cast("long").eqNullSafe(new["_id"]) & (d["_th"] == new["_h"]), "left")
+    new = met.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("place", "kind", "new"))).alias("new"))
+    joined, (_, n) = with_found(docs, new, "left", ("new",))
     between = F.split(text, MASTER, -1)
-    filled = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col("_new.new"), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    return (joined.withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(filled))
-            .withColumn("kinds", F.coalesce("_new.kind", F.array().cast("array<string>"))).drop("_id", "_h", "_th", "_new"))
+    filled = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col(n)["new"], F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    added = {"text": F.when(F.col(n).isNull(), F.col("text")).otherwise(filled), "kinds": F.coalesce(F.col(n)["kind"], F.array().cast("array<string>"))}
+    return columns_of(joined, docs, added)
