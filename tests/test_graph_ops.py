@@ -93,3 +93,38 @@ def test_plans_have_no_cartesian_or_python(spark):
         plan = fn(t)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
         assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_long_chain_is_one_component(spark):
+    edges = spark.range(130).selectExpr("id + 1 AS src", "id AS dst")
+    comp = connected_components(edges).collect()
+    assert len(comp) == 131 and {r["component"] for r in comp} == {0}
+
+
+def test_long_chain_is_reached_to_its_end(spark):
+    from tidewell.operators.graph import reachable
+    edges = spark.range(40).selectExpr("id AS src", "id + 1 AS dst")
+    got = {r["node"]: r["depth"] for r in reachable(spark.createDataFrame([(0,)], "k long"), "k", edges).collect()}
+    assert got == {i: i for i in range(1, 41)}
+
+
+def test_pairs_reach_all_sources_of_a_large_table(spark):
+    p = E.distinct_pairs(spark.range(100_000), "id", 15_000_000_000, 150_000_000_000, 3, "P")
+    r = p.selectExpr("count(DISTINCT struct(a_ord, b_ord)) AS n", "count(DISTINCT floor(a_ord / 150000000)) AS a",
+                     "count(DISTINCT floor(b_ord / 1500000000)) AS b").first()
+    assert r["n"] == 100_000 and r["a"] == 100 and r["b"] == 100
+    degree = E.distinct_pairs(spark.range(3000), "id", 1000, 3000, 3, "Q").groupBy("a_ord").count().selectExpr("max(count) AS m", "count(*) AS n").first()
+    assert degree["m"] >= 7 and 900 <= degree["n"] < 1000  # as many as uniform draws reach, not one each
+
+
+def test_targets_are_not_neighbours(spark):
+    e = E.k_targets(spark.range(500), "id", 10_000, 4, 4, 5, "K").orderBy("src", "j").collect()
+    near = sum(abs(a["dst_ord"] - b["dst_ord"]) <= 2 for a, b in zip(e, e[1:]) if a["src"] == b["src"])
+    assert len(e) == 2000 and near < 30
+    assert len({r["dst_ord"] // 1000 for r in e}) == 10
+
+
+def test_cap_and_no_self_pairs_together(spark):
+    src = spark.range(300).selectExpr("id AS k", "id AS me")
+    e = E.bernoulli_edges(src, "k", 300, 0.2, 1, "R", exclude_self_ordinal="me", max_per_source=1).collect()
+    assert all(r["src"] != r["dst_ord"] for r in e) and len({r["src"] for r in e}) == len(e) >= 299

@@ -1,13 +1,14 @@
 """Plan checks over every registered query: no Cartesian products, nested-loop joins or Python UDFs."""
 
 import __spark_entry__ as E
+from tidewell.plans.catalog import QUERIES
 
 from .conftest import SF_SMALL
 
 
 def test_no_cartesian_nested_loop_or_python(spark):
     bad = []
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         for pat in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
             if pat in plan:

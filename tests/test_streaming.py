@@ -125,3 +125,30 @@ def test_stream_dedupe_and_enrichment(spark):
     J.to_table(enriched, out, ckpt).awaitTermination()
     got = spark.read.parquet(out)
     assert got.count() == ev.count() == got.select("event_id").distinct().count()
+
+
+def test_stream_of_a_table_stored_as_a_folder(spark, tmp_path):
+    from tidewell.plans.stream_analytics_queries import j2_error_rate, j2_stream_error_rate
+    from tidewell.sources.fixtures import Tables, read
+    read(spark, SF_SMALL, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert sorted(map(str, j2_stream_error_rate(t).collect())) == sorted(map(str, j2_error_rate(t).collect()))
+
+
+def test_funnel_takes_the_first_step_after_the_one_before(spark):
+    from tidewell.streaming.analytics import funnel
+    rows = [("a", 1, "click"), ("a", 2, "view"), ("a", 3, "click"), ("a", 4, "purchase"), ("b", 1, "view"), ("b", 0, "click"), ("c", 5, "purchase")]
+    df = spark.createDataFrame(rows, "u string, t int, s string")
+    assert tuple(funnel(df, "u", "t", "s", ["view", "click", "purchase"]).first()) == (2, 1, 1)
+
+
+def test_rows_produced_counts_every_batch(spark, tmp_path):
+    import pytest
+
+    from tidewell.streaming import jobs as J
+    spec = [{"name": "v", "type": "int", "min": 0, "max": 9, "random": True}]
+    with pytest.raises(ValueError):
+        J.generator(spark, spec, str(tmp_path / "x"), interval_seconds=0.01)
+    q = J.generator(spark, spec, str(tmp_path / "out"), rows_per_batch=20, interval_seconds=0.1, checkpoint=str(tmp_path / "c"))
+    got = J.run_for(q, 8)
+    assert got["rows_produced"] == spark.read.text(str(tmp_path / "out")).count() > 0

@@ -38,5 +38,5 @@ def test_bucketed_range_count_equals_window(spark):
 def test_reachable_shortest_depth_with_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (1, 4), (4, 5)], "src long, dst long")
     starts = spark.createDataFrame([(1,)], "k long")
-    got = {(r["node"], r["depth"]) for r in reachable(starts, "k", edges, 10).collect()}
+    got = {(r["node"], r["depth"]) for r in reachable(starts, "k", edges).collect()}
     assert got == {(2, 1), (4, 1), (3, 2), (5, 2)}

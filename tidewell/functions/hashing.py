@@ -2,8 +2,8 @@
 
 Every generated value is a pure function of ``(seed, column name, key)``:
 
-    h(seed, name, key) = first 32 bits of md5("seed:name:key")   (BIGINT)
-    u(seed, name, key) = h / 2**32                               (DOUBLE in [0, 1))
+    h(seed, name, key) = first 60 bits of md5("seed:name:key")   (BIGINT)
+    u(seed, name, key) = first 52 bits of it / 2**52             (DOUBLE in [0, 1))
 
 so a row does not depend on partitioning, task retries, restarts of a
 stream or the engine that evaluates it (the same text hash is available in
@@ -23,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-TWO32 = 4294967296.0
+TWO52 = 4503599627370496.0
 
 
 def _as_col(k) -> Column:
@@ -35,17 +35,17 @@ def key_text(seed, name: str, *keys) -> Column:
     return F.concat_ws(":", *parts)
 
 
-def h32(seed, name: str, *keys, fast: bool = False) -> Column:
-    """Unsigned 32-bit hash as BIGINT in [0, 2**32)."""
+def h60(seed, name: str, *keys, fast: bool = False) -> Column:
+    """Unsigned 60-bit hash as BIGINT in [0, 2**60): wide enough to draw any ordinal of a table by its remainder."""
     if fast:
         return F.pmod(F.xxhash64(F.lit(str(seed)), F.lit(name), *[_as_col(k) for k in keys]),
-                      F.lit(4294967296)).cast("bigint")
-    return F.conv(F.substring(F.md5(key_text(seed, name, *keys)), 1, 8), 16, 10).cast("bigint")
+                      F.lit(1 << 60)).cast("bigint")
+    return F.conv(F.substring(F.md5(key_text(seed, name, *keys)), 1, 15), 16, 10).cast("bigint")
 
 
 def unif(seed, name: str, *keys, fast: bool = False) -> Column:
     """Uniform DOUBLE in [0, 1)."""
-    return h32(seed, name, *keys, fast=fast) / F.lit(TWO32)
+    return F.shiftright(h60(seed, name, *keys, fast=fast), 8) / F.lit(TWO52)
 
 
 def int_between(u: Column, lo: int, hi: int) -> Column:
@@ -135,16 +135,16 @@ def _q(s: str) -> str:
     return sql_literal(str(s))
 
 
-def h32_sql(seed, name: str, *key_sql: str, fast: bool = False) -> str:
-    if fast:  # Spark-only: xxhash64 of the same parts, reduced to 32 bits
+def h60_sql(seed, name: str, *key_sql: str, fast: bool = False) -> str:
+    if fast:  # Spark-only: xxhash64 of the same parts, reduced to 60 bits
         keys = ", ".join(key_sql)
-        return f"pmod(xxhash64({_q(seed)}, {_q(name)}, {keys}), 4294967296)"
+        return f"pmod(xxhash64({_q(seed)}, {_q(name)}, {keys}), {1 << 60})"
     keys = ", ".join(f"CAST({k} AS STRING)" for k in key_sql)
-    return f"CAST(conv(substring(md5(concat_ws(':', {_q(seed)}, {_q(name)}, {keys})), 1, 8), 16, 10) AS BIGINT)"
+    return f"CAST(conv(substring(md5(concat_ws(':', {_q(seed)}, {_q(name)}, {keys})), 1, 15), 16, 10) AS BIGINT)"
 
 
 def unif_sql(seed, name: str, *key_sql: str, fast: bool = False) -> str:
-    return f"({h32_sql(seed, name, *key_sql, fast=fast)} / 4294967296.0D)"
+    return f"(shiftright({h60_sql(seed, name, *key_sql, fast=fast)}, 8) / 4503599627370496.0D)"
 
 
 def int_between_sql(u: str, lo: int, hi: int) -> str:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, _parse_datatype_string
 
-from .hashing import (decimal_between_sql, float_between_sql, h32, h32_sql, int_between_sql, padded,
+from .hashing import (decimal_between_sql, float_between_sql, h60, h60_sql, int_between_sql, padded,
                       padded_sql, pick_sql, sql_literal, unif_sql, uuid_sql, weighted_pick_sql)
 
 _NON_DETERMINISTIC = re.compile(r"\b(rand|randn|random|uuid|shuffle|uniform|randstr|now|current_timestamp)\s*\(", re.I)
@@ -144,7 +144,7 @@ def column_expr(c: dict, seed, key: Column | str, fast: bool = False) -> Column:
                 if sql_run:
                     pieces.append(F.expr("concat(" + ", ".join(sql_run) + ")"))
                     sql_run = []
-                v = F.pmod(h32(seed, f"{name}#{i}", F.expr(driver)), p["mod"]) + F.lit(int(p.get("offset", 1)))
+                v = F.pmod(h60(seed, f"{name}#{i}", F.expr(driver)), p["mod"]) + F.lit(int(p.get("offset", 1)))
                 pieces.append(padded("", v, int(p["pad"])) if p.get("pad") else v.cast("string"))
                 continue
             if isinstance(p, dict):
@@ -162,7 +162,7 @@ def column_expr(c: dict, seed, key: Column | str, fast: bool = False) -> Column:
         vals = c["values"]
         if rnd:
             return F.expr(weighted_pick_sql(draw(), vals, c.get("weights")))
-        base = f"CAST({driver} AS BIGINT)" if not c.get("base_column") else h32_sql(seed, name, driver, fast=fast)
+        base = f"CAST({driver} AS BIGINT)" if not c.get("base_column") else h60_sql(seed, name, driver, fast=fast)
         idx = f"pmod({base}, {len(vals)})"
         if k:
             idx = f"pmod({idx}, {min(int(k), len(vals))})"

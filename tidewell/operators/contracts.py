@@ -94,7 +94,23 @@ VALID_STATUS_TRANSITIONS = {
 
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"  # a documented subset of full address validation
 IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
-IPV6 = r"^(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(([0-9A-Fa-f]{1,4}:){0,7}[0-9A-Fa-f]{0,4})?::(([0-9A-Fa-f]{1,4}:){0,7}[0-9A-Fa-f]{0,4})?)$"
+_H = "[0-9A-Fa-f]{1,4}"
+
+
+def _ipv6() -> str:
+    """Eight groups of hex digits, the last two possibly an IPv4 address; one run of zero groups may be "::"."""
+    last = f"({_H}:{_H}|{IPV4[1:-1]})"
+    forms = [f"({_H}:){{6}}{last}"]
+    for n in range(7):  # groups after "::", by how many (at most) stand before it
+        before = f"(({_H}:){{0,{n - 1}}}{_H})?" if n else ""
+        forms.append(f"{before}::({_H}:){{{5 - n}}}{last}" if n <= 5 else f"{before}::{_H}")
+    forms.append(f"(({_H}:){{0,6}}{_H})?::")
+    return "^(" + "|".join(forms) + ")$"
+
+
+IPV6 = _ipv6()
+#: A full date, with a time of hours at least, a fraction and an offset if given.
+DATE_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 UUID_PATTERN = r"^([0-9A-Fa-f]{8}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{12})$"
 
 
@@ -138,7 +154,7 @@ def type_check(c: Column, dt, semantic: str) -> Column:
     if s == "time":
         return txt.rlike(r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$") if is_str else _lit_false()
     if s == "date_time":
-        return F.try_to_timestamp(F.replace(txt, F.lit("Z"), F.lit("+00:00"))).isNotNull() if is_str \
+        return (txt.rlike(DATE_TIME) & F.try_to_timestamp(F.replace(txt, F.lit("Z"), F.lit("+00:00"))).isNotNull()) if is_str \
             else F.lit(isinstance(dt, (T.TimestampType, T.TimestampNTZType)))
     if s == "timestamp":
         return (c > 0) if num else _lit_false()

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32, int_between, unif
+from ..functions.hashing import h60, int_between, unif
 
 
 def dense_ordinals(df: DataFrame, order_cols: list[str], name: str = "_o",
@@ -34,20 +34,20 @@ def dense_ordinals(df: DataFrame, order_cols: list[str], name: str = "_o",
 
     Rows are range-partitioned on the order columns (each task holds one
     contiguous range), numbered inside their task, and shifted by the row
-    counts of the preceding tasks (a per-task count table, one row per task,
-    broadcast). The numbered rows are written with a reliable checkpoint first,
+    counts of the preceding tasks (a per-task count table, one row per task). The numbered rows are written with a reliable checkpoint first,
     so the counts and the numbers come from the same partitioning.
     """
     # without an explicit count AQE coalesces the range partitions by size; merged partitions are
     # still contiguous key ranges in order, which is all the offsets below rely on
     ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
-    r = ranged.withColumn("_pid", F.spark_partition_id())
-    r = r.withColumn("_local", (F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
-                     .cast("bigint")).checkpoint()
-    counts = r.groupBy("_pid").agg(F.count("*").alias("_c"))
+    # the task and the place in it, from one sort inside the range partitions (no second shuffle)
+    r = ranged.sortWithinPartitions(*order_cols).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    r = (r.withColumn("_pid", F.shiftright("_id", 33))
+         .withColumn("_local", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"))
+    counts = r.groupBy("_pid").agg((F.max("_local") + 1).alias("_c"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     offs = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (r.join(F.broadcast(offs), "_pid").withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
+    return (r.join(offs, "_pid").withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
             .drop("_pid", "_local", "_off"))
 
 
@@ -108,8 +108,8 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
     # draws per source: expected degree + 10 sigma + 32 (a longer run has probability < 1e-20)
     mean = F.col(tcol) * F.lit(p)
     size = (mean + F.lit(10.0) * F.sqrt(mean * F.lit(1.0 - p)) + F.lit(32.0)).cast("int")
-    if max_per_source:
-        size = F.least(size, F.lit(int(max_per_source)))
+    if max_per_source:  # one more, as the self pair may be among the first
+        size = F.least(size, F.lit(int(max_per_source) + 1))
     size = F.greatest(size, F.lit(1))
     # running sums per source: the window's clustering on ``src`` is met by hash-partitioning the
     # (small) source rows before the explode, so the draws are only sorted locally, never shuffled
@@ -126,62 +126,61 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
                                                                          "for source "), F.col("src").cast("string")))
                                             .cast("bigint")).otherwise(F.col("_pos")))
     edges = pos.filter(F.col("_pos") < F.col(tcol))
+    if max_per_source:  # rotate first, so that the self pair is the one of the rotated targets
+        rot = F.pmod(h60(seed, f"{rel}#rot", F.col("src")), F.col(tcol))
+        edges = edges.withColumn("_pos", F.pmod(F.col("_pos") + rot, F.col(tcol)))
     if exclude_self_ordinal:
         edges = edges.filter(F.col("_pos") != F.col("_self"))
     if max_per_source:
-        rot = F.pmod(h32(seed, f"{rel}#rot", F.col("src")), F.col(tcol))
-        edges = edges.withColumn("_pos", F.pmod(F.col("_pos") + rot, F.col(tcol)))
+        edges = edges.withColumn("_rank", F.row_number().over(Window.partitionBy("src").orderBy("_i"))).filter(F.col("_rank") <= int(max_per_source))
     return edges.select("src", F.col("_pos").alias("dst_ord"), *([F.col(block)] if block else []))
 
 
-# FIXED multipliers of the pair permutation: primes, so coprime to any A*B they do not divide
-PAIR_PRIME = 2147483647
-PAIR_PRIME_2 = 1000000007
-
-
 def distinct_pairs(index: DataFrame, index_col: str, a_count: Column | int, b_count: Column | int, seed,
                    rel: str) -> DataFrame:
     """one distinct uniform pair (a_ord, b_ord) per row of ``index`` (``index_col`` = 0..n-1).
 
-    ``x = (i * m + c) mod (A*B)`` with a prime ``m`` that does not divide A*B is
-    a bijection of [0, A*B), so distinct indexes give distinct pairs; no
-    shuffle, no driver-side count: A and B may be scalar-subquery Columns.
-    The index is a dense key of the table whose rows the pairs belong to
-    (e.g. one pair per line item). ``c`` comes from md5("seed:rel").
-    Exact 128-bit arithmetic (``decimal(38,0)``) keeps ``i * m`` from overflowing.
+    The index becomes the pair (i div B, i mod B), and four rounds shift one
+    half by a keyed hash of the other, modulo A or B. Each round can be undone,
+    so distinct indexes give distinct pairs, and the pairs scatter over the
+    whole of A x B however small n is beside it. No shuffle, no driver-side
+    count: A and B may be scalar-subquery Columns. The index is a dense key of
+    the table whose rows the pairs belong to (e.g. one pair per line item).
     """
     d = "decimal(38,0)"
-    A = a_count if isinstance(a_count, Column) else F.lit(int(a_count))
-    B = b_count if isinstance(b_count, Column) else F.lit(int(b_count))
-    total = A.cast(d) * B.cast(d)
-    m = F.when(F.pmod(total, F.lit(PAIR_PRIME).cast(d)) != 0, F.lit(PAIR_PRIME).cast(d)).otherwise(
-        F.when(F.pmod(total, F.lit(PAIR_PRIME_2).cast(d)) != 0, F.lit(PAIR_PRIME_2).cast(d)).otherwise(
-            F.raise_error(F.lit(f"distinct_pairs({rel}): no coprime multiplier")).cast(d)))
-    c = F.pmod(F.conv(F.substring(F.md5(F.lit(f"{seed}:{rel}")), 1, 15), 16, 10).cast(d), total)
-    i = F.col(index_col).cast(d)
-    x = F.pmod(i * m + c, total)
-    return index.filter(F.col(index_col) < total).select(
-        F.floor(x / B.cast(d)).cast("bigint").alias("a_ord"), F.pmod(x, B.cast(d)).cast("bigint").alias("b_ord"))
+    A = (a_count if isinstance(a_count, Column) else F.lit(int(a_count))).cast("bigint")
+    B = (b_count if isinstance(b_count, Column) else F.lit(int(b_count))).cast("bigint")
+    p = (index.select(F.col(index_col).cast("bigint").alias("_i"), A.alias("_A"), B.alias("_B"))
+         .filter(F.col("_i") < F.col("_A").cast(d) * F.col("_B").cast(d))
+         .select("_A", "_B", F.floor(F.col("_i") / F.col("_B").cast(d)).cast("bigint").alias("_x"), F.pmod("_i", "_B").alias("_y")))
+    for r in (0, 2):
+        p = p.withColumn("_x", F.pmod(F.col("_x") + F.pmod(h60(seed, f"{rel}#{r}", F.col("_y")), F.col("_A")), F.col("_A")))
+        p = p.withColumn("_y", F.pmod(F.col("_y") + F.pmod(h60(seed, f"{rel}#{r + 1}", F.col("_x")), F.col("_B")), F.col("_B")))
+    return p.select(F.col("_x").alias("a_ord"), F.col("_y").alias("b_ord"))
 
 
 def k_targets(sources: DataFrame, src_key: str, n_targets: Column | int, k_min: int, k_max: int, seed,
               rel: str) -> DataFrame:
     """each source gets k distinct target ordinals, k fixed or uniform in [k_min, k_max].
 
-    The targets are the k ordinals following a per-source random start
-    (cyclic), so they are distinct whenever k <= T and every target is equally
-    likely; k is capped at T. One explode per source, no shuffle.
+    Every k-subset of the targets is equally likely: draw j (of 1..k) is
+    uniform below T - k + j, and where it was drawn before, T - k + j - 1 takes
+    its place. k is capped at T. One explode per source, no shuffle.
     Output: ``src, j, dst_ord``.
     """
     T = n_targets if isinstance(n_targets, Column) else F.lit(int(n_targets))
     k = int_between(unif(seed, f"{rel}#k", F.col(src_key)), k_min, k_max) if k_max > k_min else F.lit(k_min)
-    base = sources.select(F.col(src_key).alias("src"), T.cast("bigint").alias("_T"), k.alias("_k"))
-    base = base.withColumn("_k", F.least(F.col("_k"), F.col("_T")))
-    start = F.pmod(h32(seed, f"{rel}#start", F.col("src")), F.col("_T"))
-    ex = base.withColumn("_start", start).withColumn("j", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_k"), F.lit(1)))))
-    ex = ex.filter(F.col("_k") >= 1)
-    pos = F.pmod(F.col("_start") + F.col("j") - 1, F.col("_T"))
-    return ex.select("src", "j", pos.alias("dst_ord"))
+    base = sources.select(F.col(src_key).alias("src"), T.cast("bigint").alias("_T"), k.cast("bigint").alias("_k"))
+    base = base.withColumn("_k", F.least(F.col("_k"), F.col("_T"))).filter(F.col("_k") >= 1)
+    room = F.col("_T") - F.col("_k")
+
+    def draw(taken: Column, j: Column) -> Column:
+        x = F.pmod(h60(seed, f"{rel}#draw", F.col("src"), j), room + j)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, x), room + j - 1).otherwise(x)))
+
+    picks = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("_k")), F.array().cast("array<bigint>"), draw)
+    return (base.select("src", F.posexplode(picks).alias("_p", "dst_ord"))
+            .select("src", (F.col("_p") + 1).alias("j"), "dst_ord"))
 
 
 def lower_parent(nodes: DataFrame, key: str, rank: str, share: float, min_rank, seed, rel: str) -> DataFrame:
@@ -198,7 +197,7 @@ def lower_parent(nodes: DataFrame, key: str, rank: str, share: float, min_rank,
     pick = (ordn.join(lower, rank)
             .filter((F.col(rank) >= F.lit(min_rank)) & (F.col("_lower") > 0)
                     & (unif(seed, f"{rel}#pick", F.col(key)) < F.lit(share)))
-            .withColumn("_t", F.pmod(h32(seed, f"{rel}#target", F.col(key)), F.col("_lower"))))
+            .withColumn("_t", F.pmod(h60(seed, f"{rel}#target", F.col(key)), F.col("_lower"))))
     tgt = ordn.select(F.col("_o").alias("_t"), F.col(key).alias("dst"))
     return pick.join(tgt, "_t").select(F.col(key).alias("src"), "dst")
 

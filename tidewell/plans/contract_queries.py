@@ -70,7 +70,7 @@ def i_events(t: Tables) -> DataFrame:
 
 def i_conversations_default_rules(t: Tables) -> DataFrame:
     """I16: default rules per semantic type (string, integer) on the conversations table."""
-    df = t.conversations.withColumn("conv_id", F.col("conv_id").cast("int")).withColumn("turn", F.col("turn").cast("int"))
+    df = t.conversations
     return C.summary(df, CONVERSATION_CONTRACT).filter(F.col("failed") > 0).drop("rows")
 
 

@@ -2,7 +2,7 @@
 
 The fixture tables are views named after the tables. Generated attributes
 are recomputed here from the same portable hash recipe, written in DuckDB
-syntax: ``u(seed, name, key) = ('0x' || substr(md5(seed:name:key), 1, 8))::BIGINT / 2**32``.
+syntax: ``u(seed, name, key) = ('0x' || substr(md5(seed:name:key), 1, 13))::BIGINT / 2**52``.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ SEED = 42
 
 # --- DuckDB text helpers for the hash recipe ---------------------------------
 def du(name: str, key: str, seed=SEED) -> str:
-    return (f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{name}', CAST({key} AS VARCHAR))), 1, 8))::BIGINT"
-            f" / 4294967296.0)")
+    return (f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{name}', CAST({key} AS VARCHAR))), 1, 13))::BIGINT"
+            f" / CAST(4503599627370496 AS DOUBLE))")
 
 
 def dint(u: str, lo: int, hi: int) -> str:
@@ -131,7 +131,7 @@ def dspec(c: dict, key: str, seed=SEED) -> str:
 
 
 def dhash(name: str, key: str, seed=SEED) -> str:
-    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{name}', CAST({key} AS VARCHAR))), 1, 8))::BIGINT)"
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{name}', CAST({key} AS VARCHAR))), 1, 15))::BIGINT)"
 
 
 def _dspec_value(c: dict, key: str, seed=SEED) -> str:
@@ -355,12 +355,13 @@ _add_generated_table_oracles()
 
 # --- §2.H graph queries over the generated graphs -------------------------------
 def dk_targets(src_sql: str, src_key: str, rel: str, T: str, kmin: int, kmax: int, seed=SEED) -> str:
-    """Edges of ``k_targets``: (src, j, dst_ord) with a per-source start and k consecutive ordinals."""
+    """Edges of ``k_targets``: (src, j, dst_ord); draw j is below T - k + j, and gives way to T - k + j - 1 if taken."""
     k = dint(du(f"{rel}#k", src_key, seed), kmin, kmax) if kmax > kmin else str(kmin)
-    start = f"({dhash(f'{rel}#start', src_key, seed)} % {T})"
-    return (f"(SELECT src, j, (start + j - 1) % tt AS dst_ord FROM "
-            f"(SELECT {src_key} AS src, {start} AS start, least({k}, {T}) AS kk, {T} AS tt FROM {src_sql}) s, "
-            f"generate_series(1, s.kk) g(j))")
+    draw = dhash(f"{rel}#draw", "CAST(src AS VARCHAR) || ':' || CAST(j AS VARCHAR)", seed)
+    picks = (f"list_reduce(range(1, kk + 1), lambda a, j: list_append(a, CASE WHEN list_contains(a, {draw} % (tt - kk + j)) "
+             f"THEN tt - kk + j - 1 ELSE {draw} % (tt - kk + j) END), CAST([] AS BIGINT[]))")
+    return (f"(SELECT src, unnest(picks) AS dst_ord, generate_subscripts(picks, 1) AS j FROM (SELECT src, {picks} AS picks FROM "
+            f"(SELECT {src_key} AS src, least({k}, {T}) AS kk, {T} AS tt FROM {src_sql}) s) p)")
 
 
 def dlist(values, idx: str) -> str:
@@ -381,7 +382,7 @@ def _add_graph_oracles():
     # Average GPA of the distinct students enrolled per department
     gpa = dspec(GR._rng("gpa", "decimal(3,2)", 1.5, 4.0), "c_custkey", f"{SEED}/Student")
     O["graph_h34_avg_gpa_by_department"] = (
-        f"SELECT department, count(*) AS students, round(avg(CAST(gpa AS DOUBLE)), 4) AS avg_gpa FROM "
+        f"SELECT department, count(*) AS students, round(CAST(sum(gpa) AS DOUBLE) / count(*), 4) AS avg_gpa FROM "
         f"(SELECT DISTINCT src, {dlist(GR.DEPARTMENTS, 'dst_ord % 18')} AS department FROM {enr} e) d "
         f"JOIN (SELECT c_custkey, {gpa} AS gpa FROM customer) s ON s.c_custkey = d.src "
         f"GROUP BY department ORDER BY department")
@@ -639,13 +640,13 @@ def _add_stream_analytics_oracles():
         f"q AS (SELECT device, level, lag(level) OVER (PARTITION BY device ORDER BY ts, event_id) AS prev FROM p) "
         f"SELECT device, count(*) AS alerts FROM q WHERE level < 20.0 AND prev >= 20.0 GROUP BY 1")
     O["stream_j8_funnel"] = (
-        "WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS t0, "
-        "min(CASE WHEN event_type = 'click' THEN ts END) AS t1, "
-        "min(CASE WHEN event_type = 'purchase' THEN ts END) AS t2 FROM events GROUP BY 1) "
-        "SELECT sum(CAST(t0 IS NOT NULL AS INTEGER)) AS step1_view, "
-        "sum(CAST(coalesce(t0 IS NOT NULL AND t1 IS NOT NULL AND t1 >= t0, false) AS INTEGER)) AS step2_click, "
-        "sum(CAST(coalesce(t0 IS NOT NULL AND t1 IS NOT NULL AND t1 >= t0 AND t2 IS NOT NULL AND t2 >= t1, false) "
-        "AS INTEGER)) AS step3_purchase FROM f")
+        "WITH a AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1), "
+        "b AS (SELECT e.user_id, min(e.ts) AS t FROM events e JOIN a ON a.user_id = e.user_id AND e.ts >= a.t "
+        "WHERE e.event_type = 'click' GROUP BY 1), "
+        "c AS (SELECT e.user_id, min(e.ts) AS t FROM events e JOIN b ON b.user_id = e.user_id AND e.ts >= b.t "
+        "WHERE e.event_type = 'purchase' GROUP BY 1) "
+        "SELECT (SELECT count(*) FROM a) AS step1_view, (SELECT count(*) FROM b) AS step2_click, "
+        "(SELECT count(*) FROM c) AS step3_purchase")
     O["stream_j9_shares"] = (
         "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share "
         "FROM events GROUP BY 1")
@@ -830,14 +831,14 @@ _add_label_count_oracle()
 
 # --- graph queries over distinct-pair relationships -----------------------------------
 def dpairs(index_table: str, index_col: str, a_sql: str, b_sql: str, rel: str, seed=SEED) -> str:
-    """(i, a_ord, b_ord) of ``distinct_pairs``: x = (i*m + c) mod A*B with a prime m, in 128-bit integers."""
-    from ..operators.edges import PAIR_PRIME, PAIR_PRIME_2
-    tot = f"(CAST({a_sql} AS HUGEINT) * CAST({b_sql} AS HUGEINT))"
-    m = f"(CASE WHEN {tot} % {PAIR_PRIME} <> 0 THEN {PAIR_PRIME} ELSE {PAIR_PRIME_2} END)"
-    c = f"(('0x' || substr(md5('{seed}:{rel}'), 1, 15))::BIGINT % {tot})"
-    x = f"((CAST({index_col} AS HUGEINT) * {m} + {c}) % {tot})"
-    return (f"(SELECT {index_col} AS i, CAST({x} // CAST({b_sql} AS HUGEINT) AS BIGINT) AS a_ord, "
-            f"CAST({x} % CAST({b_sql} AS HUGEINT) AS BIGINT) AS b_ord FROM {index_table} WHERE {index_col} < {tot})")
+    """(i, a_ord, b_ord) of ``distinct_pairs``: (i // B, i % B) shifted four times, each half by a hash of the other."""
+    n = f"CAST({index_col} AS HUGEINT)"
+    a, b = f"CAST({a_sql} AS HUGEINT)", f"CAST({b_sql} AS HUGEINT)"
+    x = f"(SELECT {index_col} AS i, CAST({n} // {b} AS BIGINT) AS x, CAST({n} % {b} AS BIGINT) AS y, CAST({a} AS BIGINT) AS aa, CAST({b} AS BIGINT) AS bb FROM {index_table} WHERE {n} < {a} * {b})"
+    for r in range(0, 4, 2):
+        x = f"(SELECT i, (x + {dhash(f'{rel}#{r}', 'y', seed)} % aa) % aa AS x, y, aa, bb FROM {x} q{r})"
+        x = f"(SELECT i, x, (y + {dhash(f'{rel}#{r + 1}', 'x', seed)} % bb) % bb AS y, aa, bb FROM {x} q{r + 1})"
+    return f"(SELECT i, x AS a_ord, y AS b_ord FROM {x} z)"
 
 
 def _add_pair_graph_oracles():
@@ -904,18 +905,19 @@ def dbern(src_sql: str, src_key: str, T: str, p: float, rel: str, seed=SEED, no_
     mean = f"(CAST(s.tt AS DOUBLE) * {p!r})"
     size = f"CAST(trunc({mean} + 10.0 * sqrt({mean} * {1.0 - p!r}) + 32.0) AS INTEGER)"
     if max_per_source:
-        size = f"least({size}, {int(max_per_source)})"
+        size = f"least({size}, {int(max_per_source) + 1})"
     size = f"greatest({size}, 1)"
     u = du(f"{rel}#gap", "CAST(src AS VARCHAR) || ':0:' || CAST(i AS VARCHAR)", seed)
     gap = "1" if p >= 1.0 else f"(floor(ln(1.0 - {u}) / {math.log(1.0 - p)!r}) + 1)"
-    pos = (f"(SELECT src, tt, self_o, -1 + sum({gap}) OVER (PARTITION BY src ORDER BY i) AS pos FROM "
+    pos = (f"(SELECT src, tt, self_o, i, -1 + sum({gap}) OVER (PARTITION BY src ORDER BY i) AS pos FROM "
            f"(SELECT {src_key} AS src, {T} AS tt, {self_col or 'NULL'} AS self_o FROM {src_sql}) s, "
            f"generate_series(1, {size}) g(i))")
     cond = "pos < tt" + (" AND pos <> src" if no_self else "") + (" AND pos <> self_o" if self_col else "")
-    dst = "pos"
-    if max_per_source:
-        dst = f"(pos + {dhash(f'{rel}#rot', 'src', seed)} % tt) % tt"
-    return f"(SELECT src, CAST({dst} AS BIGINT) AS dst_ord FROM {pos} x WHERE {cond})"
+    if max_per_source:  # rotate first, then drop the self pair, then keep the first of the rest
+        turned = f"(SELECT src, i, self_o, tt, CAST((pos + {dhash(f'{rel}#rot', 'src', seed)} % tt) % tt AS BIGINT) AS pos FROM {pos} x WHERE pos < tt)"
+        return (f"(SELECT src, pos AS dst_ord FROM {turned} y WHERE {cond} "
+                f"QUALIFY row_number() OVER (PARTITION BY src ORDER BY i) <= {int(max_per_source)})")
+    return f"(SELECT src, CAST(pos AS BIGINT) AS dst_ord FROM {pos} x WHERE {cond})"
 
 
 def _add_bernoulli_graph_oracles():
@@ -1020,7 +1022,7 @@ def _add_user_graph_oracles():
     O["graph_h17_project_staffing"] = (
         f"SELECT p.name AS project, p.status, p.budget, count(*) AS team_size, "
         f"array_to_string(list_sort(list_distinct(list({role}))), ',') AS roles "
-        f"FROM {assigned} a JOIN {project} p ON p.ord = a.dst_ord GROUP BY a.dst_ord, p.name, p.status, p.budget")
+        f"FROM {assigned} a JOIN {project} p ON p.ord = a.dst_ord GROUP BY p.name, p.status, p.budget")
     reports = dbern("customer", "c_custkey", ncust, 0.004, "REPORTS_TO", gs, no_self=True, max_per_source=1)
     O["graph_h16_reporting_chains"] = (
         f"WITH RECURSIVE r AS {reports}, "
@@ -1151,7 +1153,7 @@ def _add_traversal_oracles():
         f"WITH RECURSIVE e AS {ids}, "
         f"s AS (SELECT src FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), "
         f"r(node, depth) AS (SELECT src, 0 FROM s UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node "
-        f"WHERE r.depth < 10) "
+        f"WHERE r.depth < (SELECT count(DISTINCT src) FROM e)) "
         f"SELECT (SELECT src FROM s) AS prime_vendor, node AS vendor_id, min(depth) AS depth FROM r "
         f"WHERE node <> (SELECT src FROM s) GROUP BY node")
     sj = "CAST(src AS VARCHAR) || ':' || CAST(j AS VARCHAR)"

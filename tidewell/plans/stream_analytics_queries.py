@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.fixtures import Tables
+from ..sources.fixtures import Tables, table_path
 from ..streaming import analytics as A
 from ..streaming import jobs as J
 from .streams import over_keys
@@ -24,7 +24,7 @@ def j2_stream_error_rate(t: Tables) -> DataFrame:
     """J1 + J2 as a real stream: the events file read as a file stream, event-time watermark,
     5-minute windows in update mode, run to completion and read back latest-per-window."""
     spark = t.spark
-    src = J.file_stream(spark, t.sf_dir, t.events.schema, glob="events.parquet")
+    src = J.file_stream(spark, table_path(t.sf_dir, "events"), t.events.schema)
     src = src.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be TIMESTAMP (zone-aware)
     agg = A.tumbling_error_rate(src.withWatermark("ts", "1 hour"))
     run = uuid.uuid4().hex[:8]
@@ -50,17 +50,15 @@ def j5_velocity(t: Tables) -> DataFrame:
 
 
 def j6_impossible_travel(t: Tables) -> DataFrame:
-    pts = over_keys(t.events.select("event_id", "ts", "user_id"), "event_id", "fraud_detection")
-    pts = pts.select(F.col("row_id").alias("event_id"), "latitude", "longitude").join(
-        t.events.select("event_id", "ts", F.col("user_id").alias("card_holder")), "event_id")
+    pts = over_keys(t.events, "event_id", "fraud_detection", carry={"ts": "ts", "card_holder": "user_id"})
+    pts = pts.select(F.col("row_id").alias("event_id"), "latitude", "longitude", "ts", "card_holder")
     flagged = A.impossible_travel(pts, "card_holder", "ts", "latitude", "longitude", "event_id")
     return flagged.groupBy("card_holder").agg(F.count("*").alias("flagged_moves"))
 
 
 def j7_low_battery(t: Tables) -> DataFrame:
-    tel = over_keys(t.events.select("event_id"), "event_id", "telemetry")
-    tel = tel.select(F.col("row_id").alias("event_id"), "battery_level").join(
-        t.events.select("event_id", "ts", F.col("user_id").alias("device")), "event_id")
+    tel = over_keys(t.events, "event_id", "telemetry", carry={"ts": "ts", "device": "user_id"})
+    tel = tel.select(F.col("row_id").alias("event_id"), "battery_level", "ts", "device")
     alerts = A.crossing_alerts(tel, "device", "ts", "battery_level", "event_id", 20.0)
     return alerts.groupBy("device").agg(F.count("*").alias("alerts"))
 

@@ -272,14 +272,17 @@ def batch(spark: SparkSession, name: str, rows: int, partitions: int | None = No
     return generate(spark, stream_spec(name), rows, partitions, seed, offset, fast=fast)
 
 
-def over_keys(df: DataFrame, key: str, name: str, ts: Column | None = None, seed=42) -> DataFrame:
+def over_keys(df: DataFrame, key: str, name: str, ts: Column | None = None, seed=42,
+              carry: dict[str, str] | None = None) -> DataFrame:
     """Stream records keyed by an existing column (e.g. ``events.event_id``).
 
     ``ts`` (optional) is carried as ``event_time`` so event-time operators can
-    use it; the work scales with ``df``.
+    use it, and ``carry`` (new name -> column) keeps more columns of ``df`` beside
+    the record, so that no join has to bring them back; the work scales with ``df``.
     """
-    keep = [F.col(key)] + ([ts.alias("event_time")] if ts is not None else [])
-    base = df.select(*keep).withColumnRenamed(key, "_key")
+    more = dict(carry or {})
+    base = df.select(F.col(key).alias("_key"), *([ts.alias("event_time")] if ts is not None else []),
+                     *(F.col(c).alias(n) for n, c in more.items()))
     out = apply_spec(base, stream_spec(name), key="_key", seed=seed,
-                     keep=["_key"] + (["event_time"] if ts is not None else []))
+                     keep=["_key"] + (["event_time"] if ts is not None else []) + list(more))
     return out.withColumnRenamed("_key", "row_id")

@@ -31,7 +31,8 @@ def audit_query(log: DataFrame, topic: str | None = None, user_id: str | None =
 
 def bounded_consume(topic_df: DataFrame, n: int) -> DataFrame:
     """Up to n (1..100) messages from the start of the topic, counting messages (not polls)."""
-    n = max(1, min(int(n), 100))
+    if not 1 <= int(n) <= 100:
+        raise ValueError(f"n must be between 1 and 100, not {n}")
     return topic_df.orderBy("partition", "offset").limit(n).select("topic", "partition", "offset", "value")
 
 

@@ -46,8 +46,14 @@ class Tables:
         return self._frames[name]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever store it names (any failure of the store is raised)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - Hadoop's file system
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))  # noqa: SLF001
+
+
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register each table as a temp view under its own name (for ``spark.sql``)."""
+    """Register each table that exists as a temp view under its own name (for ``spark.sql``)."""
     for n in names:
-        if os.path.exists(table_path(sf_dir, n)):
+        if path_exists(spark, table_path(sf_dir, n)):
             read(spark, sf_dir, n).createOrReplaceTempView(n)

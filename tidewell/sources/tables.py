@@ -7,22 +7,16 @@ except scalar counts. Row counts that accompany a write come from
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fixtures import path_exists
+
 
 def exists(spark: SparkSession, name_or_path: str) -> bool:
     if "/" in name_or_path:
-        try:
-            jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FS probe for a path table
-            p = jvm.org.apache.hadoop.fs.Path(name_or_path)
-            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-            return bool(fs.exists(p))
-        except Exception:  # noqa: BLE001
-            return os.path.exists(name_or_path)
+        return path_exists(spark, name_or_path)
     return spark.catalog.tableExists(name_or_path)
 
 

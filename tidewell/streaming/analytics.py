@@ -103,16 +103,20 @@ def crossing_alerts(df: DataFrame, entity: str, ts: str, level: str, tiebreak: s
 
 
 def funnel(df: DataFrame, entity: str, ts: str, step_col: str, steps: list[str]) -> DataFrame:
-    """Entities reaching each step, where each step's first time follows the previous step's."""
-    firsts = df.groupBy(entity).agg(*[F.min(F.when(F.col(step_col) == s, F.col(ts))).alias(f"_t{i}")
-                                      for i, s in enumerate(steps)])
-    reached = []
-    cond = F.col("_t0").isNotNull()
-    reached.append(F.sum(cond.cast("int")).alias(f"step1_{steps[0]}"))
-    for i in range(1, len(steps)):
-        cond = cond & F.col(f"_t{i}").isNotNull() & (F.col(f"_t{i}") >= F.col(f"_t{i - 1}"))
-        reached.append(F.sum(cond.cast("int")).alias(f"step{i + 1}_{steps[i]}"))
-    return firsts.agg(*reached)
+    """Entities reaching each step; a step is reached by its first event at or after the step before was reached.
+
+    Every step joins the events of its kind to the entities that came so far
+    and keeps one time for each, combined before the shuffle.
+    """
+    ev = df.select(F.col(entity).alias("_e"), F.col(ts).alias("_ts"), F.col(step_col).alias("_s"))
+    reached, counts = None, []
+    for i, s in enumerate(steps):
+        own = ev.filter(F.col("_s") == s)
+        if reached is not None:
+            own = own.join(reached, "_e").filter(F.col("_ts") >= F.col("_t"))
+        reached = own.groupBy("_e").agg(F.min("_ts").alias("_t"))
+        counts.append(reached.select(F.count("_t")).scalar().alias(f"step{i + 1}_{s}"))
+    return df.sparkSession.range(1).select(*counts)
 
 
 def shares(df: DataFrame, col: str) -> DataFrame:

@@ -34,23 +34,17 @@ from ..session import scratch_path
 KAFKA_FORMAT = "kafka"
 
 
-def kafka_available(spark: SparkSession) -> bool:
-    try:
-        spark.sparkContext._jvm.java.lang.Class.forName(  # noqa: SLF001 - classpath probe only
-            "org.apache.spark.sql.kafka010.KafkaSourceProvider")
-        return True
-    except Exception:  # noqa: BLE001
-        return False
-
-
 def topic_source(spark: SparkSession, topic: str, options: dict | None = None, folder: str | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A1: subscribe to one topic from the earliest offset (SASL etc. via ``options``).
 
-    Without the Kafka connector the topic is a folder of JSON-lines files
-    (``folder``), exposed with the Kafka column names ``value, topic, timestamp``.
+    The caller chooses the source: with ``folder`` the topic is that folder of
+    JSON-lines files, else a Kafka topic (its connector must be on the
+    classpath). The folder form has the Kafka columns that a file can give:
+    key (null), value, topic, partition (0) and timestamp, the file's time, so
+    a replay sees the same values.
     """
-    if folder is None and kafka_available(spark):
+    if folder is None:
         r = (spark.readStream.format(KAFKA_FORMAT).option("subscribe", topic)
              .option("startingOffsets", "earliest"))
         for k, v in (options or {}).items():
@@ -59,8 +53,17 @@ def topic_source(spark: SparkSession, topic: str, options: dict | None = None, f
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return (r.load(folder).select(F.col("value").cast("binary").alias("value"), F.lit(topic).alias("topic"),
-                                  F.current_timestamp().alias("timestamp")))
+    return r.load(folder).select(F.lit(None).cast("binary").alias("key"), F.col("value").cast("binary").alias("value"),
+                                 F.lit(topic).alias("topic"), F.lit(0).alias("partition"),
+                                 F.col("_metadata.file_modification_time").alias("timestamp"))
+
+
+def to_topic(df: DataFrame, topic: str, options: dict, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Produce a stream's ``value`` column to a Kafka topic (the connector must be on the classpath)."""
+    w = df.select("value").writeStream.format(KAFKA_FORMAT).option("topic", topic).option("checkpointLocation", checkpoint)
+    for k, v in options.items():
+        w = w.option(k, v)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def decode(df: DataFrame, schema: str) -> DataFrame:
@@ -78,6 +81,8 @@ def generator(spark: SparkSession, spec: list[dict], sink_folder: str, rows_per_
     produces no duplicates and no gaps. ``event_timestamp`` is the source's
     event time in ISO-8601 UTC.
     """
+    if interval_seconds < 0.1:
+        raise ValueError(f"interval_seconds must be 0.1 or more, not {interval_seconds}")
     src = (spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch)
            .option("numPartitions", partitions).option("startTimestamp", start_timestamp_ms)
            .option("advanceMillisPerBatch", int(interval_seconds * 1000)).load())
@@ -88,17 +93,27 @@ def generator(spark: SparkSession, spec: list[dict], sink_folder: str, rows_per_
     out = rows.select(F.to_json(F.struct(*body)).alias("value"))
     ckpt = checkpoint or scratch_path(spark, f"gen-{uuid.uuid4().hex[:8]}")
     return (out.writeStream.format(fmt).option("path", sink_folder).option("checkpointLocation", ckpt)
-            .trigger(processingTime=f"{max(interval_seconds, 0.1)} seconds").start())
+            .trigger(processingTime=f"{interval_seconds} seconds").start())
 
 
 def run_for(q: StreamingQuery, timeout_seconds: float) -> dict:
-    """Run control: wait up to ``timeout_seconds`` then stop; returns rows produced and status."""
-    q.awaitTermination(timeout_seconds)
-    progress = q.recentProgress
-    rows = sum(p.get("numInputRows", 0) for p in progress)
+    """Run control: wait up to ``timeout_seconds`` then stop; returns rows produced and status.
+
+    Spark keeps the progress of the last hundred batches only, so it is read
+    again and again while the query runs and added up by batch.
+    """
+    rows: dict[int, int] = {}
+    end = time.time() + timeout_seconds
+    while True:
+        left = end - time.time()
+        q.awaitTermination(max(0.05, min(left, 0.5)))
+        rows.update({p["batchId"]: p["numInputRows"] for p in q.recentProgress})
+        if left <= 0 or not q.isActive:
+            break
     status = "error" if q.exception() else ("running" if q.isActive else "completed")
     q.stop()
-    return {"rows_produced": rows, "batches": len(progress), "status": status if status != "running" else "stopped"}
+    rows.update({p["batchId"]: p["numInputRows"] for p in q.recentProgress})
+    return {"rows_produced": sum(rows.values()), "batches": len(rows), "status": status if status != "running" else "stopped"}
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str, available_now: bool = True, table: str | None = None):
@@ -118,20 +133,29 @@ def preview(df: DataFrame, name: str) -> StreamingQuery:
             .outputMode("append").start())
 
 
-def dual_write(df: DataFrame, topic_folder: str, audit_path: str, checkpoint: str, topic: str, user_id: str,
-               available_now: bool = True) -> StreamingQuery:
-    """Every message goes to the topic and to the audit table, idempotently per micro-batch.
+def dual_write(df: DataFrame, topic_folder: str | None, audit_path: str, checkpoint: str, topic: str, user_id: str,
+               available_now: bool = True, kafka: dict | None = None) -> StreamingQuery:
+    """Every message (``value``, ``timestamp``) goes to the topic and to the audit table.
 
-    Each batch is written under ``batch_id=<id>`` with overwrite, so a replayed
-    batch (after a failure) replaces its own output instead of duplicating it.
+    The caller chooses the topic: with ``kafka`` (connector options) a Kafka
+    topic, else the folder ``topic_folder``. Folders are written under
+    ``batch_id=<id>`` with overwrite, so a replayed batch replaces its own
+    output; ``created_at`` is the message's own time, so it is the same again.
     """
+    if (kafka is None) == (topic_folder is None):
+        raise ValueError("choose one of topic_folder and kafka")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        msgs = batch.select(F.col("value").cast("string").alias("value"))
-        msgs.write.mode("overwrite").text(os.path.join(topic_folder, f"batch_id={batch_id}"))
+        msgs = batch.select(F.col("value").cast("string").alias("value"), "timestamp").persist()
+        if kafka is not None:
+            msgs.select("value").write.format(KAFKA_FORMAT).options(**kafka).option("topic", topic).save()
+        else:
+            msgs.select("value").write.mode("overwrite").text(os.path.join(topic_folder, f"batch_id={batch_id}"))
         (msgs.select(F.lit("message_sent").alias("event_type"), F.lit(user_id).alias("user_id"),
                      F.lit(topic).alias("topic_name"), F.col("value").alias("topic_message"),
-                     F.current_timestamp().alias("created_at"))
+                     F.col("timestamp").alias("created_at"))
          .write.mode("overwrite").parquet(os.path.join(audit_path, f"batch_id={batch_id}")))
+        msgs.unpersist()
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
@@ -166,15 +190,17 @@ def upsert_run(df: DataFrame, keys: list[str], path: str, checkpoint: str,
     return latest.select(*keys, "_r.*")
 
 
-def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files arriving in ``folder`` (optionally only names matching ``glob``) as a stream."""
+def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table as a stream of its files: ``path`` is a folder, whose new files follow, or one file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - Hadoop's file system
+    status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)  # noqa: SLF001
     r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    if status.isDirectory():
+        return r.parquet(path)
+    # a file source watches folders, so one file is its folder with all other names left out
+    return r.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
 
 
 def wait_until(cond, timeout: float = 60.0, step: float = 0.5) -> bool:
