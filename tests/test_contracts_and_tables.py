@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewell.operators import contracts as C
 from tidewell.sources import tables as TB
 
+from .conftest import SF_SMALL
+
 
 def test_rules_and_types_edge_cases(spark):
     df = spark.createDataFrame(
@@ -77,3 +79,29 @@ def test_upsert_replaces_by_key(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     u = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
     assert sorted(map(tuple, TB.upsert(t, u, ["k"]).collect())) == [(1, "a"), (2, "B"), (3, "C")]
+
+
+def test_an_export_is_saved_and_read_back(spark, tmp_path):
+    from tidewell.plans.graph_queries import h25_export_fund_flows
+    from tidewell.sources.fixtures import Tables
+    from tidewell.sources.tables import copy_table, read_table
+    df = h25_export_fund_flows(Tables(spark, SF_SMALL))
+    assert set(df.columns) == {
+        "fund_id", "fund_name", "fund_category", "total_budget", "agency_id", "agency_name", "agency_type", "program_id",
+        "program_name", "program_budget", "funded_amount"}
+    path = str(tmp_path / "fund_flows")
+    n = copy_table(df, path)
+    assert n > 0 and sorted(map(str, read_table(spark, path).collect())) == sorted(map(str, df.collect()))
+
+
+def test_validator_forms(spark):
+    from pyspark.sql import types as T
+
+    from tidewell.operators.contracts import IPV6, type_check
+    good = ["::", "::1", "2001:db8::ff00:42:8329", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:1.2.3.4"]
+    bad = ["1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8:9:a:b:c:d:e", "1::2::3", "12345::", "1:2:3", ":1", "1:", "::1.2.3.999"]
+    df = spark.createDataFrame([(x, True) for x in good] + [(x, False) for x in bad], "v string, ok boolean")
+    assert df.filter(F.col("v").rlike(IPV6) != F.col("ok")).collect() == []
+    times = [("2024-01-02", True), ("2024-01-02T03:04:05Z", True), ("2024-01-02 03:04:05.123+02:00", True), ("2024", False), ("2024-1", False), ("2024-13-01", False), ("x", False)]
+    df = spark.createDataFrame(times, "v string, ok boolean")
+    assert df.filter(type_check(F.col("v"), T.StringType(), "date_time") != F.col("ok")).collect() == []

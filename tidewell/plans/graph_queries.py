@@ -408,76 +408,90 @@ def h19_employee_export(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------- exports
 def h23_export_enrolment(t: Tables) -> DataFrame:
     g = G.enrolment_graph(t)
-    s = g.node("Student").select("student_id", F.col("name").alias("student_name"), "campus")
+    s = g.node("Student").select("student_id", F.col("name").alias("student_name"), "gpa", "campus", "status")
     x = hop(s, "student_id", g.rel("ENROLLED_IN"), g.node("Course"), "course_id",
-            edge_props={"grade": "grade", "semester": "semester", "status": "status"},
-            target_cols={"name": "course_name", "level": "level"})
+            target_cols={"name": "course_name", "level": "course_level", "credits": "credits"})
     return hop(x, "course_id", g.rel("OFFERED_BY", "Course"), g.node("Department"), "department_id",
-               target_cols={"name": "department"})
+               target_cols={"name": "department", "college": "college"}).drop("department_id")
 
 
 def h24_export_degree_pathways(t: Tables) -> DataFrame:
     g = G.enrolment_graph(t)
-    s = g.node("Student").select("student_id", F.col("name").alias("student_name"), "gpa")
-    return hop(s, "student_id", g.rel("PURSUING"), g.node("DegreeProgram"), "program_id",
-               edge_props={"start_semester": "start_semester", "expected_graduation": "expected_graduation",
-                           "advisor_assigned": "advisor_assigned"},
-               target_cols={"name": "program_name", "degree_type": "degree_type"})
+    s = g.node("Student").select("student_id", F.col("name").alias("student_name"))
+    x = hop(s, "student_id", g.rel("PURSUING"), g.node("DegreeProgram"), "program_id",
+            edge_props={"start_semester": "start_semester", "expected_graduation": "expected_graduation"},
+            target_cols={"name": "program_name", "degree_type": "degree_type"})
+    return hop(x, "program_id", g.rel("OFFERED_BY", "DegreeProgram"), g.node("Department"), "department_id",
+               target_cols={"name": "department"}).drop("department_id")
 
 
 def h25_export_fund_flows(t: Tables) -> DataFrame:
     g = G.grants_graph(t)
-    f = g.node("FundingSource").select("fund_id", F.col("name").alias("fund_source"), "category")
-    x = hop(f, "fund_id", g.rel("FUNDS"), g.node("Agency"), "agency_id", edge_props={"amount": "fund_amount"},
-            target_cols={"name": "agency"})
-    return hop(x, "agency_id", g.rel("MANAGES"), g.node("Program"), "program_id", edge_props={"role": "role"},
-               target_cols={"name": "program"})
+    f = g.node("FundingSource").select("fund_id", F.col("name").alias("fund_name"), F.col("category").alias("fund_category"),
+                                       "total_budget")
+    x = hop(f, "fund_id", g.rel("FUNDS"), g.node("Agency"), "agency_id", edge_props={"amount": "funded_amount"},
+            target_cols={"name": "agency_name", "type": "agency_type"})
+    return hop(x, "agency_id", g.rel("MANAGES"), g.node("Program"), "program_id",
+               target_cols={"name": "program_name", "budget_allocated": "program_budget"})
 
 
 def h26_export_vendor_subcontracts(t: Tables) -> DataFrame:
     g = G.grants_graph(t)
     v = g.node("Vendor")
-    return (g.rel("SUBCONTRACTS")
-            .join(v.select(F.col("vendor_id").alias("src"), F.col("name").alias("prime_vendor")), "src")
-            .join(v.select(F.col("vendor_id").alias("dst"), F.col("name").alias("subcontractor")), "dst"))
+    prime = v.select(F.col("vendor_id").alias("prime_vendor_id"), F.col("name").alias("prime_vendor"), F.col("state").alias("prime_state"))
+    return hop(prime, "prime_vendor_id", g.rel("SUBCONTRACTS"), v, "vendor_id", edge_props={"percentage": "subcontract_pct"},
+               target_cols={"name": "subcontractor", "state": "sub_state"}, out_key="sub_vendor_id")
 
 
 def h27_export_citizen_services(t: Tables) -> DataFrame:
-    """request x department? x (asset, district)?: the 2-hop optional part is joined first, as one unit."""
+    """citizen x request x department? x (asset, district)?: the 2-hop optional part is joined first, as one unit."""
     g = G.citizen_graph(t)
-    sr = g.node("ServiceRequest").select("request_id", "type", "status", "priority")
-    x = hop(sr, "request_id", g.rel("ASSIGNED_TO"), g.node("ServiceDepartment"), "dept_id",
-            target_cols={"name": "department"}, optional=True)
+    c = g.node("Citizen").select("citizen_id", F.col("name").alias("citizen_name"))
+    x = hop(c, "citizen_id", g.rel("SUBMITTED"), g.node("ServiceRequest"), "request_id",
+            target_cols={"type": "request_type", "status": "status", "priority": "priority"})
+    x = hop(x, "request_id", g.rel("ASSIGNED_TO"), g.node("ServiceDepartment"), "dept_id",
+            target_cols={"name": "department"}, optional=True).drop("dept_id")
     ad = hop(g.rel("AFFECTS").select(F.col("src").alias("_req"), F.col("dst").alias("asset_id")), "asset_id",
-             g.rel("IN_DISTRICT"), g.node("District"), "district_id", target_cols={"name": "district"})
-    ad = ad.join(g.node("Asset").select("asset_id", F.col("type").alias("asset_type")), "asset_id")
+             g.rel("IN_DISTRICT"), g.node("District"), "district_id", target_cols={"name": "district"}).drop("district_id")
+    ad = ad.join(g.node("Asset").select("asset_id", F.col("type").alias("asset_type"),
+                                        F.col("condition").alias("asset_condition")), "asset_id")
     return x.join(ad, x["request_id"] == ad["_req"], "left").drop("_req")
 
 
 def h28_export_early_warning(t: Tables) -> DataFrame:
     g = G.early_warning_graph(t)
-    s = g.node("K12Student").select("student_id", "name", "risk_score", "attendance_rate")
-    x = hop(s, "student_id", g.rel("ATTENDS"), g.node("School"), "school_id", target_cols={"name": "school"})
+    s = g.node("K12Student").select("student_id", F.col("name").alias("student_name"), "grade_level", "risk_score",
+                                    "attendance_rate", "gpa", F.col("free_reduced_lunch").alias("frl"),
+                                    F.col("english_learner").alias("ell"), F.col("special_education").alias("sped"))
+    x = hop(s, "student_id", g.rel("ATTENDS"), g.node("School"), "school_id",
+            target_cols={"name": "school_name", "type": "school_type", "title_i": "title_i"})
     return hop(x, "student_id", g.rel("RECEIVED"), g.node("Intervention"), "intervention_id",
-               edge_props={"referred_by": "referred_by"}, target_cols={"type": "intervention"}, optional=True)
+               target_cols={"type": "intervention_type", "status": "intervention_status", "effectiveness": "effectiveness"},
+               optional=True)
 
 
 def h29_export_procurement(t: Tables) -> DataFrame:
-    """contract x vendor x lobbyist?: one row per (contract, lobbyist); sums over it double count (kept grain)."""
+    """agency x contract x vendor x lobbyist?: one row per (contract, lobbyist); sums over it double count (kept grain)."""
     g = G.procurement_graph(t)
-    ct = g.node("Contract").select("contract_id", "amount", "method", "category")
-    x = hop(ct, "contract_id", g.rel("AWARDED_TO"), g.node("ProcVendor"), "vendor_id", target_cols={"name": "vendor"})
+    a = g.node("ProcAgency").select("agency_id", F.col("name").alias("agency_name"))
+    x = hop(a, "agency_id", g.rel("ISSUED"), g.node("Contract"), "contract_id",
+            target_cols={"title": "contract_title", "amount": "amount", "method": "procurement_method",
+                         "category": "category", "status": "contract_status"})
+    x = hop(x, "contract_id", g.rel("AWARDED_TO"), g.node("ProcVendor"), "vendor_id",
+            target_cols={"name": "vendor_name", "minority_owned": "mbe", "small_business": "sbe", "woman_owned": "wbe"})
     return hop(x, "vendor_id", g.rel("REPRESENTS"), g.node("Lobbyist"), "lobbyist_id", direction="in",
-               target_cols={"name": "lobbyist"}, optional=True)
+               target_cols={"name": "lobbyist_name", "firm": "lobbyist_firm"}, optional=True).drop("lobbyist_id")
 
 
 def h30_export_case_management(t: Tables) -> DataFrame:
     g = G.benefits_graph(t)
-    x = g.rel("HAS_CASE").select(F.col("src").alias("client_id"), F.col("dst").alias("case_id"))
-    x = x.join(g.node("Client").select("client_id", F.col("name").alias("client_name")), "client_id")
-    x = x.join(g.node("Case").select("case_id", "status", "benefit_amount"), "case_id")
+    c = g.node("Client").select("client_id", F.col("name").alias("client_name"), "income_bracket", "household_size")
+    x = hop(c, "client_id", g.rel("HAS_CASE"), g.node("Case"), "case_id",
+            target_cols={"status": "case_status", "priority": "priority", "determination": "determination",
+                         "benefit_amount": "benefit_amount"})
     x = hop(x, "case_id", g.rel("MANAGED_BY"), g.node("Caseworker"), "caseworker_id",
-            target_cols={"name": "caseworker"})
-    x = hop(x, "caseworker_id", g.rel("WORKS_AT"), g.node("HHSAgency"), "agency_id", target_cols={"name": "agency"})
+            target_cols={"name": "caseworker_name", "specialization": "specialization"})
+    x = hop(x, "caseworker_id", g.rel("WORKS_AT"), g.node("HHSAgency"), "agency_id",
+            target_cols={"name": "agency_name"}).drop("agency_id")
     return hop(x, "case_id", g.rel("ENROLLED_IN", "Case"), g.node("HHSProgram"), "program_id",
-               target_cols={"name": "program"}, optional=True)
+               target_cols={"name": "program_name"}, optional=True).drop("program_id")

@@ -143,6 +143,9 @@ PROC_VENDOR_KINDS = ["Construction", "Services", "Solutions", "Technologies", "C
                      "Associates"]
 PROC_VENDOR_SUFFIXES = ["LLC", "Inc.", "Corp.", "LP"]
 FIRM_KINDS = ["Government Relations", "Public Affairs", "Advocacy Group", "Policy Advisors"]
+CONTRACT_UNITS = ["Phase", "Project", "Program", "Initiative", "Contract"]
+EFFECTIVENESS = ["highly_effective", "effective", "moderate", "ineffective", "too_early"]
+EFFECTIVENESS_WEIGHTS = [1, 3, 3, 2, 2]
 METHODS = ["competitive_bid", "sole_source", "emergency", "cooperative", "micro_purchase", "rfq"]
 METHOD_WEIGHTS = [5, 2, 1, 2, 3, 2]
 HHS_PROGRAMS = ["SNAP", "Medicaid", "TANF", "WIC", "CHIP", "Housing Assistance", "Energy Assistance (LIHEAP)",
@@ -259,6 +262,7 @@ def grants_graph(t: Tables, seed=SEED) -> Graph:
         {**_pick("_pname", PROGRAM_NAMES), "omit": True},
         {**_rng("_phase", "int", 1, 5), "omit": True},
         {"name": "name", "type": "string", "expr": "concat(_pname, ' Phase ', _phase)"},
+        _rng("budget_allocated", "decimal(12,2)", 10000, 5000000),
         _pick("status", ["active", "completed", "pending", "suspended"], [5, 2, 2, 1]),
     ], "Program", seed), "program_id")
     g.add_nodes("Vendor", lambda: node_table(t.supplier, "s_suppkey", [
@@ -434,9 +438,13 @@ def early_warning_graph(t: Tables, seed=SEED) -> Graph:
         _rng("risk_score", "decimal(5,1)", 0, 100),
         _pick("behavior_incidents_ytd", list(range(15)), [50, 10, 8, 6, 5, 4, 3, 2, 2, 2, 1, 1, 1, 1, 1], "int"),
         _flag("gifted", 0.08),
+        _flag("free_reduced_lunch", 0.45),
+        _flag("english_learner", 0.15),
+        _flag("special_education", 0.13),
     ], "K12Student", seed), "student_id")
     g.add_nodes("Intervention", lambda: node_table(t.part, "p_partkey", [
         _id("intervention_id", "INT-", 5),
+        _pick("effectiveness", EFFECTIVENESS, EFFECTIVENESS_WEIGHTS),
         _pick("type", INTERVENTION_TYPES),
         _pick("status", ["active", "completed", "discontinued", "pending"], [4, 3, 2, 1]),
     ], "Intervention", seed), "intervention_id")
@@ -497,10 +505,15 @@ def procurement_graph(t: Tables, seed=SEED) -> Graph:
         {"name": "name", "type": "string", "expr": "concat_ws(' ', _last, _kind, _suffix)"},
         _pick("state", pools.STATES),
         _flag("minority_owned", 0.18),
+        _flag("woman_owned", 0.15),
         _flag("small_business", 0.35),
     ], "ProcVendor", seed), "vendor_id")
     g.add_nodes("Contract", lambda: node_table(t.part, "p_partkey", [
         _id("contract_id", "CTR-", 5),
+        {**_pick("_what", COMMODITY_CATEGORIES), "omit": True},
+        {**_pick("_unit", CONTRACT_UNITS), "omit": True},
+        {**_rng("_number", "int", 1, 999), "omit": True},
+        {"name": "title", "type": "string", "expr": "concat(_what, ' - ', _unit, ' ', _number)"},
         _rng("amount", "decimal(14,2)", 5000, 25000000),
         _pick("method", METHODS, METHOD_WEIGHTS),
         _pick("category", COMMODITY_CATEGORIES),

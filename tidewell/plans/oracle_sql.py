@@ -724,21 +724,7 @@ def _add_graph_export_oracles():
               f"concat('DEPT-', lpad(CAST(p_partkey % 18 + 1 AS VARCHAR), 3, '0')) AS department_id, "
               f"{dlist(GR.DEPARTMENTS, 'p_partkey % 18')} AS department FROM part)")
     enr = dk_targets("customer", "c_custkey", "ENROLLED_IN", npart, 2, 5)
-    O["graph_h23_export_enrolment"] = (
-        f"SELECT s.student_id, s.student_name, s.campus, c.course_id, "
-        f"{dpick(du('ENROLLED_IN#grade', sj), GR.GRADES12)} AS grade, c.semester, "
-        f"{dpick(du('ENROLLED_IN#status', sj), GR.ENROLL_STATUS)} AS status, c.course_name, c.level, "
-        f"c.department_id, c.department FROM {enr} e JOIN {student} s ON s.c_custkey = e.src "
-        f"JOIN {course} c ON c.p_partkey = e.dst_ord")
     pur = dk_targets("customer", "c_custkey", "PURSUING", "45", 1, 1)
-    O["graph_h24_export_degree_pathways"] = (
-        f"SELECT s.student_id, s.student_name, s.gpa, concat('PGM-', lpad(CAST(p.dst_ord + 1 AS VARCHAR), 3, '0')) "
-        f"AS program_id, {dpick(du('PURSUING#start_semester', 'p.src'), GR.START_SEMESTERS)} AS start_semester, "
-        f"{dpick(du('PURSUING#grad', 'p.src'), GR.GRADUATIONS)} AS expected_graduation, "
-        f"({du('PURSUING#adv', 'p.src')} > 0.2) AS advisor_assigned, "
-        f"concat({dlist(GR.DEPARTMENTS, 'p.dst_ord % 18')}, ' ', {dlist(GR.DEGREE_TYPES, 'p.dst_ord % 10')}) "
-        f"AS program_name, {dlist(GR.DEGREE_TYPES, 'p.dst_ord % 10')} AS degree_type "
-        f"FROM {pur} p JOIN {student} s ON s.c_custkey = p.src")
     ks, ss, iv = f"{SEED}/K12Student", f"{SEED}/School", f"{SEED}/Intervention"
     k12 = (f"(SELECT c_custkey, concat('K12-', lpad(CAST(c_custkey + 1 AS VARCHAR), 5, '0')) AS student_id, "
            f"{dspec(GR._person('name'), 'c_custkey', ks)} AS name, "
@@ -758,11 +744,6 @@ def _add_graph_export_oracles():
               f"{dspec(GR._pick('type', GR.INTERVENTION_TYPES), 'p_partkey', iv)} AS intervention FROM part)")
     rec = (f"(SELECT r.src, i.intervention_id, {dpick(du('RECEIVED#ref', sj.replace('src', 'r.src').replace('j AS', 'r.j AS')), GR.REFERRERS)} "
            f"AS referred_by, i.intervention FROM {received} r JOIN {interv} i ON i.p_partkey = r.dst_ord)")
-    O["graph_h28_export_early_warning"] = (
-        f"SELECT k.student_id, k.name, k.risk_score, k.attendance_rate, sc.school_id, sc.school, "
-        f"rec.intervention_id, rec.referred_by, rec.intervention FROM {k12} k "
-        f"JOIN {attends} a ON a.src = k.c_custkey JOIN {school} sc ON sc.sord = a.dst_ord "
-        f"LEFT JOIN {rec} rec ON rec.src = k.c_custkey")
     O["graph_h21_low_attendance"] = (
         f"SELECT k.student_id, k.name, CAST(k.attendance_rate AS DOUBLE) AS attendance_rate, "
         f"CAST(k.gpa AS DOUBLE) AS gpa, sc.school, coalesce((SELECT string_agg(rec.intervention, ',' "
@@ -936,11 +917,6 @@ def _add_bernoulli_graph_oracles():
         f"SELECT a.name AS prime_vendor, b.name AS subcontractor, {pct} AS subcontract_pct, a.state AS prime_state, "
         f"b.state AS sub_state FROM {sub} e JOIN {vendor} a ON a.ord = e.src JOIN {vendor} b ON b.ord = e.dst_ord "
         f"ORDER BY subcontract_pct DESC, prime_vendor, subcontractor, prime_state, sub_state LIMIT 25")
-    O["graph_h26_export_vendor_subcontracts"] = (
-        f"SELECT concat('VND-', lpad(CAST(e.src + 1 AS VARCHAR), 4, '0')) AS src, "
-        f"concat('VND-', lpad(CAST(e.dst_ord + 1 AS VARCHAR), 4, '0')) AS dst, {pct} AS percentage, "
-        f"a.name AS prime_vendor, b.name AS subcontractor FROM {sub} e JOIN {vendor} a ON a.ord = e.src "
-        f"JOIN {vendor} b ON b.ord = e.dst_ord")
     fs, ag, pg = f"{SEED}/FundingSource", f"{SEED}/Agency", f"{SEED}/Program"
     fund = (f"(SELECT n_nationkey AS ord, concat({dspec(GR._pick('_prog', GR.FEDERAL_PROGRAMS), 'n_nationkey', fs)}, "
             f"' - FY', CAST({dspec(GR._pick('_fy', [2023, 2024, 2025, 2026], type_='int'), 'n_nationkey', fs)} AS VARCHAR)) "
@@ -961,12 +937,6 @@ def _add_bernoulli_graph_oracles():
         f"JOIN {manages} m ON m.src = f.dst_ord JOIN {program} p ON p.ord = m.dst_ord "
         f"JOIN {awards} w ON w.src = m.dst_ord JOIN {vendor} v ON v.ord = w.dst_ord "
         f"ORDER BY amount DESC, fund_source, category, agency, program, vendor LIMIT 25")
-    O["graph_h25_export_fund_flows"] = (
-        f"SELECT concat('FUND-', lpad(CAST(f.src + 1 AS VARCHAR), 3, '0')) AS fund_id, fs.fund_source, fs.category, "
-        f"concat('AGY-', lpad(CAST(f.dst_ord + 1 AS VARCHAR), 3, '0')) AS agency_id, {famount} AS fund_amount, "
-        f"a.agency, concat('PGM-', lpad(CAST(m.dst_ord + 1 AS VARCHAR), 4, '0')) AS program_id, {role} AS role, "
-        f"p.program FROM {funds} f JOIN {fund} fs ON fs.ord = f.src JOIN {agency} a ON a.ord = f.dst_ord "
-        f"JOIN {manages} m ON m.src = f.dst_ord JOIN {program} p ON p.ord = m.dst_ord")
 
 
 _add_bernoulli_graph_oracles()
@@ -1085,10 +1055,6 @@ def _add_more_graph_export_oracles():
         f"JOIN {vendor} v ON v.ord = r.dst_ord JOIN {aw} a ON a.dst_ord = r.dst_ord "
         f"JOIN {contract} c ON c.ord = a.src JOIN {iss} i ON i.b_ord = a.src JOIN {agency} ag ON ag.ord = i.a_ord "
         f"ORDER BY contract_value DESC, lobbyist, firm, vendor, agency, procurement_method LIMIT 20")
-    O["graph_h29_export_procurement"] = (
-        f"SELECT c.contract_id, c.amount, c.method, c.category, v.vendor_id, v.vendor, l.lobbyist_id, l.lobbyist "
-        f"FROM {aw} a JOIN {contract} c ON c.ord = a.src JOIN {vendor} v ON v.ord = a.dst_ord "
-        f"LEFT JOIN ({rep} r JOIN {lobby} l ON l.ord = r.src) ON r.dst_ord = a.dst_ord")
     # case management export
     cs, cw, ha, cl = f"{SEED}/Case", f"{SEED}/Caseworker", f"{SEED}/HHSAgency", f"{SEED}/Client"
     hc = dpairs("orders", "o_orderkey", ncust, nord, "HAS_CASE")
@@ -1109,13 +1075,6 @@ def _add_more_graph_export_oracles():
     mb = dk_targets("orders", "o_orderkey", "MANAGED_BY", nsupp, 1, 1)
     approved = f"(SELECT o_orderkey FROM orders WHERE {det} = 'approved')"
     enr = dk_targets(approved, "o_orderkey", "ENROLLED_IN", str(len(GR.HHS_PROGRAMS)), 1, 2)
-    O["graph_h30_export_case_management"] = (
-        f"SELECT c.case_id, cl.client_id, cl.client_name, c.status, c.benefit_amount, w.caseworker_id, w.caseworker, "
-        f"ag.agency_id, ag.agency, 'HHSP-' || lpad(CAST(e.dst_ord + 1 AS VARCHAR), 2, '0') AS program_id, "
-        f"{dlist(GR.HHS_PROGRAMS, 'e.dst_ord')} AS program "
-        f"FROM {hc} h JOIN {client} cl ON cl.ord = h.a_ord JOIN {case} c ON c.ord = h.b_ord "
-        f"JOIN {mb} m ON m.src = h.b_ord JOIN {worker} w ON w.ord = m.dst_ord JOIN {hagency} ag ON ag.ord = w.ag "
-        f"LEFT JOIN {enr} e ON e.src = h.b_ord")
     # citizen services export: request x department? x (asset, district)?
     sr, asr = f"{SEED}/ServiceRequest", f"{SEED}/Asset"
     req = (f"(SELECT o_orderkey AS ord, concat('SR-', lpad(CAST(o_orderkey + 1 AS VARCHAR), 6, '0')) AS request_id, "
@@ -1142,6 +1101,146 @@ def _add_more_graph_export_oracles():
 _add_more_graph_export_oracles()
 
 
+def _add_full_export_oracles():
+    """The eight graph exports with their full column lists."""
+    from ..functions import pools
+    from . import graphs as GR
+    O = ORACLE
+
+    def node(label: str, table: str, key: str, prefix: str, width: int, id_name: str, cols: dict[str, str]) -> str:
+        seed = f"{SEED}/{label}"
+        sel = ", ".join(f"{(v if isinstance(v, str) else dspec(v, key, seed))} AS {n}" for n, v in cols.items())
+        return (f"(SELECT {key} AS ord, concat('{prefix}', lpad(CAST({key} + 1 AS VARCHAR), {width}, '0')) AS {id_name}, "
+                f"{sel} FROM {table})")
+
+    def text(label: str, key: str, *parts) -> str:
+        return "concat(" + ", ".join(f"'{p}'" if isinstance(p, str) else f"CAST({dspec(p, key, f'{SEED}/{label}')} AS VARCHAR)"
+                                     for p in parts) + ")"
+
+    P, R, Fl = GR._pick, GR._rng, GR._flag
+    ncust, nord, npart = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)", "(SELECT count(*) FROM part)"
+    nnation, nsupp = "(SELECT count(*) FROM nation)", "(SELECT count(*) FROM supplier)"
+    student = node("Student", "customer", "c_custkey", "STU-", 6, "student_id", {
+        "student_name": GR._person("name"), "gpa": R("gpa", "decimal(3,2)", 1.5, 4.0),
+        "campus": P("campus", ["Main", "North", "Online", "Downtown", "West"]),
+        "status": P("status", ["active", "graduated", "on_leave", "suspended", "withdrawn"], [60, 15, 10, 5, 10])})
+    cs = f"{SEED}/Course"
+    number = (f"CAST({dspec(P('_lvl', GR.COURSE_LEVELS, type_='int'), 'p_partkey', cs)} + "
+              f"{dspec(R('_off', 'int', 0, 9), 'p_partkey', cs)} AS VARCHAR)")
+    course = node("Course", "part", "p_partkey", "CRS-", 4, "course_id", {
+        "course_name": f"concat({dspec(P('_prefix', GR.COURSE_PREFIXES), 'p_partkey', cs)}, ' ', "
+                       f"{dlist(GR.DEPARTMENTS, 'p_partkey % 18')}, ' ', lpad({number}, 3, '0'))",
+        "course_level": P("level", [100, 200, 300, 400, 500, 600], type_="int"), "credits": P("credits", [1, 2, 3, 3, 3, 4, 4], type_="int"),
+        "department": dlist(GR.DEPARTMENTS, "p_partkey % 18"), "college": dlist(GR.COLLEGES, "(p_partkey % 18) % 6")})
+    enr = dk_targets("customer", "c_custkey", "ENROLLED_IN", npart, 2, 5)
+    O["graph_h23_export_enrolment"] = (
+        f"SELECT s.student_id, student_name, gpa, campus, status, course_id, course_name, CAST(course_level AS INTEGER) AS course_level, "
+        f"CAST(credits AS INTEGER) AS credits, department, college FROM {enr} e JOIN {student} s ON s.ord = e.src "
+        f"JOIN {course} c ON c.ord = e.dst_ord")
+    pur = dk_targets("customer", "c_custkey", "PURSUING", "45", 1, 1)
+    O["graph_h24_export_degree_pathways"] = (
+        f"SELECT s.student_id, s.student_name, concat('PGM-', lpad(CAST(p.dst_ord + 1 AS VARCHAR), 3, '0')) AS program_id, "
+        f"{dlist(GR.DEGREE_TYPES, 'p.dst_ord % 10')} AS degree_type, "
+        f"concat({dlist(GR.DEPARTMENTS, 'p.dst_ord % 18')}, ' ', {dlist(GR.DEGREE_TYPES, 'p.dst_ord % 10')}) AS program_name, "
+        f"{dlist(GR.DEPARTMENTS, 'p.dst_ord % 18')} AS department, "
+        f"{dpick(du('PURSUING#start_semester', 'p.src'), GR.START_SEMESTERS)} AS start_semester, "
+        f"{dpick(du('PURSUING#grad', 'p.src'), GR.GRADUATIONS)} AS expected_graduation "
+        f"FROM {pur} p JOIN {student} s ON s.ord = p.src")
+    fund = node("FundingSource", "nation", "n_nationkey", "FUND-", 3, "fund_id", {
+        "fund_name": text("FundingSource", "n_nationkey", P("_prog", GR.FEDERAL_PROGRAMS), " - FY", P("_fy", [2023, 2024, 2025, 2026], type_="int")),
+        "fund_category": P("category", GR.FUND_CATEGORIES), "total_budget": R("total_budget", "decimal(14,2)", 50000, 50000000)})
+    agency = node("Agency", "nation", "n_nationkey", "AGY-", 3, "agency_id", {
+        "agency_name": text("Agency", "n_nationkey", P("_city", pools.CITIES), " ", P("_kind", GR.GRANT_AGENCY_TYPES)),
+        "agency_type": P("type", GR.GRANT_AGENCY_TYPES)})
+    program = node("Program", "part", "p_partkey", "PGM-", 4, "program_id", {
+        "program_name": text("Program", "p_partkey", P("_pname", GR.PROGRAM_NAMES), " Phase ", R("_phase", "int", 1, 5)),
+        "program_budget": R("budget_allocated", "decimal(12,2)", 10000, 5000000)})
+    amount = dint(du("FUNDS#amount", "CAST(f.src AS VARCHAR) || ':' || CAST(f.dst_ord AS VARCHAR)"), 0, 4999999)
+    O["graph_h25_export_fund_flows"] = (
+        f"SELECT fund_id, fund_name, fund_category, total_budget, agency_id, agency_name, agency_type, program_id, program_name, "
+        f"program_budget, {amount} AS funded_amount FROM {dbern('nation', 'n_nationkey', nnation, 0.3, 'FUNDS')} f "
+        f"JOIN {fund} fs ON fs.ord = f.src JOIN {agency} a ON a.ord = f.dst_ord "
+        f"JOIN {dbern('nation', 'n_nationkey', npart, 0.15, 'MANAGES')} m ON m.src = f.dst_ord JOIN {program} p ON p.ord = m.dst_ord")
+    vendor = node("Vendor", "supplier", "s_suppkey", "VND-", 4, "vendor_id", {
+        "name": text("Vendor", "s_suppkey", P("_last", pools.LAST_NAMES), " ", P("_kind", GR.VENDOR_TYPES), " ", P("_suffix", GR.VENDOR_SUFFIXES)),
+        "state": P("state", pools.STATES)})
+    pct = dint(du("SUBCONTRACTS#pct", "CAST(e.src AS VARCHAR) || ':' || CAST(e.dst_ord AS VARCHAR)"), 5, 44)
+    O["graph_h26_export_vendor_subcontracts"] = (
+        f"SELECT a.vendor_id AS prime_vendor_id, a.name AS prime_vendor, a.state AS prime_state, b.vendor_id AS sub_vendor_id, "
+        f"b.name AS subcontractor, b.state AS sub_state, {pct} AS subcontract_pct "
+        f"FROM {dbern('supplier', 's_suppkey', nsupp, 0.008, 'SUBCONTRACTS', no_self=True)} e "
+        f"JOIN {vendor} a ON a.ord = e.src JOIN {vendor} b ON b.ord = e.dst_ord")
+    citizen = node("Citizen", "customer", "c_custkey", "CIT-", 5, "citizen_id", {"citizen_name": GR._person("name")})
+    asset = node("Asset", "part", "p_partkey", "AST-", 5, "asset_id", {"asset_condition": P("condition", ["good", "fair", "poor", "critical"], [4, 3, 2, 1])})
+    old = O["graph_h27_export_citizen_services"]
+    O["graph_h27_export_citizen_services"] = (
+        f"SELECT o.request_id, o.type AS request_type, o.status, o.priority, c.citizen_id, c.citizen_name, o.department, o.asset_id, "
+        f"o.asset_type, s.asset_condition, o.district FROM {dpairs('orders', 'o_orderkey', ncust, nord, 'SUBMITTED')} p "
+        f"JOIN {citizen} c ON c.ord = p.a_ord JOIN ({old}) o ON o.request_id = concat('SR-', lpad(CAST(p.b_ord + 1 AS VARCHAR), 6, '0')) "
+        f"LEFT JOIN {asset} s ON s.asset_id = o.asset_id")
+    k12 = node("K12Student", "customer", "c_custkey", "K12-", 5, "student_id", {
+        "student_name": GR._person("name"), "grade_level": R("grade_level", "int", 1, 12), "risk_score": R("risk_score", "decimal(5,1)", 0, 100),
+        "attendance_rate": R("attendance_rate", "decimal(5,1)", 60, 100), "gpa": R("gpa", "decimal(3,2)", 0.5, 4.0),
+        "frl": Fl("free_reduced_lunch", 0.45), "ell": Fl("english_learner", 0.15), "sped": Fl("special_education", 0.13)})
+    kind = dspec(P("_kind", ["Elementary", "Middle", "High"]), "n_nationkey", f"{SEED}/School")
+    school = node("School", "nation", "n_nationkey", "SCH-", 3, "school_id", {
+        "school_name": f"concat({dlist(GR.SCHOOL_PREFIXES, f'n_nationkey % {len(GR.SCHOOL_PREFIXES)}')}, ' ', {kind}, ' School')",
+        "school_type": P("type", ["elementary", "middle", "high"], [5, 3, 2]), "title_i": Fl("title_i", 0.55)})
+    interv = node("Intervention", "part", "p_partkey", "INT-", 5, "intervention_id", {
+        "intervention_type": P("type", GR.INTERVENTION_TYPES), "intervention_status": P("status", ["active", "completed", "discontinued", "pending"], [4, 3, 2, 1]),
+        "effectiveness": P("effectiveness", ["highly_effective", "effective", "moderate", "ineffective", "too_early"], [1, 3, 3, 2, 2])})
+    received = dk_targets(f"(SELECT ord FROM {k12} x WHERE risk_score > 40)", "ord", "RECEIVED", npart, 1, 2)
+    O["graph_h28_export_early_warning"] = (
+        f"SELECT k.student_id, student_name, CAST(grade_level AS INTEGER) AS grade_level, risk_score, attendance_rate, gpa, frl, ell, sped, "
+        f"school_id, school_name, school_type, title_i, intervention_id, intervention_type, intervention_status, effectiveness FROM {k12} k "
+        f"JOIN {dk_targets('customer', 'c_custkey', 'ATTENDS', nnation, 1, 1)} a ON a.src = k.ord JOIN {school} sc ON sc.ord = a.dst_ord "
+        f"LEFT JOIN ({received} r JOIN {interv} i ON i.ord = r.dst_ord) ON r.src = k.ord")
+    pagency = node("ProcAgency", "nation", "n_nationkey", "PAGY-", 3, "agency_id", {
+        "agency_name": f"concat({dspec(P('_city', pools.CITIES), 'n_nationkey', f'{SEED}/ProcAgency')}, ' ', "
+                       f"{dlist(GR.PROC_AGENCY_NAMES, f'n_nationkey % {len(GR.PROC_AGENCY_NAMES)}')})"})
+    pvendor = node("ProcVendor", "supplier", "s_suppkey", "PVND-", 4, "vendor_id", {
+        "vendor_name": text("ProcVendor", "s_suppkey", P("_last", pools.LAST_NAMES), " ", P("_kind", GR.PROC_VENDOR_KINDS), " ", P("_suffix", GR.PROC_VENDOR_SUFFIXES)),
+        "mbe": Fl("minority_owned", 0.18), "sbe": Fl("small_business", 0.35), "wbe": Fl("woman_owned", 0.15)})
+    contract = node("Contract", "part", "p_partkey", "CTR-", 5, "contract_id", {
+        "contract_title": text("Contract", "p_partkey", P("_what", GR.COMMODITY_CATEGORIES), " - ",
+                               P("_unit", ["Phase", "Project", "Program", "Initiative", "Contract"]), " ", R("_number", "int", 1, 999)),
+        "amount": R("amount", "decimal(14,2)", 5000, 25000000), "procurement_method": P("method", GR.METHODS, GR.METHOD_WEIGHTS),
+        "category": P("category", GR.COMMODITY_CATEGORIES),
+        "contract_status": P("status", ["active", "completed", "pending", "terminated", "expired"], [4, 3, 1, 1, 1])})
+    lobby = node("Lobbyist", "supplier", "s_suppkey", "LOB-", 4, "lobbyist_id", {
+        "lobbyist_name": GR._person("name"),
+        "lobbyist_firm": text("Lobbyist", "s_suppkey", P("_l1", pools.LAST_NAMES), " & ", P("_l2", pools.LAST_NAMES), " ", P("_fk", GR.FIRM_KINDS))})
+    O["graph_h29_export_procurement"] = (
+        f"SELECT agency_id, agency_name, contract_id, contract_title, amount, procurement_method, category, contract_status, v.vendor_id, "
+        f"vendor_name, mbe, sbe, wbe, lobbyist_name, lobbyist_firm FROM {dpairs('part', 'p_partkey', nnation, npart, 'ISSUED')} i "
+        f"JOIN {pagency} ag ON ag.ord = i.a_ord JOIN {contract} c ON c.ord = i.b_ord "
+        f"JOIN {dk_targets('part', 'p_partkey', 'AWARDED_TO', nsupp, 1, 1)} aw ON aw.src = i.b_ord JOIN {pvendor} v ON v.ord = aw.dst_ord "
+        f"LEFT JOIN ({dbern('supplier', 's_suppkey', nsupp, 0.02, 'REPRESENTS')} r JOIN {lobby} l ON l.ord = r.src) ON r.dst_ord = aw.dst_ord")
+    client = node("Client", "customer", "c_custkey", "CLT-", 5, "client_id", {
+        "client_name": GR._person("name"), "income_bracket": P("income_bracket", ["below_poverty", "low_income", "moderate_income"], [4, 4, 2]),
+        "household_size": P("household_size", [1, 2, 3, 4, 5, 6, 7, 8], [15, 25, 20, 20, 10, 5, 3, 2], "int")})
+    outcome = P("determination", ["approved", "denied", "pending", "deferred", "conditional"], [5, 2, 2, 1, 1])
+    case = node("Case", "orders", "o_orderkey", "CASE-", 6, "case_id", {
+        "case_status": P("status", ["open", "under_review", "approved", "denied", "closed", "appealed"], [3, 2, 4, 2, 3, 1]),
+        "priority": P("priority", ["emergency", "urgent", "standard", "low"], [1, 2, 5, 2]), "determination": outcome,
+        "benefit_amount": R("benefit_amount", "decimal(10,2)", 0, 15000)})
+    worker = node("Caseworker", "supplier", "s_suppkey", "CW-", 4, "caseworker_id", {
+        "caseworker_name": GR._person("name"), "specialization": P("specialization", GR.SPECIALIZATIONS),
+        "ag": f"{dhash('agency_id#1', 's_suppkey', f'{SEED}/Caseworker')} % {nnation}"})
+    hagency = node("HHSAgency", "nation", "n_nationkey", "HHS-", 3, "agency_id", {
+        "agency_name": text("HHSAgency", "n_nationkey", P("_city", pools.CITIES), " ", P("_kind", GR.HHS_AGENCY_NAMES))})
+    approved = f"(SELECT ord FROM {case} y WHERE determination = 'approved')"
+    O["graph_h30_export_case_management"] = (
+        f"SELECT client_id, client_name, income_bracket, CAST(household_size AS INTEGER) AS household_size, c.case_id, case_status, priority, "
+        f"determination, benefit_amount, caseworker_id, caseworker_name, specialization, agency_name, {dlist(GR.HHS_PROGRAMS, 'e.dst_ord')} AS program_name "
+        f"FROM {dpairs('orders', 'o_orderkey', ncust, nord, 'HAS_CASE')} h JOIN {client} cl ON cl.ord = h.a_ord JOIN {case} c ON c.ord = h.b_ord "
+        f"JOIN {dk_targets('orders', 'o_orderkey', 'MANAGED_BY', nsupp, 1, 1)} m ON m.src = h.b_ord JOIN {worker} w ON w.ord = m.dst_ord "
+        f"JOIN {hagency} ag ON ag.ord = w.ag LEFT JOIN {dk_targets(approved, 'ord', 'ENROLLED_IN', str(len(GR.HHS_PROGRAMS)), 1, 2)} e ON e.src = h.b_ord")
+
+
+_add_full_export_oracles()
+
+
 def _add_traversal_oracles():
     from . import graphs as GR
     O = ORACLE
