@@ -128,3 +128,8 @@ def test_cap_and_no_self_pairs_together(spark):
     src = spark.range(300).selectExpr("id AS k", "id AS me")
     e = E.bernoulli_edges(src, "k", 300, 0.2, 1, "R", exclude_self_ordinal="me", max_per_source=1).collect()
     assert all(r["src"] != r["dst_ord"] for r in e) and len({r["src"] for r in e}) == len(e) >= 299
+
+
+def test_edges_grow_with_the_sources(spark):
+    n = [E.bernoulli_edges(spark.range(s), "id", s, 0.05, 1, "G").count() for s in (2000, 8000)]
+    assert 0.9 * 200_000 < n[0] < 1.1 * 200_000 and 3.8 < n[1] / n[0] < 4.2

@@ -20,8 +20,6 @@ so rebuilding any partition gives identical edges.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +72,16 @@ def fk_edges(child: DataFrame, child_key: str, fk: str, parent: DataFrame, paren
     return e.join(p, "dst").select("src", "dst", *[c for c in e.columns if c not in ("src", "dst")])
 
 
-def _geometric_gaps(u: Column, p: float) -> Column:
+#: Up to so many targets a pair is kept with the stated probability; with more, each source keeps the degree it would
+#: expect with so many, so that edges grow with the sources and not with sources x targets. The source's own catalogues
+#: have 2,000 targets at most.
+DENSE_TARGETS = 2000
+
+
+def _geometric_gaps(u: Column, p: Column) -> Column:
     """Gap to the next success of a Bernoulli(p) process: floor(ln(1-u)/ln(1-p)) + 1."""
-    if p >= 1.0:
-        return F.lit(1).cast("bigint")
-    return (F.floor(F.log(F.lit(1.0) - u) / F.lit(math.log(1.0 - p))) + 1).cast("bigint")
+    one = F.lit(1.0)
+    return F.when(p >= one, F.lit(1).cast("bigint")).otherwise((F.floor(F.log(one - u) / F.log(one - p)) + 1).cast("bigint"))
 
 
 def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p: float, seed, rel: str,
@@ -89,8 +92,8 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
     For each source the successes of the Bernoulli process over target
     ordinals ``0 .. T-1`` are generated directly: gaps between successes are
     geometric, their running sums are the positions. Work per source is
-    O(T*p) (the expected degree), so a 10^6 x 10^6 graph at p = 1e-5 costs 10^7
-    rows, not 10^12. ``n_targets`` may be a per-source column (F10: the size of
+    O(T*p) (the expected degree), and p shrinks as 1/T beyond ``DENSE_TARGETS``
+    targets, so edges are at most sources x p x DENSE_TARGETS. ``n_targets`` may be a per-source column (F10: the size of
     the source's block, with ``block`` the block ordinal offset column).
 
     Each source draws mean + 10 sigma + 32 gaps in one pass; if a source's
@@ -106,8 +109,9 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
                           *([F.col(block)] if block else []),
                           *([F.col(exclude_self_ordinal).alias("_self")] if exclude_self_ordinal else []))
     # draws per source: expected degree + 10 sigma + 32 (a longer run has probability < 1e-20)
-    mean = F.col(tcol) * F.lit(p)
-    size = (mean + F.lit(10.0) * F.sqrt(mean * F.lit(1.0 - p)) + F.lit(32.0)).cast("int")
+    prob = F.lit(float(p)) * F.least(F.lit(1.0), F.lit(float(DENSE_TARGETS)) / F.col(tcol))
+    mean = F.col(tcol) * prob
+    size = (mean + F.lit(10.0) * F.sqrt(mean * (F.lit(1.0) - prob)) + F.lit(32.0)).cast("int")
     if max_per_source:  # one more, as the self pair may be among the first
         size = F.least(size, F.lit(int(max_per_source) + 1))
     size = F.greatest(size, F.lit(1))
@@ -116,7 +120,7 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
     w = Window.partitionBy("src").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     draws = (base.repartition("src").withColumn("_n", size)
              .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))))
-    gap = _geometric_gaps(unif(seed, f"{rel}#gap", F.col("src"), F.lit(0), F.col("_i")), p)
+    gap = _geometric_gaps(unif(seed, f"{rel}#gap", F.col("src"), F.lit(0), F.col("_i")), prob)
     pos = draws.withColumn("_pos", F.lit(-1).cast("bigint") + F.sum(gap).over(w))
     if not max_per_source:
         # never truncate silently: a source whose last draw is still inside the target range fails the

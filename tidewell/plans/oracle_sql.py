@@ -882,14 +882,15 @@ _add_pair_graph_oracles()
 def dbern(src_sql: str, src_key: str, T: str, p: float, rel: str, seed=SEED, no_self: bool = False,
           max_per_source: int | None = None, self_col: str | None = None) -> str:
     """(src, dst_ord) of ``bernoulli_edges``: geometric gaps from the hash, running sums per source."""
-    import math
-    mean = f"(CAST(s.tt AS DOUBLE) * {p!r})"
-    size = f"CAST(trunc({mean} + 10.0 * sqrt({mean} * {1.0 - p!r}) + 32.0) AS INTEGER)"
+    # the stated probability up to 2000 targets, the degree of 2000 targets beyond
+    prob = f"({p!r}::DOUBLE * least(1::DOUBLE, 2000::DOUBLE / s.tt))"
+    mean = f"(CAST(s.tt AS DOUBLE) * {prob})"
+    size = f"CAST(trunc({mean} + 10.0 * sqrt({mean} * (1::DOUBLE - {prob})) + 32.0) AS INTEGER)"
     if max_per_source:
         size = f"least({size}, {int(max_per_source) + 1})"
     size = f"greatest({size}, 1)"
     u = du(f"{rel}#gap", "CAST(src AS VARCHAR) || ':0:' || CAST(i AS VARCHAR)", seed)
-    gap = "1" if p >= 1.0 else f"(floor(ln(1.0 - {u}) / {math.log(1.0 - p)!r}) + 1)"
+    gap = f"(CASE WHEN {prob} >= 1 THEN 1 ELSE floor(ln(1::DOUBLE - {u}) / ln(1::DOUBLE - {prob})) + 1 END)"
     pos = (f"(SELECT src, tt, self_o, i, -1 + sum({gap}) OVER (PARTITION BY src ORDER BY i) AS pos FROM "
            f"(SELECT {src_key} AS src, {T} AS tt, {self_col or 'NULL'} AS self_o FROM {src_sql}) s, "
            f"generate_series(1, {size}) g(i))")
