@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph, connected_components, hop, reachable, var_length_paths
 from ..operators.topk import top_k
 from ..sources.fixtures import Tables
+from . import datasets as D
 from . import graphs as G
 from . import user_graphs as U
 
@@ -60,24 +61,23 @@ def h3_program_distribution(t: Tables, k: int = 20) -> DataFrame:
 
 
 def h20_failed_then_retaken(t: Tables) -> DataFrame:
-    """Two ENROLLED_IN edges of one (student, course): grade F first, a later semester second.
+    """Two enrolments of one (student, course): grade F first, a later semester second.
 
-    Semesters compare by (year, term order), not as text.
+    The enrolment events are searched, where a student may meet a course again (in the graph a student has a course
+    once). Semesters compare by (year, term order), not as text.
     """
     g = G.enrolment_graph(t)
-    e = g.rel("ENROLLED_IN")
     term = F.when(F.col("semester").startswith("Spring"), 1).when(F.col("semester").startswith("Summer"), 2).otherwise(3)
     key = (F.regexp_extract("semester", r"(\d{4})", 1).cast("int") * 10 + term)
-    e = e.withColumn("_sk", key)
-    e1 = e.filter(F.col("grade") == "F").select("src", "dst", F.col("semester").alias("failed_semester"),
+    e = D.enrollment_events(t).select("student_id", "course_id", "semester", "grade", key.alias("_sk"))
+    e1 = e.filter(F.col("grade") == "F").select("student_id", "course_id", F.col("semester").alias("failed_semester"),
                                                 F.col("_sk").alias("_k1"))
-    e2 = e.select("src", "dst", F.col("semester").alias("retake_semester"), F.col("grade").alias("retake_grade"),
+    e2 = e.select("student_id", "course_id", F.col("semester").alias("retake_semester"), F.col("grade").alias("retake_grade"),
                   F.col("_sk").alias("_k2"))
-    j = e1.join(e2, ["src", "dst"]).filter(F.col("_k2") > F.col("_k1"))
-    s = g.node("Student").select(F.col("student_id").alias("src"), F.col("name").alias("student"))
-    c = g.node("Course").select(F.col("course_id").alias("dst"), F.col("name").alias("course"))
-    return j.join(s, "src").join(c, "dst").select("student", "course", "failed_semester", "retake_semester",
-                                                  "retake_grade")
+    j = e1.join(e2, ["student_id", "course_id"]).filter(F.col("_k2") > F.col("_k1"))
+    j = j.join(g.node("Student").select("student_id", F.col("name").alias("student")), "student_id")
+    j = j.join(g.node("Course").select("course_id", F.col("name").alias("course")), "course_id")
+    return j.select("student", "course", "failed_semester", "retake_semester", "retake_grade")
 
 
 def h31_shared_courses(t: Tables, flagged: str = "STU-000001", min_shared: int = 3) -> DataFrame:

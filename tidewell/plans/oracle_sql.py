@@ -1147,6 +1147,12 @@ def _add_full_export_oracles():
         f"{dpick(du('PURSUING#start_semester', 'p.src'), GR.START_SEMESTERS)} AS start_semester, "
         f"{dpick(du('PURSUING#grad', 'p.src'), GR.GRADUATIONS)} AS expected_graduation "
         f"FROM {pur} p JOIN {student} s ON s.ord = p.src")
+    events = dtable("enrollment_events", ["student_id", "course_id", "semester", "grade"])
+    order = ("(CAST(regexp_extract({s}, '([0-9]{{4}})', 1) AS INTEGER) * 10 + CASE left({s}, 3) WHEN 'Spr' THEN 1 WHEN 'Sum' THEN 2 ELSE 3 END)")
+    O["graph_h20_failed_then_retaken"] = (
+        f"SELECT s.student_name AS student, c.course_name AS course, a.semester AS failed_semester, b.semester AS retake_semester, "
+        f"b.grade AS retake_grade FROM {events} a JOIN {events} b USING (student_id, course_id) JOIN {student} s USING (student_id) "
+        f"JOIN {course} c USING (course_id) WHERE a.grade = 'F' AND {order.format(s='b.semester')} > {order.format(s='a.semester')}")
     fund = node("FundingSource", "nation", "n_nationkey", "FUND-", 3, "fund_id", {
         "fund_name": text("FundingSource", "n_nationkey", P("_prog", GR.FEDERAL_PROGRAMS), " - FY", P("_fy", [2023, 2024, 2025, 2026], type_="int")),
         "fund_category": P("category", GR.FUND_CATEGORIES), "total_budget": R("total_budget", "decimal(14,2)", 50000, 50000000)})
@@ -1256,19 +1262,6 @@ def _add_traversal_oracles():
         f"WHERE r.depth < (SELECT count(DISTINCT src) FROM e)) "
         f"SELECT (SELECT src FROM s) AS prime_vendor, node AS vendor_id, min(depth) AS depth FROM r "
         f"WHERE node <> (SELECT src FROM s) GROUP BY node")
-    sj = "CAST(src AS VARCHAR) || ':' || CAST(j AS VARCHAR)"
-    enr = dk_targets("customer", "c_custkey", "ENROLLED_IN", "(SELECT count(*) FROM part)", 2, 5)
-    cs = f"{SEED}/Course"
-    edges = (f"(SELECT e.src, e.dst_ord, {dpick(du('ENROLLED_IN#grade', sj), GR.GRADES12)} AS grade, "
-             f"{dspec(GR._pick('semester', GR.SEMESTERS), 'p.p_partkey', cs)} AS semester "
-             f"FROM {enr} e JOIN part p ON p.p_partkey = e.dst_ord)")
-    key = ("(CAST(regexp_extract({s}, '(\\d{{4}})', 1) AS INTEGER) * 10 + CASE WHEN starts_with({s}, 'Spring') THEN 1 "
-           "WHEN starts_with({s}, 'Summer') THEN 2 ELSE 3 END)")
-    O["graph_h20_failed_then_retaken"] = (
-        f"SELECT CAST(NULL AS VARCHAR) AS student, CAST(NULL AS VARCHAR) AS course, a.semester AS failed_semester, "
-        f"b.semester AS retake_semester, b.grade AS retake_grade FROM {edges} a JOIN {edges} b "
-        f"ON a.src = b.src AND a.dst_ord = b.dst_ord WHERE a.grade = 'F' AND "
-        f"{key.format(s='b.semester')} > {key.format(s='a.semester')}")
 
 
 _add_traversal_oracles()
