@@ -105,3 +105,9 @@ def test_validator_forms(spark):
     times = [("2024-01-02", True), ("2024-01-02T03:04:05Z", True), ("2024-01-02 03:04:05.123+02:00", True), ("2024", False), ("2024-1", False), ("2024-13-01", False), ("x", False)]
     df = spark.createDataFrame(times, "v string, ok boolean")
     assert df.filter(type_check(F.col("v"), T.StringType(), "date_time") != F.col("ok")).collect() == []
+
+
+def test_count_status_of_a_missing_table_is_zero(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    rows = TB.count_status(spark, {"t": str(tmp_path / "t"), "gone": str(tmp_path / "gone")}).collect()
+    assert {r["table_name"]: r["row_count"] for r in rows} == {"t": 3, "gone": 0}

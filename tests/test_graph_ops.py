@@ -133,3 +133,13 @@ def test_cap_and_no_self_pairs_together(spark):
 def test_edges_grow_with_the_sources(spark):
     n = [E.bernoulli_edges(spark.range(s), "id", s, 0.05, 1, "G").count() for s in (2000, 8000)]
     assert 0.9 * 200_000 < n[0] < 1.1 * 200_000 and 3.8 < n[1] / n[0] < 4.2
+
+
+def test_clear_counts_what_it_removes(spark):
+    from tidewell.operators.graph import clear_label
+    t = Tables(spark, SF_SMALL)
+    g = G.procurement_graph(t)
+    g2, gone = clear_label(g, "Lobbyist")
+    assert gone["deleted_nodes"] == t.supplier.count() and gone["deleted_edges"] == g.rel("REPRESENTS").count()
+    assert "Lobbyist" not in g2.nodes
+    assert clear_label(g2, "Lobbyist")[1] == {"deleted_nodes": 0, "deleted_edges": 0}

@@ -152,3 +152,11 @@ def test_rows_produced_counts_every_batch(spark, tmp_path):
     q = J.generator(spark, spec, str(tmp_path / "out"), rows_per_batch=20, interval_seconds=0.1, checkpoint=str(tmp_path / "c"))
     got = J.run_for(q, 8)
     assert got["rows_produced"] == spark.read.text(str(tmp_path / "out")).count() > 0
+
+
+def test_dead_letters_go_to_their_own_table(spark, tmp_path):
+    spark.createDataFrame([('{"a": 1}',), ("{broken",), ('{"a": 2}',)], "value string").coalesce(1).write.text(str(tmp_path / "in"))
+    src = J.topic_source(spark, "t", folder=str(tmp_path / "in"))
+    A.write_split(src.select("value"), "a INT", str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(r["a"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [1, 2]
+    assert [r["raw"] for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["{broken"]

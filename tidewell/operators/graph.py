@@ -96,6 +96,14 @@ class Graph:
         return g
 
 
+def clear_label(g: Graph, label: str) -> tuple[Graph, dict[str, int]]:
+    """The graph without ``label`` and its relationships, and how many nodes and edges that removes."""
+    gone = [g.edge_table(k) for k in list(g.edges) if label in (k[1], k[2])]
+    counts = {"deleted_nodes": g.node(label).count() if label in g.nodes else 0,
+              "deleted_edges": sum(e.count() for e in gone)}
+    return g.without_label(label), counts
+
+
 def _union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -128,7 +136,7 @@ def hop(left: DataFrame, left_key: str, edges: DataFrame, target: DataFrame | No
 
 def var_length_paths(starts: DataFrame, start_key: str, edges: DataFrame, min_depth: int = 1,
                      max_depth: int = 5, node_names: DataFrame | None = None, name_key: str | None = None,
-                     name_col: str | None = None, checkpoint_every: int = 0) -> DataFrame:
+                     name_col: str | None = None, checkpoint_every: int = 1) -> DataFrame:
     """All paths ``(start)-[:E*min..max]->(end)`` that use no edge twice.
 
     Output: ``start, end, depth, nodes, chain`` (``nodes`` = node keys in path

@@ -100,6 +100,11 @@ def inventory(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     return out
 
 
+def count_status(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """Row count per named table, 0 for a missing one."""
+    return inventory(spark, tables).select("table_name", F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count"))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """Column, type, nullability and position of a table, plus its row count."""
     spark = df.sparkSession
@@ -131,9 +136,10 @@ def upsert(target: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
 
     Union with a version tag and keep the newest row per key (one shuffle on
     the key; ``max_by`` keeps it an aggregate, so a hot key is combined map-side).
+    Among several updates of one key the row of the greatest hash wins, on every run.
     """
     cols = [c for c in target.columns if c not in key]
     u = (target.select(*key, *cols).withColumn("_v", F.lit(0))
          .unionByName(updates.select(*key, *cols).withColumn("_v", F.lit(1))))
-    best = u.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("_v")).alias("_r"))
+    best = u.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct("_v", F.xxhash64(*cols))).alias("_r"))
     return best.select(*key, "_r.*")

@@ -148,6 +148,21 @@ def enrich(stream: DataFrame, table: DataFrame, stream_key: str, table_key: str)
     return stream.join(table, stream[stream_key] == table[table_key], "left")
 
 
+def write_split(records: DataFrame, schema: str, good_path: str, dead_path: str, checkpoint: str, value: str = "value"):
+    """J13 as a stream with two sinks: decoded records to one table, malformed ones with their raw text to another.
+
+    Both are written in one pass over each micro-batch, under ``batch_id=<id>`` with overwrite, so a replayed batch
+    replaces its own output in both.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        for part, path in zip(split_dead_letters(batch, schema, value), (good_path, dead_path)):
+            part.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def split_dead_letters(records: DataFrame, schema: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Decode JSON text; malformed records go to a dead-letter frame with their raw text."""
     full = f"{schema}, _corrupt_record STRING"
