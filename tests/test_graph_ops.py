@@ -143,3 +143,29 @@ def test_clear_counts_what_it_removes(spark):
     assert gone["deleted_nodes"] == t.supplier.count() and gone["deleted_edges"] == g.rel("REPRESENTS").count()
     assert "Lobbyist" not in g2.nodes
     assert clear_label(g2, "Lobbyist")[1] == {"deleted_nodes": 0, "deleted_edges": 0}
+
+
+def test_nodes_have_all_their_properties(spark):
+    t = Tables(spark, SF_SMALL)
+    want = {
+        "enrolment_graph": {"Department": "building faculty_count college", "Course": "max_enrollment credits", "DegreeProgram": "accredited total_credits"},
+        "grants_graph": {"FundingSource": "cfda_number total_budget", "Agency": "jurisdiction employee_count type", "Program": "budget_allocated start_date status",
+                         "Vendor": "duns_number state", "LineItem": "account_code description fiscal_quarter amount"},
+        "citizen_graph": {"District": "council_member population area_sq_miles", "ServiceDepartment": "staff_count avg_response_hours",
+                          "Asset": "last_inspection latitude longitude condition", "Citizen": "email phone registered_date",
+                          "ServiceRequest": "description resolved_date latitude longitude created_date"},
+        "early_warning_graph": {"School": "graduation_rate principal title_i", "Teacher": "years_experience certification", "RiskIndicator": "severity_weight",
+                                "K12Student": "free_reduced_lunch english_learner special_education gifted", "Intervention": "start_date end_date notes effectiveness"},
+        "procurement_graph": {"ProcAgency": "annual_procurement_budget procurement_officer state",
+                              "ProcVendor": "specialty woman_owned local_vendor years_in_business bonded annual_revenue",
+                              "Contract": "title start_date end_date duration_months payment_terms", "Lobbyist": "firm registration_date specialization total_compensation"},
+        "benefits_graph": {"HHSAgency": "county case_load annual_budget", "HHSProgram": "federal_funded max_benefit eligibility_criteria",
+                           "Caseworker": "caseload years_experience license", "Client": "dob zip_code primary_language veteran disabled",
+                           "Case": "opened_date closed_date referral_source review_date"},
+    }
+    for graph, labels in want.items():
+        g = getattr(G, graph)(t)
+        for label, names in labels.items():
+            assert set(names.split()) <= set(g.node(label).columns), label
+            row = g.node(label).select(*names.split()).agg(*(F.count(c).alias(c) for c in names.split())).first()
+            assert all(row[c] > 0 for c in names.split()), (label, row)

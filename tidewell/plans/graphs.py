@@ -25,6 +25,7 @@ from ..operators import edges as E
 from ..operators.graph import Graph
 from ..sources.fixtures import Tables
 from .datasets import rows
+from .node_properties import with_more
 
 SEED = 42
 
@@ -65,12 +66,12 @@ def _person(name):
 def node_table(src: DataFrame, key: str, spec: list[dict], label: str, seed=SEED) -> DataFrame:
     """Nodes of ``label``: ``_ord`` (dense ordinal = the fixture key) + spec properties."""
     base = src.select(F.col(key).cast("bigint").alias("_ord"))
-    return apply_spec(base, spec, key="_ord", seed=f"{seed}/{label}", keep=["_ord"])
+    return apply_spec(base, with_more(label, spec), key="_ord", seed=f"{seed}/{label}", keep=["_ord"])
 
 
 def range_nodes(spark, n: int, spec: list[dict], label: str, seed=SEED) -> DataFrame:
     base = spark.range(n).select(F.col("id").alias("_ord"))
-    return apply_spec(base, spec, key="_ord", seed=f"{seed}/{label}", keep=["_ord"])
+    return apply_spec(base, with_more(label, spec), key="_ord", seed=f"{seed}/{label}", keep=["_ord"])
 
 
 def _ids(df: DataFrame, ord_col: str, prefix: str, width: int) -> Column:
@@ -401,7 +402,7 @@ def _requests(t: Tables, seed) -> DataFrame:
         _pick("priority", ["critical", "high", "medium", "low"], [1, 2, 4, 3]),
         {"name": "created_date", "type": "date", "expr": "cast(o_orderdate as date)"},
     ]
-    return apply_spec(base, spec, key="_ord", seed=f"{seed}/ServiceRequest", keep=["_ord"])
+    return apply_spec(base, with_more("ServiceRequest", spec), key="_ord", seed=f"{seed}/ServiceRequest", keep=["_ord"])
 
 
 # --------------------------------------------------------------- F4 early warning
