@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.sources.fixtures import read
 
@@ -20,8 +21,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines of five words or more that an earlier document or line has."""
-    return line_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "text", "removed_starts", "removed_lengths")
+    """Every document without the lines of five words or more that an earlier document or line has; the starts and lengths
+    of what is removed, in the original text, as comma-separated numbers."""
+    numbers = {c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("removed_starts", "removed_lengths")}
+    return line_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "text", F.size("removed_starts").alias("n_removed"), *numbers.values())
 
 
 def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +73,12 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, n <> '' AND len(string_split(n, ' ')) >= 5
                         AND row_number() OVER (PARTITION BY n ORDER BY doc_id, place) > 1 AS gone FROM n),
         d AS (SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
-                     coalesce(list(CAST(start AS BIGINT) ORDER BY place) FILTER (gone), []) AS removed_starts,
-                     coalesce(list(CAST(least(length(unit) + 1, total - start) AS BIGINT) ORDER BY place) FILTER (gone), []) AS removed_lengths
+                     CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+                     coalesce(string_agg(CAST(start AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed_starts,
+                     coalesce(string_agg(CAST(least(length(unit) + 1, total - start) AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed_lengths
               FROM r GROUP BY doc_id)
-        SELECT doc_id, text, removed_starts, removed_lengths FROM d
-        UNION ALL SELECT doc_id, text, [], [] FROM documents WHERE text IS NULL OR text = ''""",
+        SELECT doc_id, text, n_removed, removed_starts, removed_lengths FROM d
+        UNION ALL SELECT doc_id, text, 0, '', '' FROM documents WHERE text IS NULL OR text = ''""",
     "op6_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
