@@ -169,3 +169,14 @@ def test_nodes_have_all_their_properties(spark):
             assert set(names.split()) <= set(g.node(label).columns), label
             row = g.node(label).select(*names.split()).agg(*(F.count(c).alias(c) for c in names.split())).first()
             assert all(row[c] > 0 for c in names.split()), (label, row)
+
+
+def test_edges_carry_the_values_of_their_case(spark):
+    g = G.benefits_graph(Tables(spark, SF_SMALL))
+    case = g.node("Case").select("case_id", "opened_date", "benefit_amount")
+    for rel, key, col in (("MANAGED_BY", "src", "assigned_date"), ("HAS_CASE", "dst", "intake_date"), ("ENROLLED_IN", "src", "start_date")):
+        e = g.rel(rel, "Case") if rel != "HAS_CASE" else g.rel(rel)
+        j = e.join(case, e[key] == case["case_id"])
+        assert j.count() == e.count() > 0 and j.filter(F.col(col) != F.col("opened_date")).count() == 0
+    en = g.rel("ENROLLED_IN", "Case").join(case, F.col("src") == F.col("case_id"))
+    assert en.filter(F.col("monthly_benefit") != F.col("benefit_amount")).count() == 0

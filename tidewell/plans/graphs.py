@@ -74,6 +74,11 @@ def range_nodes(spark, n: int, spec: list[dict], label: str, seed=SEED) -> DataF
     return apply_spec(base, with_more(label, spec), key="_ord", seed=f"{seed}/{label}", keep=["_ord"])
 
 
+def _node_values(edges: DataFrame, ord_col: str, label: str, cols: list[dict], seed=SEED) -> DataFrame:
+    """``edges`` with properties of the node at ``ord_col``, drawn as the node draws them, so no join is needed."""
+    return apply_spec(edges, cols, key=ord_col, seed=f"{seed}/{label}", keep=edges.columns)
+
+
 def _ids(df: DataFrame, ord_col: str, prefix: str, width: int) -> Column:
     return padded(prefix, F.col(ord_col) + 1, width)
 
@@ -162,6 +167,9 @@ INCOME = ["below_poverty", "low_income", "moderate_income"]
 INCOME_WEIGHTS = [4, 4, 2]
 HOUSEHOLD = [1, 2, 3, 4, 5, 6, 7, 8]
 HOUSEHOLD_WEIGHTS = [15, 25, 20, 20, 10, 5, 3, 2]
+#: properties of a case that its relationships carry too
+CASE_OPENED = {"name": "opened_date", "type": "date", "begin": "2022-01-01", "end": "2025-12-31", "interval": "days=1", "random": True}
+CASE_BENEFIT = {"name": "benefit_amount", "type": "decimal(10,2)", "min": 0, "max": 15000, "random": True}
 # -------------------------------------------------------------- end FIXED VALUES
 
 
@@ -335,7 +343,8 @@ def awards_edges(t: Tables, program_ords: DataFrame, seed=SEED) -> DataFrame:
     ae = E.bernoulli_edges(program_ords.select("_ord"), "_ord", rows(t.supplier), 0.05, seed, rel)
     return ae.select(
         _ids(ae, "src", "PGM-", 4).alias("src"), _ids(ae, "dst_ord", "VND-", 4).alias("dst"),
-        int_between(_u(seed, rel, "amount", F.col("src"), F.col("dst_ord")), 0, 1999999).alias("contract_amount"))
+        int_between(_u(seed, rel, "amount", F.col("src"), F.col("dst_ord")), 0, 1999999).alias("contract_amount"),
+        F.date_add(F.lit("2023-01-01").cast("date"), int_between(_u(seed, rel, "date", F.col("src"), F.col("dst_ord")), 0, 1094).cast("int")).alias("award_date"))
 
 
 # ------------------------------------------------------------ F3 citizen services
@@ -609,21 +618,26 @@ def benefits_graph(t: Tables, seed=SEED) -> Graph:
     def _has_case_client() -> DataFrame:
         rel = "HAS_CASE"
         hc = E.distinct_pairs(t.orders, "o_orderkey", rows(t.customer), rows(t.orders), seed, rel)
+        hc = _node_values(hc, "b_ord", "Case", [CASE_OPENED], seed)
         return hc.select(
-        _ids(hc, "a_ord", "CLT-", 5).alias("src"), _ids(hc, "b_ord", "CASE-", 6).alias("dst"))
+        _ids(hc, "a_ord", "CLT-", 5).alias("src"), _ids(hc, "b_ord", "CASE-", 6).alias("dst"), F.col("opened_date").alias("intake_date"))
     g.add_edges("HAS_CASE", "Client", "Case", _has_case_client)
     def _managed_by_case() -> DataFrame:
         rel = "MANAGED_BY"
         mb = E.k_targets(g.node("Case").select("_ord"), "_ord", rows(t.supplier), 1, 1, seed, rel)
+        mb = _node_values(mb, "src", "Case", [CASE_OPENED], seed)
         return mb.select(
-        _ids(mb, "src", "CASE-", 6).alias("src"), _ids(mb, "dst_ord", "CW-", 4).alias("dst"))
+        _ids(mb, "src", "CASE-", 6).alias("src"), _ids(mb, "dst_ord", "CW-", 4).alias("dst"), F.col("opened_date").alias("assigned_date"))
     g.add_edges("MANAGED_BY", "Case", "Caseworker", _managed_by_case)
     def _enrolled_in_case() -> DataFrame:
         rel = "ENROLLED_IN"
         appr = g.node("Case").filter(F.col("determination") == "approved").select("_ord")
         en = E.k_targets(appr, "_ord", len(HHS_PROGRAMS), 1, 2, seed, rel)
+        en = _node_values(en, "src", "Case", [CASE_OPENED, CASE_BENEFIT], seed)
         return en.select(
-        _ids(en, "src", "CASE-", 6).alias("src"), _ids(en, "dst_ord", "HHSP-", 2).alias("dst"))
+        _ids(en, "src", "CASE-", 6).alias("src"), _ids(en, "dst_ord", "HHSP-", 2).alias("dst"),
+        F.col("opened_date").alias("start_date"), F.col("benefit_amount").alias("monthly_benefit"),
+        pick(_u(seed, rel, "status", F.col("src"), F.col("dst_ord")), ["active", "suspended", "active"]).alias("status"))
     g.add_edges("ENROLLED_IN", "Case", "HHSProgram", _enrolled_in_case)
     def _referred_client() -> DataFrame:
         rel = "REFERRED"
@@ -635,7 +649,7 @@ def benefits_graph(t: Tables, seed=SEED) -> Graph:
                                0.003, seed, rel, block="county", exclude_self_ordinal="_me")
         rf = rf.join(cl.select(F.col("_ord").alias("_dst"), "county", F.col("_bo").alias("dst_ord")), ["county", "dst_ord"])
         return rf.select(
-        _ids(rf, "src", "CLT-", 5).alias("src"), _ids(rf, "_dst", "CLT-", 5).alias("dst"))
+        _ids(rf, "src", "CLT-", 5).alias("src"), _ids(rf, "_dst", "CLT-", 5).alias("dst"), F.lit("community").alias("source"))
     g.add_edges("REFERRED", "Client", "Client", _referred_client)
     return g
 
