@@ -212,3 +212,26 @@ def test_tables_add_up(spark):
     from tidewell.llm.common import unpacked
     for s in range(3):
         assert unpacked(got[s]).tolist() == (np.arange(5) * (s + 1) * 200 + sum(range(200))).tolist()
+
+
+def test_vocabulary_and_codes_count_all_training_texts(spark):
+    docs = prose(300, 4) + [(1000 + i, "minor tongue " * 5) for i in range(4)]  # no bounded sample would hold these four
+    counts, total, distinct, letters = C.word_counts(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    m = C.corpus_model(counts, total, letters)
+    t = C.Tokens([C.words_of(x) for _, x in docs])
+    often = (t.counts >= C.OFTEN) & (np.bincount(np.unique(t.text * len(t.words) + t.word) % len(t.words)) > 1)
+    assert total == t.counts.sum() and distinct == len(t.words) and 0 < often.sum() < len(t.words) + 1
+    assert ((m.symbols(t.words) != C.ESCAPE) == often).all()
+    assert (m.symbols(C.Tokens([b"minor tongue"]).words) != C.ESCAPE).all() and (letters[[ord(c) for c in "minortgue "]] > 0).all()
+
+
+def test_tables_grow_with_the_contexts(spark, monkeypatch):
+    monkeypatch.setattr(C, "WORD_BITS", (6, 6, 6))
+    monkeypatch.setattr(C, "BYTE_BITS", (6, 6, 6, 6))
+    sample = [C.words_of(t) for _, t in prose(60, 5)]
+    m = C.Model(sample)
+    df = spark.createDataFrame(prose(60, 5), "doc_id long, text string")
+    word_counts, byte_counts = C.counted(df, m)
+    assert min(m.words.bits[1:]) > 9
+    for c, b in zip(word_counts + byte_counts, m.words.bits + m.bytes.bits):
+        assert len(c) == 2 << b and np.count_nonzero(c[0::2] + c[1::2]) < 0.6 * (1 << b)
