@@ -235,3 +235,34 @@ def test_tables_grow_with_the_contexts(spark, monkeypatch):
     assert min(m.words.bits[1:]) > 9
     for c, b in zip(word_counts + byte_counts, m.words.bits + m.bytes.bits):
         assert len(c) == 2 << b and np.count_nonzero(c[0::2] + c[1::2]) < 0.6 * (1 << b)
+
+
+def test_all_training_texts_are_learnt_from(spark):
+    """The sample is a place to start from: with 3 or 512 texts in it, held-out texts score about the same."""
+    df = spark.createDataFrame(prose(400, 4), "doc_id long, text string")
+    few, many = (sum(r["score"] for r in C.scores(df, sample=n).collect() if r["held_out"]) for n in (3, 512))
+    assert abs(few - many) < 0.01 * abs(many), (few, many)
+
+
+def test_own_counts_are_left_out_and_sums_add_up(spark):
+    docs = prose(40, 8)
+    sample = [C.words_of(t) for _, t in docs]
+    m = C.Model(sample[:20])
+    tables, others = [(m.words.no_counts(), m.bytes.no_counts()) for _ in range(2)]
+    m.count(C.Tokens(sample), *tables)
+    m.count(C.Tokens(sample[1:]), *others)
+    m.learn(*tables, sample[:5])
+    t = C.Tokens(sample[:1])
+    own = m.symbols(t.words)[t.word]
+    contexts = m.symbol_contexts(t, own)
+    scratch = np.zeros(2 << 22, np.uint32)
+    got = np.concatenate([x for x, *_ in m.words.left_out(tables[0], scratch, own, contexts, np.ones(len(own), np.uint32))], axis=1)
+    m.words.set_odds(others[0])
+    which, k = m.words.code.decisions(own)
+    want, _ = m.words._inputs([o.take(C.slots(c, which, m.words.code.salt.take(k), b)) for o, c, b in zip(m.words.odds, contexts, m.words.bits)])
+    assert np.allclose(got[:-1], np.stack(want)) and not scratch.any()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for kind in ("slopes", "cells"):
+        here = m.sums(list(tables), iter([sample]), kind)
+        for a, b in zip(here, C.summed(df, m, spark.sparkContext.broadcast(list(tables)), kind)):
+            assert a.any() and np.allclose(a, b)
