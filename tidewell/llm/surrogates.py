@@ -42,7 +42,7 @@ PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": rf"(?i:(?<=(?:{_KEYWORD})[ ]{{0,3}}[=:][ ]{{0,3}}[\"']{{0,1}}))[A-Za-z0-9_./+=-]{{6,}}",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?<![0-9][.-])(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?!(?:[ -]?[0-9]){3}|[0-9]|[.-][0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -50,7 +50,7 @@ PATTERNS = {
 }
 MASTER = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has somewhere; texts without it skip the detailed search.
-HINT = rf"[0-9@]|(?i:{_KEYWORD})|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|ASIA|(?i:{_KEYWORD})|(?:{_TITLE})\.? \p{{Lu}}"
 MOST_ATTEMPTS = 100
 
 
@@ -61,7 +61,7 @@ def kind(m: Column) -> Column:
     return (F.when(m.contains("@"), "email").when(titled, gender)
             .when(m.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "access_key")
             .when(m.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip").when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-            .when(m.rlike(r"^(?:\+[0-9]|\([0-9]{2,4}\))[0-9 .()-]+$"), "phone").when(m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"), "card")
+            .when(m.rlike(r"^(?:\+[0-9]|\([0-9]{2,4}\))[0-9 .()-]+$") | m.rlike(r"^(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), "phone").when(m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"), "card")
             .when(m.rlike("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"), "account").otherwise("secret"))
 
 
