@@ -301,3 +301,18 @@ def test_entities_that_stand_alone_are_found(spark):
     for i, t in rows:
         assert list(got[i]["kinds"]) == (["access_key"] if i < 3 else ["phone"]) and got[i]["text"] != t, (i, got[i])
     assert re.fullmatch(r"call \d{3}\.\d{3}\.\d{4}\.", got[4]["text"]) and "ASIA" in got[2]["text"]
+
+
+def test_equal_surnames_share_a_surrogate_under_all_titles(spark):
+    rows = [(1, "Mr Smith, Mrs Smith, Dr Smith, Mrs Anna Smith and Dr Anna Smith; Mr Jones")]
+    text = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").first()["text"]
+    m = re.fullmatch(r"Mr (\w+), Mrs (\w+), Dr (\w+), Mrs (\w+) (\w+) and Dr (\w+) (\w+); Mr (\w+)", text)
+    assert m and len({m[1], m[2], m[3], m[5], m[7]}) == 1 and len({m[1], m[8], "Smith"}) == 3 and m[4] != m[6]
+
+
+def test_shapes_with_few_forms_do_not_run_out(spark):
+    """More than half of all mail addresses of one letter each side, and of addresses of one-digit octets."""
+    rows = [("ip", ".".join(f"{i:04d}")) for i in range(5500)] + [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
+    s = {r["surrogate"] for r in got}
+    assert len(got) == len(s) == len(rows) and not s & {n for _, n in rows}

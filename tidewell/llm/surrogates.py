@@ -8,11 +8,14 @@ surrogate (coreference), written in the format of each mention.
 A surrogate has its entity's type and shape: digits for digits, letters for letters of the same case, hex for hex, valid
 octets, the card's first digit and a valid check digit where the card has one, the key's prefix, the mail's top domain,
 the country code. A name's words become made-up names of the title's gender, in the script of the original (Latin,
-Cyrillic or Greek), word by word, so a surname is the same with another first name or title.
+Cyrillic or Greek), word by word, so a surname is the same with another first name or title: surnames, and first names
+by gender, get their surrogates as entities of their own, of which names are then composed.
 
 Characters come from a keyed hash of (type, normal form, attempt). All distinct entities meet in one table: when two
 would share a surrogate, or a surrogate is itself an entity of the texts, all but the least try again with the next
-attempt, until none is left, so distinct entities stay distinct over the whole corpus.
+attempt, until none is left, so distinct entities stay distinct over the whole corpus. Later attempts draw from a wider
+space (a syllable more each fourth; from the fifth on octets of any width, and more letters or digits in mail addresses
+and secrets), so a shape with few forms does not run out of them.
 
 Entities, not texts, are shuffled to assign surrogates; hot entities are combined before the shuffle. Defined results:
 null and empty texts stay as they are; texts without entities are unchanged; rows with equal doc_id and text get equal
@@ -94,9 +97,11 @@ def _each(text: Column, letters: str, h: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: _pick(letters, h, i)), "")
 
 
-def _octets(text: Column, h: Column) -> Column:
-    """Octets of as many digits: 0-9, 10-99 or 100-255."""
+def _octets(text: Column, h: Column, wide: bool) -> Column:
+    """Octets of as many digits: 0-9, 10-99 or 100-255; or of any."""
     def one(o: Column, i: Column) -> Column:
+        if wide:
+            return _draw(256, h, i).cast("string")
         return F.when(F.length(o) == 1, _draw(10, h, i)).when(F.length(o) == 2, _draw(90, h, i) + 10).otherwise(_draw(156, h, i) + 100).cast("string")
     return F.array_join(F.transform(F.split(text, r"\."), one), ".")
 
@@ -122,35 +127,31 @@ SYLLABLES = ("ba", "ra", "mi", "lo", "ne", "da", "vi", "so", "ka", "te", "no", "
 LATIN, CYRILLIC, GREEK = "abdegiklmnorstv", "абдегиклмнорств", "αβδεγικλμνορστφ"
 
 
-def _name(n: Column, k: Column, secret: Column, attempt: Column) -> Column:
-    """Word by word: the key is the word, and for a first name also the gender."""
-    words = F.split(n, " ")
+def _word(w: Column, k: Column, secret: Column, attempt: int) -> Column:
+    """A made-up word for a surname, or for a first name by its gender (kinds surname, first_f, first_m, first_n)."""
+    h = F.sha2(F.concat_ws("|", secret, k, w, F.lit(str(attempt))), 256)
+    syllable = lambda j: F.element_at(F.array(*map(F.lit, SYLLABLES)), _draw(len(SYLLABLES), h, F.lit(j)) + 1)
+    end = F.when(k == "first_f", "a").when(k == "first_m", _pick("nrs", h, F.lit(-1))).otherwise(_pick("dklnrt", h, F.lit(-1)))
+    plain = F.concat(*(syllable(j) for j in range(3 + attempt // 4)), end)
+    return F.initcap(F.when(w.rlike(r"^\p{IsCyrillic}"), F.translate(plain, LATIN, CYRILLIC)).when(w.rlike(r"^\p{IsGreek}"), F.translate(plain, LATIN, GREEK)).otherwise(plain))
 
-    def one(w: Column, i: Column) -> Column:
-        first = (F.size(words) > 1) & (i == 0)
-        h = F.sha2(F.concat_ws("|", secret, F.when(first, k).otherwise(F.lit("surname")), w, attempt.cast("string")), 256)
-        syllable = lambda j: F.element_at(F.array(*map(F.lit, SYLLABLES)), _draw(len(SYLLABLES), h, F.lit(j)) + 1)
-        end = F.when(first & (k == "name_f"), "a").when(first & (k == "name_m"), _pick("nrs", h, F.lit(9))).otherwise(_pick("dklnrt", h, F.lit(9)))
-        plain = F.concat(*(syllable(j) for j in range(3)), end)
-        scripted = (F.when(w.rlike(r"^\p{IsCyrillic}"), F.translate(plain, LATIN, CYRILLIC)).when(w.rlike(r"^\p{IsGreek}"), F.translate(plain, LATIN, GREEK)).otherwise(plain))
-        return F.initcap(scripted)
-    return F.array_join(F.transform(words, one), " ")
 
-
-def surrogate(secret: str, attempt: Column) -> Column:
+def surrogate(secret: str, attempt: int) -> Column:
     """For the columns kind and norm."""
     n, k = F.col("norm"), F.col("kind")
-    h = F.sha2(F.concat_ws("|", F.lit(secret), k, n, attempt.cast("string")), 256)
+    h = F.sha2(F.concat_ws("|", F.lit(secret), k, n, F.lit(str(attempt))), 256)
     code = F.regexp_extract(n, r"^\+(?:1|7|[2-9][0-9])", 0)
     rest = F.expr(r"substring(norm, length(regexp_extract(norm, '^\\+(?:1|7|[2-9][0-9])', 0)) + 1)")
     top = F.regexp_extract(n, r"\.[a-z]+$", 0)
     mail = F.expr(r"substring(norm, 1, length(norm) - length(regexp_extract(norm, '\\.[a-z]+$', 0)))")
-    return (F.when(k == "email", F.concat(_shaped(mail, h), top)).when(k == "ip", _octets(n, h))
+    more = attempt // 4
+    extra = lambda letters: F.concat(F.lit(""), *(_pick(letters, h, F.lit(-2 - j)) for j in range(more)))
+    return (F.when(k == "email", F.concat(extra(LOWER), _shaped(mail, h), top)).when(k == "ip", _octets(n, h, more > 0))
             .when(k == "phone", F.concat(code, _each(rest, DIGITS, h))).when(k == "ssn", _each(n, DIGITS, h)).when(k == "card", _card(n, h))
             .when(k == "access_key", F.concat(F.substring(n, 1, 4), _each(F.substring(n, 5, 100), UPPER + "234567", h)))
             .when(k == "account", F.concat(F.substring(n, 1, 2), _shaped(F.expr("substring(norm, 3)"), h)))
-            .when(k.startswith("name"), _name(n, k, F.lit(secret), attempt))
-            .when(n.rlike("^[0-9a-f]+$"), _each(n, HEX, h)).otherwise(_shaped(n, h)))
+            .when((k == "surname") | k.startswith("first"), _word(n, k, F.lit(secret), attempt))
+            .when(n.rlike("^[0-9a-f]+$"), F.concat(_each(n, HEX, h), extra(HEX))).otherwise(F.concat(_shaped(n, h), extra(DIGITS))))
 
 
 def written(mention: Column, k: Column, s: Column) -> Column:
@@ -163,11 +164,28 @@ def written(mention: Column, k: Column, s: Column) -> Column:
 
 
 def assign(entities: DataFrame, secret: str) -> DataFrame:
-    """kind, norm, surrogate of all distinct entities (kind, norm), after the collision checks."""
+    """kind, norm, surrogate of all distinct entities (kind, norm); names are composed of the surrogates of their words."""
+    is_name = F.col("kind").startswith("name")
+    words = F.split("norm", " ")
+    place = F.struct("kind", "norm")
+    named = entities.where(is_name).select("kind", "norm", F.size(words).alias("n"), F.posexplode(words).alias("place", "word"))
+    role = F.when((F.col("n") > 1) & (F.col("place") == 0), F.regexp_replace("kind", "^name", "first")).otherwise("surname")
+    named = named.select("kind", "norm", "place", role.alias("role"), "word")
+    units = _distinct(scratch(entities.where(~is_name).select("kind", "norm").unionByName(
+        named.select(F.col("role").alias("kind"), F.col("word").alias("norm")).distinct()), "units"), secret)
+    parts = units.select(F.col("kind").alias("role"), F.col("norm").alias("word"), "surrogate")
+    composed = (named.join(parts, ["role", "word"]).groupBy(place.alias("e"))
+                .agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("words"))
+                .select("e.kind", "e.norm", F.array_join(F.col("words")["surrogate"], " ").alias("surrogate")))
+    return units.where(~((F.col("kind") == "surname") | F.col("kind").startswith("first"))).unionByName(composed)
+
+
+def _distinct(entities: DataFrame, secret: str) -> DataFrame:
+    """kind, norm, surrogate of all distinct units (kind, norm), after the collision checks."""
     left, done = entities, None
     family = F.regexp_replace("kind", "_[fmn]$", "")
     for attempt in range(MOST_ATTEMPTS):
-        tried = scratch(left.select("kind", "norm", surrogate(secret, F.lit(attempt)).alias("surrogate")), "tried")
+        tried = scratch(left.select("kind", "norm", surrogate(secret, attempt).alias("surrogate")), "tried")
         first = tried.groupBy(family.alias("f"), "surrogate").agg(F.min(F.struct("kind", "norm")).alias("first"))
         taken = entities.select(family.alias("f"), F.lower("norm").alias("t"))
         if done is not None:
