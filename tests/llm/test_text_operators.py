@@ -316,3 +316,30 @@ def test_shapes_with_few_forms_do_not_run_out(spark):
     got = surrogates.assign(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
     s = {r["surrogate"] for r in got}
     assert len(got) == len(s) == len(rows) and not s & {n for _, n in rows}
+
+
+def test_long_runs_join_all_like_nodes():
+    """A run of 3,000 nodes under one prefix against all pairs; a late node is like an early one that leads no cluster."""
+    import pyarrow as pa
+    r = np.random.default_rng(1)
+    bits = r.integers(0, 2, (3000, lsh_forest.SKETCH), dtype=np.uint8)
+    for root, early, late in ((0, 5, 1030), (32, 37, 2900), (1100, 1109, 2100)):
+        bits[early] = bits[root]
+        bits[early, :80] ^= 1
+        bits[late] = bits[early]
+        bits[late, 80:160] ^= 1  # like the early node, not like the root
+    sk = np.packbits(bits, axis=1)
+    batch = lambda a, b: pa.RecordBatch.from_pydict({"prefix": pa.array([7] * (b - a), pa.int64()), "node": pa.array(range(a, b), pa.int64()), "sketch": [x.tobytes() for x in sk[a:b]]})
+    edges = [(s, d) for out in lsh_forest._edges(lsh_forest.sketch_least())(iter([batch(0, 1000), batch(1000, 3000)])) for s, d in zip(out["src"].to_pylist(), out["dst"].to_pylist())]
+    root = list(range(3000))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for s, d in edges:
+        root[find(s)] = find(d)
+    like = bits.astype(np.int32) @ bits.T + (1 - bits.astype(np.int32)) @ (1 - bits.T.astype(np.int32)) >= lsh_forest.sketch_least()
+    i, j = np.nonzero(np.triu(like, 1))
+    assert len(i) == 6 and all(find(a) == find(b) for a, b in zip(i, j)) and len(edges) == 6

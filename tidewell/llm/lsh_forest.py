@@ -8,8 +8,7 @@ is shortened until the forest finds a pair at the threshold with the target reca
    min-hashes). Documents with equal sets become one node.
 2. Prefixes are shuffled; each run of two or more nodes under one prefix is a meeting. Meetings whose sketches are far
    from the threshold are dropped (at the threshold the sketch errs by five standard deviations or it passes), the
-   others are linked to the first like node of the run, so a run gives at most one edge for each node and like node
-   before it that leads a cluster.
+   others are joined: every two nodes of a run are compared, and an edge joins two clusters of like nodes.
 3. Connected components of those edges bound where true pairs can lie. The texts of the nodes in a component come
    together in blocks of bounded size (a larger component goes by pairs of blocks), where all pairs get their exact
    Jaccard similarity by a sparse product. Pairs are only counted: a block sends on a link count for each node and a
@@ -150,22 +149,16 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(least: int, step: int = 1024):
-    """Rows (prefix, node, sketch) sorted by prefix and node -> edges (src, dst) between like nodes of a run. A run is
-    taken ``step`` nodes at a time: they are compared with each other and with the leaders of the steps before (the
-    first node of each cluster, and every sixteenth node), and linked to the like ones."""
+    """Rows (prefix, node, sketch) sorted by prefix and node -> edges (src, dst) that join the like nodes of a run. A run is
+    taken ``step`` nodes at a time: they are compared with each other and with all nodes of the steps before, a slice after
+    the other, and one edge joins two clusters that have like nodes."""
     def like(x, y):
         return SKETCH - np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int32) >= least
 
-    def link(nodes, sk, leaders, lead_sk):
-        src, dst = [], []
-        if len(leaders):
-            a, b = np.nonzero(like(sk, lead_sk))
-            src.append(nodes[a])
-            dst.append(leaders[b])
-            free = np.ones(len(nodes), bool)
-            free[a] = False
-        else:
-            free = np.ones(len(nodes), bool)
+    def link(nodes, sk, before):
+        """``before``: the run's nodes so far, their sketches, and the place of each one's cluster in the run."""
+        old, old_sk, cluster = before
+        n = len(old)
         own = like(sk, sk)
         root = np.arange(len(nodes))
         while True:  # smallest label of the likes, to the end
@@ -174,15 +167,28 @@ def _edges(least: int, step: int = 1024):
                 break
             root = new
         tied = root != np.arange(len(nodes))
-        src.append(nodes[tied])
-        dst.append(nodes[root[tied]])
-        lead = free & ~tied
-        lead[::16] = True
-        return np.concatenate(src), np.concatenate(dst), np.append(leaders, nodes[lead]), np.concatenate([lead_sk, sk[lead]])
+        pairs = [np.empty(0, np.int64)]
+        for a in range(0, n, step):
+            i, j = np.nonzero(like(sk, old_sk[a: a + step]))
+            pairs.append(np.unique(root[i] * np.int64(max(1, n)) + cluster[a + j]))
+        pairs = np.unique(np.concatenate(pairs))
+        c, r = pairs // max(1, n), pairs % max(1, n)
+        all_nodes = np.append(old, nodes)
+        cluster = np.append(cluster, root + n)
+        to = np.arange(len(all_nodes))  # joins clusters that one of the step's clusters ties together
+        while True:
+            new = to.copy()
+            np.minimum.at(new, c + n, to[r])
+            np.minimum.at(new, r, new[c + n])
+            if (new == to).all():
+                break
+            to = new
+        return np.append(nodes[tied], nodes[c]), np.append(nodes[root[tied]], old[r]), (all_nodes, np.concatenate([old_sk, sk]), to[cluster])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
-        leaders, lead_sk = np.empty(0, np.int64), np.empty((0, SKETCH // 64), U64)
+        nothing = np.empty(0, np.int64), np.empty((0, SKETCH // 64), U64), np.empty(0, np.int64)
+        before = nothing
         for b in batches:
             prefix, node = b.column("prefix").to_numpy(), b.column("node").to_numpy()
             sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), U64).reshape(-1, SKETCH // 64)
@@ -190,10 +196,10 @@ def _edges(least: int, step: int = 1024):
             src, dst = [], []
             for i, j in zip(at, np.append(at[1:], len(prefix))):
                 if prefix[i] != key:
-                    key, leaders, lead_sk = prefix[i], leaders[:0], lead_sk[:0]
+                    key, before = prefix[i], nothing
                 for a in range(i, j, step):
                     c = min(j, a + step)
-                    s, d, leaders, lead_sk = link(node[a:c], sk[a:c], leaders, lead_sk)
+                    s, d, before = link(node[a:c], sk[a:c], before)
                     src.append(s)
                     dst.append(d)
             yield pa.RecordBatch.from_pydict({"src": pa.array(np.concatenate(src) if src else [], pa.int64()),
