@@ -87,3 +87,11 @@ def test_long_table_and_empty_table(spark, nothing):
 def test_anchor_table(awkward):
     rows = S.anchor_table(awkward).where("doc_id = 7").collect()
     assert [r["position"] for r in rows] == S.anchors(["tie one two three four five six seven"])[0][0].tolist()
+
+
+def test_likeness_across_the_size_limit(spark):
+    r = random.Random(5)
+    t = "".join(r.choice("abcdefgh ") for _ in range(129))
+    docs = [(1, t), (2, t[:127]), (3, t[::-1] + t[:20]), (4, "")]  # the edited text of 3 falls below the limit
+    got = {x["doc_id"]: x for x in S.compare_with_edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1]["near_next"] > 0.9 and got[3]["near_edited"] > 0.3 and got[3]["near_next"] == 0.0
