@@ -1,8 +1,8 @@
-"""Near-duplicate join on word shingles by a MinHash LSH forest, with exact verification.
+"""Near-duplicate join on word shingles by MinHash bands, after the LSH forest, with exact verification.
 
-A document is the set of its five-word shingles. A tree of the forest is the sorted list of the documents' labels, a
-label being a row of min-hashes, and documents whose labels share a prefix meet. The prefix starts at the longest and
-is shortened until the forest finds a pair at the threshold with the target recall (`prefix_length`). Steps:
+A document is the set of its five-word shingles. For each tree it has a label, a row of min-hashes, and documents whose
+labels share a prefix meet. The prefix has one length, the longest with which a pair at the threshold meets with the
+target recall (`prefix_length`); unlike in a forest, labels are not kept, sorted or shortened on the data. Steps:
 
 1. One pass over the texts makes each document's set digest, tree prefixes and a 512-bit sketch (the low bits of
    min-hashes). Documents with equal sets become one node.
