@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.fixtures import read
 
-from . import context_mixing, line_dedup, lsh_forest, mixing, mtree, nbsvm, packing, surrogates, syncmers, token_index
+from . import bit_slices, context_mixing, line_dedup, lsh_forest, merge_path, mixing, mtree, nbsvm, packing, secret_scan, surrogates, syncmers, token_index
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER, RANKS = "byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 #: The key of the surrogates; a deployment gives its own.
 SECRET = "tidewell surrogate key"
 
@@ -61,7 +62,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op6_exact_top_k, op7_ngram_jaccard_join, op8_quality_classifier, op9_source_mixing, op10_lm_scoring)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_path.report(documents(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.search(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_token_index, op4_pii_surrogates, op5_best_fit_packing, op6_exact_top_k, op7_ngram_jaccard_join, op8_quality_classifier, op9_source_mixing, op10_lm_scoring,
+                                   op11_tokenizer_alignment, op12_secret_scan, op13_lexical_search)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -100,4 +114,18 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
                CAST((SELECT sum(greatest(0, least(pos + size + k * source_size, goal) - (pos + k * source_size))) FROM range(3) r(k)) AS BIGINT) AS taken
         FROM p""",
+    "op13_lexical_search": r"""
+        WITH t AS (SELECT rowid AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                   FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+        f AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        s AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+        g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM s),
+        i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, docs),
+        x AS (SELECT item_id, i.text, f.r, f.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+              FROM i JOIN w USING (term) JOIN f USING (term) JOIN s ON s.r = f.r, g GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+        FROM x WHERE score > 0 QUALIFY rank <= 10""",
 }
