@@ -110,6 +110,17 @@ def test_alignment_query_equals_brute_force(spark):
     assert got_alignment(E.queries()["op11_tokenizer_alignment"](spark, SF)) == plain_alignment([(r["doc_id"], r["text"] or "") for r in docs.collect()])
 
 
+def test_ranks_and_library_give_equal_ids():
+    both = merge_path.sides(A, B)
+    assert both.quick is not None
+    r = random.Random(6)
+    settled = [c for c in map(chr, range(0x10000)) if merge_path.SETTLED.fullmatch(c)]
+    common = list(" '\t\n\r,.-0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJ") + ["'s", "'ll", "  ", "\u00a0"]
+    lines = ["".join(r.choice(common if r.random() < 0.7 else settled) for _ in range(r.randrange(1, 80))) for _ in range(3000)]
+    lines += ["".join(settled[i: i + 40]) for i in range(0, len(settled), 40)]
+    assert both.a_ids(lines) == [e.ids for e in both.a.encode_batch([" " + t for t in lines], add_special_tokens=False)]
+
+
 def test_pieces_of_the_path_are_stitched():
     r = np.random.default_rng(5)
     for n in (1, 2, 50, 700):

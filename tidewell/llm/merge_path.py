@@ -14,7 +14,8 @@ pairs' counts back to their chunks, where the documents' links, kept by number,
 most, so a pair in a third of all links costs one row for each chunk. A chunk is about `CHUNK_CHARS` characters (a longer
 text is a chunk of its own), so no task or group holds more.
 
-A is a tokenizers JSON file of byte-level BPE, B a sentencepiece model that adds a space before the text; neither adds special
+A is a tokenizers JSON file of byte-level BPE (texts of settled characters are encoded by the same vocabulary as tiktoken
+ranks), B a sentencepiece model that adds a space before the text; neither adds special
 tokens, and their strings in a text are plain text. Defined results: null and empty texts, and texts whose joined token bytes
 under A or B differ from a space and the text (as where a tokenizer normalises), have no tokens: zeros and an empty string. Every
 row counts, repeated rows too; null ids stay null; extra columns are ignored.
@@ -34,6 +35,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
 import pyarrow as pa  # noqa: E402
+import tiktoken  # noqa: E402
 import zstandard  # noqa: E402
 from pyspark import TaskContext  # noqa: E402
 from pyspark.sql import DataFrame  # noqa: E402
@@ -47,6 +49,11 @@ from .common import by_size, scratch  # noqa: E402
 STEP = 64
 CHUNK_CHARS, TOGETHER = 1 << 21, 1 << 17
 BYTE = re.compile("<0x([0-9A-F]{2})>")
+#: Fixed value: the split pattern of byte-level BPE files with ``use_regex``.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of Latin, Greek, Cyrillic, Kana and the main Han block, of general punctuation and ASCII with its usual white space:
+#: characters whose class no version of Unicode has changed since, so every regular-expression library splits them alike.
+SETTLED = re.compile("[\t\n\r -~\u00a0-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u2010-\u2027\u2030-\u203a\u3041-\u3093\u30a1-\u30f6\u4e00-\u9fa5]*")
 
 
 def cross_diagonals(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -103,6 +110,7 @@ class Sides:
         with open(a_path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
+        self.quick = self._quick(a_path, letters)
         self.a_bytes = [b""] * (1 + max(max(vocabulary.values()), max(self.a.get_vocab().values())))
         for t, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(letters[c] for c in t) if t in vocabulary and all(c in letters for c in t) else t.encode("utf-8")
@@ -113,6 +121,28 @@ class Sides:
         self.a_text, self.b_text = (np.array([f"{i}{s}".encode() for s in signs for i in range(len(side))], object)
                                     for side, signs in ((self.a_bytes, (",", "|")), (self.b_bytes, (",", ";"))))
 
+    @staticmethod
+    def _quick(path: str, letters: dict[str, int]) -> tiktoken.Encoding | None:
+        """The same vocabulary as ranks, which encode several times faster, if the file is plain byte-level BPE whose ids
+        follow the order of its merges."""
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        model, before = whole["model"], whole["pre_tokenizer"] or {}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = [model["vocab"].get("".join(m), -1) for m in pairs]
+        plain = (whole["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+                 and not model.get("ignore_merges") and not model.get("dropout") and len(model["vocab"]) == 256 + len(pairs))
+        if not plain or ids != sorted(set(ids)) or ids[:1] != [256]:
+            return None
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items()}
+        return tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
+        """A's ids of a space and each text; texts of settled characters by ranks, all others by the tokenizers library."""
+        quick = [self.quick is not None and SETTLED.fullmatch(t) is not None for t in texts]
+        slow = iter(self.a.encode_batch([" " + t for t, q in zip(texts, quick) if not q], add_special_tokens=False))
+        return [self.quick.encode_ordinary(" " + t) if q else next(slow).ids for t, q in zip(texts, quick)]
+
     @staticmethod
     def _piece(piece: str) -> bytes:
         m = BYTE.fullmatch(piece)
@@ -120,7 +150,7 @@ class Sides:
 
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B of each text; none where the bytes do not come back."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        a = self.a_ids(texts)
         b = self.b.encode(texts, num_threads=1)
         for n, t in enumerate(texts):
             raw = (" " + t).encode("utf-8")
