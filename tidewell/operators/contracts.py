@@ -336,22 +336,35 @@ def checks_for(df: DataFrame, contract: list[dict]) -> list[tuple[str, str, Colu
 def violations(df: DataFrame, contract: list[dict], key: str) -> DataFrame:
     """Long table ``(row_key, field, check)``: one row per failed check (I17), one pass over ``df``."""
     checks = checks_for(df, contract)
-    arr = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).alias("check"), v.alias("bad"))
-                    for f, n, v in checks])
-    rows = df.select(F.col(key).cast("string").alias("row_key"), F.filter(arr, lambda x: x["bad"]).alias("_v"))
-    row_viol = rows.select("row_key", F.explode("_v").alias("v")).select("row_key", "v.field", "v.check")
-    uniq = [fc["name"] for fc in contract if "unique" in (fc.get("rules") or []) or fc.get("unique")]
-    for u in uniq:
-        row_viol = row_viol.unionByName(duplicates(df, u, key))
-    return row_viol
+    uniq = [fc["name"] for fc in contract if ("unique" in (fc.get("rules") or []) or fc.get("unique")) and fc["name"] in df.columns]
+    entry = "array<struct<field:string,check:string,bad:boolean,digest:binary>>"
+    found = [F.struct(F.lit(f), F.lit(n), v, F.lit(None)) for f, n, v in checks] + [_unique_entry(df, u) for u in uniq]
+    bad = F.filter(F.array(*found).cast(entry), lambda x: x["bad"])
+    rows = df.select(F.col(key).cast("string").alias("row_key"), F.explode(bad).alias("v")).select("row_key", "v.field", "v.check", "v.digest")
+    if not uniq:
+        return rows.drop("digest")
+    repeated = repeated_values(df, uniq).withColumnsRenamed({"field": "_f", "digest": "_d"})
+    met = rows.join(repeated, (rows["field"] == repeated["_f"]) & (rows["digest"] == repeated["_d"]), "left")
+    return met.filter(F.col("digest").isNull() | F.col("_d").isNotNull()).select("row_key", "field", "check")
+
+
+def _unique_entry(df: DataFrame, column: str) -> Column:
+    """What a value of a unique column sends on: its md5 digest, if it is not null."""
+    text = F.to_json(F.struct(column)) if isinstance(df.schema[column].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(column).cast("string")
+    return F.struct(F.lit(column), F.lit("unique"), F.col(column).isNotNull(), F.unhex(F.md5(text)))
+
+
+def repeated_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``field, digest`` of the values that occur more than once, for all unique columns by one scan and one shuffle
+    of 16-byte digests, combined before it."""
+    entries = F.array(*[_unique_entry(df, c) for c in columns]).cast("array<struct<field:string,check:string,bad:boolean,digest:binary>>")
+    each = df.select(F.explode(F.filter(entries, lambda x: x["bad"])).alias("v")).select("v.field", "v.digest")
+    return each.groupBy("field", "digest").count().filter(F.col("count") > 1).select("field", "digest")
 
 
 def duplicates(df: DataFrame, column: str, key: str) -> DataFrame:
-    """Rows whose ``column`` value occurs more than once (aggregate of duplicate values, joined back)."""
-    dup = df.groupBy(column).count().filter(F.col("count") > 1).select(column)
-    return (df.select(key, column).join(dup, column)
-            .select(F.col(key).cast("string").alias("row_key"), F.lit(column).alias("field"),
-                    F.lit("unique").alias("check")))
+    """Rows whose ``column`` value occurs more than once."""
+    return violations(df, [{"name": column, "required": False, "rules": ["unique"]}], key)
 
 
 def summary(df: DataFrame, contract: list[dict]) -> DataFrame:
@@ -370,26 +383,24 @@ def transition_violations(df: DataFrame, entity: str, ts: str, status: str, allo
     """Consecutive status pairs per entity that are not allowed.
 
     Each row is paired with the entity's previous row by (ts, tiebreak) using
-    the skew-safe bucketed lag (a hot entity is split by time bucket, not sorted
-    in one task); the allowed pairs are a small literal table (size bounded by
-    the transition list) joined by broadcast; a ``left_anti`` join keeps the
-    illegal pairs.
+    a skew-safe lag: a hot entity is split by time bucket or, for an order key
+    that is no timestamp, by ranges of the key, and is not sorted in one task.
+    The allowed pairs are a literal table (its size is that of the transition
+    list); a ``left_anti`` join keeps the illegal pairs.
     """
-    from .timeseries import bucketed_lag
+    from .timeseries import bucketed_lag, ranged_lag
     cols = [entity, ts, *([order_tiebreak] if order_tiebreak else []), status]
     d = df.select(*cols)
     if isinstance(d.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType)):
         lagged = bucketed_lag(d, entity, ts, [status], tiebreak=order_tiebreak)
-    else:  # non-temporal order key: one bucket per entity
-        from pyspark.sql import Window
-        w = Window.partitionBy(entity).orderBy(*[c for c in cols[1:-1]])
-        lagged = d.withColumn("prev_" + status, F.lag(status).over(w))
+    else:
+        lagged = ranged_lag(d, entity, ts, [status], tiebreak=order_tiebreak)
     pairs = (lagged.filter(F.col("prev_" + status).isNotNull())
              .select(*cols[:-1], F.col("prev_" + status).alias("from_status"), F.col(status).alias("to_status")))
     spark = df.sparkSession
     ok = spark.createDataFrame([(a, b) for a, bs in allowed.items() for b in bs],
                                "from_status string, to_status string")
-    return pairs.join(F.broadcast(ok), ["from_status", "to_status"], "left_anti")
+    return pairs.join(ok, ["from_status", "to_status"], "left_anti")
 
 
 def coverage(requirements: DataFrame, req_key: str, story_links: DataFrame, epic_links: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ for _name in ["t_h1_region_customers", "t_h4_region_supplier_trace", "t_h10_supp
 from . import contract_queries as CQ  # noqa: E402
 
 for _name in ["i_documents", "i_pages", "i_events", "i_conversations_default_rules", "i_event_transitions",
-              "i_requirement_coverage", "i_text_search", "i_sample_rows"]:
+              "i_event_transitions_by_id", "i_orders_unique", "i_requirement_coverage", "i_text_search", "i_sample_rows"]:
     register("contract_" + _name, getattr(CQ, _name))
 
 # §2.J stream analytics (batch form over events, plus one streaming run)
@@ -80,7 +80,8 @@ from . import stream_analytics_queries as JQ  # noqa: E402
 
 for _name in ["j2_error_rate", "j2_stream_error_rate", "j3_sliding_mean", "j3_zscore_outliers", "j4_sessions",
               "j5_velocity", "j6_impossible_travel", "j7_low_battery", "j8_funnel", "j9_shares",
-              "j10_firmware_rollout", "j11_dedupe", "j12_enrich", "j13_dead_letters"]:
+              "j10_firmware_rollout", "j11_dedupe", "j12_enrich", "j13_dead_letters",
+              "j5_stream_velocity", "j6_stream_impossible_travel", "j7_stream_low_battery", "j12_stream_normalized_ids"]:
     register("stream_" + _name, getattr(JQ, _name))
 
 # §2.A sources, sinks and table operations

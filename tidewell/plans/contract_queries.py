@@ -80,6 +80,25 @@ def i_event_transitions(t: Tables) -> DataFrame:
         "from_status", "to_status")
 
 
+def i_event_transitions_by_id(t: Tables) -> DataFrame:
+    """I18 with an order key that is no timestamp: the events of a user in the order of event_id."""
+    bad = C.transition_violations(t.events, "user_id", "event_id", "event_type", EVENT_FLOW)
+    return bad.groupBy("from_status", "to_status").agg(F.count("*").alias("violations")).orderBy("from_status", "to_status")
+
+
+ORDER_CONTRACT = [
+    {"name": "o_orderkey", "rules": ["unique"]},
+    {"name": "o_custkey", "rules": ["unique"]},
+    {"name": "o_orderdate", "rules": ["unique"]},
+    {"name": "o_totalprice", "rules": ["unique"]},
+]
+
+
+def i_orders_unique(t: Tables) -> DataFrame:
+    """Four unique columns of one table, by one scan and one shuffle besides the check scan."""
+    return _counts(C.violations(t.orders, ORDER_CONTRACT, "o_orderkey"))
+
+
 def i_requirement_coverage(t: Tables) -> DataFrame:
     """I19 over the fixtures: parts are requirements, orders are stories, suppliers are epics."""
     li = t.lineitem

@@ -566,6 +566,10 @@ def _add_contract_oracles():
         f"event_type AS to_status FROM events) p WHERE from_status IS NOT NULL "
         f"AND (from_status, to_status) NOT IN (SELECT * FROM (VALUES {allowed}) v(a, b)) "
         f"GROUP BY from_status, to_status ORDER BY from_status, to_status")
+    O["contract_i_event_transitions_by_id"] = O["contract_i_event_transitions"].replace("ORDER BY ts, event_id)", "ORDER BY event_id)")
+    O["contract_i_orders_unique"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS field, 'unique' AS check, CAST(sum(n) AS BIGINT) AS failed FROM (SELECT count(*) AS n FROM orders "
+        f"WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1) HAVING sum(n) > 0" for c in ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
     O["contract_i_requirement_coverage"] = (
         "SELECT p_partkey, coalesce(s.stories, 0) AS stories, coalesce(e.epics, 0) AS epics, "
         "least(100.0, (coalesce(s.stories, 0) + coalesce(e.epics, 0)) * 25.0) AS coverage_percentage, "
@@ -639,6 +643,11 @@ def _add_stream_analytics_oracles():
         f"WITH p AS (SELECT event_id, user_id AS device, ts, CAST({bat} AS DOUBLE) AS level FROM events), "
         f"q AS (SELECT device, level, lag(level) OVER (PARTITION BY device ORDER BY ts, event_id) AS prev FROM p) "
         f"SELECT device, count(*) AS alerts FROM q WHERE level < 20.0 AND prev >= 20.0 GROUP BY 1")
+    for n in ("j5_velocity", "j6_impossible_travel", "j7_low_battery"):
+        O[f"stream_{n[:2]}_stream{n[2:]}"] = O[f"stream_{n}"]
+    O["stream_j12_stream_normalized_ids"] = (
+        "SELECT c_mktsegment AS segment, count(*) AS events, count(DISTINCT c_custkey) AS customers "
+        "FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY 1")
     O["stream_j8_funnel"] = (
         "WITH a AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1), "
         "b AS (SELECT e.user_id, min(e.ts) AS t FROM events e JOIN a ON a.user_id = e.user_id AND e.ts >= a.t "

@@ -63,6 +63,48 @@ def j7_low_battery(t: Tables) -> DataFrame:
     return alerts.groupBy("device").agg(F.count("*").alias("alerts"))
 
 
+def _event_stream(t: Tables) -> DataFrame:
+    src = J.file_stream(t.spark, table_path(t.sf_dir, "events"), t.events.schema)
+    return src.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream in append mode to its end and read back what it wrote."""
+    run = f"{name}-{uuid.uuid4().hex[:8]}"
+    return J.run_to_table(df, scratch_path(df.sparkSession, f"{run}-out"), scratch_path(df.sparkSession, f"{run}-ckpt"))
+
+
+# The three that follow run over the whole events table as a stream. Its files come in one micro-batch, so a watermark
+# without delay lets the last events out as well.
+def j5_stream_velocity(t: Tables) -> DataFrame:
+    v = _run(A.velocity(_event_stream(t), window_seconds=3600, threshold=2, delay="0 seconds"), "j5")
+    return v.groupBy("user_id").agg(F.count("*").alias("flagged_events"))
+
+
+def j6_stream_impossible_travel(t: Tables) -> DataFrame:
+    pts = over_keys(_event_stream(t), "event_id", "fraud_detection", carry={"ts": "ts", "card_holder": "user_id"})
+    pts = pts.select(F.col("row_id").alias("event_id"), "latitude", "longitude", "ts", "card_holder")
+    flagged = _run(A.impossible_travel(pts, "card_holder", "ts", "latitude", "longitude", "event_id", delay="0 seconds", idle="1000 days"), "j6")
+    return flagged.groupBy("card_holder").agg(F.count("*").alias("flagged_moves"))
+
+
+def j7_stream_low_battery(t: Tables) -> DataFrame:
+    tel = over_keys(_event_stream(t), "event_id", "telemetry", carry={"ts": "ts", "device": "user_id"})
+    tel = tel.select(F.col("row_id").alias("event_id"), "battery_level", "ts", "device")
+    alerts = _run(A.crossing_alerts(tel, "device", "ts", "battery_level", "event_id", 20.0, delay="0 seconds", idle="1000 days"), "j7")
+    return alerts.groupBy("device").agg(F.count("*").alias("alerts"))
+
+
+def j12_stream_normalized_ids(t: Tables) -> DataFrame:
+    """F12 + J12: events carry five-digit customer ids, the table six-digit ones; the stream meets the table on the
+    normalised id."""
+    ids = F.concat(F.lit("CUS-"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
+    events = _event_stream(t).select("event_id", ids.alias("customer_id"))
+    table = t.customer.select(F.concat(F.lit("CUS-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("id"), "c_custkey", "c_mktsegment")
+    e = _run(A.enrich_by_id(events, table, "customer_id", "id", "CUS-", 6).select("event_id", "c_custkey", "c_mktsegment"), "j12")
+    return e.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("events"), F.count_distinct("c_custkey").alias("customers"))
+
+
 def j8_funnel(t: Tables) -> DataFrame:
     return A.funnel(t.events, "user_id", "ts", "event_type", ["view", "click", "purchase"])
 

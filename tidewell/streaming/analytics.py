@@ -3,18 +3,21 @@
 Each function takes an events-shaped DataFrame (``ts`` event time plus the
 stream's columns) and returns the analytic; the same function is used on a
 bounded table (batch, oracle-checked) and on a streaming read with a
-watermark (``streaming.jobs``). Per-entity orderings use the skew-safe
-bucketed operators of ``operators.timeseries`` in batch form.
+watermark (``streaming.jobs``). What depends on an entity's order uses the
+skew-safe bucketed operators of ``operators.timeseries`` on a bounded table
+and the keyed state or interval join of ``streaming.state`` on a stream.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.timeseries import bucketed_lag, bucketed_range_count
+from ..operators.timeseries import bucketed_lag, bucketed_range_count, bucketed_sessions
+from .state import interval_count, stream_lag
 
 
 def with_event_time(df: DataFrame, col: str = "event_timestamp", watermark: str | None = None,
@@ -53,7 +56,10 @@ def zscore_outliers(df: DataFrame, value: str = "value", group: str = "event_typ
 
 
 def sessions(df: DataFrame, entity: str = "user_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
-    """Session windows per entity (a session closes after ``gap`` without events)."""
+    """Sessions per entity (a session closes after ``gap`` without events): Spark's session windows on a stream,
+    partial sessions by time bucket, stitched at the borders, on a bounded table."""
+    if not df.isStreaming:
+        return bucketed_sessions(df, entity, ts, gap)
     s = (df.groupBy(entity, F.session_window(ts, gap).alias("s"))
          .agg(F.count("*").alias("events")))
     return s.select(entity, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events")
@@ -67,9 +73,16 @@ def session_summary(df: DataFrame, entity: str = "user_id", ts: str = "ts", gap:
 
 
 def velocity(df: DataFrame, entity: str = "user_id", ts: str = "ts", window_seconds: int = 600,
-             threshold: int = 3) -> DataFrame:
-    """Events whose entity had more than ``threshold`` events in the preceding window (inclusive)."""
-    c = bucketed_range_count(df, entity, ts, window_seconds, name="recent")
+             threshold: int = 3, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
+    """Events whose entity had more than ``threshold`` events in the preceding window (inclusive).
+
+    On a stream (``key`` tells its events apart, ``delay`` is the watermark) an event is judged once the watermark has
+    passed it; events later than that are dropped.
+    """
+    if df.isStreaming:
+        c = interval_count(df, entity, ts, key, window_seconds, delay, "recent")
+    else:
+        c = bucketed_range_count(df, entity, ts, window_seconds, name="recent")
     return c.filter(F.col("recent") > threshold)
 
 
@@ -81,12 +94,23 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(a))
 
 
+def lag_by_entity(df: DataFrame, entity: str, ts: str, cols: list[str], tiebreak: str, delay: str, idle: str) -> DataFrame:
+    """``prev_`` columns of the entity's previous row by (ts, tiebreak), for tables and streams."""
+    if df.isStreaming:
+        return stream_lag(df, entity, ts, cols, tiebreak, delay, idle)
+    return bucketed_lag(df, entity, ts, cols, tiebreak=tiebreak)
+
+
 def impossible_travel(df: DataFrame, entity: str, ts: str, lat: str, lon: str, tiebreak: str,
-                      max_kmh: float = 900.0) -> DataFrame:
-    """Consecutive points of an entity implying a speed above ``max_kmh``."""
+                      max_kmh: float = 900.0, delay: str = "10 minutes", idle: str = "30 days") -> DataFrame:
+    """Consecutive points of an entity implying a speed above ``max_kmh``.
+
+    On a stream ``delay`` is the watermark and ``idle`` the event time after which a silent entity's last point is
+    forgotten.
+    """
     d = df.select(entity, ts, tiebreak, F.col(lat).cast("double").alias("lat"),
                   F.col(lon).cast("double").alias("lon"))
-    p = bucketed_lag(d, entity, ts, ["lat", "lon", tiebreak], tiebreak=tiebreak)
+    p = lag_by_entity(d, entity, ts, ["lat", "lon", tiebreak], tiebreak, delay, idle)
     p = p.filter(F.col("prev_lat").isNotNull())
     km = haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
     hours = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev_" + ts).cast("timestamp"))) / F.lit(3.6e9)
@@ -95,10 +119,11 @@ def impossible_travel(df: DataFrame, entity: str, ts: str, lat: str, lon: str, t
         (F.col("kmh") > max_kmh) | ((F.col("kmh").isNull()) & (F.col("km") > 0)))
 
 
-def crossing_alerts(df: DataFrame, entity: str, ts: str, level: str, tiebreak: str, limit: float = 20.0):
-    """One alert per downward crossing of ``limit`` (previous >= limit, current < limit)."""
+def crossing_alerts(df: DataFrame, entity: str, ts: str, level: str, tiebreak: str, limit: float = 20.0,
+                    delay: str = "10 minutes", idle: str = "30 days"):
+    """One alert per downward crossing of ``limit`` (previous >= limit, current < limit); streams as in J6."""
     d = df.select(entity, ts, tiebreak, F.col(level).cast("double").alias("level"))
-    p = bucketed_lag(d, entity, ts, ["level", tiebreak], tiebreak=tiebreak)
+    p = lag_by_entity(d, entity, ts, ["level", tiebreak], tiebreak, delay, idle)
     return p.filter((F.col("level") < limit) & (F.col("prev_level") >= limit)).select(entity, ts, tiebreak, "level")
 
 
@@ -174,3 +199,21 @@ def split_dead_letters(records: DataFrame, schema: str, value: str = "value") ->
     dead = parsed.filter(bad).select(F.col(value).cast("string").alias("raw")).withColumn(
         "reason", F.lit("malformed_json"))
     return good, dead
+
+
+def normalize_id(col: Column | str, prefix: str, width: int) -> Column:
+    """an id of any zero padding in the one form of ``width`` digits: ``STU-00042`` and ``stu-42`` as ``STU-000042``.
+
+    White space around it and the case of the prefix do not matter; digits alone get the prefix. What is no such id, or
+    has more significant digits than ``width``, is null, so it meets nothing.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    digits = F.regexp_extract(F.upper(F.trim(c.cast("string"))), f"^(?:{re.escape(prefix.upper())})?0*([0-9]{{1,{width}}})$", 1)
+    return F.when(digits != "", F.concat(F.lit(prefix), F.lpad(digits, width, "0")))
+
+
+def enrich_by_id(stream: DataFrame, table: DataFrame, stream_key: str, table_key: str, prefix: str, width: int) -> DataFrame:
+    """J12 with ids of different padding: both sides meet on the normalised id; rows of the stream without one are kept."""
+    s = stream.withColumn("_sid", normalize_id(stream_key, prefix, width))
+    t = table.withColumn("_tid", normalize_id(table_key, prefix, width)).filter(F.col("_tid").isNotNull())
+    return s.join(t, s["_sid"] == t["_tid"], "left").drop("_sid", "_tid")

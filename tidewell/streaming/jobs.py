@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +126,27 @@ def to_table(df: DataFrame, path: str, checkpoint: str, available_now: bool = Tr
     return w.option("path", path).start()
 
 
+def run_to_table(df: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> DataFrame:
+    """Run a stream in append mode to the end of its present input and read back the table (its state partitions as in
+    ``upsert_run``)."""
+    with state_partitioning(df.sparkSession, state_partitions):
+        q = to_table(df, path, checkpoint)
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def state_partitioning(spark: SparkSession, n: int | None = None):
+    """Streaming state is partitioned by ``spark.sql.shuffle.partitions`` when a query first starts (AQE does not resize
+    it): sets it to ``n`` or the cluster's default parallelism, and restores it."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def preview(df: DataFrame, name: str) -> StreamingQuery:
     """Show a running stream in a memory table with a fresh scratch checkpoint (small previews only)."""
     spark = df.sparkSession
@@ -175,16 +197,11 @@ def upsert_run(df: DataFrame, keys: list[str], path: str, checkpoint: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
+    with state_partitioning(df.sparkSession, state_partitions):
         q = (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
-    out = spark.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
     cols = [c for c in out.columns if c not in keys and c != "batch_id"]
     latest = out.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
     return latest.select(*keys, "_r.*")
