@@ -107,9 +107,13 @@ def test_stream_to_table_and_preview(spark):
     assert spark.read.parquet(out).count() == spark.read.parquet(src_dir).count()
     q = J.preview(J.file_stream(spark, src_dir, schema).select("event_id"), "tw_preview")
     q.processAllAvailable()
-    n = spark.table("tw_preview").count()
+    assert spark.table("global_temp.tw_preview").count() == min(1000, spark.read.parquet(src_dir).count())
     q.stop()
-    assert n == spark.read.parquet(src_dir).count()
+    q = J.preview(J.file_stream(spark, src_dir, schema).select("event_id"), "tw_preview", rows=7)
+    q.processAllAvailable()
+    n = spark.table("global_temp.tw_preview").count()
+    q.stop()
+    assert n == 7
 
 
 def test_stream_dedupe_and_enrichment(spark):
@@ -160,3 +164,69 @@ def test_dead_letters_go_to_their_own_table(spark, tmp_path):
     A.write_split(src.select("value"), "a INT", str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "c")).awaitTermination()
     assert sorted(r["a"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [1, 2]
     assert [r["raw"] for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["{broken"]
+
+
+def test_dual_write_shows_a_batch_in_both_sinks_or_in_none(spark, tmp_path):
+    import pytest
+    spark.range(12).select((F.col("id") % 10).cast("string").alias("value")).coalesce(1).write.text(str(tmp_path / "in"))
+    src = lambda: J.topic_source(spark, "t", folder=str(tmp_path / "in")).select("value", "timestamp")
+    manifest = J.manifest_path(str(tmp_path / "audit"))
+    sent, fail = [], [True]
+
+    def topic(msgs, batch_id):  # like a topic that keeps what it got: a replay sends again, under the same ids
+        sent.append(sorted(r["message_id"] for r in msgs.collect()))
+        msgs.select("value").write.mode("append").text(str(tmp_path / "topic" / f"batch_id={batch_id}"))
+
+    def audit(msgs, batch_id):
+        if fail[0]:
+            raise RuntimeError("killed between the sinks")
+        msgs.write.mode("overwrite").parquet(str(tmp_path / "audit" / f"batch_id={batch_id}"))
+
+    q = J.write_together(src(), [topic, audit], manifest, str(tmp_path / "c"))
+    with pytest.raises(Exception, match="killed between"):
+        q.awaitTermination()
+    assert not (tmp_path / "audit" / "_commits").exists()  # nothing is visible yet
+    fail[0] = False
+    J.write_together(src(), [topic, audit], manifest, str(tmp_path / "c")).awaitTermination()
+    assert len(sent) == 2 and sent[0] == sent[1] and len(set(sent[0])) == 12
+    seen = J.committed(spark, str(tmp_path / "audit"), manifest)
+    assert seen.count() == seen.select("message_id").distinct().count() == 12
+    # a batch in the manifest is not written again
+    J.write_together(src(), [topic, audit], manifest, str(tmp_path / "c2")).awaitTermination()
+    assert len(sent) == 2
+
+
+def test_runs_are_listed_counted_and_stopped(spark, tmp_path):
+    import pytest
+
+    from tidewell.streaming.runs import RunRegistry, committed_offset
+    runs = RunRegistry(spark)
+    spec = [{"name": "v", "type": "int", "min": 0, "max": 9, "random": True}]
+    c = str(tmp_path / "c")
+    a = runs.start("fast", lambda: J.generator(spark, spec, str(tmp_path / "a"), rows_per_batch=3, interval_seconds=0.1, checkpoint=c), c)
+    spark.range(40).select(F.col("id").cast("string").alias("value")).coalesce(4).write.text(str(tmp_path / "in"))
+    b = runs.start("copy", lambda: J.to_table(J.topic_source(spark, "t", folder=str(tmp_path / "in"), max_files_per_trigger=1).select("value"),
+                                              str(tmp_path / "b"), str(tmp_path / "cb")))
+    with pytest.raises(ValueError):
+        runs.start("fast", lambda: None)
+    assert runs.wait(b)["status"] == "completed" and runs.status(b)["rows_produced"] == 40
+    assert [(r["name"], r["status"]) for r in runs.list()] == [("fast", "running"), ("copy", "completed")]
+    assert J.wait_until(lambda: runs.status(a)["batches"] >= 150, 200)
+    end = runs.stop(a)
+    batch, offset = committed_offset(spark, c)
+    rows = spark.read.text(str(tmp_path / "a")).count()
+    # more batches than a query's own progress list keeps
+    assert end["status"] == "stopped" and end["batches"] >= 150 and rows == offset["offset"] == 3 * (batch + 1)
+    assert abs(end["rows_produced"] - rows) <= 3  # a stop may fall between the commit and its event
+    assert runs.status("nobody")["status"] == "not_found" and committed_offset(spark, str(tmp_path / "none")) == (-1, None)
+
+    def broken():
+        return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load().select(F.raise_error(F.lit("no"))).writeStream.format("noop").option(
+            "checkpointLocation", str(tmp_path / "cx")).start()
+    x = runs.start("fast", broken)
+    try:
+        runs.wait(x)
+    except Exception:  # noqa: BLE001 - the query's own error
+        pass
+    assert J.wait_until(lambda: runs.status(x)["status"] == "error", 30) and runs.status(x)["error"]
+    runs.close()

@@ -38,7 +38,12 @@ from pyspark.sql.types import DecimalType, _parse_datatype_string
 from .hashing import (decimal_between_sql, float_between_sql, h60, h60_sql, int_between_sql, padded,
                       padded_sql, pick_sql, sql_literal, unif_sql, uuid_sql, weighted_pick_sql)
 
-_NON_DETERMINISTIC = re.compile(r"\b(rand|randn|random|uuid|shuffle|uniform|randstr|now|current_timestamp)\s*\(", re.I)
+#: Calls and keywords whose value is that of the moment or the session; Spark counts them as deterministic within one query.
+_OF_THE_MOMENT = re.compile(r"\b(?:(?:now|curdate|user|version|current_timezone|current_catalog|current_schema|current_database)\s*\(|"
+                            r"(?:current_date|current_timestamp|current_time|current_user|localtimestamp|session_user)\b|"
+                            r"(?:unix_timestamp|to_unix_timestamp)\s*\(\s*\))", re.I)
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
+_NON_DETERMINISTIC = re.compile(r"\b(rand|randn|random|uuid|shuffle|uniform|randstr)\s*\(", re.I)
 _INTERVAL = re.compile(r"^\s*(days|hours|minutes|seconds|weeks)\s*=\s*(\d+)\s*$")
 _INT_TYPES = {"int", "integer", "bigint", "long", "smallint", "short", "tinyint", "byte"}
 _FLOAT_TYPES = {"float", "double", "real"}
@@ -85,7 +90,8 @@ def validate(spec: list[dict]) -> None:
         if c.get("weights") is not None:
             if not c.get("values") or len(c["weights"]) != len(c["values"]):
                 raise SpecError(f"{n}: weights must match values")
-        if c.get("expr") and _NON_DETERMINISTIC.search(c["expr"]) and not c.get("unseeded"):
+        bare = _QUOTED.sub("''", c.get("expr") or "")
+        if (_NON_DETERMINISTIC.search(bare) or _OF_THE_MOMENT.search(bare)) and not c.get("unseeded"):
             raise SpecError(f"{n}: expression is not deterministic; set unseeded=True to allow it")
         pn = c.get("percent_nulls")
         if pn is not None and not 0 <= pn <= 100:
@@ -195,6 +201,10 @@ def column_expr(c: dict, seed, key: Column | str, fast: bool = False) -> Column:
     return F.expr(driver)
 
 
+def _deterministic(df: DataFrame) -> bool:
+    return bool(df._jdf.queryExecution().analyzed().deterministic())  # noqa: SLF001
+
+
 def apply_spec(df: DataFrame, spec: list[dict], key: str = "id", seed=42,
                keep: list[str] | None = None, fast: bool = False) -> DataFrame:
     """Add the spec's columns to ``df``.
@@ -233,6 +243,9 @@ def apply_spec(df: DataFrame, spec: list[dict], key: str = "id", seed=42,
             v = F.when(F.expr(f"{unif_sql(seed, c['name'] + '#null', _ident(key), fast=fast)} >= {pn / 100.0!r}D"), v)
         pending.append((c["name"], v.cast(c.get("type", "string"))))
     out = flush(out)
+    # whatever an expression calls, the analysed plan knows whether it is deterministic
+    if any(c.get("expr") for c in spec) and not any(c.get("unseeded") for c in spec) and _deterministic(df) and not _deterministic(out):
+        raise SpecError("an expression is not deterministic; set unseeded=True to allow it")
     names = [c["name"] for c in spec if c["name"] not in omitted]
     return out.select(*(keep or []), *names)
 

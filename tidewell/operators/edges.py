@@ -86,14 +86,15 @@ def _geometric_gaps(u: Column, p: Column) -> Column:
 
 def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p: float, seed, rel: str,
                     block: str | None = None, exclude_self_ordinal: str | None = None,
-                    max_per_source: int | None = None) -> DataFrame:
+                    max_per_source: int | None = None, dense_targets: int | None = DENSE_TARGETS) -> DataFrame:
     """Every (source, target-ordinal) pair kept independently with probability ``p``.
 
     For each source the successes of the Bernoulli process over target
     ordinals ``0 .. T-1`` are generated directly: gaps between successes are
     geometric, their running sums are the positions. Work per source is
-    O(T*p) (the expected degree), and p shrinks as 1/T beyond ``DENSE_TARGETS``
-    targets, so edges are at most sources x p x DENSE_TARGETS. ``n_targets`` may be a per-source column (F10: the size of
+    O(T*p) (the expected degree), and p shrinks as 1/T beyond ``dense_targets``
+    targets, so edges are at most sources x p x dense_targets; with None the
+    stated p holds for any number of targets. ``n_targets`` may be a per-source column (F10: the size of
     the source's block, with ``block`` the block ordinal offset column).
 
     Each source draws mean + 10 sigma + 32 gaps in one pass; if a source's
@@ -109,7 +110,7 @@ def bernoulli_edges(sources: DataFrame, src_key: str, n_targets: Column | int, p
                           *([F.col(block)] if block else []),
                           *([F.col(exclude_self_ordinal).alias("_self")] if exclude_self_ordinal else []))
     # draws per source: expected degree + 10 sigma + 32 (a longer run has probability < 1e-20)
-    prob = F.lit(float(p)) * F.least(F.lit(1.0), F.lit(float(DENSE_TARGETS)) / F.col(tcol))
+    prob = F.lit(float(p)) * (F.least(F.lit(1.0), F.lit(float(dense_targets)) / F.col(tcol)) if dense_targets else F.lit(1.0))
     mean = F.col(tcol) * prob
     size = (mean + F.lit(10.0) * F.sqrt(mean * (F.lit(1.0) - prob)) + F.lit(32.0)).cast("int")
     if max_per_source:  # one more, as the self pair may be among the first

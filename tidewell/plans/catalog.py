@@ -58,14 +58,14 @@ for _name in ["h1_department_enrolment", "h2_prerequisite_chains", "h3_program_d
               "h23_export_enrolment", "h24_export_degree_pathways", "h25_export_fund_flows",
               "h26_export_vendor_subcontracts", "h27_export_citizen_services", "h28_export_early_warning",
               "h29_export_procurement", "h30_export_case_management", "h31_shared_courses",
-              "h32_subcontract_closure", "h33_caseworker_communities", "h34_avg_gpa_by_department"]:
+              "h32_subcontract_closure", "h33_caseworker_communities", "h33_caseworker_modularity", "f17_edge_properties", "h34_avg_gpa_by_department"]:
     register("graph_" + _name, getattr(GQ, _name))
 
 # §2.H pattern shapes over the fixture tables as a graph
 from . import fixture_graph as FG  # noqa: E402
 
 for _name in ["t_h1_region_customers", "t_h4_region_supplier_trace", "t_h10_supplier_revenue",
-              "t_h12_multi_priority_customers", "t_h18_supplier_part_orders"]:
+              "t_h12_multi_priority_customers", "t_h18_supplier_part_orders", "t_h20_returned_then_reordered", "t_h31_shared_parts"]:
     register("graph_" + _name, getattr(FG, _name))
 
 # §2.I table contracts
@@ -88,7 +88,7 @@ for _name in ["j2_error_rate", "j2_stream_error_rate", "j3_sliding_mean", "j3_zs
 from . import source_queries as AQ  # noqa: E402
 
 for _name in ["a8_upsert_customers", "a11_table_copy", "a14_inventory", "a20_describe_orders", "a21_sample_rows",
-              "a24_audit_query", "a25_bounded_consume", "a26_latest_value_per_key", "a27_federated_sql"]:
+              "a24_audit_query", "a25_bounded_consume", "a26_latest_value_per_key", "a27_federated_sql", "e_table_defaults", "e_text_columns", "f15_only_missing_edges"]:
     register("source_" + _name, getattr(AQ, _name))
 
 # F19 user graph job counts and B15/B17 JSON records

@@ -171,6 +171,11 @@ HOUSEHOLD = [1, 2, 3, 4, 5, 6, 7, 8]
 HOUSEHOLD_WEIGHTS = [15, 25, 20, 20, 10, 5, 3, 2]
 INCOME = ["below_poverty", "low_income", "moderate_income"]
 INCOME_WEIGHTS = [4, 4, 2]
+COST_DESCRIPTIONS = ["Personnel costs -", "Equipment purchase -", "Professional services for", "Facilities maintenance -",
+                     "Software licensing -", "Travel and training -", "Capital improvement -", "Consulting fees for",
+                     "Research equipment -", "Program supplies for", "Building renovation -", "IT infrastructure for"]
+COST_PROGRAMS = ["Infrastructure", "Public Safety", "Youth Development", "Senior Services", "Education Technology",
+                 "Workforce Training", "Community Health", "Housing Development", "Digital Equity", "Economic Development"]
 # -------------------------------------------------------------- end FIXED VALUES
 _SCHOOL_PREFIX_ARRAY = "array(" + ", ".join(f"'{p}'" for p in SCHOOL_PREFIXES) + ")"
 
@@ -266,6 +271,9 @@ SPECS["budget_transactions"] = ("orders", "o_orderkey", [
         _pick("quarter", ["Q1", "Q2", "Q3", "Q4"]),
         {"name": "cost_center", "type": "string", "parts": ["CC-", {"min": 1, "max": 300, "pad": 4}]},
         {"name": "account_code", "type": "string", "parts": [{"min": 1000, "max": 9999}]},
+        {**_pick("_what", COST_DESCRIPTIONS), "omit": True},
+        {**_pick("_for", COST_PROGRAMS), "omit": True},
+        {"name": "description", "type": "string", "expr": "concat(_what, ' ', _for)"},
         _person("approved_by"),
         {"name": "event_timestamp", "type": "timestamp", "expr": "o_orderdate"},
 ])
@@ -312,6 +320,10 @@ SPECS["service_requests"] = ("orders", "o_orderkey", [
         _fk("asset_id", "AST-", "part", 5, percent_nulls=30),
         _rng("latitude", "decimal(8,5)", 38.8, 39.4),
         _rng("longitude", "decimal(9,5)", -77.2, -76.6),
+        {**_pick("_what", REQUEST_TYPES), "omit": True},
+        {**_rng("_no", "int", 100, 9999), "omit": True},
+        {**_pick("_street", pools.STREET_NAMES), "omit": True},
+        {"name": "description", "type": "string", "expr": "concat(initcap(replace(_what, '_', ' ')), ' at ', _no, ' ', _street)"},
         _rng("response_time_hours", "int", 1, 720),
         _rng("satisfaction_rating", "int", 1, 5, percent_nulls=40),
         _pick("channel", CHANNELS),
@@ -361,6 +373,8 @@ SPECS["k12_events"] = ("orders", "o_orderkey", [
         _pick("event_type", K12_EVENT_TYPES, K12_EVENT_WEIGHTS),
         _rng("grade_level", "int", 1, 12),
         {"name": "teacher_id", "type": "string", "parts": ["TCH-", {"min": 1, "max": 3000, "pad": 4}]},
+        {**_pick("_what", K12_EVENT_TYPES, K12_EVENT_WEIGHTS), "omit": True},
+        {"name": "details", "type": "string", "expr": "concat(initcap(replace(_what, '_', ' ')), ' event recorded')"},
         _rng("risk_score_delta", "decimal(5,2)", -10, 15),
         _pick("intervention_type", INTERVENTIONS, INTERVENTION_WEIGHTS),
         {"name": "event_timestamp", "type": "timestamp", "expr": "o_orderdate"},
@@ -370,6 +384,9 @@ SPECS["k12_events"] = ("orders", "o_orderkey", [
 # ------------------------------------------------------------------ E5 procurement
 SPECS["contracts"] = ("part", "p_partkey", [
         _key("contract_id", "CTR-", "p_partkey", 5),
+        {**_pick("_what", CATEGORIES), "omit": True},
+        {**_rng("_no", "int", 1, 999), "omit": True},
+        {"name": "title", "type": "string", "expr": "concat(initcap(replace(_what, '_', ' ')), ' - Project ', _no)"},
         _fk("agency_id", "AGY-", "nation", 3),
         _fk("vendor_id", "VND-", "supplier", 4),
         _rng("amount", "decimal(14,2)", 5000, 25000000),
@@ -446,6 +463,8 @@ SPECS["case_events"] = ("orders", "o_orderkey", [
         _rng("benefit_amount", "decimal(10,2)", 0, 15000),
         _pick("household_size", HOUSEHOLD, HOUSEHOLD_WEIGHTS, "int"),
         _pick("income_bracket", INCOME, INCOME_WEIGHTS),
+        {**_pick("_city", pools.CITIES), "omit": True},
+        {"name": "county", "type": "string", "expr": "concat(_city, ' County')"},
         _pick("determination", DETERMINATIONS, DETERMINATION_WEIGHTS),
         _pick("referral_source", REFERRALS, REFERRAL_WEIGHTS),
         _pick("priority", CASE_PRIORITIES, CASE_PRIORITY_WEIGHTS),
@@ -513,3 +532,12 @@ DATASETS = {
     "procurement": {"contracts": contracts, "procurement_events": procurement_events},
     "case_management": {"clients": clients, "cases": cases, "case_events": case_events},
 }
+
+
+def create_statement(table: str, name: str, location: str) -> str:
+    """``CREATE TABLE IF NOT EXISTS`` of a generated table: the spec's columns, and ``created_at``, which rows do not carry and
+    the table fills with the time of their writing."""
+    _src, _key_, spec = SPECS[table]
+    cols = [f"`{c['name']}` {c.get('type', 'string')}" for c in spec if not c.get("omit")]
+    return (f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(cols)}, created_at TIMESTAMP DEFAULT current_timestamp()) "
+            f"USING parquet LOCATION '{location}'")

@@ -100,3 +100,25 @@ def t_h18_supplier_part_orders(t: Tables, k: int = 25) -> DataFrame:
         "supplier", "part", "part_type", F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
     return top_k(out, k, [F.desc("quantity"), F.desc("price"), "order_key", "line", "supplier", "part"])
+
+
+def t_h20_returned_then_reordered(t: Tables) -> DataFrame:
+    """H20's pattern: one (customer, part) twice, a returned line first, an order of a later date second."""
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag").join(
+        t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"), F.col("o_orderdate").alias("day")), "l_orderkey")
+    first = lines.filter(F.col("l_returnflag") == "R").select("customer", "l_partkey", F.col("day").alias("returned_order"))
+    later = lines.select("customer", "l_partkey", F.col("day").alias("later_order"), F.col("l_returnflag").alias("later_flag"))
+    return (first.join(later, ["customer", "l_partkey"]).filter(F.col("later_order") > F.col("returned_order"))
+            .select("customer", F.col("l_partkey").alias("part"), "returned_order", "later_order", "later_flag"))
+
+
+def t_h31_shared_parts(t: Tables, min_shared: int = 3) -> DataFrame:
+    """H31's pattern: customers who ordered ``min_shared`` or more of the parts that one customer ordered, the customer of
+    the most different parts (least key on ties)."""
+    g = fixture_graph(t)
+    has = (g.rel("PLACED").select(F.col("src").alias("customer"), F.col("dst").alias("src"))
+           .join(g.rel("ORDERED").select("src", F.col("dst").alias("part")), "src").select("customer", "part").distinct())
+    one = has.groupBy("customer").count().agg(F.max_by("customer", F.struct("count", -F.col("customer")))).scalar()
+    mine = has.filter(F.col("customer") == one).select("part")
+    return (has.join(mine, "part").filter(F.col("customer") != one).groupBy("customer").agg(F.count(F.lit(1)).alias("shared_parts"))
+            .filter(F.col("shared_parts") >= min_shared))

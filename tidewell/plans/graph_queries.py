@@ -14,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.communities import co_membership, communities, modularity
 from ..operators.graph import Graph, connected_components, hop, reachable, var_length_paths
 from ..operators.topk import top_k
+from ..session import settled
 from ..sources.fixtures import Tables
 from . import datasets as D
 from . import graphs as G
@@ -112,48 +114,38 @@ def _ords(col: str, prefix_len: int):
     return F.expr(f"CAST(substring({col}, {prefix_len + 1}) AS BIGINT) - 1").alias("_ord")
 
 
-def h4_funding_trace(t: Tables, k: int = 25) -> DataFrame:
+def h4_funding_trace(t: Tables, k: int = 25, ranges: int = 1024) -> DataFrame:
     """Top k paths FundingSource-FUNDS->Agency-MANAGES->Program-AWARDS->Vendor by FUNDS.amount.
 
     The ranking key sits on the first edge, so the plan prunes before it
-    widens. FUNDS edges are taken by amount, m at a time (1, 4, 16, ...): for
-    those edges only, the continuations (programs managed by their agencies
-    times vendors awarded by those programs) are counted, regenerating just
-    the MANAGES and AWARDS edges of the agencies and programs involved (edges
-    are functions of their source). Once the counted continuations reach k
-    paths, the last amount needed is the bound; every FUNDS edge at or above it
-    (ties included) is expanded and the top k paths are taken. Exact: every
-    other path ranks below k others. One scalar per round reaches the driver.
+    widens, and runs nothing while it is built. The continuations of every
+    agency (programs it manages times vendors those programs award) are
+    counted, FUNDS edges are dealt into ``ranges`` equal ranges of the amount,
+    and the running total of continuations over the ranges, one row for each,
+    tells how far down k paths are reached. FUNDS edges down to that range
+    (whole, so ties are included) are expanded, regenerating just the MANAGES
+    and AWARDS edges of the agencies and programs involved (edges are functions
+    of their source), and the top k paths are taken. Exact: every other path
+    ranks below k others.
     """
     g = G.grants_graph(t)
     funds = g.rel("FUNDS").select(F.col("src").alias("fund_id"), F.col("dst").alias("agency_id"), "amount")
-    order = [F.desc("amount"), "fund_id", "agency_id"]
-    m, total_edges = 1, None
-    while True:
-        top = funds.orderBy(*order).limit(m).checkpoint()
-        manages = G.manages_edges(t, top.select(_ords("agency_id", 4)).distinct())
-        awards = G.awards_edges(t, manages.select(_ords("dst", 4)).distinct())
-        per_program = awards.groupBy(F.col("src").alias("program_id")).agg(F.count("*").alias("_nv"))
-        cont = (manages.select(F.col("src").alias("agency_id"), F.col("dst").alias("program_id"))
-                .join(per_program, "program_id").groupBy("agency_id").agg(F.sum("_nv").alias("_cont")))
-        ranked = top.join(cont, "agency_id", "left").fillna(0, ["_cont"]).checkpoint()
-        covered = ranked.agg(F.sum("_cont")).first()[0] or 0
-        if covered >= k:
-            break
-        total_edges = total_edges if total_edges is not None else funds.count()
-        if m >= total_edges:
-            break
-        m *= 4
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # at most m rows
-    needed = ranked.withColumn("_before", F.coalesce(F.sum("_cont").over(w), F.lit(0))).filter(F.col("_before") < k)
-    bound = needed.agg(F.min("amount")).scalar()
-    top_funds = funds.filter(F.col("amount") >= bound)
+    managed = G.manages_edges(t, g.node("Agency").select("_ord"))
+    per_program = G.awards_edges(t, managed.select(_ords("dst", 4)).distinct()).groupBy(F.col("src").alias("program_id")).agg(F.count("*").alias("_nv"))
+    cont = (managed.select(F.col("src").alias("agency_id"), F.col("dst").alias("program_id"))
+            .join(per_program, "program_id").groupBy("agency_id").agg(F.sum("_nv").alias("_cont")))
+    top, low = funds.agg(F.max("amount")).scalar(), funds.agg(F.min("amount")).scalar()
+    dealt = funds.withColumn("_range", F.floor((top - F.col("amount")) * ranges / (top - low + 1)))
+    totals = dealt.join(cont, "agency_id").groupBy("_range").agg(F.sum("_cont").alias("_n"))
+    running = totals.withColumn("_so_far", F.sum("_n").over(Window.orderBy("_range")))  # ``ranges`` rows at most
+    last = running.filter(F.col("_so_far") >= k).agg(F.coalesce(F.min("_range"), F.lit(ranges))).scalar()
+    top_funds = dealt.filter(F.col("_range") <= last).drop("_range")
     f = g.node("FundingSource").select("fund_id", F.col("name").alias("fund_source"), "category")
     x = f.join(top_funds, "fund_id")
     x = x.join(g.node("Agency").select("agency_id", F.col("name").alias("agency")), "agency_id")
     manages = G.manages_edges(t, top_funds.select(_ords("agency_id", 4)).distinct())
     x = hop(x, "agency_id", manages, g.node("Program"), "program_id", target_cols={"name": "program"})
-    awards = G.awards_edges(t, x.select(_ords("program_id", 4)).distinct())
+    awards = G.awards_edges(t, manages.select(_ords("dst", 4)).distinct())
     x = hop(x, "program_id", awards, g.node("Vendor"), "vendor_id", target_cols={"name": "vendor"})
     out = x.select("fund_source", "category", "agency", "program", "vendor", "amount")
     return top_k(out, k, [F.desc("amount"), "fund_source", "category", "agency", "program", "vendor"])
@@ -328,6 +320,15 @@ def h33_caseworker_communities(t: Tables) -> DataFrame:
             .groupBy("caseworkers").agg(F.count("*").alias("communities")).orderBy("caseworkers"))
 
 
+def h33_caseworker_modularity(t: Tables, rounds: int = 8) -> DataFrame:
+    """Communities of caseworkers who share clients, by local moves that raise modularity, with their size and share."""
+    g = G.benefits_graph(t)
+    cw = hop(g.rel("HAS_CASE").select(F.col("src").alias("client_id"), F.col("dst").alias("case_id")), "case_id",
+             g.rel("MANAGED_BY"), out_key="caseworker_id")
+    links = settled(co_membership(cw, "client_id", "caseworker_id"), "links")
+    return modularity(links, communities(links, rounds)).orderBy("community")
+
+
 # ----------------------------------------------------------------- H14 / H22
 def h14_label_counts(t: Tables) -> DataFrame:
     parts = []
@@ -495,3 +496,17 @@ def h30_export_case_management(t: Tables) -> DataFrame:
             target_cols={"name": "agency_name"}).drop("agency_id")
     return hop(x, "case_id", g.rel("ENROLLED_IN", "Case"), g.node("HHSProgram"), "program_id",
                target_cols={"name": "program_name"}, optional=True).drop("program_id")
+
+
+def f17_edge_properties(t: Tables) -> DataFrame:
+    """rows, distinct values, least and greatest value of the properties of six relationships that are drawn per edge
+    or taken from one end."""
+    c, k, p = G.citizen_graph(t), G.early_warning_graph(t), G.procurement_graph(t)
+    wanted = [(c, "SUBMITTED", "channel"), (k, "ATTENDS", "enrollment_date"), (p, "ISSUED", "fiscal_year"), (p, "AWARDED_TO", "award_date"),
+              (p, "AWARDED_TO", "bid_count"), (p, "SUBCONTRACTS_TO", "scope"), (p, "REPRESENTS", "since")]
+    parts = [g.rel(rel).agg(F.count(x).alias("n"), F.count_distinct(x).alias("values"), F.min(x).cast("string").alias("least"), F.max(x).cast("string").alias("greatest"))
+             .select(F.lit(rel).alias("relationship_type"), F.lit(x).alias("property"), "*") for g, rel, x in wanted]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out

@@ -79,6 +79,11 @@ def _node_values(edges: DataFrame, ord_col: str, label: str, cols: list[dict], s
     return apply_spec(edges, cols, key=ord_col, seed=f"{seed}/{label}", keep=edges.columns)
 
 
+def _more(label: str, name: str) -> list[dict]:
+    """The spec of one of a label's further properties (``node_properties``)."""
+    return [c for c in with_more(label, []) if c["name"] == name]
+
+
 def _ids(df: DataFrame, ord_col: str, prefix: str, width: int) -> Column:
     return padded(prefix, F.col(ord_col) + 1, width)
 
@@ -87,7 +92,12 @@ def _u(seed, rel, tag, *cols):
     return unif(seed, f"{rel}#{tag}", *cols)
 
 
+#: "Today" of properties that are dates relative to it; fixed, as every value is a function of seed and key.
+AS_OF = "2025-12-31"
+
+
 # ------------------------------------------------------------------ FIXED VALUES
+SUBMIT_CHANNELS = ["phone", "web", "app", "walk_in"]
 DEPARTMENTS = ["Computer Science", "Mathematics", "English", "Biology", "Chemistry", "Physics", "History",
                "Psychology", "Business Administration", "Engineering", "Nursing", "Education", "Art", "Music",
                "Philosophy", "Political Science", "Sociology", "Economics"]
@@ -380,7 +390,8 @@ def citizen_graph(t: Tables, seed=SEED) -> Graph:
         rel = "SUBMITTED"
         sp = E.distinct_pairs(t.orders, "o_orderkey", rows(t.customer), rows(t.orders), seed, rel)
         return sp.select(
-        _ids(sp, "a_ord", "CIT-", 5).alias("src"), _ids(sp, "b_ord", "SR-", 6).alias("dst"))
+        _ids(sp, "a_ord", "CIT-", 5).alias("src"), _ids(sp, "b_ord", "SR-", 6).alias("dst"),
+        pick(_u(seed, rel, "channel", F.col("a_ord"), F.col("b_ord")), SUBMIT_CHANNELS).alias("channel"))
     g.add_edges("SUBMITTED", "Citizen", "ServiceRequest", _submitted_citizen)
     def _assigned_to_servicerequest() -> DataFrame:
         rel = "ASSIGNED_TO"
@@ -467,7 +478,9 @@ def early_warning_graph(t: Tables, seed=SEED) -> Graph:
 
     def _attends_k12student() -> DataFrame:
         at = _attends_raw()
-        return at.select(_ids(at, "src", "K12-", 5).alias("src"), F.col("school_id").alias("dst"))
+        back = int_between(_u(seed, "ATTENDS", "days", F.col("src")), 0, 999).cast("int")
+        return at.select(_ids(at, "src", "K12-", 5).alias("src"), F.col("school_id").alias("dst"),
+                         F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), back), "yyyy-MM-dd").alias("enrollment_date"))
     g.add_edges("ATTENDS", "K12Student", "School", _attends_k12student)
 
     def _taught_by_k12student() -> DataFrame:
@@ -475,8 +488,9 @@ def early_warning_graph(t: Tables, seed=SEED) -> Graph:
         st = _attends_raw().select(F.col("src").alias("_s"), "school_id")
         tb = E.two_hop_targets(st, "_s", "school_id", g.node("Teacher"), "teacher_id", "school_id", 3, seed, rel)
         # teachers of the student's own school, drawn inside the school (no student x teacher pairs)
+        tb = tb.join(g.node("Teacher").select(F.col("teacher_id").alias("dst"), "subject"), "dst")
         return tb.select(
-            _ids(tb, "src", "K12-", 5).alias("src"), F.col("dst"),
+            _ids(tb, "src", "K12-", 5).alias("src"), F.col("dst"), "subject",
             int_between(_u(seed, rel, "period", F.col("src"), F.col("dst")), 1, 8).alias("period"))
     g.add_edges("TAUGHT_BY", "K12Student", "Teacher", _taught_by_k12student)
     def _targets_intervention() -> DataFrame:
@@ -541,27 +555,32 @@ def procurement_graph(t: Tables, seed=SEED) -> Graph:
         rel = "ISSUED"
         iss = E.distinct_pairs(t.part, "p_partkey", rows(t.nation), rows(t.part), seed, rel)
         return iss.select(
-        _ids(iss, "a_ord", "PAGY-", 3).alias("src"), _ids(iss, "b_ord", "CTR-", 5).alias("dst"))
+        _ids(iss, "a_ord", "PAGY-", 3).alias("src"), _ids(iss, "b_ord", "CTR-", 5).alias("dst"),
+        int_between(_u(seed, rel, "year", F.col("a_ord"), F.col("b_ord")), 2023, 2025).alias("fiscal_year"))
     g.add_edges("ISSUED", "ProcAgency", "Contract", _issued_procagency)
     def _awarded_to_contract() -> DataFrame:
         rel = "AWARDED_TO"
         aw = E.k_targets(g.node("Contract").select("_ord"), "_ord", rows(t.supplier), 1, 1, seed, rel)
+        aw = _node_values(aw, "src", "Contract", _more("Contract", "start_date"), seed)
         return aw.select(
-        _ids(aw, "src", "CTR-", 5).alias("src"), _ids(aw, "dst_ord", "PVND-", 4).alias("dst"))
+        _ids(aw, "src", "CTR-", 5).alias("src"), _ids(aw, "dst_ord", "PVND-", 4).alias("dst"), F.col("start_date").alias("award_date"),
+        int_between(_u(seed, rel, "bids", F.col("src")), 1, 12).alias("bid_count"))
     g.add_edges("AWARDED_TO", "Contract", "ProcVendor", _awarded_to_contract)
     def _subcontracts_to_procvendor() -> DataFrame:
         rel = "SUBCONTRACTS_TO"
         sc = E.bernoulli_edges(g.node("ProcVendor").select("_ord", F.col("_ord").alias("_me")), "_ord", rows(t.supplier), 0.005, seed,
                                rel, exclude_self_ordinal="_me")
+        sc = _node_values(sc, "dst_ord", "ProcVendor", _more("ProcVendor", "specialty"), seed)
         return sc.select(
-        _ids(sc, "src", "PVND-", 4).alias("src"), _ids(sc, "dst_ord", "PVND-", 4).alias("dst"),
+        _ids(sc, "src", "PVND-", 4).alias("src"), _ids(sc, "dst_ord", "PVND-", 4).alias("dst"), F.col("specialty").alias("scope"),
         int_between(_u(seed, rel, "pct", F.col("src"), F.col("dst_ord")), 5, 44).alias("percentage"))
     g.add_edges("SUBCONTRACTS_TO", "ProcVendor", "ProcVendor", _subcontracts_to_procvendor)
     def _represents_lobbyist() -> DataFrame:
         rel = "REPRESENTS"
         rp = E.bernoulli_edges(g.node("Lobbyist").select("_ord"), "_ord", rows(t.supplier), 0.02, seed, rel)
+        rp = _node_values(rp, "src", "Lobbyist", _more("Lobbyist", "registration_date"), seed)
         return rp.select(
-        _ids(rp, "src", "LOB-", 4).alias("src"), _ids(rp, "dst_ord", "PVND-", 4).alias("dst"))
+        _ids(rp, "src", "LOB-", 4).alias("src"), _ids(rp, "dst_ord", "PVND-", 4).alias("dst"), F.col("registration_date").alias("since"))
     g.add_edges("REPRESENTS", "Lobbyist", "ProcVendor", _represents_lobbyist)
     return g
 
@@ -649,7 +668,8 @@ def benefits_graph(t: Tables, seed=SEED) -> Graph:
                                0.003, seed, rel, block="county", exclude_self_ordinal="_me")
         rf = rf.join(cl.select(F.col("_ord").alias("_dst"), "county", F.col("_bo").alias("dst_ord")), ["county", "dst_ord"])
         return rf.select(
-        _ids(rf, "src", "CLT-", 5).alias("src"), _ids(rf, "_dst", "CLT-", 5).alias("dst"), F.lit("community").alias("source"))
+        _ids(rf, "src", "CLT-", 5).alias("src"), _ids(rf, "_dst", "CLT-", 5).alias("dst"), F.lit("community").alias("source"),
+        F.lit(AS_OF).alias("date"))
     g.add_edges("REFERRED", "Client", "Client", _referred_client)
     return g
 

@@ -1404,7 +1404,7 @@ SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name,
        CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
                         WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date'
                         ELSE lower(column_type) END AS data_type,
-       "null" = 'YES' AS is_nullable, (SELECT count(*) FROM orders) AS row_count
+       "null" = 'YES' AS is_nullable, CAST(NULL AS VARCHAR) AS column_default, (SELECT count(*) FROM orders) AS row_count
 FROM (DESCRIBE orders)
 """
 
@@ -1505,3 +1505,111 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate,
        o_orderpriority
 FROM orders ORDER BY o_orderkey LIMIT 5
 """
+
+
+# --- tables with defaults, descriptive columns, edge properties, communities; values as the source states them -------
+def _add_table_and_community_oracles():
+    O = ORACLE
+    npart, nnation, nsupp = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM nation)", "(SELECT count(*) FROM supplier)"
+    ncust, nord = "(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)"
+    # the place of created_at in each table's definition, and the table its rows come from
+    places = {"students": (12, "customer"), "courses": (10, "part"), "enrollment_events": (11, "orders"), "budget_transactions": (16, "orders"),
+              "agencies": (8, "nation"), "vendors": (10, "supplier"), "service_requests": (16, "orders"), "citizens": (9, "customer"),
+              "assets": (10, "part"), "k12_students": (14, "customer"), "k12_events": (11, "orders"), "schools": (10, "nation"),
+              "procurement_events": (16, "orders"), "contracts": (13, "part"), "case_events": (16, "orders"), "clients": (11, "customer"),
+              "cases": (13, "orders")}
+    O["source_e_table_defaults"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, 'created_at' AS column_name, 'current_timestamp()' AS column_default, {at} AS position, "
+        f"(SELECT count(*) FROM {src}) AS row_count, (SELECT count(*) FROM {src}) AS filled" for n, (at, src) in places.items())
+    costs = ["Personnel costs -", "Equipment purchase -", "Professional services for", "Facilities maintenance -", "Software licensing -",
+             "Travel and training -", "Capital improvement -", "Consulting fees for", "Research equipment -", "Program supplies for",
+             "Building renovation -", "IT infrastructure for"]
+    programs = ["Infrastructure", "Public Safety", "Youth Development", "Senior Services", "Education Technology", "Workforce Training",
+                "Community Health", "Housing Development", "Digital Equity", "Economic Development"]
+    requests = ["Pothole Repair", "Streetlight Outage", "Water Main Break", "Noise Complaint", "Illegal Dumping", "Graffiti Removal",
+                "Tree Trimming", "Sidewalk Repair", "Traffic Signal", "Building Inspection", "Permit Application", "Animal Control",
+                "Park Maintenance", "Snow Removal", "Sewer Backup", "Abandoned Vehicle"]
+    school_events = ["Attendance", "Discipline", "Assessment", "Intervention", "Counselor Note", "Parent Contact", "Iep Review", "Health Screening"]
+    categories = ["Construction", "Professional Services", "It Services", "Equipment", "Supplies", "Facilities", "Consulting", "Staffing",
+                  "Transportation", "Utilities"]
+    from ..functions import pools  # the lists of streets and cities
+
+    def u(table, name, key):
+        return du(name, key, f"{SEED}/{table}")
+    o, c = "o_orderkey", "p_partkey"
+    texts = {("budget_transactions", "description", "orders"): f"concat({dpick(u('budget_transactions', '_what', o), costs)}, ' ', {dpick(u('budget_transactions', '_for', o), programs)})",
+             ("service_requests", "description", "orders"): f"concat({dpick(u('service_requests', '_what', o), requests)}, ' at ', {dint(u('service_requests', '_no', o), 100, 9999)}, ' ', {dpick(u('service_requests', '_street', o), pools.STREET_NAMES)})",
+             ("k12_events", "details", "orders"): f"concat({dpick(u('k12_events', '_what', o), school_events, [10, 3, 5, 2, 2, 2, 1, 1])}, ' event recorded')",
+             ("contracts", "title", "part"): f"concat({dpick(u('contracts', '_what', c), categories)}, ' - Project ', {dint(u('contracts', '_no', c), 1, 999)})",
+             ("case_events", "county", "orders"): f"concat({dpick(u('case_events', '_city', o), pools.CITIES)}, ' County')"}
+    O["source_e_text_columns"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{n}' AS column_name, count(x) AS n, count(DISTINCT x) AS \"values\", min(x) AS least, max(x) AS greatest, "
+        f"CAST(sum(length(x)) AS BIGINT) AS characters FROM (SELECT {sql} AS x FROM {src})" for (t, n, src), sql in texts.items())
+    O["source_f15_only_missing_edges"] = (
+        f"SELECT CAST(1 + src % 2 AS INTEGER) AS version, count(DISTINCT src) AS sources, count(*) AS edges, CAST(sum(dst_ord) AS BIGINT) AS targets "
+        f"FROM {dk_targets('customer', 'c_custkey', 'ENROLLED_IN', npart, 2, 5)} e GROUP BY 1")
+    O["graph_t_h20_returned_then_reordered"] = (
+        "WITH l AS (SELECT o_custkey AS customer, l_partkey AS part, l_returnflag AS f, o_orderdate AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey) "
+        "SELECT a.customer, a.part, a.d AS returned_order, b.d AS later_order, b.f AS later_flag FROM l a JOIN l b "
+        "ON a.customer = b.customer AND a.part = b.part AND b.d > a.d WHERE a.f = 'R'")
+    O["graph_t_h31_shared_parts"] = (
+        "WITH h AS (SELECT DISTINCT o_custkey AS customer, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey), "
+        "one AS (SELECT customer FROM h GROUP BY customer ORDER BY count(*) DESC, customer LIMIT 1) "
+        "SELECT customer, count(*) AS shared_parts FROM h WHERE part IN (SELECT part FROM h WHERE customer = (SELECT customer FROM one)) "
+        "AND customer <> (SELECT customer FROM one) GROUP BY customer HAVING count(*) >= 3")
+
+    def day(name, key, label, y0, y1):
+        return dspec({"name": name, "type": "date", "begin": f"{y0}-01-01", "end": f"{y1}-12-31", "random": True}, key, f"{SEED}/{label}")
+    goods = ["Construction", "Professional Services", "IT Services & Equipment", "Office Supplies", "Facilities Management", "Consulting",
+             "Staffing & Temp Services", "Transportation & Fleet", "Utilities", "Medical & Lab Supplies", "Security Services", "Food Services",
+             "Janitorial Services", "Legal Services", "Marketing & Communications"]
+    ab = "CAST(a_ord AS VARCHAR) || ':' || CAST(b_ord AS VARCHAR)"
+    edges = [("SUBMITTED", "channel", dpick(du("SUBMITTED#channel", ab), ["phone", "web", "app", "walk_in"]), dpairs("orders", "o_orderkey", ncust, nord, "SUBMITTED")),
+             ("ATTENDS", "enrollment_date", f"strftime(DATE '2025-12-31' - CAST({dint(du('ATTENDS#days', 'src'), 0, 999)} AS INTEGER), '%Y-%m-%d')",
+              dk_targets("customer", "c_custkey", "ATTENDS", nnation, 1, 1)),
+             ("ISSUED", "fiscal_year", dint(du("ISSUED#year", ab), 2023, 2025), dpairs("part", "p_partkey", nnation, npart, "ISSUED")),
+             ("AWARDED_TO", "award_date", day("start_date", "src", "Contract", 2022, 2025), dk_targets("part", "p_partkey", "AWARDED_TO", nsupp, 1, 1)),
+             ("AWARDED_TO", "bid_count", dint(du("AWARDED_TO#bids", "src"), 1, 12), dk_targets("part", "p_partkey", "AWARDED_TO", nsupp, 1, 1)),
+             ("SUBCONTRACTS_TO", "scope", dpick(du("specialty", "dst_ord", f"{SEED}/ProcVendor"), goods),
+              dbern("supplier", "s_suppkey", nsupp, 0.005, "SUBCONTRACTS_TO", no_self=True)),
+             ("REPRESENTS", "since", day("registration_date", "src", "Lobbyist", 2018, 2025), dbern("supplier", "s_suppkey", nsupp, 0.02, "REPRESENTS"))]
+    O["graph_f17_edge_properties"] = " UNION ALL ".join(
+        f"SELECT '{r}' AS relationship_type, '{n}' AS property, count(x) AS n, count(DISTINCT x) AS \"values\", CAST(min(x) AS VARCHAR) AS least, "
+        f"CAST(max(x) AS VARCHAR) AS greatest FROM (SELECT {sql} AS x FROM {src} e)" for r, n, sql, src in edges)
+    hc = dpairs("orders", "o_orderkey", ncust, nord, "HAS_CASE")
+    mb = dk_targets("orders", "o_orderkey", "MANAGED_BY", nsupp, 1, 1)
+    ids = "concat('{p}', lpad(CAST({o} + 1 AS VARCHAR), {w}, '0'))"
+    client, worker = ids.format(p="CLT-", o="h.a_ord", w=5), ids.format(p="CW-", o="m.dst_ord", w=4)
+    ctes = [f"x AS (SELECT DISTINCT {client} AS g, {worker} AS m FROM {hc} h JOIN {mb} m ON m.src = h.b_ord)",
+            "y AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY md5(concat(g, ':', m))) AS o FROM x)",
+            "l AS MATERIALIZED (SELECT least(p.m, q.m) AS a, greatest(p.m, q.m) AS b, count(*) AS w FROM y p JOIN y q ON p.g = q.g AND q.o BETWEEN p.o + 1 AND p.o + 8 GROUP BY 1, 2)",
+            "e AS MATERIALIZED (SELECT a, b, w FROM l UNION ALL SELECT b, a, w FROM l)",
+            "t AS (SELECT sum(w) AS two_m FROM e)",
+            "n AS MATERIALIZED (SELECT a AS node, CAST(sum(w) AS HUGEINT) AS k FROM e GROUP BY a)"]
+
+    def level(tag, ways, nodes):
+        """Eight rounds of moves among ``nodes`` (node, k) over ``ways`` (a, b, w); the communities are in {tag}f."""
+        out = [f"{tag}c0 AS (SELECT node, k, node AS c FROM {nodes})"]
+        for r in range(8):
+            was, now = f"{tag}c{r}", f"{tag}c{r + 1}"
+            out.append(f"{tag}s{r} AS (SELECT c, sum(k) AS tot FROM {was} GROUP BY c)")
+            out.append(f"{tag}v{r} AS (SELECT u.node, u.k, u.c AS own, z.c, sum(z.w) AS w FROM {was} u JOIN (SELECT y.a AS node, d.c, y.w FROM {ways} y JOIN {was} d ON d.node = y.b "
+                       f"UNION ALL SELECT node, c, 0 FROM {was}) z ON z.node = u.node WHERE ascii(substr(md5(concat(u.node, ':{r}')), 1, 1)) % 2 = 0 GROUP BY ALL)")
+            out.append(f"{tag}b{r} AS (SELECT node, c FROM {tag}v{r} JOIN {tag}s{r} USING (c), t QUALIFY row_number() OVER (PARTITION BY node ORDER BY "
+                       f"two_m * w - k * (tot - CASE WHEN c = own THEN k ELSE 0 END) DESC, c <> own, c) = 1)")
+            out.append(f"{now} AS MATERIALIZED (SELECT q.node, q.k, coalesce(b.c, q.c) AS c FROM {was} q LEFT JOIN {tag}b{r} b ON b.node = q.node)")
+        return out + [f"{tag}f AS MATERIALIZED (SELECT node, k, min(node) OVER (PARTITION BY c) AS community FROM {tag}c8)"]
+    ctes += level("a", "e", "n")
+    ctes += ["e2 AS MATERIALIZED (SELECT p.community AS a, q.community AS b, CAST(sum(w) AS BIGINT) AS w FROM e JOIN af p ON p.node = e.a JOIN af q ON q.node = e.b WHERE p.community <> q.community GROUP BY 1, 2)",
+             "n2 AS (SELECT community AS node, sum(k) AS k FROM af GROUP BY 1)"]
+    ctes += level("z", "e2", "n2")
+    O["graph_h33_caseworker_modularity"] = (
+        f"WITH {', '.join(ctes)}, f AS (SELECT af.node, zf.community FROM af JOIN zf ON zf.node = af.community), "
+        "d AS (SELECT community, count(DISTINCT node) AS members, CAST(sum(w) AS BIGINT) AS degree FROM f JOIN e ON e.a = f.node GROUP BY 1), "
+        "i AS (SELECT f.community, CAST(sum(w) AS BIGINT) AS inside FROM l JOIN f ON f.node = l.a JOIN f g ON g.node = l.b AND g.community = f.community GROUP BY 1) "
+        "SELECT community, members, coalesce(inside, 0) AS inside, degree, "
+        "round(coalesce(inside, 0) / CAST(two_m / 2 AS DOUBLE) - (degree / CAST(two_m AS DOUBLE)) * (degree / CAST(two_m AS DOUBLE)), 6) AS modularity "
+        "FROM d LEFT JOIN i USING (community), t ORDER BY community")
+
+
+_add_table_and_community_oracles()

@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.edges import k_targets
 from ..session import scratch_path
 from ..sources import audit as AU
 from ..sources import kv as KV
 from ..sources import tables as TB
 from ..sources.fixtures import TABLES, Tables, register_views, table_path
+from ..sources.graph_store import EdgeStore
+from .datasets import SPECS, build_table, create_statement, rows
 
 
 def a8_upsert_customers(t: Tables) -> DataFrame:
@@ -82,3 +85,51 @@ def a27_federated_sql(t: Tables) -> DataFrame:
     """Tables registered as views (JDBC tables go through ``sources.jdbc.register_views``)."""
     register_views(t.spark, t.sf_dir, ["customer", "nation"])
     return t.spark.sql(FEDERATED_SQL)
+
+
+def e_table_defaults(t: Tables) -> DataFrame:
+    """E1-E6 as tables with column defaults: each of the 17 is created from DDL text, filled from its generator without
+    ``created_at``, and described; one row for each column that has a default."""
+    run = uuid.uuid4().hex[:8]
+    parts = []
+    for table in SPECS:
+        name = f"tidewell_{table}_{run}"
+        TB.create_from_ddl(t.spark, create_statement(table, name, scratch_path(t.spark, f"e-{run}/{table}")), name)
+        TB.insert_with_defaults(build_table(t, table), name)
+        df = t.spark.table(name)
+        filled = df.select(F.count("created_at")).scalar()
+        parts.append(TB.describe(df).filter(F.col("column_default").isNotNull())
+                     .select(F.lit(table).alias("table_name"), "column_name", "column_default", "position", "row_count", filled.alias("filled")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+TEXT_COLUMNS = {"budget_transactions": "description", "service_requests": "description", "k12_events": "details", "contracts": "title",
+                "case_events": "county"}
+
+
+def e_text_columns(t: Tables) -> DataFrame:
+    """The descriptive columns of E2-E6: rows, distinct values, least and greatest value and total length of each."""
+    parts = [build_table(t, table).agg(F.count(c).alias("n"), F.count_distinct(c).alias("values"), F.min(c).alias("least"), F.max(c).alias("greatest"),
+                                       F.sum(F.length(c)).alias("characters")).select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "*")
+             for table, c in TEXT_COLUMNS.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def f15_only_missing_edges(t: Tables) -> DataFrame:
+    """enrolment edges populated in two runs, first for the students of even number, then for all: the second run adds
+    edges of the others only. Sources and edges by the version that wrote them."""
+    store = EdgeStore(t.spark, scratch_path(t.spark, f"edges-{uuid.uuid4().hex[:8]}"))
+    students = t.customer.select(F.col("c_custkey").cast("bigint").alias("_ord"))
+
+    def build(missing: DataFrame) -> DataFrame:
+        return k_targets(missing, "_ord", rows(t.part), 2, 5, 42, "ENROLLED_IN").select("src", F.col("dst_ord").alias("dst"))
+
+    store.populate(students.filter("_ord % 2 = 0"), "_ord", build)
+    store.populate(students, "_ord", build)
+    return store.edges().groupBy("version").agg(F.count_distinct("src").alias("sources"), F.count(F.lit(1)).alias("edges"), F.sum("dst").alias("targets"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -78,3 +79,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a table below the shared checkpoint folder and read back: cuts lineage as ``checkpoint()``
+    does, and gives the planner the size of what is there. (A checkpointed frame keeps its plan's estimate, which in a loop
+    of joins is multiplied in every round.)"""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

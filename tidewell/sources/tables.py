@@ -54,6 +54,34 @@ def create_if_absent(spark: SparkSession, target: str, schema: T.StructType) ->
     return True
 
 
+def create_from_ddl(spark: SparkSession, ddl: str, name: str) -> bool:
+    """A16 from DDL text (``CREATE TABLE IF NOT EXISTS ...``), whose column DEFAULTs the table keeps; True when created."""
+    before = spark.catalog.tableExists(name)
+    spark.sql(ddl)
+    return not before
+
+
+def insert_with_defaults(df: DataFrame, name: str) -> int:
+    """A9 / A17 into a catalog table: columns that ``df`` lacks are filled with their DEFAULT, or null; returns the rows."""
+    spark = df.sparkSession
+    have = {c.lower() for c in df.columns}
+    unknown = have - {c.lower() for c in spark.table(name).columns}
+    if unknown:
+        raise ValueError(f"{name} has no column {sorted(unknown)}")
+    cols = [f.name for f in spark.table(name).schema.fields if f.name.lower() in have]
+    obs = Observation("insert")
+    df.select(*cols).observe(obs, F.count(F.lit(1)).alias("rows")).createOrReplaceTempView("_tidewell_insert")
+    names = ", ".join(f"`{c}`" for c in cols)
+    spark.sql(f"INSERT INTO {name} ({names}) SELECT {names} FROM _tidewell_insert")
+    spark.catalog.dropTempView("_tidewell_insert")
+    return int(obs.get["rows"])
+
+
+def column_default(field: T.StructField) -> str | None:
+    """The SQL text of a column's DEFAULT, as Spark keeps it in the column's metadata."""
+    return (field.metadata or {}).get("CURRENT_DEFAULT")
+
+
 def truncate(spark: SparkSession, target: str) -> dict:
     """Row count before, then an empty table with the same schema; missing -> table_not_found."""
     if not exists(spark, target):
@@ -106,10 +134,10 @@ def count_status(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Column, type, nullability and position of a table, plus its row count."""
+    """Column, type, nullability, default and position of a table, plus its row count."""
     spark = df.sparkSession
-    rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    cols = spark.createDataFrame(rows, "position int, column_name string, data_type string, is_nullable boolean")
+    rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable, column_default(f)) for i, f in enumerate(df.schema.fields)]
+    cols = spark.createDataFrame(rows, "position int, column_name string, data_type string, is_nullable boolean, column_default string")
     return cols.withColumn("row_count", df.select(F.count(F.lit(1))).scalar())
 
 

@@ -8,9 +8,11 @@
                      column spec -> JSON records -> sink, with a trigger
                      interval, a time limit and progress from ``lastProgress``
 * ``to_table``       A10 append a stream to a parquet table with a checkpoint
-* ``preview``        A13 a short-lived memory-sink view with a fresh checkpoint
-* ``dual_write``     A23 each micro-batch goes to the topic folder and to an
-                     audit table, idempotent per batch id (replays overwrite)
+* ``preview``        A13 a view of the latest micro-batch's first rows, with a
+                     fresh checkpoint
+* ``dual_write``     A23 each micro-batch goes to the topic and to an audit
+                     table and is then listed in a manifest, by which readers
+                     see it in both or in none
 * ``upsert_run``     windowed aggregations in ``update`` mode written per batch
                      and read back as the latest row per key
 
@@ -25,12 +27,13 @@ import time
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.spec import apply_spec
 from ..session import scratch_path
+from ..sources.fixtures import path_exists
 
 KAFKA_FORMAT = "kafka"
 
@@ -147,12 +150,21 @@ def state_partitioning(spark: SparkSession, n: int | None = None):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def preview(df: DataFrame, name: str) -> StreamingQuery:
-    """Show a running stream in a memory table with a fresh scratch checkpoint (small previews only)."""
+def preview(df: DataFrame, name: str, rows: int = 1000) -> StreamingQuery:
+    """Show a running stream as the view ``name``, with a fresh scratch checkpoint: the first ``rows`` rows of the latest
+    micro-batch that had any, whatever the stream's size. Nothing is kept in the driver; the view reads a scratch table."""
     spark = df.sparkSession
-    ckpt = scratch_path(spark, f"preview-{name}-{uuid.uuid4().hex[:8]}")
-    return (df.writeStream.format("memory").queryName(name).option("checkpointLocation", ckpt)
-            .outputMode("append").start())
+    base = scratch_path(spark, f"preview-{name}-{uuid.uuid4().hex[:8]}")
+
+    def show(batch: DataFrame, batch_id: int) -> None:
+        first = f"{base}/out/batch_id={batch_id}"
+        batch.limit(rows).write.mode("overwrite").parquet(first)
+        shown = batch.sparkSession.read.schema(batch.schema).parquet(first)
+        if batch_id == 0 or not shown.isEmpty():
+            shown.createOrReplaceGlobalTempView(name)
+
+    spark.createDataFrame([], df.schema).createOrReplaceGlobalTempView(name)
+    return df.writeStream.foreachBatch(show).option("checkpointLocation", f"{base}/ckpt").start()
 
 
 def dual_write(df: DataFrame, topic_folder: str | None, audit_path: str, checkpoint: str, topic: str, user_id: str,
@@ -160,29 +172,72 @@ def dual_write(df: DataFrame, topic_folder: str | None, audit_path: str, checkpo
     """Every message (``value``, ``timestamp``) goes to the topic and to the audit table.
 
     The caller chooses the topic: with ``kafka`` (connector options) a Kafka
-    topic, else the folder ``topic_folder``. Folders are written under
-    ``batch_id=<id>`` with overwrite, so a replayed batch replaces its own
-    output; ``created_at`` is the message's own time, so it is the same again.
+    topic, else the folder ``topic_folder``. A batch is committed by a manifest
+    entry that is written after both sinks, so readers who go by it
+    (``committed``) see a batch in both or in none, and a batch that is in it is
+    not written again. A batch that failed between the sinks is replayed: folders
+    are written under ``batch_id=<id>`` with overwrite, and Kafka messages carry
+    ``message_id`` in their headers, the same on a replay, by which a consumer
+    drops what it has seen (``message_ids``).
     """
-    if (kafka is None) == (topic_folder is None):
+    if (topic_folder is None) == (kafka is None):
         raise ValueError("choose one of topic_folder and kafka")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        msgs = batch.select(F.col("value").cast("string").alias("value"), "timestamp").persist()
+    def to_topic_sink(msgs: DataFrame, batch_id: int) -> None:
         if kafka is not None:
-            msgs.select("value").write.format(KAFKA_FORMAT).options(**kafka).option("topic", topic).save()
+            header = F.array(F.struct(F.lit("message_id").alias("key"), F.col("message_id").cast("binary").alias("value")))
+            (msgs.select("value", header.alias("headers")).write.format(KAFKA_FORMAT).options(**kafka).option("topic", topic)
+             .option("includeHeaders", "true").save())
         else:
             msgs.select("value").write.mode("overwrite").text(os.path.join(topic_folder, f"batch_id={batch_id}"))
+
+    def to_audit(msgs: DataFrame, batch_id: int) -> None:
         (msgs.select(F.lit("message_sent").alias("event_type"), F.lit(user_id).alias("user_id"),
                      F.lit(topic).alias("topic_name"), F.col("value").alias("topic_message"),
                      F.col("timestamp").alias("created_at"))
          .write.mode("overwrite").parquet(os.path.join(audit_path, f"batch_id={batch_id}")))
+
+    return write_together(df, [to_topic_sink, to_audit], manifest_path(audit_path), checkpoint, available_now)
+
+
+def manifest_path(audit_path: str) -> str:
+    """Where the batches that both sinks have are listed (a hidden folder of the audit table)."""
+    return os.path.join(audit_path, "_commits")
+
+
+def message_ids(batch: DataFrame, batch_id: int) -> DataFrame:
+    """``value``, ``timestamp`` and ``message_id``: a name for each message that a replay of the batch gives again. Equal
+    messages of one batch are numbered; which of them has which number does not matter."""
+    name = F.md5(F.concat_ws(":", F.lit(str(batch_id)), F.col("value"), F.col("timestamp").cast("string")))
+    each = Window.partitionBy("_name").orderBy(F.lit(0))
+    return (batch.select(F.col("value").cast("string").alias("value"), "timestamp").withColumn("_name", name)
+            .withColumn("message_id", F.concat_ws("-", "_name", F.row_number().over(each).cast("string"))).drop("_name"))
+
+
+def write_together(df: DataFrame, sinks: list, manifest: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write every micro-batch of ``df`` (``value``, ``timestamp``) to all ``sinks``, functions of (messages, batch id), and
+    then list it in ``manifest``; a batch in the manifest is skipped when it comes again."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entry = f"{manifest}/batch_id={batch_id}"
+        if path_exists(spark, f"{entry}/_SUCCESS"):
+            return
+        msgs = message_ids(batch, batch_id).persist()
+        for sink in sinks:
+            sink(msgs, batch_id)
+        msgs.agg(F.count(F.lit(1)).alias("messages")).write.mode("overwrite").parquet(entry)
         msgs.unpersist()
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def committed(spark: SparkSession, path: str, manifest: str, fmt: str = "parquet") -> DataFrame:
+    """The rows below ``path`` (``batch_id=<id>`` folders) of the batches that ``manifest`` lists."""
+    done = spark.read.parquet(manifest).select("batch_id").distinct()
+    return spark.read.format(fmt).load(path).join(done, "batch_id", "left_semi")
+
+
 def upsert_run(df: DataFrame, keys: list[str], path: str, checkpoint: str,
                state_partitions: int | None = None) -> DataFrame:
     """Run an aggregating stream in ``update`` mode to completion (available-now) and
