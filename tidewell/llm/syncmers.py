@@ -5,11 +5,9 @@ depends on the k-mer alone, so equal passages yield equal anchors at any place o
 the k-mers across it. A fingerprint is the base64 text of the anchors' 32-bit hashes in text order; likeness is the
 Jaccard similarity of two fingerprints' distinct hashes.
 
-Texts shorter than 4k take shorter k-mers (k/4) in their fingerprints, whose hashes agree with texts of that kind only; so
-an edited text takes the k-mers of its original's kind, and when one of two neighbours is that short, their likeness is
-taken from the shorter k-mers of both.
+One k holds for texts of every length, so a fingerprint is a function of the text alone and any two can be compared.
 
-Defined results: a null text counts as empty; an empty text has the fingerprint ""; a text shorter than k/4 has one
+Defined results: a null text counts as empty; an empty text has the fingerprint ""; a text shorter than k has one
 anchor, the hash of the whole text; two empty fingerprints are alike (1.0), an empty and another one not (0.0). Rows
 with equal doc_id (null: first) follow each other in the order of their texts' hashes. Extra columns are ignored.
 """
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, CHUNK, U64, by_size, jaccard, mix64, tasks
 
-K, S = 32, 8
+K, S = 16, 4
 
 
 def _rolling(h: np.ndarray, width: int, to: int) -> np.ndarray:
@@ -83,27 +81,9 @@ def _spread(texts: list[str], k: int, s: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def is_small(text: str, k: int = K) -> bool:
-    return len(text) < 4 * k
-
-
-def anchors(texts: list[str], k: int = K, s: int = S, small: list[bool] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, hashes) of each text. Work goes by groups of bounded size; a longer text goes by overlapping windows.
-    Texts shorter than 4k take k/4 and s/2, else they would have too few anchors to compare; ``small`` says otherwise which do."""
-    small = [is_small(t, k) for t in texts] if small is None else small
-    long = iter(_spread([t for t, m in zip(texts, small) if not m], k, s))
-    short = iter(_spread([t for t, m in zip(texts, small) if m], k // 4, s // 2))
-    return [next(short if m else long) for m in small]
-
-
-def likeness(a: list[str], b: list[str], a_sets: list[np.ndarray], b_sets: list[np.ndarray]) -> list[float]:
-    """The Jaccard similarities of pairs of texts, whose distinct anchors are given, by k-mers of the same length."""
-    mixed = [i for i, (x, y) in enumerate(zip(a, b)) if is_small(x) != is_small(y)]
-    short = [np.unique(h) for _, h in _spread([t for i in mixed for t in (a[i], b[i])], K // 4, S // 2)]
-    out = [0.0 if is_small(x) != is_small(y) else jaccard(p, q) for x, y, p, q in zip(a, b, a_sets, b_sets)]
-    for n, i in enumerate(mixed):
-        out[i] = jaccard(short[2 * n], short[2 * n + 1])
-    return out
+def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of each text. Work goes by groups of bounded size; a longer text goes by overlapping windows."""
+    return _spread(texts, k, s)
 
 
 def text_of(hashes: np.ndarray) -> str:
@@ -129,7 +109,7 @@ def _results(rows: pa.Table) -> pa.RecordBatch:
         n = len(texts[i]) // 4
         edited.append(texts[i][: len(texts[i]) - n] + texts[i + 1][:n])
     own = [h for _, h in anchors(texts)]
-    new = [h for _, h in anchors(edited, small=[is_small(texts[i]) for i in todo])]
+    new = [h for _, h in anchors(edited)]
     sets = [np.unique(h) for h in own]
     return pa.RecordBatch.from_pydict({
         "doc_id": rows["doc_id"].combine_chunks().take(pa.array(todo)),
@@ -138,7 +118,7 @@ def _results(rows: pa.Table) -> pa.RecordBatch:
         "fingerprint": pa.array([text_of(own[i]) for i in todo], pa.string()),
         "edited_fingerprint": pa.array([text_of(h) for h in new], pa.string()),
         "near_edited": pa.array([jaccard(sets[i], np.unique(h)) for i, h in zip(todo, new)], pa.float64()),
-        "near_next": pa.array(likeness([texts[i] for i in todo], [texts[i + 1] for i in todo], [sets[i] for i in todo], [sets[i + 1] for i in todo]), pa.float64()),
+        "near_next": pa.array([jaccard(sets[i], sets[i + 1]) for i in todo], pa.float64()),
     })
 
 
