@@ -134,3 +134,17 @@ def test_packer_takes_the_best_fit():
     got = [packer.add(x)[1] for x in lengths]
     want, n = best_fit(lengths, 100, 7)
     assert got == want and packer.next == n
+
+
+def test_ids_that_need_more_bytes(spark, tmp_path):
+    import public_tokenizers
+    from tidewell.llm import token_index as T
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    wide = T.write_index(docs, str(tmp_path / "wide"), path, end_id=70_000)
+    assert wide.agg({"n_ids": "sum"}).first()[0] == 4
+    files = [f for f in (tmp_path / "wide").iterdir() if f.suffix == ".bin"]
+    data = b"".join(f.read_bytes()[len(T.MAGIC):] for f in files)
+    assert (70_000).to_bytes(4, "little") in data
+    with pytest.raises(Exception, match="does not fit 2 bytes"):
+        T.write_index(docs, str(tmp_path / "narrow"), path, end_id=70_000, id_bytes=2).count()

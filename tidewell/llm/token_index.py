@@ -110,7 +110,10 @@ class ShardWriter:
     def add(self, doc_ids: np.ndarray, payloads: list[bytes]) -> None:
         self.ids.append(doc_ids)
         self.counts.append(np.array([len(p) // 4 for p in payloads], np.int64))
-        self.out.write(np.frombuffer(b"".join(payloads), "<u4").astype(self.dtype).tobytes())
+        ids = np.frombuffer(b"".join(payloads), "<u4")
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise OverflowError(f"id {int(ids.max())} does not fit {np.dtype(self.dtype).itemsize} bytes")
+        self.out.write(ids.astype(self.dtype).tobytes())
 
     def close(self) -> tuple[int, int, int, int]:
         """(documents, ids, first doc_id, last doc_id)"""
@@ -174,9 +177,11 @@ class Shard:
 
 # ---------------------------------------------------------------- Spark jobs
 
-def write_index(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_bytes: int = 2) -> DataFrame:
+def write_index(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_bytes: int | None = None) -> DataFrame:
     """Write the shard files of ``docs`` (doc_id, text) to ``folder`` and return the manifest: shard, path, documents,
-    n_ids, first_id, last_id and start (ids of all shards before)."""
+    n_ids, first_id, last_id and start (ids of all shards before). Ids take ``id_bytes`` (2 or 4), by default as many as the
+    vocabulary and the end id need; an id that does not fit fails the job."""
+    id_bytes = id_bytes or (2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     end = struct.pack("<I", end_id)
 
