@@ -19,7 +19,7 @@ aggregate that combines before its shuffle.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part; vectors of another
 length are never compared; a null id takes no part; rows with equal id are each a candidate, but none of the query's own
-id; scores are exact while scaled components stay below 2^20 in size. Extra columns are ignored.
+id; each distinct query row (id and vector) is searched once, and has ranks of its own; scores are exact while scaled components stay below 2^20 in size. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,29 +180,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
     """``vectors`` and ``queries`` (vec_id, v) -> query_id, rank, vec_id, score."""
     trees = scratch(build_trees(vectors, block, page), "trees")
     homes_per = trees.groupBy("dim").agg(F.max("tree").alias("last_tree"))
+    queries = queries.dropDuplicates(["vec_id", "v"]).withColumn("q", F.xxhash64("vec_id", "v"))
     parts_per = queries.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / query_block).alias("parts"))
     zero = F.lit(0).cast("long")
     asked = (queries.withColumn("dim", F.size("v")).join(parts_per, "dim").join(homes_per, "dim")
              .withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("parts")))
-             .select("dim", "part", F.explode(F.sequence(zero, F.col("last_tree"))).alias("tree"), "vec_id", "v"))
+             .select("dim", "part", F.explode(F.sequence(zero, F.col("last_tree"))).alias("tree"), "vec_id", "v", "q"))
     homes = trees.join(parts_per, "dim").select("dim", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), "tree", "data")
 
     def search(key: tuple, home: pa.Table, asked: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if asked.num_rows and home.num_rows:
             tree = pickle.loads(home["data"][0].as_py())
             vs = asked["v"].combine_chunks().flatten().to_numpy().reshape(-1, key[0].as_py())
-            own = asked["vec_id"].to_numpy()
+            own, queries = asked["vec_id"].to_numpy(), asked["q"].to_numpy()
             for a in range(0, len(own), TOGETHER):
-                for i, (scores, ids) in zip(own[a: a + TOGETHER].tolist(), tree.top(vs[a: a + TOGETHER], own[a: a + TOGETHER], k)):
+                for i, q, (scores, ids) in zip(own[a: a + TOGETHER].tolist(), queries[a: a + TOGETHER].tolist(), tree.top(vs[a: a + TOGETHER], own[a: a + TOGETHER], k)):
                     out[0].extend([i] * len(ids))
                     out[1].extend(ids.tolist())
                     out[2].extend(scores.astype(np.int64).tolist())
-        return pa.table({n: pa.array(o, pa.int64()) for n, o in zip(("query_id", "vec_id", "score"), out)})
+                    out[3].extend([q] * len(ids))
+        return pa.table({n: pa.array(o, pa.int64()) for n, o in zip(("query_id", "vec_id", "score", "q"), out)})
 
     by = ["dim", "part", "tree"]
-    found = homes.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = homes.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score long, q long")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
