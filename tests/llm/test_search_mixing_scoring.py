@@ -266,3 +266,32 @@ def test_own_counts_are_left_out_and_sums_add_up(spark):
         here = m.sums(list(tables), iter([sample]), kind)
         for a, b in zip(here, C.summed(df, m, spark.sparkContext.broadcast(list(tables)), kind)):
             assert a.any() and np.allclose(a, b)
+
+
+def test_repeated_query_rows_are_searched_once(spark):
+    r = np.random.default_rng(12)
+    rows = [(int(i), [float(x) for x in r.normal(size=6)]) for i in [*range(90), 20, 40, 40, 33]]
+    rows[-4] = (20, rows[20][1])                 # the same row twice
+    other = rows[-3]                             # another vector under the id 40, and that one twice
+    rows[-2] = other
+    got = mtree.search_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    v = [(i, np.floor(64 * np.array(x)).astype(np.int64)) for i, x in rows]
+    want = []
+    for q, x in {(i, tuple(x.tolist())) for i, x in v if i % 20 == 0}:
+        best = sorted((-int(np.dot(x, c)), j) for j, c in v if j != q)[:5]
+        want += [(q, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 30
+
+
+def test_sketches_count_contexts_and_planes_come_back():
+    from tidewell.llm.common import packed, unpacked
+    r = np.random.default_rng(3)
+    for n in (50, 3000, 200_000):
+        reg = np.zeros(1 << C.REGISTER_BITS, np.uint8)
+        h = r.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+        rest = 32 - C.REGISTER_BITS
+        low = (h & np.uint32((1 << rest) - 1)).astype(np.int64)
+        np.maximum.at(reg, (h >> np.uint32(rest)).astype(np.intp), np.array([rest + 1 - int(x).bit_length() for x in low], np.uint8))
+        assert abs(C.distinct(reg) / len(np.unique(h)) - 1) < 0.08
+    c = r.integers(0, 1 << 60, 1000) * (r.random(1000) < 0.1)
+    assert (unpacked(packed(c)) == c).all()

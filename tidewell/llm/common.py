@@ -144,15 +144,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    return zstandard.compress(counts.astype("<u8").tobytes(), 1)
+    """Counts by planes of equal byte weight, most of which are zero, compressed."""
+    planes = counts.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), "<u8")
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
 def add_tables(partials: DataFrame, fan: int = 64) -> list[tuple[int, bytes]]:
-    """The sums of count tables: ``partials`` has (slab, part, data) with the `packed` counts of one slab in one task. Tables are added in two rounds, first by slab and a ``fan``-th of the tasks, and streamed, so a
+    """The sums of count tables: ``partials`` has (slab, part, data) with the `packed` counts of one slab in one task. Tables of more than
+    ``fan`` tasks are added in two rounds, first by slab and a ``fan``-th of the tasks, and streamed, so a
     task holds one table for each key it meets. What comes back is one row for each slab, of fixed size."""
     def add(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -166,7 +170,7 @@ def add_tables(partials: DataFrame, fan: int = 64) -> list[tuple[int, bytes]]:
         for (slab, part), a in sums.items():
             yield pa.RecordBatch.from_pydict({"slab": pa.array([slab], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([packed(a)], pa.binary())})
 
-    for keep in (fan, 1):
+    for keep in (fan, 1) if partials.rdd.getNumPartitions() > fan else (1,):
         partials = (partials.withColumn("part", F.pmod(F.col("part"), F.lit(keep)).cast("int")).repartition("slab", "part")
                     .mapInArrow(add, "slab int, part int, data binary"))
     return sorted((r["slab"], bytes(r["data"])) for r in partials.select("slab", "data").collect())
