@@ -154,6 +154,34 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
+_spread_out: dict[str, list[np.ndarray]] = {}
+
+
+class Squeezed:
+    """Arrays that travel compressed, by planes of equal byte weight, and are laid out once in each worker process, which
+    keeps the last such set only. A broadcast is written to every executor's disk, and tables are mostly zeros."""
+
+    def __init__(self, arrays: list[np.ndarray], step: int = 1 << 19):
+        self.key = uuid.uuid4().hex
+        self.parts = [(a.dtype.str, len(a), [zstandard.compress(np.ascontiguousarray(a[i: i + step].view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+                                             for i in range(0, len(a), step)]) for a in arrays]
+
+    def arrays(self) -> list[np.ndarray]:
+        if self.key not in _spread_out:
+            _spread_out.clear()
+            out = []
+            for dtype, n, parts in self.parts:
+                a = np.empty(n, dtype)
+                at = 0
+                for p in parts:
+                    planes = np.frombuffer(zstandard.decompress(p), np.uint8).reshape(a.itemsize, -1)
+                    a[at: at + planes.shape[1]] = np.ascontiguousarray(planes.T).view(dtype).ravel()
+                    at += planes.shape[1]
+                out.append(a)
+            _spread_out[self.key] = out
+        return _spread_out[self.key]
+
+
 def add_tables(partials: DataFrame, fan: int = 64) -> list[tuple[int, bytes]]:
     """The sums of count tables: ``partials`` has (slab, part, data) with the `packed` counts of one slab in one task. Tables of more than
     ``fan`` tasks are added in two rounds, first by slab and a ``fan``-th of the tasks, and streamed, so a
