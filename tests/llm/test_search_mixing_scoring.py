@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import context_mixing as C
 from tidewell.llm import mixing, mtree
+from tidewell.llm.common import Squeezed
 
 from .conftest import AWKWARD
 
@@ -231,9 +232,12 @@ def test_tables_grow_with_the_contexts(spark, monkeypatch):
     sample = [C.words_of(t) for _, t in prose(60, 5)]
     m = C.Model(sample)
     df = spark.createDataFrame(prose(60, 5), "doc_id long, text string")
-    word_counts, byte_counts = C.counted(df, m)
+    counts, odds = (x.arrays() for x in C.counted(df, m))
     assert min(m.words.bits[1:]) > 9
-    for c, b in zip(word_counts + byte_counts, m.words.bits + m.bytes.bits):
+    here = [*m.words.no_counts(), *m.bytes.no_counts()]
+    m.count(C.Tokens([C.words_of(t) for _, t in prose(60, 5)]), here[:3], here[3:])
+    for c, h, o, b in zip(counts, here, odds, m.words.bits + m.bytes.bits):
+        assert (c == h).all() and (o == m.words.table(c[0::2], c[1::2])).all()
         assert len(c) == 2 << b and np.count_nonzero(c[0::2] + c[1::2]) < 0.6 * (1 << b)
 
 
@@ -264,7 +268,7 @@ def test_own_counts_are_left_out_and_sums_add_up(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     for kind in ("slopes", "cells"):
         here = m.sums(list(tables), iter([sample]), kind)
-        for a, b in zip(here, C.summed(df, m, spark.sparkContext.broadcast(list(tables)), kind)):
+        for a, b in zip(here, C.summed(df, m, spark.sparkContext.broadcast(Squeezed.of([*tables[0], *tables[1]])), kind)):
             assert a.any() and np.allclose(a, b)
 
 
@@ -284,7 +288,6 @@ def test_repeated_query_rows_are_searched_once(spark):
 
 
 def test_sketches_count_contexts_and_planes_come_back():
-    from tidewell.llm.common import packed, unpacked
     r = np.random.default_rng(3)
     for n in (50, 3000, 200_000):
         reg = np.zeros(1 << C.REGISTER_BITS, np.uint8)
@@ -294,4 +297,4 @@ def test_sketches_count_contexts_and_planes_come_back():
         np.maximum.at(reg, (h >> np.uint32(rest)).astype(np.intp), np.array([rest + 1 - int(x).bit_length() for x in low], np.uint8))
         assert abs(C.distinct(reg) / len(np.unique(h)) - 1) < 0.08
     c = r.integers(0, 1 << 60, 1000) * (r.random(1000) < 0.1)
-    assert (unpacked(packed(c)) == c).all()
+    assert (C._unpacked(C._packed(c)) == c).all()

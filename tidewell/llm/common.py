@@ -144,14 +144,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts by planes of equal byte weight, most of which are zero, compressed."""
-    planes = counts.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zstandard.compress(counts.astype("<u8").tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+    return np.frombuffer(zstandard.decompress(data), "<u8")
 
 
 _spread_out: dict[str, list[np.ndarray]] = {}
@@ -161,10 +158,18 @@ class Squeezed:
     """Arrays that travel compressed, by planes of equal byte weight, and are laid out once in each worker process, which
     keeps the last such set only. A broadcast is written to every executor's disk, and tables are mostly zeros."""
 
-    def __init__(self, arrays: list[np.ndarray], step: int = 1 << 19):
+    def __init__(self, arrays: list[tuple[str, int, list[bytes]]]):
+        """From (dtype, length, compressed parts in order) of each array; `squeeze` makes a part."""
         self.key = uuid.uuid4().hex
-        self.parts = [(a.dtype.str, len(a), [zstandard.compress(np.ascontiguousarray(a[i: i + step].view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
-                                             for i in range(0, len(a), step)]) for a in arrays]
+        self.parts = arrays
+
+    @classmethod
+    def of(cls, arrays: list[np.ndarray], step: int = 1 << 19) -> Squeezed:
+        return cls([(a.dtype.str, len(a), [cls.squeeze(a[i: i + step]) for i in range(0, len(a), step)]) for a in arrays])
+
+    @staticmethod
+    def squeeze(a: np.ndarray) -> bytes:
+        return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
 
     def arrays(self) -> list[np.ndarray]:
         if self.key not in _spread_out:
@@ -183,8 +188,7 @@ class Squeezed:
 
 
 def add_tables(partials: DataFrame, fan: int = 64) -> list[tuple[int, bytes]]:
-    """The sums of count tables: ``partials`` has (slab, part, data) with the `packed` counts of one slab in one task. Tables of more than
-    ``fan`` tasks are added in two rounds, first by slab and a ``fan``-th of the tasks, and streamed, so a
+    """The sums of count tables: ``partials`` has (slab, part, data) with the `packed` counts of one slab in one task. Tables are added in two rounds, first by slab and a ``fan``-th of the tasks, and streamed, so a
     task holds one table for each key it meets. What comes back is one row for each slab, of fixed size."""
     def add(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -198,7 +202,7 @@ def add_tables(partials: DataFrame, fan: int = 64) -> list[tuple[int, bytes]]:
         for (slab, part), a in sums.items():
             yield pa.RecordBatch.from_pydict({"slab": pa.array([slab], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([packed(a)], pa.binary())})
 
-    for keep in (fan, 1) if partials.rdd.getNumPartitions() > fan else (1,):
+    for keep in (fan, 1):
         partials = (partials.withColumn("part", F.pmod(F.col("part"), F.lit(keep)).cast("int")).repartition("slab", "part")
                     .mapInArrow(add, "slab int, part int, data binary"))
     return sorted((r["slab"], bytes(r["data"])) for r in partials.select("slab", "data").collect())
