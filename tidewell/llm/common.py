@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,20 +171,25 @@ class Squeezed:
     def squeeze(a: np.ndarray) -> bytes:
         return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
 
-    def arrays(self) -> list[np.ndarray]:
-        if self.key not in _spread_out:
+    def arrays(self, turn: Callable[[np.ndarray], np.ndarray] | None = None, name: str = "") -> list[np.ndarray]:
+        """The arrays, or what ``turn`` makes of them part by part (``name`` tells such sets apart)."""
+        key = f"{self.key} {name}"
+        if key not in _spread_out:
             _spread_out.clear()
             out = []
             for dtype, n, parts in self.parts:
-                a = np.empty(n, dtype)
-                at = 0
+                a, at = None, 0
                 for p in parts:
-                    planes = np.frombuffer(zstandard.decompress(p), np.uint8).reshape(a.itemsize, -1)
-                    a[at: at + planes.shape[1]] = np.ascontiguousarray(planes.T).view(dtype).ravel()
-                    at += planes.shape[1]
+                    planes = np.frombuffer(zstandard.decompress(p), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+                    part = np.ascontiguousarray(planes.T).view(dtype).ravel()
+                    size = len(part)
+                    part = turn(part) if turn else part
+                    a = np.empty(n * len(part) // size, part.dtype) if a is None else a
+                    a[at: at + len(part)] = part
+                    at += len(part)
                 out.append(a)
-            _spread_out[self.key] = out
-        return _spread_out[self.key]
+            _spread_out[key] = out
+        return _spread_out[key]
 
 
 def add_tables(partials: DataFrame, fan: int = 64) -> list[tuple[int, bytes]]:
