@@ -233,7 +233,7 @@ def test_tables_grow_with_the_contexts(spark, monkeypatch):
     m = C.Model(sample)
     df = spark.createDataFrame(prose(60, 5), "doc_id long, text string")
     tables = C.counted(df, m)
-    counts, odds = tables.arrays(), tables.arrays(C.odds_of, "odds")
+    counts, odds = tables.arrays(C.floats, "floats"), tables.arrays(C.odds_of, "odds")
     assert min(m.words.bits[1:]) > 9
     here = [*m.words.no_counts(), *m.bytes.no_counts()]
     m.count(C.Tokens([C.words_of(t) for _, t in prose(60, 5)]), here[:3], here[3:])

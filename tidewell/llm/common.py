@@ -169,7 +169,7 @@ class Squeezed:
 
     @staticmethod
     def squeeze(a: np.ndarray) -> bytes:
-        return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+        return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 5)
 
     def arrays(self, turn: Callable[[np.ndarray], np.ndarray] | None = None, name: str = "") -> list[np.ndarray]:
         """The arrays, or what ``turn`` makes of them part by part (``name`` tells such sets apart)."""
