@@ -108,8 +108,10 @@ def test_schedule_ranks_and_spread(spark):
     for _, s, k in slots:
         assert k == seen[s]
         seen[s] += 1
+    assert len({n for n, _, _ in slots}) == len(slots)
     want = {r["src"]: r["target"] for r in goals.collect()}
     total = sum(want.values())
+    assert all(seen[s] == -(-int(want[s] + 1e-6) // 8) for s in want)  # every block has its slot
     for upto in (200, 1000, len(slots)):  # low discrepancy: every prefix is near the target shares
         c = Counter(s for n, s, _ in slots if n < upto)
         assert all(abs(c[s] - upto * want[s] / total) <= 10 for s in want)
@@ -129,12 +131,46 @@ def test_takes(spark, awkward, nothing):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.takes(df.repartition(11), block=16).collect()), key=str)
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns
-    copies = Counter(x["doc_id"] for x in mixed.collect())
-    assert all(copies[x["doc_id"]] == int(x["taken"] / max(1, x["size"]) + 0.5) for x in mixing.takes(df).collect())
+    whole, got = {i: t for i, t, _ in docs}, defaultdict(list)
+    for x in mixed.collect():
+        assert whole[x["doc_id"]].startswith(x["text"])
+        got[x["doc_id"]].append(len(x["text"].split()))
+    for x in mixing.takes(df).collect():  # the words taken, in whole passes and one that the target may end
+        assert sum(got[x["doc_id"]]) == x["taken"] and sum(n < x["size"] for n in got[x["doc_id"]]) <= 1
     assert mixing.takes(awkward).count() == len(AWKWARD) and mixing.mixed_documents(awkward).columns == awkward.columns
     assert mixing.takes(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mix_follows_the_schedule(spark, monkeypatch):
+    r = random.Random(4)
+    docs = [(i, " ".join("w" for _ in range(r.randrange(0, 120))), "abbbcccccc"[i % 10]) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = sorted(mixing.mix(df, block=16).collect(), key=lambda x: (x["slot"], x["place"]))
+    size = {i: len(t.split()) for i, t, _ in docs}
+    target = {x["source"]: int(x["target"] + 1e-6) for x in mixing.takes(df, block=16).collect()}
+    at, ranks, passes = Counter(), defaultdict(list), defaultdict(int)
+    for x in rows:
+        if not at[x["slot"]]:
+            ranks[x["source"]].append(x["rank"])
+        assert x["place"] == at[x["slot"]] and x["start"] == passes[x["doc_id"], x["pass"]]  # gapless, in text order
+        at[x["slot"]] += x["words"]
+        passes[x["doc_id"], x["pass"]] += x["words"]
+    for s, n in target.items():
+        assert ranks[s] == list(range(-(-n // 16)))  # a source's blocks come in the order of its stream
+    assert sum(n < 16 for n in at.values()) <= len(target) and sum(at.values()) == sum(target.values())
+    assert all(n <= size[i] for (i, _), n in passes.items())
+    # the taken words come out of the slots: without some of them they are fewer
+    full = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: full(*a).where("rank % 2 = 0"))
+    assert sum(x["taken"] for x in mixing.takes(df, block=16).collect()) == sum(x["words"] for x in rows if x["rank"] % 2 == 0)
+
+
+@pytest.mark.parametrize("text, n, want", [("a  b\tc ", 2, "a  b"), ("  a b", 1, "  a"), ("a b", 2, "a b"), ("one", 1, "one")])
+def test_first_words(spark, text, n, want):
+    df = spark.createDataFrame([(text, n)], "t string, n long")
+    assert df.select(mixing.first_words(df["t"], df["n"])).first()[0] == want
+
+
 # ---------------------------------------------------------------- language-model scores
 
 def plain_base(docs):

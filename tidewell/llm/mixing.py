@@ -8,7 +8,9 @@ spaced comb of points. So a schedule of any length is a projection of a range of
 
 The documents of a source, in the order of a keyed hash, form its stream, which repeats. The stream is cut into blocks of
 equal words, and rank r takes block r. A source takes as many words as its target (rounded down), so its last block may
-be short; ranks beyond it are unused, and blocks that find no slot follow at the end of the mix.
+be short; ranks beyond it are unused, and the few blocks that find no slot follow at the end of the mix by rank and source.
+The mix (`mix`) is what the scheduled slots take: pieces of documents by slot. What a document gives (`takes`) and the
+mixed corpus (`mixed_documents`) are sums over those pieces.
 
 Targets: the sources by code point (null last) weigh 1, 2, 3, repeating, and share the total size; a target stops at
 three times the source's size, and the excess is shared by the others by weight until none is above.
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch, with_found
+from .common import columns_of, fresh, scratch
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -85,16 +87,25 @@ def points_below(i: str, mirrored: str, x: str) -> Column:
 
 
 def schedule(spark: SparkSession, goals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The slots of the mix: slot, src, rank. ``goals`` is the (small) table of `targets`."""
-    n = goals.agg(F.sum(F.ceil(F.floor(F.col("target") + 1e-6) / block))).first()[0] or 0
+    """The slots of the mix: slot, src, rank; every block of every source has one slot, numbers ascend by rank within a
+    source and may have gaps. ``goals`` is the (small) table of `targets`.
+
+    There are as many points as blocks. A source whose points are fewer than its blocks (by the discrepancy, a number
+    that grows with the logarithm of the slots) gets slots behind the last point for the rest."""
+    goals = goals.withColumn("blocks", F.ceil(F.floor(F.col("target") + 1e-6) / block))
+    n, sources = goals.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count(F.lit(1))).first()
     if n >= 1 << BITS:
         raise ValueError("the schedule has more slots than points")
     slots = spark.range(n).select(F.col("id").alias("slot"), point(F.col("id")).alias("p")).withColumn("cell", F.shiftright("p", BITS - CELL))
-    wide = goals.where("high > low").select("src", "low", "high", "target", F.explode(
+    wide = goals.where("high > low").select("src", "low", "high", "blocks", F.explode(
         F.sequence(F.shiftright("low", BITS - CELL), F.shiftright(F.col("high") - 1, BITS - CELL))).alias("cell"))
     met = slots.join(wide, "cell").where("p >= low AND p < high")
     ranked = met.withColumn("rank", points_below("slot", "p", "high") - points_below("slot", "p", "low"))
-    return ranked.where(F.col("rank") * block < F.floor(F.col("target") + 1e-6)).select("slot", "src", "rank")
+    end = goals.withColumn("n", F.lit(n).cast("long")).withColumn("p", point(F.col("n")))
+    end = end.withColumn("met", points_below("n", "p", "high") - points_below("n", "p", "low")).where("met < blocks")
+    end = end.select("src", "met", F.explode(F.sequence("met", F.col("blocks") - 1)).alias("rank"))
+    late = F.lit(n) + (F.col("rank") - F.col("met")) * sources + F.col("src") - 1
+    return ranked.where("rank < blocks").select("slot", "src", "rank").unionByName(end.select(late.cast("long").alias("slot"), "src", "rank"))
 
 
 def _places(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -108,32 +119,63 @@ def _places(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return d.join(sums, ["src", "bucket"]).withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
 
 
-def takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, th, source, size, source_size, target, taken (words the mix takes of it,
-    repeats counted) and first_slot (where the mix first meets it, null if it takes nothing or comes after all slots)."""
-    spark = docs.sparkSession
+def _mix(docs: DataFrame, weights: tuple[int, ...], most: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with their places, and the pieces of them in the scheduled slots."""
     sized = scratch(sizes(docs, seed).withColumn("row", F.monotonically_increasing_id()), "sizes")
     goals = scratch(targets(sized, weights, most).coalesce(1), "targets")
     placed = scratch(_places(sized, goals).select("row", "doc_id", "th", "source", "size", "src", "source_size", "target", "at"), "places")
     goal = F.floor(F.col("target") + 1e-6)
-    start = F.col("at") + F.col("pass") * F.col("source_size")
+    begin = F.col("at") + F.col("pass") * F.col("source_size")
     passes = (placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-              .select("row", "src", start.alias("start"), F.least(start + F.col("size"), goal).alias("end")).where("end > start"))
-    pieces = (passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
-              .select("row", "src", "rank", (F.least("end", (F.col("rank") + 1) * block) - F.greatest("start", F.col("rank") * block)).alias("words")))
-    slotted = pieces.join(schedule(spark, goals, block), ["src", "rank"], "left")
-    taken = slotted.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+              .select("row", "doc_id", "th", "source", "size", "src", "pass", begin.alias("begin"), F.least(begin + F.col("size"), goal).alias("end")).where("end > begin"))
+    cut = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
+    first = F.greatest("begin", F.col("rank") * block)
+    pieces = cut.select("row", "doc_id", "th", "source", "size", "src", "rank", "pass", (first - F.col("begin")).alias("start"),
+                        (F.least("end", (F.col("rank") + 1) * block) - first).alias("words"), "begin")
+    return placed, pieces.join(schedule(docs.sparkSession, goals, block), ["src", "rank"])
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix, one row for each piece of a document in a slot: slot, source, rank (the block of the source's stream), place
+    (the piece's first word within the slot), doc_id, th (hash of the text), pass (which repeat of the document), start
+    (the piece's first word within the document) and words. By slot and place it is the order to train in."""
+    place = F.col("begin") + F.col("start") - F.col("rank") * block
+    return _mix(docs, weights, most, block, seed)[1].select("slot", "source", "rank", place.alias("place"), "doc_id", "th", "pass", "start", "words")
+
+
+def takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, th, source, size, source_size, target, taken (words that the slots take
+    of it, repeats counted) and first_slot (where the mix first meets it, null if it takes nothing)."""
+    placed, pieces = _mix(docs, weights, most, block, seed)
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return placed.join(taken, "row", "left").select("doc_id", "th", "source", "size", "source_size", "target",
                                                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each document as many times as its taken words go into its size (rounded), so
-    those of a source above its target stay out, and those of a source below repeat. Rows with equal doc_id, source and
-    text count together, with the other columns of one of them."""
-    times = (takes(docs, **options).groupBy("doc_id", "source", "th")
-             .agg(F.sum(F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("n")).where("n > 0"))
-    met, (th, n) = with_found(docs, times, "inner", ("n",), ("source",))
-    one = met.dropDuplicates(["doc_id", "source", th])
-    each = fresh(one, "_each")
-    return one.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """``docs`` as the mix takes them, in the order of its slots: one row for each pass of a document, at the slot of its
+    first piece. A pass that the source's target ends has the text only up to the last word taken; documents of a source
+    above its target stay out, those of a source below repeat. The words of a source's rows add up to its target. Rows
+    with equal doc_id, source and text share the other columns of one of them."""
+    pieces = _mix(docs, weights, most, block, seed)[1]
+    whole = pieces.groupBy("row", "pass").agg(F.min(F.struct("slot", "begin")).alias("at"), F.sum("words").alias("words"), *(F.first(c).alias(c) for c in ("doc_id", "th", "source", "size")))
+
+    def key(doc_id: Column, th: Column, source: Column) -> Column:
+        return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), th.cast("string"), F.coalesce(F.concat(F.lit(":"), source), F.lit(""))))
+
+    # one key for both sides, so that the distinct texts are where the join needs them
+    text, wide, names = F.col("text").cast("string"), docs, []
+    for c in ("key", "own", "at", "words", "size"):
+        names.append(fresh(wide, f"_{c}"))
+        wide = wide.withColumn(names[-1], F.lit(None))
+    k, own, at, words, size = names
+    one = docs.withColumn(own, key(F.col("doc_id").cast("long"), F.xxhash64(text), F.col("source").cast("string"))).dropDuplicates([own])
+    taken = whole.select(key(F.col("doc_id"), F.col("th"), F.col("source")).alias(k), F.col("at").alias(at), F.col("words").alias(words), F.col("size").alias(size))
+    met = one.join(taken.hint("merge"), one[own] == taken[k])
+    ordered = met.repartitionByRange(F.col(f"{at}.slot"), F.col(f"{at}.begin")).sortWithinPartitions(F.col(f"{at}.slot"), F.col(f"{at}.begin"))
+    return columns_of(ordered, docs, {"text": F.when(F.col(words) < F.col(size), first_words(text, F.col(words))).otherwise(F.col("text"))})
