@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidewell.llm import line_dedup, lsh_forest, nbsvm, surrogates
@@ -120,6 +121,84 @@ def test_names_by_gender_script_and_surname(replaced):
     assert m and m[2] == m[4] != "Kovač" and m[1].endswith("a") and not m[3].endswith("a") and re.fullmatch("[а-я]+", m[6].lower()) and m[6] != "Анна"
 
 
+def mod97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+FORMS = {  # text -> what must be gone, and the form of the rest
+    "Mr McDonald": (["McDonald"], r"Mr \p{Lu}\p{Ll}+"), "Mr O'Brien": (["Brien"], r"Mr \p{Lu}\p{Ll}+"), "Frau ÅSA Berg": (["ÅSA", "Berg"], r"Frau \p{Lu}+ \p{Lu}\p{Ll}+"),
+    "Mr 李明": (["李", "明"], r"Mr \p{Han}{2}"), "Mr John Ronald Tolkien": (["John", "Ronald", "Tolkien"], r"Mr( \p{Lu}\p{Ll}+){3}"),
+    "Mrs Smith-Jones": (["Smith", "Jones"], r"Mrs \p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+"), "Herr Müller-Lüdenscheidt": (["Müller", "Lüdenscheidt"], r"Herr \p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+"),
+    "Prof. von der Leyen, Mr J. Smith": (["Leyen", "J.", "Smith"], r"Prof\. von der \p{Lu}\p{Ll}+, Mr \p{Lu}\. \p{Lu}\p{Ll}+"),
+    "Herr Ludwig van Beethoven; BEETHOVEN": (["Ludwig", "Beethoven", "BEETHOVEN"], r"Herr \p{Lu}\p{Ll}+ van \p{Lu}\p{Ll}+; \p{Lu}+"), "Mr محمد علي": (["محمد", "علي"], r"Mr \p{Arabic}{4} \p{Arabic}{3}"),
+    '{"password": "hunter2xyz9"}': (["hunter2xyz9"], r'\{"password": "[a-z]{6}[0-9][a-z]{3}[0-9]"\}'), "call 020 7946 0958 now": (["7946", "0958"], r"call 0[1-9]\d \d{4} \d{4} now"),
+    "at 2001:db8::8a2e:370:7334 or FE80::1F": (["2001:db8", "FE80"], r"at [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} or [0-9A-F]{4}::[0-9A-F]{2}"),
+    "a 2001:0db8:85a3:0000:0000:8a2e:0370:7334": (["85a3"], r"a ([0-9a-f]{4}:){7}[0-9a-f]{4}"),
+    "DE89 3704 0044 0532 0130 00": (["3704"], r"DE\d\d(?: \d{4}){4} \d\d")}
+
+
+def test_wide_forms(spark):
+    texts = list(FORMS)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, "k1").collect()}
+    for i, t in enumerate(texts):
+        gone, form = FORMS[t]
+        assert not any(g in got[i] for g in gone) and regex.fullmatch(form, got[i]), (t, got[i])
+    account = got[texts.index("DE89 3704 0044 0532 0130 00")]
+    assert mod97("DE89 3704 0044 0532 0130 00") == 1 == mod97(account)
+
+
+def test_later_mentions_and_persons(spark):
+    rows = [(1, "Dr Anna Schmidt came. Schmidt said so; Anna left, SCHMIDT'S too. Annabel and Schmidts stay."), (2, "Mrs Anna Schmidt"), (3, "Schmidt here is nobody's name; version 1.2.3.4, std::vector, a::b, 12:30:45 stay"),
+            (4, "Prof Kim Lee, Frau Kim Lee, Mr Kim Lee"), (5, "Mr Schmidt"), (None, "Mr Smith; Smith"), (None, "Mr Smith; Smith")]
+    new = sorted((r["doc_id"] or 0, r["text"], list(r["kinds"])) for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k1").collect())
+    (_, n1, k1), (_, n2, _) = new[:2]
+    assert n1 == n2 and k1 == ["name_m", "surname"] and len(set(re.findall(r"\w+", n1)[1:])) == 1
+    text = {i: t for i, t, _ in new[2:]}
+    m = re.fullmatch(r"Dr (\w+) (\w+) came\. (\w+) said so; (\w+) left, (\w+)'S too\. Annabel and Schmidts stay\.", text[1])
+    assert m and m[2] == m[3] and m[1] == m[4] and m[5] == m[2].upper()
+    assert re.fullmatch(rf"Mrs \w+a {m[2]}", text[2]) and text[3] == rows[2][1] and text[5] == f"Mr {m[2]}"
+    p = re.fullmatch(r"Prof (\w+) (\w+), Frau (\w+) \2, Mr (\w+) \2", text[4])
+    assert p and len({p[1], p[3], p[4]}) == 3  # a first name of both genders stays three
+
+
+def test_planted_entities_brute_force(spark):
+    """Texts are built from clean pieces and planted entities: the pieces stay, and what stands for the entities is a
+    one-to-one function of them."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randrange(2, 5)))
+    surnames, firsts = [word().title() + "x" for _ in range(60)], [word().title() + "q" for _ in range(20)]
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    make = {
+        "mail": lambda: f"{word()}.{word()}@{word()}.org", "ip": lambda: ".".join(str(r.randrange(100, 256)) for _ in range(4)),
+        "ip6": lambda: ":".join("%04x" % r.randrange(1 << 16) for _ in range(8)), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "phone": lambda: f"0{r.randrange(20, 99)} {digits(4)} {digits(4)}", "key": lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+    }
+    known = {k: [f() for _ in range(25)] for k, f in make.items()}
+    docs = []
+    for i in range(150):
+        parts = [("", "start")]
+        for _ in range(r.randrange(0, 8)):
+            k = r.choice([*known, "name"])
+            if k == "name":
+                a, b = r.choice(firsts), r.choice(surnames)
+                parts += [("", " then Mr "), ("first", a), ("", " "), ("last", b), ("", " and"), ("", " once more "), ("last", b), ("", " only")]
+            else:
+                parts += [("", f" {word()} "), (k, r.choice(known[k])), ("", " ,")]
+        docs.append((i, parts))
+    df = spark.createDataFrame([(i, "".join(t for _, t in p)) for i, p in docs], "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in surrogates.replace_entities(df, "k2").collect()}
+    made = {}
+    for i, parts in docs:
+        m = re.fullmatch("".join(f"({'[^ ]+ [^ ]+ [^ ]+' if k == 'phone' else '[^ ]+'})" if k else re.escape(t) for k, t in parts), got[i])
+        assert m, (parts, got[i])
+        for (k, t), new in zip([p for p in parts if p[0]], m.groups()):
+            assert new != t and made.setdefault((k, t), new) == new
+    assert len({(k, v) for (k, _), v in made.items()}) == len(made) > 200
+    assert not {v for v in made.values()} & {t for _, t in made}
+
+
 def test_clean_texts_stay(replaced):
     old, new, _ = replaced
     for i in (23, 24, 25):
