@@ -131,14 +131,32 @@ def test_takes(spark, awkward, nothing):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.takes(df.repartition(11), block=16).collect()), key=str)
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns
+    copies = Counter(x["doc_id"] for x in mixed.collect())
+    assert all(copies[x["doc_id"]] == int(x["taken"] / max(1, x["size"]) + 0.5) for x in mixing.takes(df).collect())
+    assert mixing.takes(awkward).count() == len(AWKWARD) and mixing.mixed_documents(awkward).columns == awkward.columns
+    assert mixing.takes(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_scheduled_documents(spark, awkward, nothing):
+    r = random.Random(6)
+    docs = [(i, "  ".join(f"w{j}" for j in range(r.randrange(0, 90))), r.choice("aaab") if i % 9 else None) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.scheduled_documents(df, block=16).collect()
     whole, got = {i: t for i, t, _ in docs}, defaultdict(list)
-    for x in mixed.collect():
+    for x in rows:
         assert whole[x["doc_id"]].startswith(x["text"])
         got[x["doc_id"]].append(len(x["text"].split()))
-    for x in mixing.takes(df).collect():  # the words taken, in whole passes and one that the target may end
+    takes = mixing.takes(df, block=16).collect()
+    for x in takes:  # the words taken, in whole passes and one that the target may end
         assert sum(got[x["doc_id"]]) == x["taken"] and sum(n < x["size"] for n in got[x["doc_id"]]) <= 1
-    assert mixing.takes(awkward).count() == len(AWKWARD) and mixing.mixed_documents(awkward).columns == awkward.columns
-    assert mixing.takes(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+    order = {}
+    for x in sorted(mixing.mix(df, block=16).collect(), key=lambda x: (x["slot"], x["place"])):
+        order.setdefault((x["doc_id"], x["pass"]), None)
+    assert [i for i, _ in order] == [x["doc_id"] for x in rows]  # the order of the slots
+    repeated = mixing.scheduled_documents(df.unionByName(df), block=16).collect()
+    assert sum(len(x["text"].split()) for x in repeated) == sum({x["source"]: int(x["target"] + 1e-6) for x in mixing.takes(df.unionByName(df), block=16).collect()}.values())
+    assert mixing.scheduled_documents(awkward).columns == awkward.columns and mixing.scheduled_documents(awkward).count() > 0
+    assert mixing.scheduled_documents(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
 def test_mix_follows_the_schedule(spark, monkeypatch):

@@ -10,7 +10,8 @@ The documents of a source, in the order of a keyed hash, form its stream, which
 equal words, and rank r takes block r. A source takes as many words as its target (rounded down), so its last block may
 be short; ranks beyond it are unused, and the few blocks that find no slot follow at the end of the mix by rank and source.
 The mix (`mix`) is what the scheduled slots take: pieces of documents by slot. What a document gives (`takes`) and the
-mixed corpus (`mixed_documents`) are sums over those pieces.
+mixed corpus, of exact takes in slot order (`scheduled_documents`) or of whole documents by rounding (`mixed_documents`),
+are sums over those pieces.
 
 Targets: the sources by code point (null last) weigh 1, 2, 3, repeating, and share the total size; a target stops at
 three times the source's size, and the excess is shared by the others by weight until none is above.
@@ -18,7 +19,7 @@ three times the source's size, and the excess is shared by the others by weight
 Places in a stream are running sums over hash buckets, then within a bucket, so a source with a third of all rows is not
 one task. Defined results: a null text has size 0; documents of size 0 take nothing; without any words all targets are 0;
 a null doc_id has the empty key; rows with equal doc_id follow each other by the hash of their texts. Extra columns are
-ignored by `takes` and pass through `mixed_documents`.
+ignored by `mix` and `takes` and pass through the mixed corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, fresh, scratch
+from .common import columns_of, fresh, scratch, with_found
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -152,13 +153,25 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
                                                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: each document as many times as its taken words go into its size (rounded), so
+    those of a source above its target stay out, and those of a source below repeat. Rows with equal doc_id, source and
+    text count together, with the other columns of one of them."""
+    times = (takes(docs, **options).groupBy("doc_id", "source", "th")
+             .agg(F.sum(F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")).alias("n")).where("n > 0"))
+    met, (th, n) = with_found(docs, times, "inner", ("n",), ("source",))
+    one = met.dropDuplicates(["doc_id", "source", th])
+    each = fresh(one, "_each")
+    return one.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``docs`` as the mix takes them, in the order of its slots: one row for each pass of a document, at the slot of its
+def scheduled_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """``docs`` exactly as the mix takes them, in the order of its slots: one row for each pass of a document, at the slot of its
     first piece. A pass that the source's target ends has the text only up to the last word taken; documents of a source
     above its target stay out, those of a source below repeat. The words of a source's rows add up to its target. Rows
     with equal doc_id, source and text share the other columns of one of them."""
