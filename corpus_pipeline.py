@@ -41,7 +41,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights (9): documents repeat, end early or stay out as the schedule's slots take their
     words, and are written in the order of the slots."""
-    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return mixing.scheduled_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
