@@ -3,6 +3,10 @@
 A stage takes and returns the columns of ``documents``; the last returns the pieces of the packed sequences. ``run``
 writes every stage's result to the shared folder as Parquet and reads it back as the next one's input.
 
+Defined results: null, empty and very long texts, null ids and sources, repeated rows and extra columns pass the first three
+stages by the rules of their operators (null and empty texts are copies of each other, so one stays; repeated rows are
+copies too); documents without words take no part in the mix; no documents give no pieces.
+
 ORACLE_SQL is None: the classifier's fit, the surrogates and the packing order have no SQL form; tests/llm compares the
 stages with brute force.
 """
