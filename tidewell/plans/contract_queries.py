@@ -151,3 +151,54 @@ def i_conversation_text(t: Tables) -> DataFrame:
                                 F.col("text").alias("text_as_csv"), F.col("text").alias("text_as_markdown"),
                                 F.col("text").alias("text_as_json"))
     return _counts(C.violations(df, CONVERSATION_TEXT_CONTRACT, "turn_key"))
+
+
+DEVICE_CONTRACT = [
+    {"name": "day", "type": "date"},
+    {"name": "clock", "type": "time"},
+    {"name": "zone", "type": "timezone"},
+    {"name": "ip", "type": "ip_address"},
+    {"name": "mac", "type": "mac_address"},
+    {"name": "device", "type": "uuid"},
+    {"name": "contact", "type": "email"},
+    {"name": "manual", "type": "pdf"},
+    {"name": "photo", "type": "image"},
+    {"name": "sound", "type": "audio"},
+    {"name": "lat", "type": "latitude"},
+    {"name": "lon", "type": "longitude"},
+    {"name": "point", "type": "coordinate"},
+    {"name": "token", "type": "token"},
+    {"name": "digest", "type": "hash"},
+    {"name": "colour", "type": "color_code"},
+    {"name": "firmware", "type": "version_number"},
+    {"name": "status", "type": "status_code"},
+    {"name": "currency", "type": "currency"},
+    {"name": "place", "type": "postal_code", "required": False},
+]
+_FILE = "concat(event_type, '_', user_id, element_at(array('.pdf', '.PNG', '.mp3', '.docx', '.jpeg', '.exe', ''), cast(event_id % 7 as int) + 1))"
+#: A device record made of an event's columns: values in each type's form, some of them out of it.
+DEVICE = {
+    "day": "concat('2024-', event_id % 14, '-', user_id % 33)",
+    "clock": "concat(event_id % 26, ':', lpad(cast(user_id % 60 as string), 2, '0'), ':', event_id % 62)",
+    "zone": "if(event_id % 5 = 0, 'CEST', if(event_id % 5 = 1, '+02:00', 'UTC'))",
+    "ip": "concat(10, '.', user_id % 300, '.', event_id % 256, '.', event_id % 260)",
+    "mac": "concat('02:00:5E:10:', hex(event_id % 256), if(event_id % 9 = 0, '-', ':'), lpad(hex(user_id % 256), 2, '0'))",
+    "device": "concat(substr(md5(props), 1, 8), '-', substr(md5(props), 9, 4), '-', substr(md5(props), 13, 4), '-', substr(md5(props), 17, 4), '-', substr(md5(props), 21, 7 + cast(event_id % 6 as int)))",
+    "contact": "concat(event_type, if(event_id % 4 = 0, '.at.', '@'), 'site', user_id, if(event_id % 10 = 3, '', '.org'))",
+    "manual": _FILE, "photo": _FILE, "sound": _FILE,
+    "lat": "value - 100", "lon": "value * 2 - 200",
+    "point": "if(event_id % 3 = 0, array(value, value, value), array(value, -value))",
+    "token": "substr(md5(props), 1, cast(event_id % 20 as int))",
+    "digest": "substr(md5(props), 1, 28 + cast(event_id % 6 as int))",
+    "colour": "if(event_id % 2 = 0, concat('#', lpad(lower(hex(user_id)), cast(event_id % 7 as int), '0')), concat('rgb(', event_id % 256, ', ', user_id, if(event_id % 3 = 0, ')', ', 7)')))",
+    "firmware": "concat(user_id % 9, '.', event_id % 12, if(event_id % 4 = 0, '', '.3'), if(event_id % 5 = 0, '-rc1', ''))",
+    "status": "90 + event_id % 600",
+    "currency": "substr('EURO', 1, 1 + cast(event_id % 4 as int))",
+    "place": "if(event_id % 3 = 0, null, if(event_id % 3 = 1, ' ', concat('D-', user_id)))",
+}
+
+
+def i_device_records(t: Tables) -> DataFrame:
+    """Dates, network, file-name, geographic, secret-like and patterned types on device records."""
+    df = t.events.select("event_id", *(F.expr(e).alias(c) for c, e in DEVICE.items()))
+    return _counts(C.violations(df, DEVICE_CONTRACT, "event_id"))

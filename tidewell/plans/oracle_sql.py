@@ -1461,6 +1461,30 @@ def _add_more_contract_oracles():
         ("label", "non-negative", "NOT label >= 0"),
         ("label", "max 5", "NOT CAST(label AS DOUBLE) <= 5"),
     ])
+    # stated by parts and arithmetic, not by the patterns under test; a device record is a function of event_id, user_id, value and props
+    O["contract_i_device_records"] = _viol_sql("events", "event_id", [
+        ("day", "type date", "event_id % 14 NOT BETWEEN 1 AND 12 OR user_id % 33 NOT BETWEEN 1 AND "
+                             "CASE WHEN event_id % 14 = 2 THEN 29 WHEN event_id % 14 IN (4, 6, 9, 11) THEN 30 ELSE 31 END"),
+        ("clock", "type time", "event_id % 26 > 23 OR event_id % 62 > 59"),
+        ("zone", "type timezone", "event_id % 5 = 0"),
+        ("ip", "type ip_address", "user_id % 300 > 255 OR event_id % 260 > 255"),
+        ("mac", "type mac_address", "event_id % 256 < 16"),
+        ("device", "type uuid", "event_id % 6 <> 5"),
+        ("contact", "type email", "event_id % 4 = 0 OR event_id % 10 = 3"),
+        ("manual", "type pdf", "event_id % 7 <> 0"),
+        ("photo", "type image", "event_id % 7 NOT IN (1, 4)"),
+        ("sound", "type audio", "event_id % 7 <> 2"),
+        ("lat", "type latitude", "abs(value - 100) > 90"),
+        ("lon", "type longitude", "abs(value * 2 - 200) > 180"),
+        ("point", "type coordinate", "event_id % 3 = 0"),
+        ("token", "type token", "event_id % 20 <= 10"),
+        ("digest", "type hash", "28 + event_id % 6 < 32"),
+        ("colour", "type color_code", "CASE WHEN event_id % 2 = 0 THEN event_id % 7 NOT IN (3, 6) ELSE event_id % 3 = 0 END"),
+        ("firmware", "type version_number", "event_id % 4 = 0"),
+        ("status", "type status_code", "90 + event_id % 600 NOT BETWEEN 100 AND 599"),
+        ("currency", "type currency", "event_id % 4 <> 2"),
+        ("place", "type postal_code", "event_id % 3 = 1"),
+    ])
     O["contract_i_conversation_text"] = _viol_sql("conversations", "conv_id", [
         ("role", "matches (user|assistant)", "NOT regexp_matches(role, '^(?:(user|assistant))')"),
         ("role", "alphabetic", "NOT regexp_matches(role, '^\\p{L}+$')"),
