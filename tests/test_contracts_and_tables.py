@@ -111,3 +111,18 @@ def test_count_status_of_a_missing_table_is_zero(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     rows = TB.count_status(spark, {"t": str(tmp_path / "t"), "gone": str(tmp_path / "gone")}).collect()
     assert {r["table_name"]: r["row_count"] for r in rows} == {"t": 3, "gone": 0}
+
+
+def test_coverage_lists(spark):
+    stories = [(i, r) for i in range(400) for r in ("R1", "R2") if r == "R1" or i % 40 == 0] + [(7, "R1"), (8, "gone"), (None, "R2")]
+    epics = [(900, "R2"), (901, "R2")]
+    reqs = spark.createDataFrame([("R1",), ("R2",), ("R3",)], "id string")
+    frame = lambda rows: spark.createDataFrame(rows, "item long, req string")
+    rows = C.coverage_lists(reqs, "id", frame(stories), frame(epics), page_size=50).collect()
+    got = {}
+    for r in rows:
+        assert r["ids"] == sorted(r["ids"]) and len(r["ids"]) < 100  # pages stay near their size
+        got.setdefault((r["requirement"], r["kind"]), []).extend(r["ids"])
+    want = {(q, k): sorted({i for i, r in links if r == q and i is not None}) for q in ("R1", "R2", "R3") for k, links in (("story", stories), ("epic", epics))}
+    assert {k: sorted(v) for k, v in got.items()} == want and sum(r["requirement"] == "R1" and r["kind"] == "story" for r in rows) == 8
+    assert [(r["page"], r["ids"]) for r in rows if r["requirement"] == "R3"] == [(0, []), (0, [])]

@@ -420,6 +420,22 @@ def coverage(requirements: DataFrame, req_key: str, story_links: DataFrame, epic
                     .alias("gap"))
 
 
+def coverage_lists(requirements: DataFrame, req_key: str, story_links: DataFrame, epic_links: DataFrame, page_size: int = 1000) -> DataFrame:
+    """The items that list each requirement, as ``(requirement, kind, page, ids)``: kind is story or epic, and the ids
+    of one requirement are dealt to pages of about ``page_size`` by a hash of the id, ascending within a page, so the list
+    of a requirement that a third of all items name is many rows and many tasks. A requirement without items of a kind has
+    one page without ids; an item that lists it twice counts once; links to unknown requirements and null ids are left out."""
+    links = story_links.select("item", "req", F.lit("story").alias("kind")).unionByName(epic_links.select("item", "req", F.lit("epic").alias("kind")))
+    links = links.where("item IS NOT NULL").distinct()
+    pages = links.groupBy("req", "kind").agg(F.ceil(F.count(F.lit(1)) / page_size).alias("pages"))
+    page = F.pmod(F.conv(F.substring(F.md5(F.col("item").cast("string")), 1, 8), 16, 10).cast("long"), F.col("pages"))
+    lists = (links.join(pages, ["req", "kind"]).select(F.col("req").alias("_req"), "kind", page.alias("page"), "item")
+             .groupBy("_req", "kind", "page").agg(F.array_sort(F.collect_list("item")).alias("ids")))
+    every = requirements.select(F.col(req_key).alias("requirement")).distinct().withColumn("kind", F.explode(F.array(F.lit("story"), F.lit("epic"))))
+    met = every.join(lists.withColumnRenamed("kind", "_kind"), (F.col("requirement") == F.col("_req")) & (F.col("kind") == F.col("_kind")), "left")
+    return met.select("requirement", "kind", F.coalesce("page", F.lit(0)).cast("long").alias("page"), F.coalesce("ids", F.array()).alias("ids"))
+
+
 def search(df: DataFrame, query: str, fields: list[str], status_col: str | None = None,
            status: str | None = None) -> DataFrame:
     """Case-insensitive substring match in any of ``fields``, optional status filter."""

@@ -97,5 +97,5 @@ from . import user_graphs as UG  # noqa: E402
 register("graph_f19_org_chart_counts", lambda t: UG.graph_counts(UG.build_graph(t, UG.ORG_CHART)))
 register("d1_record_json", lambda t: SQ.record_json(t, "fraud_detection"))
 
-for _name in ["i_embeddings", "i_conversation_text", "i_device_records"]:
+for _name in ["i_embeddings", "i_conversation_text", "i_device_records", "i_requirement_lists"]:
     register("contract_" + _name, getattr(CQ, _name))

@@ -107,6 +107,14 @@ def i_requirement_coverage(t: Tables) -> DataFrame:
     return C.coverage(t.part, "p_partkey", stories, epics)
 
 
+def i_requirement_lists(t: Tables) -> DataFrame:
+    """I19, the id lists: orders and suppliers of each part in pages of about 16, as comma-separated ids."""
+    li = t.lineitem
+    lists = C.coverage_lists(t.part, "p_partkey", li.select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("req")),
+                             li.select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("req")), page_size=16)
+    return lists.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
 def i_text_search(t: Tables, query: str = "ING", lang: str = "en") -> DataFrame:
     """Documents whose text or source contains the query (any case), restricted to one language."""
     return C.search(t.documents, query, ["text", "source"], "lang", lang).select("doc_id", "lang", "n_chars")

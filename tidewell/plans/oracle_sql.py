@@ -580,6 +580,14 @@ def _add_contract_oracles():
         "ON s.l_partkey = p_partkey "
         "LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS epics FROM lineitem GROUP BY l_partkey) e "
         "ON e.l_partkey = p_partkey")
+    O["contract_i_requirement_lists"] = """
+        WITH l AS (SELECT DISTINCT l_partkey AS req, 'story' AS kind, l_orderkey AS item FROM lineitem
+                   UNION ALL SELECT DISTINCT l_partkey, 'epic', l_suppkey FROM lineitem),
+        n AS (SELECT *, CAST(('0x' || substr(md5(CAST(item AS VARCHAR)), 1, 8)) AS BIGINT)
+                        % CAST(ceil(count(*) OVER (PARTITION BY req, kind) / 16.0) AS BIGINT) AS page FROM l),
+        g AS (SELECT req, kind, page, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS ids FROM n GROUP BY ALL)
+        SELECT p_partkey AS requirement, k.kind, coalesce(page, 0) AS page, coalesce(ids, '') AS ids
+        FROM part CROSS JOIN (VALUES ('story'), ('epic')) k(kind) LEFT JOIN g ON g.req = p_partkey AND g.kind = k.kind"""
     O["contract_i_text_search"] = (
         "SELECT doc_id, lang, n_chars FROM documents WHERE (contains(lower(text), 'ing') OR "
         "contains(lower(source), 'ing')) AND lang = 'en'")
