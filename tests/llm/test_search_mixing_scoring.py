@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import context_mixing as C
 from tidewell.llm import mixing, mtree
-from tidewell.llm.common import Squeezed
+from tidewell.llm.common import Squeezed, opens
 
 from .conftest import AWKWARD
 
@@ -296,6 +296,23 @@ def test_tables_grow_with_the_contexts(spark, monkeypatch):
         assert len(c) == 2 << b and np.count_nonzero(c[0::2] + c[1::2]) < 0.6 * (1 << b)
 
 
+def test_tables_are_read_from_the_shared_folder_or_come_by_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame(prose(80, 5), "doc_id long, text string").repartition(3)
+    models = [C.Model([C.words_of(t) for _, t in prose(60, 5)]) for _ in range(3)]
+    stored = C.counted(df, models[0])
+    assert isinstance(stored, C.Stored)
+    there = [a.copy() for a in stored.arrays(C.odds_of, "odds")]
+    monkeypatch.setattr(C, "opens", lambda path: False)
+    squeezed = C.counted(df, models[1])
+    assert isinstance(squeezed, Squeezed)
+    for a, b in zip(there, squeezed.arrays(C.odds_of, "odds")):
+        assert a.dtype == b.dtype and (a == b).all()
+    monkeypatch.undo()
+    none = C.counted(df.where("doc_id < 0"), models[2])  # no training row, no slab
+    assert not any(a.any() for a in none.arrays(C.floats, "floats"))
+    assert opens("file:///tmp/x") and opens("/tmp/x") and not opens("viewfs://store/x")
+
+
 def test_all_training_texts_are_learnt_from(spark):
     """The sample is a place to start from: with 3 or 512 texts in it, held-out texts score about the same."""
     df = spark.createDataFrame(prose(400, 4), "doc_id long, text string")

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,33 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there, for tasks that read or write files themselves."""
+    if "://" not in path and not path.startswith("file:"):
+        path = f"file://{path}"
+    scheme, _, rest = path.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
+
+
+def opens(path: str) -> bool:
+    """Whether tasks can open files there themselves; a store may be open to Spark's readers alone."""
+    try:
+        open_store(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def stored_rows(path: str) -> Iterator[dict]:
+    """The rows of a parquet table that Spark wrote, one at a time, read in a task."""
+    fs, name = open_store(path)
+    for f in sorted(fs.get_file_info(pafs.FileSelector(name)), key=lambda f: f.path):
+        if f.base_name.startswith("part-"):
+            with fs.open_input_file(f.path) as opened:
+                for b in pq.ParquetFile(opened).iter_batches(batch_size=1, use_threads=False):
+                    yield from b.to_pylist()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

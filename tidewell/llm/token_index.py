@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, scratch, scratch_dir
+from .common import U64, mix64, open_store, scratch, scratch_dir
 from .tokens import encoder
 
 MAGIC = b"TWIDX001"
@@ -92,14 +92,10 @@ class PerfectHash:
 
 # ---------------------------------------------------------------- shard files
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 class ShardWriter:
     def __init__(self, path: str, width: int):
         self.path, self.dtype = path, f"<u{width}"
-        self.fs, self.name = _open(path)
+        self.fs, self.name = open_store(path)
         self.part = f"{self.name}.{uuid.uuid4().hex}"
         self.fs.create_dir(self.name.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.part)
@@ -149,7 +145,7 @@ class Shard:
     """A shard file: keyed access by the index, payloads read as they are asked for."""
 
     def __init__(self, path: str):
-        fs, name = _open(path)
+        fs, name = open_store(path)
         self.file = fs.open_input_file(name)
         size = self.file.size()
         end = self.file.read_at(16, size - 16)
