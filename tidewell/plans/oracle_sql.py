@@ -508,7 +508,9 @@ def _dup(table: str, col: str) -> str:
 
 
 def _add_contract_oracles():
-    from ..operators.contracts import URL_PATTERN
+    # fixed value: the URL pattern of contract fields
+    url = (r"^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|"
+           r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$")
     O = ORACLE
     O["contract_i_documents"] = _viol_sql("documents", "doc_id", [
         ("doc_id", "type primary_key", "doc_id = 0"),
@@ -527,7 +529,7 @@ def _add_contract_oracles():
     ])
     O["contract_i_pages"] = _viol_sql("pages", "page_id", [
         ("page_id", "type primary_key", "page_id = 0"),
-        ("url", "type url", f"NOT regexp_matches(url, '{URL_PATTERN}', 'i')"),
+        ("url", "type url", f"NOT regexp_matches(url, '{url}', 'i')"),
         ("url", "starts with https", "NOT starts_with(url, 'https')"),
         ("url", "ends with .com", "NOT ends_with(url, '.com')"),
         ("html", "type html", "NOT (contains(lower(html), '<html>') OR ends_with(html, '.html'))"),
@@ -558,8 +560,12 @@ def _add_contract_oracles():
                  (col, "length > 0", f"NOT length({col}) > 0"),
                  (col, "length < 1000", f"NOT length({col}) < 1000")]
     O["contract_i_conversations_default_rules"] = _viol_sql("conversations", "conv_id", conv)
-    from .contract_queries import EVENT_FLOW
-    allowed = ", ".join(f"('{a}', '{b}')" for a, bs in EVENT_FLOW.items() for b in bs)
+    # fixed values: the allowed steps from one event type to the next
+    allowed = ("('signup', 'view'), ('signup', 'click'), ('signup', 'signup'), "
+               "('view', 'view'), ('view', 'click'), ('view', 'purchase'), ('view', 'error'), "
+               "('click', 'view'), ('click', 'click'), ('click', 'purchase'), ('click', 'error'), "
+               "('purchase', 'view'), ('purchase', 'click'), ('purchase', 'purchase'), "
+               "('error', 'view'), ('error', 'click'), ('error', 'error')")
     O["contract_i_event_transitions"] = (
         f"SELECT from_status, to_status, count(*) AS violations FROM "
         f"(SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, "
@@ -667,9 +673,8 @@ def _add_stream_analytics_oracles():
     O["stream_j9_shares"] = (
         "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share "
         "FROM events GROUP BY 1")
-    from .stream_analytics_queries import FIRMWARE
     fw = dspec(tel["firmware_version"], "event_id")
-    cols = ", ".join(f"count(*) FILTER (WHERE fw = '{v}') AS \"{v}\"" for v in FIRMWARE)
+    cols = ", ".join(f"count(*) FILTER (WHERE fw = '{v}') AS \"{v}\"" for v in ("1.0.0", "1.1.0", "1.2.3", "2.0.0", "2.1.0"))
     O["stream_j10_firmware_rollout"] = (
         f"SELECT {_bucket_ts(86400000000)} AS window_start, {cols} FROM "
         f"(SELECT ts, {fw} AS fw FROM events) GROUP BY 1 ORDER BY 1")
@@ -692,9 +697,9 @@ _add_stream_analytics_oracles()
 
 # --- §2.A sources and table operations ---------------------------------------------
 def _add_source_oracles():
-    from ..sources.fixtures import TABLES
-    from .source_queries import FEDERATED_SQL
     O = ORACLE
+    tables = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+              "conversations").split()
     O["source_a8_upsert_customers"] = (
         "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1998) "
         "THEN 'ACTIVE_1998' ELSE c_mktsegment END AS c_mktsegment, count(*) AS customers FROM customer GROUP BY 1")
@@ -702,7 +707,7 @@ def _add_source_oracles():
         "SELECT l_linestatus, count(*) AS rows, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS copied "
         "FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
     O["source_a14_inventory"] = " UNION ALL ".join(
-        [f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, 'ok' AS status" for n in TABLES]
+        [f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, 'ok' AS status" for n in tables]
         + ["SELECT 'missing_table' AS table_name, CAST(NULL AS BIGINT) AS row_count, 'not found' AS status"])
     O["source_a24_audit_query"] = (
         "SELECT *, count(*) OVER () AS total FROM (SELECT event_id AS id, event_type, CAST(user_id AS VARCHAR) AS user_id, "
@@ -715,7 +720,10 @@ def _add_source_oracles():
         "SELECT key, value, updated_at FROM (SELECT 'user:' || CAST(user_id AS VARCHAR) AS key, props AS value, "
         "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, "
         "max(ts) OVER (PARTITION BY user_id) AS updated_at FROM events) WHERE rn = 1")
-    O["source_a27_federated_sql"] = FEDERATED_SQL
+    O["source_a27_federated_sql"] = (
+        "SELECT n_name, customers, avg_balance FROM nation, LATERAL (SELECT count(*) AS customers, "
+        "round(sum(c_acctbal) / count(c_acctbal), 2) AS avg_balance FROM customer "
+        "WHERE c_nationkey = n_nationkey AND c_acctbal > 0) WHERE customers > 0")
 
 
 _add_source_oracles()
