@@ -344,6 +344,30 @@ def test_own_counts_are_left_out_and_sums_add_up(spark):
             assert a.any() and np.allclose(a, b)
 
 
+def test_long_texts_are_learnt_from_in_steps(monkeypatch):
+    """A text taken in several steps gives the sums that it gives in one; so do the slopes by their definition."""
+    sample = [C.words_of(t) for _, t in prose(30, 9)] + [C.words_of("")]
+    m = C.Model(sample[:20])
+    tables = [m.words.no_counts(), m.bytes.no_counts()]
+    m.count(C.Tokens(sample), *tables)
+    whole = {kind: m.sums(tables, iter([sample]), kind) for kind in ("slopes", "cells")}
+    steps = C.steps
+    monkeypatch.setattr(C, "steps", lambda n: steps(n, 7))
+    for kind, sums in whole.items():
+        for a, b in zip(sums, m.sums(tables, iter([sample]), kind)):
+            assert a.any() and np.allclose(a, b)
+    r = np.random.default_rng(3)
+    n, d, gates = 500, *m.words.weights.shape
+    x, gate, bit, times = r.normal(size=(d, n)).astype(np.float32), r.integers(0, gates, n), r.integers(0, 2, n), r.integers(1, 4, n)
+    got = m.words.slopes(x, gate, gate, bit, times)
+    for g in range(gates):
+        at = gate == g
+        p = 1 / (1 + np.exp(-(m.words.weights[:, g].astype(np.float64) @ x[:, at])))
+        curve = (x[:, at] * (times[at] * p * (1 - p))) @ x[:, at].T
+        assert np.allclose(got[1: 1 + d, g], x[:, at] @ (times[at] * (p - bit[at])), atol=1e-4)
+        assert np.allclose(got[1 + d:, g], curve[np.tril_indices(d)], atol=1e-4)
+
+
 def test_repeated_query_rows_are_searched_once(spark):
     r = np.random.default_rng(12)
     rows = [(int(i), [float(x) for x in r.normal(size=6)]) for i in [*range(90), 20, 40, 40, 33]]
