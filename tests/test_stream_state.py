@@ -1,6 +1,7 @@
 """Streaming J4-J7 and J12: stream = batch however the files cut the events, late rows, restarts, bounded state; batch
 sessions, lags and uniqueness of hot entities."""
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -164,6 +165,15 @@ def test_unique_columns_by_one_shuffle(spark):
     assert plan.count("Exchange") <= 2 and {r["check"] for r in got} == {"unique"}
 
 
+def test_unique_values_are_dealt_out_before_they_are_counted(spark):
+    df = spark.createDataFrame([(i, i // 2) for i in range(400)] + [(None, 7)] * 300, "id int, a int")
+    found = C.repeated_values(df, ["id", "a"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a plan is printed from its result down to the scan: no count stands below the exchange, in the tasks that read files
+    assert plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")
+    assert {(r["field"], bytes(r["digest"]).hex()) for r in found.collect()} == {("a", hashlib.md5(str(i).encode()).hexdigest()) for i in range(200)}
+
+
 def test_ids_of_any_padding_meet_in_a_stream(spark, tmp_path):
     forms = ["STU-00042", "STU-000042", " stu-42 ", "42", "STU-1000042", "XYZ-42", None, "STU-", "STU-000000", "STU-1234567"]
     got = [r[0] for r in spark.createDataFrame([(f,) for f in forms], "i string").select(A.normalize_id("i", "STU-", 6)).collect()]
