@@ -1,5 +1,6 @@
 """Communities of planted groups, lazy funding trace, stored graphs, tables with defaults, completed edge properties."""
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tidewell.operators.communities import co_membership, communities, modularit
 from tidewell.operators.edges import bernoulli_edges, k_targets
 from tidewell.plans import graph_queries as GQ
 from tidewell.plans import graphs as G
+from tidewell.plans import source_queries as SQ
 from tidewell.plans.datasets import SPECS, build_table, create_statement
 from tidewell.plans.user_graphs import ORG_CHART, build_graph
 from tidewell.sources import tables as TB
@@ -115,6 +117,31 @@ def test_defaults_of_a_created_table(spark, tmp_path):
     TB.drop(spark, name)
 
 
+def test_tables_are_filled_at_the_same_time(spark, tmp_path, monkeypatch):
+    spark.range(7).selectExpr("cast(id as int) AS n_nationkey").write.parquet(str(tmp_path / "nation.parquet"))
+    monkeypatch.setattr(SQ, "SPECS", {n: SPECS[n] for n in ("agencies", "schools")})
+    both, insert = threading.Barrier(2), TB.insert_with_defaults
+
+    def insert_with_the_other(df, name):
+        both.wait(60)  # breaks if the second table waits for the first one
+        return insert(df, name)
+
+    monkeypatch.setattr(SQ.TB, "insert_with_defaults", insert_with_the_other)
+    got = SQ.e_table_defaults(Tables(spark, str(tmp_path))).collect()
+    assert [(r["table_name"], r["column_name"], r["row_count"], r["filled"]) for r in got] == [("agencies", "created_at", 7, 7), ("schools", "created_at", 7, 7)]
+
+
+def test_insert_with_defaults_leaves_other_views(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("_tidewell_insert")
+    name = f"tw_ids_{random.randrange(10 ** 9)}"
+    TB.create_from_ddl(spark, f"CREATE TABLE {name} (id BIGINT, n INT DEFAULT 5) USING parquet LOCATION '{tmp_path / 'i'}'", name)
+    assert TB.insert_with_defaults(spark.range(10, 14), name) == 4
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == [(i, 5) for i in range(10, 14)]
+    assert spark.table("_tidewell_insert").count() == 3
+    spark.catalog.dropTempView("_tidewell_insert")
+    TB.drop(spark, name)
+
+
 def test_edge_properties_equal_their_nodes(spark):
     t = Tables(spark, SF_ORACLE)
     p, k, b = G.procurement_graph(t), G.early_warning_graph(t), G.benefits_graph(t)
