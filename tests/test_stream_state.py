@@ -4,6 +4,8 @@ import datetime as dt
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tidewell.operators import contracts as C
 from tidewell.operators.timeseries import bucketed_sessions, ranged_lag
 from tidewell.streaming import analytics as A
 from tidewell.streaming import jobs as J
-from tidewell.streaming.state import stream_lag
+from tidewell.streaming.state import objects, plain, stream_lag
 
 T0 = dt.datetime(2024, 3, 1)
 SCHEMA = "event_id long, user_id string, ts timestamp, lat double, lon double, level double"
@@ -174,6 +176,15 @@ def test_unique_values_are_dealt_out_before_they_are_counted(spark):
     assert {(r["field"], bytes(r["digest"]).hex()) for r in found.collect()} == {("a", hashlib.md5(str(i).encode()).hexdigest()) for i in range(200)}
 
 
+def test_values_of_a_group_as_plain_objects():
+    given = [pd.Series([1.5, np.nan, 2.0]), pd.Series([1, 2]), pd.Series(["x", None]), pd.Series([True, False]), pd.Series([], dtype="float64"),
+             pd.Series([[1, 2], None], dtype=object), pd.Series([pd.Timestamp(2024, 1, 1), pd.NaT])]
+    assert [plain(s) for s in given] == [s.astype(object).where(s.notna(), None).tolist() for s in given]
+    rows = [("a", 1, None, [1, 2]), ("b", 2 ** 60 + 1, 0.5, [3])]
+    made = objects(rows, ["k", "n", "x", "l"])
+    assert list(made.itertuples(index=False, name=None)) == rows and set(made.dtypes) == {np.dtype(object)}
+
+
 def test_ids_of_any_padding_meet_in_a_stream(spark, tmp_path):
     forms = ["STU-00042", "STU-000042", " stu-42 ", "42", "STU-1000042", "XYZ-42", None, "STU-", "STU-000000", "STU-1234567"]
     got = [r[0] for r in spark.createDataFrame([(f,) for f in forms], "i string").select(A.normalize_id("i", "STU-", 6)).collect()]
