@@ -1,4 +1,5 @@
 """Communities of planted groups, lazy funding trace, stored graphs, tables with defaults, completed edge properties."""
+import hashlib
 import random
 import threading
 
@@ -6,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import spec as S
+from tidewell.operators import communities as CM
 from tidewell.operators.communities import co_membership, communities, modularity
-from tidewell.operators.edges import bernoulli_edges, k_targets
+from tidewell.operators.edges import bernoulli_edges, distinct_pairs, k_targets
 from tidewell.plans import graph_queries as GQ
 from tidewell.plans import graphs as G
 from tidewell.plans import source_queries as SQ
@@ -45,6 +47,104 @@ def test_links_of_a_large_group_grow_with_its_members(spark):
     assert communities(links.filter("a < 0")).count() == 0
 
 
+def _md5(*parts):
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def _plain_communities(links, rounds, levels):
+    """The moves of ``communities`` in plain integers."""
+    ways = {}
+    for a, b, w in links:
+        for x, y in ((a, b), (b, a)):
+            ways[x, y] = ways.get((x, y), 0) + w
+    k = {}
+    for (a, _), w in ways.items():
+        k[a] = k.get(a, 0) + w
+    two_m, found = sum(k.values()), {n: n for n in k}
+    for _ in range(levels):
+        c = {n: n for n in k}
+        for r in range(rounds):
+            tot = {}
+            for n in k:
+                tot[c[n]] = tot.get(c[n], 0) + k[n]
+            now = dict(c)
+            for u in k:
+                if ord(_md5(u, r)[0]) % 2 == 0:
+                    to = {c[u]: 0}
+                    for (a, b), w in ways.items():
+                        if a == u:
+                            to[c[b]] = to.get(c[b], 0) + w
+                    now[u] = min((-(two_m * w - k[u] * (tot[x] - (k[u] if x == c[u] else 0))), x != c[u], x) for x, w in to.items())[2]
+            c = now
+        first = {x: min(n for n in c if c[n] == x) for x in set(c.values())}
+        c = {n: first[x] for n, x in c.items()}
+        found = {n: c[x] for n, x in found.items()}
+        up, up_k = {}, {}
+        for (a, b), w in ways.items():
+            if c[a] != c[b]:
+                up[c[a], c[b]] = up.get((c[a], c[b]), 0) + w
+        for n in k:
+            up_k[c[n]] = up_k.get(c[n], 0) + k[n]
+        ways, k = up, up_k
+    return found
+
+
+@pytest.mark.parametrize("most", [3, 10 ** 9])  # gains that fit into a long together with a label, and gains that do not
+def test_communities_by_plain_integers(spark, most):
+    r = random.Random(most)
+    pairs = {tuple(sorted(r.sample(range(60), 2))) for _ in range(150)}
+    links = [(f"n{a}", f"n{b}", r.randint(1, most)) for a, b in pairs]
+    got = communities(spark.createDataFrame([*links, ("n1", "n1", 7), (None, "n1", 7)], "a string, b string, w long"), 4)
+    want = _plain_communities(links, 4, 2)
+    assert {x["node"]: x["community"] for x in got.collect()} == want and 1 < len(set(want.values())) < 60
+
+
+def test_links_go_once_to_their_nodes(spark, monkeypatch):
+    plans, write = [], CM.settled
+
+    def seen(df, name):
+        out = write(df, name)
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(CM, "settled", seen)
+    links = spark.range(3000).selectExpr("id % 97 AS a", "id % 89 AS b", "1L AS w").filter("a <> b")
+    communities(links, 3, 1).count()
+    rounds = [p for n, p in plans if n == "labels"]
+    assert len(rounds) == 4 and not any("Exchange hashpartitioning(u#" in p for p in rounds)
+
+
+def test_co_membership_by_brute_force(spark):
+    # groups within blocks of places, over their borders and over several of them; null groups and members, repeats
+    rows = [(g, m) for g in range(40) for m in range(g * 7 % 23)] + [(100, m) for m in range(1500)] + [(200, m) for m in range(5)] * 2 + [(None, 1), (None, 2), (300, None), (300, 4)]
+    want = {}
+    for g in {g for g, _ in rows if g is not None}:
+        members = sorted({m for x, m in rows if x == g}, key=lambda m: _md5(g) if m is None else _md5(g, m))
+        for i, x in enumerate(members):
+            for y in members[i + 1: i + 3]:
+                ends = [v for v in (x, y) if v is not None]
+                key = (min(ends), max(ends))
+                want[key] = want.get(key, 0) + 1
+    got = co_membership(spark.createDataFrame(rows, "g long, m long"), "g", "m", reach=2)
+    assert {(x["a"], x["b"]): x["w"] for x in got.collect()} == want
+
+
+def test_places_beyond_one_block(spark):
+    df = spark.range(30_000).select((F.col("id") / 7).cast("long").alias("g"), F.col("id").alias("m"))
+    links = co_membership(df, "g", "m", reach=8)
+    n = [min(7, 30_000 - g * 7) for g in range(30_000 // 7 + 1)]
+    assert links.count() == sum(x * (x - 1) // 2 for x in n)
+    assert links.filter("cast(a / 7 as long) <> cast(b / 7 as long)").count() == 0
+
+
+def test_pairs_are_not_drawn_again_by_a_join(spark):
+    pairs = distinct_pairs(spark.range(100), "id", 7, 90, 1, "X")
+    met = pairs.selectExpr("concat('A-', a_ord) AS a").join(spark.range(7).selectExpr("concat('A-', id) AS a"), "a")
+    assert met.count() == 100
+    filters = [x for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert not any("md5" in x for x in filters)
+
+
 def test_modularity_by_brute_force(spark):
     links = [("a", "b", 3), ("b", "c", 1), ("c", "d", 4), ("d", "d", 9)]
     of = {"a": "a", "b": "a", "c": "c", "d": "c"}
