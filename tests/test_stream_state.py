@@ -13,7 +13,7 @@ from tidewell.operators import contracts as C
 from tidewell.operators.timeseries import bucketed_sessions, ranged_lag
 from tidewell.streaming import analytics as A
 from tidewell.streaming import jobs as J
-from tidewell.streaming.state import objects, plain, stream_lag
+from tidewell.streaming.state import interval_count, objects, packed, plain, recent_counts, stream_lag, unpacked
 
 T0 = dt.datetime(2024, 3, 1)
 SCHEMA = "event_id long, user_id string, ts timestamp, lat double, lon double, level double"
@@ -102,6 +102,69 @@ def test_state_of_silent_entities_is_dropped(spark, tmp_path):
     assert got[51] is None and len(got) >= 22  # u3 was forgotten after an hour
 
 
+def _plain_counts(rows, width):
+    """(entity, ts, key) of every event and the events of its entity in [ts - width, ts], once for each equal event."""
+    out = {}
+    for k, e, t in rows:
+        if t is not None:
+            n = sum(f == e and u is not None and t - dt.timedelta(seconds=width) <= u <= t for _, f, u in rows)
+            out[e, t, k] = out.get((e, t, k), 0) + n
+    return {(e, t, k, n) for (e, t, k), n in out.items()}
+
+
+@pytest.mark.parametrize("shards", [1, 50])
+def test_counts_of_a_stream_by_brute_force(spark, tmp_path, shards):
+    r = random.Random(shards)
+    whole = [T0 + dt.timedelta(seconds=60 * i) for i in range(0, 400, 3)]  # a minute's window: ends of windows and buckets are met
+    rows = [(r.choice([i, 2 ** 53 + 1 + i, None]), r.choice(["hot", "hot", "a", "b", "", None]), r.choice(whole) + dt.timedelta(microseconds=r.choice([0, 0, 1, -1]) + r.choice([0, 60]) * 10 ** 6)) for i in range(500)]
+    rows += rows[:20] + [(None, None, rows[0][2]), (0, None, rows[0][2]), (7, "a", None)]
+    end = (-1, "closing", T0 + dt.timedelta(days=300))
+    rows.sort(key=lambda x: x[2] or T0)
+    for part in (rows[:300], rows[300:], [end]):
+        spark.createDataFrame(part, "k long, e string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("k long, e string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = J.run_to_table(interval_count(src, "e", "ts", "k", 60, "1000 days", shards=shards), str(tmp_path / "out"), str(tmp_path / "c"), 2)
+    assert got.count() == 0  # the watermark is behind all of them
+    got = J.run_to_table(interval_count(src, "e", "ts", "k", 60, "10 hours", shards=shards), str(tmp_path / "out2"), str(tmp_path / "c2"), 2)
+    found = [tuple(x) for x in got.select("e", "ts", "k", "recent").collect()]
+    assert len(found) == len(set(found)) and set(found) == _plain_counts(rows, 60)
+
+
+def test_a_busy_entity_is_counted_without_a_state_row_for_each_event(spark, tmp_path):
+    rows = [(i, "hot", T0 + dt.timedelta(milliseconds=100 * i), 0.0, 0.0, 0.0) for i in range(3000)]
+    _files(spark, str(tmp_path / "in"), rows, 1)
+    _files(spark, str(tmp_path / "in"), [LAST], 1)
+    df = A.velocity(_stream(spark, str(tmp_path / "in")), window_seconds=60, threshold=600, delay="1 minute")
+    with J.state_partitioning(spark, 2):
+        q = J.to_table(df, str(tmp_path / "out"), str(tmp_path / "c"))
+    q.awaitTermination()
+    kept = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress if p.get("stateOperators")]
+    assert 0 < max(kept) < 100
+    assert {r["event_id"]: r["recent"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {i: 601 for i in range(600, 3000)}
+
+
+def test_velocity_restarts_without_repeats_and_drops_late_events(spark, tmp_path):
+    rows = sorted(_rows(200), key=lambda x: x[2])
+    src, out, ckpt = (str(tmp_path / p) for p in ("in", "out", "c"))
+    run = _forms()["velocity"]
+    _files(spark, src, rows[:100], 2)
+    J.run_to_table(run(_stream(spark, src)), out, ckpt, 2)
+    _files(spark, src, rows[100:], 2)
+    _files(spark, src, [LAST], 1)
+    J.run_to_table(run(_stream(spark, src)), out, ckpt, 2)
+    _files(spark, src, [(777 + i, "hot", rows[50][2], 0.0, 0.0, 0.0) for i in range(5)], 1)
+    got = J.run_to_table(run(_stream(spark, src)), out, ckpt, 2)
+    want = run(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(str, got.where("user_id <> 'closing'").collect())) == sorted(map(str, want.collect())) and want.count() > 5
+
+
+def test_rows_of_a_state_come_back_as_they_were():
+    x = pd.DataFrame({"_b": [0, 0], "_own": [True, False], "_e": ["a", None], "_d": [dt.date(2024, 1, 1), None], "_k": [2 ** 60 + 1, 3], "_f": [np.nan, 1.5], "_t": pd.to_datetime(["2024-01-01", None])})
+    pd.testing.assert_frame_equal(unpacked(packed(x)), x)
+    x = pd.DataFrame({"_b": [0] * 4, "_own": [True] * 4, "_t": [0, 5, 10, 10], "_e": [np.nan, np.nan, np.nan, 0.0], "_en": [False] * 3 + [True], "_k": [1, 2, 3, 4], "_kn": [False] * 4})
+    assert recent_counts(x, np.array([False, True, True, True]), 5)["_n"].tolist() == [2, 2, 1]
+
+
 def _plain_sessions(rows, gap):
     by, out = {}, []
     for u, t in rows:
