@@ -129,6 +129,28 @@ def test_co_membership_by_brute_force(spark):
     assert {(x["a"], x["b"]): x["w"] for x in got.collect()} == want
 
 
+def test_numbered_links_give_the_same_communities(spark):
+    r = random.Random(9)
+    rows = spark.createDataFrame([(c, f"CW-{r.randrange(10 * (c % 3), 10 * (c % 3) + 12) ** 2}") for c in range(60) for _ in range(5)], "c long, w string")
+    links, names = co_membership(rows, "c", "w", numbered=True)
+    name = {x["node"]: x["name"] for x in names.collect()}
+    assert [name[i] for i in sorted(name)] == sorted(name.values())
+    plain = co_membership(rows, "c", "w")
+    assert {(name[x["a"]], name[x["b"]], x["w"]) for x in links.collect()} == {tuple(x) for x in plain.collect()}
+    got = {name[x["node"]]: name[x["community"]] for x in communities(links, 4, names=names).collect()}
+    assert got == {x["node"]: x["community"] for x in communities(plain, 4).collect()} and len(set(got.values())) > 1
+
+
+def test_one_target_of_each_source_is_the_general_draw(spark):
+    one = k_targets(spark.range(200), "id", 50, 1, 1, 7, "X")
+    general = k_targets(spark.range(200), "id", 50, 1, 2, 7, "X")
+    assert one.dtypes == general.dtypes
+    assert {r["src"]: r["dst_ord"] for r in one.collect()}.keys() == set(range(200))
+    single = {r["src"]: r["dst_ord"] for r in general.groupBy("src").agg(F.count("j").alias("n"), F.max("dst_ord").alias("dst_ord")).filter("n = 1").collect()}
+    assert len(single) > 50 and all({r["src"]: r["dst_ord"] for r in one.collect()}[s] == d for s, d in single.items())
+    assert k_targets(spark.range(5), "id", 0, 1, 1, 7, "X").count() == 0
+
+
 def test_places_beyond_one_block(spark):
     df = spark.range(30_000).select((F.col("id") / 7).cast("long").alias("g"), F.col("id").alias("m"))
     links = co_membership(df, "g", "m", reach=8)
